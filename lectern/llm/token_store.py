@@ -26,8 +26,8 @@ from lectern.llm.common import new_path, partitions, range_bucket, table, texts_
 SCHEMA = "shard int, doc_id long, n_tokens long, shard_start long, tokens array<int>"
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-#: The most chunks that a worker remembers between batches; beyond it the memory is emptied.
-CACHE_CHUNKS = 400_000
+#: A worker remembers at least so many chunks between batches, and at most about twice as many.
+CACHE_CHUNKS = 300_000
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -35,9 +35,11 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
-    A chunk is a space that follows no white space, with what comes up to the next such space. A byte-level
-    pre-tokenizer always breaks there, and looks at nothing before it, so that chunks can be encoded apart. Texts where
-    white space precedes a space are encoded whole.
+    A line feed or space between two characters that aren't white space always ends what comes before: a byte-level
+    pre-tokenizer puts the line feed by itself, the space with what follows, and looks at nothing before. Lines are taken apart there,
+    and words of a line; a word of letters with a final full stop or comma is two chunks. Unseen words go to the library many at
+    a time, as one text, and come apart where a token starts with a space. Texts with white space of any other
+    kind, or with the text of a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,34 +51,88 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        space = "\u0120"  # a space, in a byte-level vocabulary
+        for token, k in vocab.items():
+            self.opens[k] = token.startswith(space)
+        feed = "\u010a"  # a line feed
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.plain = feed in vocab
+        self.feed = int(vocab.get(feed, 0)).to_bytes(4, "little")
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {"": b""}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        import re
+    def odd(self, text: str, lines: list[list[str]]) -> bool:
+        """Whether white space stands together, at an end, or is of another kind, or there is a special token's text."""
+        return sum(map(len, lines)) != len(text.split()) or any("" in x for x in lines) or any(x in text for x in self.special)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (none empty, no white space) with a space before it."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 2000):
+            ids = np.array(self.tokenizer.encode(" " + " ".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        return out
 
-        if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        odd = re.compile(r"\s ").search
+    def learn(self, words: set[str]) -> None:
+        """Brings words into self.new."""
+        new, old = self.new, self.old
+        need, ended = [], []
+        for w in words:
+            if w not in new:
+                if (known := old.get(w)) is not None:
+                    new[w] = known
+                elif w[-1] in ".," and (stem := w[:-1]).isalpha() and max(stem) < "\u0250":
+                    ended.append(w)
+                else:
+                    need.append(w)
+        if ended:
+            asked = set(need)
+            need += [x for x in {w[:-1] for w in ended} if x not in new and x not in old and x not in asked]
+        new.update(zip(need, self.words(need), strict=True))
+        for w in ended:
+            stem = new.get(w[:-1]) or old[w[:-1]]
+            new[w] = stem + self.ends[w[-1]]
+
+    @property
+    def ends(self) -> dict[str, bytes]:
+        if not hasattr(self, "_ends"):
+            self._ends = dict(zip(".,", self.direct([".", ","]), strict=True))
+        return self._ends
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.new) > CACHE_CHUNKS:  # what wasn't seen since the last time goes
+            self.old, self.new = self.new, {}
+        if len(self.first) > CACHE_CHUNKS // 4:
+            self.first = {"": b""}
         out: list[bytes | None] = [None] * len(texts)
-        plain = {i: t.split(" ") for i, t in enumerate(texts) if not odd(t)}
-        whole = [i for i in range(len(texts)) if i not in plain]
+        split: dict[int, list[list[str]]] = {}
+        whole = []
+        for i, t in enumerate(texts):
+            lines = [line.split(" ") for line in t.split("\n")]
+            if self.plain and not self.odd(t, lines):
+                split[i] = lines
+            else:
+                whole.append(i)
         for i, e in zip(whole, self.direct([texts[i] for i in whole]), strict=True):
             out[i] = e
-        firsts = {p[0] for p in plain.values()}
-        rest: set[str] = set()
-        for p in plain.values():
-            rest.update(p[1:])
-        need = [x for x in {*firsts, *(" " + x for x in rest)} if x not in self.known]
-        for at in range(0, len(need), 20_000):
-            part = need[at : at + 20_000]
-            self.known.update(zip(part, self.direct(part), strict=True))
-        known = self.known
-        spaced = {x: known[" " + x] for x in rest}
-        for i, p in plain.items():
-            out[i] = known[p[0]] + b"".join([spaced[x] for x in p[1:]])
+        need: set[str] = set()
+        for lines in split.values():
+            for line in lines:
+                need.update(line[1:])
+        self.learn(need)
+        first, new, feed = self.first, self.new, self.feed
+        heads = [x for x in {line[0] for lines in split.values() for line in lines} if x not in first]
+        first.update(zip(heads, self.direct(heads), strict=True))
+        for i, lines in split.items():
+            out[i] = feed.join([first[x[0]] + b"".join([new[w] for w in x[1:]]) for x in lines])
         return out
 
 
@@ -92,8 +148,8 @@ def _encode_shards(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = None, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 coded = [x + end for x in encoder(path).encode(texts_of(batch.column("text")))]
                 counts = np.array([len(x) >> 2 for x in coded], dtype=np.int64)
                 shards = batch.column("shard").to_numpy()
