@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, html_text, langid, mixing, order_minhash, token_store
+from lectern.llm import bpe, html_text, langid, mixing, order_minhash, suffix_dedup, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_fingerprints": order_minhash.op3_fingerprints,
     "op4_html": html_text.op4_html,
     "op5_language": langid.op5_language,
