@@ -261,8 +261,8 @@ def _solve(search: Search, kind: str):
 
     def solved(parts: list[tuple]) -> pa.RecordBatch | None:
         code, doc, key, begin, raw = (np.concatenate(x) if i < 4 else sum(x, []) for i, x in enumerate(zip(*parts, strict=True)))
-        # a piece that came by both sides counts once in a shard
-        order = np.lexsort((begin, key, doc))
+        # a piece that came by both sides counts once in a shard; of pieces with the same start, the longest holds the others
+        order = np.lexsort((-np.array([len(x) for x in raw]), begin, key, doc))
         keep = order[np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]) | (begin[order][1:] != begin[order][:-1])))]
         doc, key, begin = doc[keep], key[keep], begin[keep].astype(np.int64)
         lengths = np.array([len(raw[i]) // item for i in keep.tolist()], dtype=np.int64)
