@@ -193,20 +193,20 @@ def model(path: str) -> WordBpe:
     return _MODELS[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ids (array of int) beside id and text."""
+def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, n_tokens and ids (array of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                coded = model(tokenizer).encode(texts_of(batch.column(1)))
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                coded = model(tokenizer).encode(texts_of(batch.column("__text")))
                 bounds = np.concatenate(([0], np.cumsum([len(x) >> 2 for x in coded])))
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], [id_col, text_col, "ids"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.diff(bounds), pa.int64()), ids], [*keep, "n_tokens", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{text_col}` string, ids array<int>")
+    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    return rows.mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long").add("ids", "array<int>"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

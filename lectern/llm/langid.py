@@ -167,3 +167,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id")))
     profiles = learn(docs.where(~F.col("held_out")).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def in_a_language(docs: DataFrame) -> DataFrame:
+    """docs without those that are in no language: null, or without a letter. Languages are learned from docs themselves."""
+    profiles = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    return identify(docs, profiles).where("lang_pred <> 'und'").select(*docs.columns)

@@ -97,6 +97,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     return rows.select(*kept, "size", "source_size", "target", "repeats", "part", (F.col("repeats") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, **options: object) -> DataFrame:
+    """The mix itself: each document as often as it is taken, a part of it as a text of its first words."""
+    rows = mix_sources(docs, **options).select(*docs.columns, "repeats", "part")
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})")), 1, F.col("part").cast("int")), " ")
+    copies = F.array_repeat(F.lit(False), F.col("repeats"))
+    every = rows.withColumn("cut", F.explode(F.when(F.col("part") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
+    every = every.withColumn("text", F.when(F.col("cut"), head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        every = every.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return every.select(*docs.columns)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "repeats", "part")
