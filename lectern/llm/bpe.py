@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lectern.llm.common import table, texts_of
 
@@ -206,7 +207,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.diff(bounds), pa.int64()), ids], [*keep, "n_tokens", "ids"])
 
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long").add("ids", "array<int>"))
+    return rows.mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -140,7 +140,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
     """docs with repeated bytes cut out of text (characters cut in two are dropped)."""
-    rows = with_spans(docs, search(mode, window), "<u1").select(*docs.columns, "spans")
+    columns = docs.columns
+    rows = with_spans(docs, search(mode, window), "<u1").select(*columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,6 +155,6 @@ def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFra
                         at = end
                     text = b"".join([*parts, raw[at:]]).decode("utf-8", "ignore")
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
     return rows.mapInArrow(run, docs.schema)
