@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, html_text, jaccard_join, langid, mixing, order_minhash, substring_dedup, suffix_dedup, token_store
+from lectern.llm import bpe, html_text, jaccard_join, langid, mixing, nn_descent, order_minhash, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_nearest": nn_descent.op9_nearest,
     "op10_mixing": mixing.op10_mixing,
 }
 
