@@ -10,8 +10,8 @@ A document is a sequence of symbols, and a window is ``window`` of them in a row
    task is a record a batch.
 2. Equal pieces. Where two pieces are equal all their windows repeat. Where an anchor has unequal pieces, the first of each
    kind is asked for.
-3. Unequal pieces. The asked pieces are cut out of the texts and dealt by an extended anchor (to the left, to the right: each
-   window holds one of the two), which separates passages that merely share a short phrase. Extended anchors that only
+3. Unequal pieces. The asked pieces are cut out of the texts and dealt by an extended anchor (to the left, or to the right: each
+   window goes with one of the two), which separates passages that merely share a short phrase. Extended anchors that only
    one piece has are dropped. The rest come by whole groups into shards, and a solver (a suffix array, an FM-index) tells which of their windows repeat.
 4. The spans found are gathered by document.
 
@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix, partitions, ranges, spans_hash, written
+from lectern.llm.common import mix, partitions, ranges, slices, spans_hash, written
 
 #: Symbols scanned at once, and held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
 SHARD = 1 << 19
+#: Rows whose texts are unpacked at once.
+ROWS = 1000
 FIELDS = (("anchor", "<u4"), ("piece", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("at", "<i4"), ("many", "<u1"))
 #: A text column to (a 64-bit hash of each symbol, bounds of the texts in symbols, the symbols as a solver gets them).
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -126,12 +128,13 @@ def _scan(search: Search, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for batch in batches:
-            docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-            symbols, bounds, _ = search.symbols(batch.column("text"))
             parts = []
-            for first, some, ends in scans(symbols, bounds):
-                at, doc, _, _, code, piece = anchors(some, ends, search)
-                parts.append((docs[doc + first], keys[doc + first], at - ends[doc], code, piece))
+            for part in slices([batch], ROWS):
+                docs, keys = part.column("doc").to_numpy(), part.column("key").to_numpy()
+                symbols, bounds, _ = search.symbols(part.column("text"))
+                for first, some, ends in scans(symbols, bounds):
+                    at, doc, _, _, code, piece = anchors(some, ends, search)
+                    parts.append((docs[doc + first], keys[doc + first], at - ends[doc], code, piece))
             if not parts:
                 continue
             doc, text, at, code, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -229,11 +232,11 @@ def _cut(search: Search):
     """Texts with the places of their asked anchors, to pieces with their extended anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, ROWS):
             docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
             symbols, bounds, plain = search.symbols(batch.column("text"))
             lists = batch.column("places")
-            counts = np.diff(lists.offsets.to_numpy())
+            counts = np.diff(lists.offsets.to_numpy())  # of the slice
             places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             upto = np.concatenate(([0], np.cumsum(counts)))
             for first, some, ends in scans(symbols, bounds):
@@ -245,13 +248,15 @@ def _cut(search: Search):
                 of = spans_hash(some)
                 begin = np.maximum(at + search.k - search.window, ends[doc])
                 end = np.minimum(at + search.window, ends[doc + 1])
-                for side, fits, a, b in ((1, at - begin >= search.half, at - search.half, at + search.k), (2, end - at - search.k >= search.half, at, at + search.k + search.half)):
-                    x = np.flatnonzero(fits)
+                left = at - search.half  # windows from here or before hold the anchor extended to the left, others the one to the right
+                sides = ((1, begin, np.minimum(left + search.window, end), left, at + search.k), (2, np.maximum(begin, left + 1), end, at, at + search.k + search.half))
+                for side, start, stop, a, b in sides:
+                    x = np.flatnonzero((stop - start >= search.window) & (start <= a) & (b <= stop))
                     code = mix(of(a[x], b[x]) + np.uint64(side)).view(np.int64)
-                    raw = [plain[p:q].tobytes() for p, q in zip((begin[x] + bounds[first]).tolist(), (end[x] + bounds[first]).tolist(), strict=True)]
+                    raw = [plain[p:q].tobytes() for p, q in zip((start[x] + bounds[first]).tolist(), (stop[x] + bounds[first]).tolist(), strict=True)]
                     for s in range(0, len(x), 20_000):
                         y = x[s : s + 20_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(code[s : s + 20_000]), pa.array(docs[first + doc[y]]), pa.array(keys[first + doc[y]]), pa.array((begin[y] - ends[doc[y]]).astype(np.int32)), pa.array(raw[s : s + 20_000], pa.binary())], ["code", "doc", "key", "begin", "piece"])
+                        yield pa.RecordBatch.from_arrays([pa.array(code[s : s + 20_000]), pa.array(docs[first + doc[y]]), pa.array(keys[first + doc[y]]), pa.array((start[y] - ends[doc[y]]).astype(np.int32)), pa.array(raw[s : s + 20_000], pa.binary())], ["code", "doc", "key", "begin", "piece"])
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import common
-from lectern.llm.common import byte_symbols, ranges, spans_hash, table, utf8
+from lectern.llm.common import byte_symbols, ranges, slices, spans_hash, table, utf8
 from lectern.llm.fm_index import FmIndex
 from lectern.llm.repeats import Search, covered, with_spans
 
@@ -105,7 +105,7 @@ def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFra
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    for batch in batches:
+    for batch in slices(batches):
         raw, bounds = utf8(batch.column("text"))
         start, end = split(raw, bounds)
         first = np.searchsorted(start, bounds)
