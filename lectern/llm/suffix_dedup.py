@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes covered by a long repeated string go.
 
-``repeats`` brings strings that may be equal into shards of whole groups. In a shard, suffixes are sorted by their first
-``window`` bytes (prefix doubling from 8 bytes on, leaving out suffixes as soon as no other starts like them). In suffix order,
-the previous and next smaller places give each suffix's longest previous factor: the longest match with an earlier place. A byte is
+``repeats`` brings strings that may be equal into shards of whole groups. In a shard, the suffixes that share their first ``window`` bytes with
+another (rolling hashes tell) are sorted. In suffix order, the previous and next smaller places give each suffix's longest previous
+factor: the longest match with an earlier place, of which only whether it reaches the window matters here. A byte is
 a later copy if it is covered by a place whose longest previous factor reaches the window; the first copy stays (mode
 `later`). Mode `all` also asks for the longest next factor and removes every copy.
 
@@ -20,87 +20,57 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import byte_symbols, table, utf8
+from lectern.llm.common import byte_symbols, ranges, slices, spans_hash, table, utf8
 from lectern.llm.repeats import Search, covered, with_spans
 
 WINDOW = 200
 K = 64
 
 
-def suffix_order(symbols: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts that share their first ``window`` symbols with another, in suffix order (equals by start), and the length, up to window,
-    that each shares with the one before it: window, or less (then 0)."""
-    n = len(symbols)
-    rank = np.zeros(n, dtype=np.int64)
-    width = min(8, window)
-    code = np.zeros(n - width + 1, dtype=np.uint64)
-    for i in range(width):
-        code = code << np.uint64(8) | symbols[i : n - width + 1 + i].astype(np.uint64)
-    live = np.arange(n - width + 1)  # places whose first symbols others share
-    out = np.ones(n, dtype=bool)
-    while len(code):
-        order = np.argsort(code, kind="stable")
-        sorted_code = code[order]
-        fresh = np.concatenate(([True], sorted_code[1:] != sorted_code[:-1]))
-        lone = fresh & np.concatenate((fresh[1:], [True]))
-        rank[live[order]] = np.cumsum(fresh)
-        out[:] = True
-        out[live[order[~lone]]] = False
-        live = np.sort(live[order[~lone]])
-        if width == window:
-            break
-        step = min(width, window - width)
-        live = live[live + step < n]
-        live = live[~out[live + step]]  # a place whose continuation is unique is unique
-        code = rank[live].astype(np.uint64) << np.uint64(32) | rank[live + step].astype(np.uint64)
-        width += step
-    wanted = np.zeros(n, dtype=bool)
-    wanted[starts] = True
-    live = live[wanted[live]]
-    order = live[np.argsort(rank[live], kind="stable")]
-    shared = np.concatenate(([0], np.where(rank[order[1:]] == rank[order[:-1]], window, 0))) if len(order) else np.zeros(0, np.int64)
-    return order, shared
-
-
-def longest_factors(places: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor of each suffix, in suffix order: its longest match with a smaller and with a greater place.
-
-    places: in suffix order; shared: the length that each shares with the one before it. One sweep with a stack finds the nearest
-    smaller place to either side (and by negated places the nearest greater one); the match with it is the least of
-    the lengths between. Equal places are one place and not a match of their own."""
-    out = []
-    for sign in (1, -1):
-        p = (places * sign).tolist()
-        common = shared.tolist()
-        best = [0] * len(p)
-        stack: list[tuple[int, int]] = []  # (index, least shared length since the stack's item below)
-        for i, x in enumerate(p):
-            least = common[i]
-            while stack and p[stack[-1][0]] >= x:
-                j, below = stack.pop()
-                if p[j] > x:
-                    best[j] = max(best[j], least)  # i is the next smaller place of j
-                least = min(least, below)
-            if stack:
-                best[i] = least  # the top is the previous smaller place of i
-            stack.append((i, least))
-        out.append(np.array(best, dtype=np.int64))
-    return out[0], out[1]
+def suffix_order(symbols: np.ndarray, starts: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts that share their first ``window`` symbols with another, in suffix order (equals by place), and where the ones that share them begin.
+
+    A suffix whose window no other has can't reach the threshold; rolling hashes leave these out before anything is sorted."""
+    code = spans_hash(byte_symbols(symbols))(starts, starts + window)
+    order = np.argsort(code)
+    code = code[order]
+    fresh = np.concatenate(([True], code[1:] != code[:-1]))
+    lone = fresh & np.concatenate((fresh[1:], [True]))
+    order, fresh = order[~lone], fresh[~lone]
+    if not len(order):
+        return order, order
+    group = np.cumsum(fresh) - 1
+    raw = symbols.tobytes()
+    heads = [raw[i : i + window] for i in starts[order[fresh]].tolist()]
+    rank = np.empty(len(heads), dtype=np.int64)
+    rank[sorted(range(len(heads)), key=heads.__getitem__)] = np.arange(len(heads))
+    order = starts[order]
+    by = np.lexsort((places[order], rank[group]))
+    rank = rank[group][by]
+    return order[by], np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+
+
+def longest_factors(places: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of each suffix, as far as they reach the window (else 0).
+
+    places: in suffix order, begin: where each run of suffixes with equal windows starts. In a run, ordered by place, the previous smaller
+    place of a suffix stands before it; outside of the run all matches are shorter. Equal places are one place and no match."""
+    sizes = np.diff(np.append(begin, len(places)))
+    least = np.repeat(np.minimum.reduceat(places, begin), sizes)
+    greatest = np.repeat(np.maximum.reduceat(places, begin), sizes)
+    return np.where(places > least, window, 0), np.where(places < greatest, window, 0)
 
 
 def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int, mode: str) -> np.ndarray:
     """Flags of the symbols at which a repeated window starts."""
     flags = np.zeros(len(symbols), dtype=bool)
-    whole = np.ones(len(symbols), dtype=bool)
-    for i in range(len(bounds) - 1):
-        whole[max(bounds[i], bounds[i + 1] - window + 1) : bounds[i + 1]] = False
-    starts = np.flatnonzero(whole)
+    starts = ranges(bounds[:-1], np.maximum(np.diff(bounds) - window + 1, 0))
     if len(starts) < 2:
         return flags
-    order, shared = suffix_order(symbols, starts, window)
+    order, begin = suffix_order(symbols, starts, places, window)
     if not len(order):
         return flags
-    previous, after = longest_factors(places[order], shared)
+    previous, after = longest_factors(places[order], begin, window)
     flags[order[previous >= window]] = True
     if mode == "all":
         flags[order[after >= window]] = True
@@ -122,7 +92,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc_id, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")], strict=True):
             raw = (text or "").encode()
@@ -135,7 +105,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.update(raw[at:])
             out.append((doc_id, len(raw), sum(e - b for b, e in gone), len(gone), kept.hexdigest()))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names) if out else pa.RecordBatch.from_pylist([], pa.schema([(n, pa.string() if i == 4 else pa.int64()) for i, n in enumerate(names)]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
 
 
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
@@ -144,7 +114,7 @@ def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFra
     rows = with_spans(docs, search(mode, window), "<u1").select(*columns, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if text and spans:
