@@ -20,26 +20,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import new_path, partitions, range_bucket, table, texts_of
+from lectern.llm.common import byte_symbols, lean, new_path, partitions, range_bucket, ranges, slices, spans_hash, table, utf8
 
 #: Rows of a file are (shard, doc_id, n_tokens, shard_start, tokens).
 SCHEMA = "shard int, doc_id long, n_tokens long, shard_start long, tokens array<int>"
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-#: A worker remembers at least so many chunks between batches, and at most about twice as many.
-CACHE_CHUNKS = 300_000
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-class ChunkEncoder:
-    """Encodes texts with the tokenizers library, each distinct chunk once.
+#: A worker remembers pieces in so many slots (2 to this power, 13 bytes each) and their ids; when half are taken the memory is emptied.
+SLOT_BITS = 22
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+_BYTE = np.arange(256)
+_LETTER = ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122))
+_SIGN = (_BYTE < 128) & ~_LETTER & (_BYTE != 32) & (_BYTE != 10)
+
+
+class Memory:
+    """Pieces by 64-bit hash, checked by a second one, to their token ids: open addressing, all lookups of a batch at once."""
+
+    def __init__(self) -> None:
+        self.slots = np.zeros(1 << SLOT_BITS, np.uint64)  # 0: free
+        self.entry = np.zeros(1 << SLOT_BITS, np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots[:] = 0
+        self.count, self.used = 0, 0
+        self.checks = np.zeros(1 << 16, np.uint64)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids = np.zeros(1 << 18, np.int32)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Index of each piece, -1 if it isn't here."""
+        keys = np.maximum(keys, np.uint64(1))
+        out = np.full(len(keys), -1, dtype=np.int64)
+        at = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            there = self.slots[at]
+            hit = there == keys[live]
+            out[live[hit]] = self.entry[at[hit]]
+            go = ~hit & (there != 0)
+            live, at = live[go], at[go] + 1 & (1 << SLOT_BITS) - 1
+        seen = np.flatnonzero(out >= 0)
+        out[seen[self.checks[out[seen]] != checks[seen]]] = -1
+        return out
 
-    A line feed or space between two characters that aren't white space always ends what comes before: a byte-level
-    pre-tokenizer puts the line feed by itself, the space with what follows, and looks at nothing before. Lines are taken apart there,
-    and words of a line; a word of letters with a final full stop or comma is two chunks. Unseen words go to the library many at
-    a time, as one text, and come apart where a token starts with a space. Texts with white space of any other
-    kind, or with the text of a special token, are encoded whole.
+    def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct pieces that aren't here."""
+        n = self.count + len(keys)
+        while n > len(self.checks):
+            self.checks, self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.checks, self.starts, self.sizes))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.checks[self.count : n], self.sizes[self.count : n] = checks, sizes
+        self.starts[self.count : n] = np.cumsum(sizes) - sizes + self.used
+        self.ids[self.used : self.used + len(ids)] = ids
+        keys = np.maximum(keys, np.uint64(1))
+        at = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        live = np.arange(len(keys))
+        while len(live):
+            free = np.flatnonzero(self.slots[at] == 0)
+            _, first = np.unique(at[free], return_index=True)
+            now = free[first]
+            self.slots[at[now]], self.entry[at[now]] = keys[live[now]], self.count + live[now]
+            stay = np.ones(len(live), dtype=bool)
+            stay[now] = False
+            live, at = live[stay], at[stay] + 1 & (1 << SLOT_BITS) - 1
+        self.count, self.used = n, self.used + len(ids)
+
+
+class PieceEncoder:
+    """Encodes texts with the tokenizers library, each distinct piece once.
+
+    A byte-level pre-tokenizer looks at nothing before a piece, and always ends one before a space or line feed that stands
+    between characters that aren't white space, and between an ASCII letter and an ASCII character that is none. Texts are cut there; a space goes
+    with what follows, a line feed too, whose token comes first. Unseen pieces with a space go to the library
+    many at a time, as one text, and come apart where a token starts with a space. Texts with other white space, or with
+    what might be a special token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,114 +112,124 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        space = "\u0120"  # a space, in a byte-level vocabulary
         for token, k in vocab.items():
-            self.opens[k] = token.startswith(space)
-        feed = "\u010a"  # a line feed
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.plain = feed in vocab
-        self.feed = int(vocab.get(feed, 0)).to_bytes(4, "little")
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {"": b""}
-
-    def direct(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def odd(self, text: str, lines: list[list[str]]) -> bool:
-        """Whether white space stands together, at an end, or is of another kind, or there is a special token's text."""
-        return sum(map(len, lines)) != len(text.split()) or any("" in x for x in lines) or any(x in text for x in self.special)
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word (none empty, no white space) with a space before it."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 2000):
-            ids = np.array(self.tokenizer.encode(" " + " ".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype="<u4")
-            cuts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Brings words into self.new."""
-        new, old = self.new, self.old
-        need, ended = [], []
-        for w in words:
-            if w not in new:
-                if (known := old.get(w)) is not None:
-                    new[w] = known
-                elif w[-1] in ".," and (stem := w[:-1]).isalpha() and max(stem) < "\u0250":
-                    ended.append(w)
-                else:
-                    need.append(w)
-        if ended:
-            asked = set(need)
-            need += [x for x in {w[:-1] for w in ended} if x not in new and x not in old and x not in asked]
-        new.update(zip(need, self.words(need), strict=True))
-        for w in ended:
-            stem = new.get(w[:-1]) or old[w[:-1]]
-            new[w] = stem + self.ends[w[-1]]
-
-    @property
-    def ends(self) -> dict[str, bytes]:
-        if not hasattr(self, "_ends"):
-            self._ends = dict(zip(".,", self.direct([".", ","]), strict=True))
-        return self._ends
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.new) > CACHE_CHUNKS:  # what wasn't seen since the last time goes
-            self.old, self.new = self.new, {}
-        if len(self.first) > CACHE_CHUNKS // 4:
-            self.first = {"": b""}
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[list[str]]] = {}
-        whole = []
-        for i, t in enumerate(texts):
-            lines = [line.split(" ") for line in t.split("\n")]
-            if self.plain and not self.odd(t, lines):
-                split[i] = lines
-            else:
-                whole.append(i)
-        for i, e in zip(whole, self.direct([texts[i] for i in whole]), strict=True):
-            out[i] = e
-        need: set[str] = set()
-        for lines in split.values():
-            for line in lines:
-                need.update(line[1:])
-        self.learn(need)
-        first, new, feed = self.first, self.new, self.feed
-        heads = [x for x in {line[0] for lines in split.values() for line in lines} if x not in first]
-        first.update(zip(heads, self.direct(heads), strict=True))
-        for i, lines in split.items():
-            out[i] = feed.join([first[x[0]] + b"".join([new[w] for w in x[1:]]) for x in lines])
-        return out
+            self.opens[k] = token.startswith("\u0120")  # a space, in a byte-level vocabulary
+        self.feed = vocab.get("\u010a")  # a line feed
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memory = Memory()
 
+    def direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-def encoder(path: str) -> ChunkEncoder:
+    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (none empty, no white space) with a space before each: how many of each, and all."""
+        sizes, every = [], []
+        for at in range(0, len(words), 2000):
+            ids = np.array(self.tokenizer.encode(" " + " ".join(words[at : at + 2000]), add_special_tokens=False).ids, dtype=np.int32)
+            every.append(ids)
+            sizes.append(np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        return np.concatenate(sizes), np.concatenate(every)
+
+    def odd(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts must be encoded whole."""
+        gap = (raw == 32) | (raw == 10)
+        bad = ((raw >= 9) & (raw <= 13)) & (raw != 10)
+        bad[1:] |= gap[1:] & gap[:-1]
+        first, last = bounds[:-1][bounds[1:] > bounds[:-1]], bounds[1:][bounds[1:] > bounds[:-1]] - 1
+        bad[first] |= gap[first]
+        bad[last] |= gap[last]
+        high = np.flatnonzero(raw >= 0xC2)
+        high = high[high + 1 < len(raw)]
+        one, two = raw[high], raw[high + 1]
+        three = raw[np.minimum(high + 2, len(raw) - 1)]
+        space = (one == 0xC2) & ((two == 0x85) | (two == 0xA0)) | (one == 0xE1) & (two == 0x9A) & (three == 0x80) | (one == 0xE2) & (two == 0x81) & (three == 0x9F) | (one == 0xE3) & (two == 0x80) & (three == 0x80)
+        space |= (one == 0xE2) & (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
+        bad[high[space]] = True
+        for text in self.special:
+            head = np.flatnonzero(raw == text[0])
+            if len(head) and len(text) > 1:
+                head = head[(head + 1 < len(raw))]
+                head = head[raw[head + 1] == text[1]]
+            bad[head] = True
+        return np.add.reduceat(np.append(bad, False).astype(np.int64), bounds[:-1])[: len(bounds) - 1] * (bounds[1:] > bounds[:-1]) > 0
+
+    def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 texts end to end to how many ids each has, and all ids."""
+        n = len(bounds) - 1
+        odd = self.odd(raw, bounds) if len(raw) else np.zeros(n, dtype=bool)
+        odd |= self.feed is None
+        whole = np.flatnonzero(odd)
+        blob = raw.tobytes()
+        direct = dict(zip(whole.tolist(), self.direct([blob[bounds[i] : bounds[i + 1]].decode() for i in whole.tolist()]), strict=True))
+        # pieces: from each text's start, each space, line feed, and each sign after a letter
+        gap = (raw == 32) | (raw == 10)
+        cut = gap.copy()
+        cut[1:] |= _SIGN[raw[1:]] & _LETTER[raw[:-1]]
+        cut[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+        at = np.flatnonzero(cut)
+        doc = np.searchsorted(bounds, at, side="right") - 1
+        ends = np.append(at[1:], len(raw))
+        keep = ~odd[doc]
+        at, doc, ends = at[keep], doc[keep], ends[keep]
+        keys = spans_hash(byte_symbols(raw))(at, ends)
+        checks = spans_hash(byte_symbols(raw ^ 0x5A) ^ np.uint64(0x123456789ABCDEF))(at, ends)
+        if self.memory.count > 1 << (SLOT_BITS - 1):
+            self.memory.clear()
+        found = self.memory.find(keys, checks)
+        unseen = np.flatnonzero(found < 0)
+        if len(unseen):
+            _, first = np.unique(keys[unseen], return_index=True)
+            new = unseen[first]
+            self.learn(blob, at[new], ends[new], keys[new], checks[new])
+            found[unseen] = self.memory.find(keys[unseen], checks[unseen])
+            if (found < 0).any():
+                raise ValueError("two pieces have the same hash")
+        sizes = self.memory.sizes[found].astype(np.int64)
+        ids = self.memory.ids[ranges(self.memory.starts[found], sizes)]
+        counts = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
+        if direct:
+            cuts = np.concatenate(([0], np.cumsum(counts)))
+            ids = np.concatenate([x for i in range(n) for x in ([direct[i]] if i in direct else [ids[cuts[i] : cuts[i + 1]]])])
+            counts[whole] = [len(direct[i]) for i in whole.tolist()]
+        return counts, ids
+
+    def learn(self, blob: bytes, at: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        pieces = [blob[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+        kinds = np.array([p[0] for p in pieces])
+        spaced, others = np.flatnonzero(kinds == 32), np.flatnonzero(kinds != 32)
+        if len(spaced):
+            sizes, ids = self.spaced([pieces[i][1:].decode() for i in spaced.tolist()])
+            self.memory.add(keys[spaced], checks[spaced], sizes, ids)
+        if len(others):
+            feed = np.array([self.feed], dtype=np.int32)
+            coded = self.direct([(pieces[i][1:] if pieces[i][0] == 10 else pieces[i]).decode() for i in others.tolist()])
+            coded = [np.concatenate((feed, c)) if pieces[i][0] == 10 else c for i, c in zip(others.tolist(), coded, strict=True)]
+            self.memory.add(keys[others], checks[others], np.array([len(c) for c in coded]), np.concatenate(coded))
+
+
+def encoder(path: str) -> PieceEncoder:
     if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
 def _encode_shards(path: str, end_id: int | None):
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = None, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                coded = [x + end for x in encoder(path).encode(texts_of(batch.column("text")))]
-                counts = np.array([len(x) >> 2 for x in coded], dtype=np.int64)
-                shards = batch.column("shard").to_numpy()
-                before = np.zeros(len(counts), dtype=np.int64)
-                for i, (s, k) in enumerate(zip(shards.tolist(), counts.tolist(), strict=True)):
-                    if s != shard:
-                        shard, start = s, 0
-                    before[i] = start
-                    start += k
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(counts), pa.array(before), tokens], ["shard", "doc_id", "n_tokens", "shard_start", "tokens"])
+        for batch in slices(batches, 1000):
+            counts, ids = encoder(path).encode(*utf8(batch.column("text")))
+            if end_id is not None:
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                counts = counts + 1
+            shards = batch.column("shard").to_numpy()
+            before = np.zeros(len(counts), dtype=np.int64)
+            for i, (s, k) in enumerate(zip(shards.tolist(), counts.tolist(), strict=True)):
+                if s != shard:
+                    shard, start = s, 0
+                before[i] = start
+                start += k
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(counts), pa.array(before), tokens], ["shard", "doc_id", "n_tokens", "shard_start", "tokens"])
 
     return run
 
@@ -172,7 +241,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("shard", range_bucket(rows.select("doc_id"), "doc_id", n))
     ordered = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
-    writer = ordered.mapInArrow(_encode_shards(tokenizer, end_id), SCHEMA).write
+    writer = ordered.mapInArrow(lean(_encode_shards(tokenizer, end_id)), SCHEMA).write
     options = {
         "compression": "zstd",
         "parquet.writer.version": "v2",
