@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix, partitions, table, written
+from lectern.llm.common import mix, partitions, range_bucket, table, written
 
 LIST = 32
 FAN = 48
@@ -215,13 +215,13 @@ def _by_node(df: DataFrame) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), "node").sortWithinPartitions("node")
 
 
-def build(coded: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(node, code, side0, ...) to the graph (node, code, entries)."""
-    n = partitions(coded.sparkSession)
+def build(coded: DataFrame, scale: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
+    """(node, code, side0, ...) to the graph (node, code, entries). scale: the length of the vectors."""
+    n = max(1, min(partitions(coded.sparkSession), coded.count() // BLOCK))  # no task with less than a block
     state = coded.select("node", "code", F.lit(None).cast("binary").alias("entries"))
     for t in range(PROJECTIONS):
-        side = f"side{t}"
-        blocks = coded.select("node", "code", side).repartitionByRange(n, side).sortWithinPartitions(side, "node")
+        sides = coded.select("node", "code", F.col(f"side{t}").alias("side"), (F.col(f"side{t}") * 1e9 / F.lit(scale)).cast("long").alias("place"))
+        blocks = sides.repartitionById(n, range_bucket(sides, "place", n)).sortWithinPartitions("side", "node")
         state = state.unionByName(blocks.select("node", "code").mapInArrow(_blocks, STATE))
     graph = written(_by_node(state).mapInArrow(_merge, STATE), "graph")
     for turn in range(rounds):
@@ -352,7 +352,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     nodes = written(some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("node"), "ids", "v"), "nodes")
     dims, longest = nodes.agg(F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     coded = written(nodes.select("node", "v").mapInArrow(_coded(dims or 0, longest or 0.0), "node long, code binary, " + ", ".join(f"side{t} double" for t in range(PROJECTIONS))), "codes")
-    graph = build(coded)
+    graph = build(coded, longest or 1.0)
     asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     asked = asked.join(nodes.select("v", "node"), "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
     beams = search(graph, asked.select(F.col("query_node").alias("node")).distinct())
