@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,19 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a worker, which goes on to other tasks, gives back the memory that it no longer uses."""
+
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return lean_run
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

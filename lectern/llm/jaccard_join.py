@@ -14,7 +14,7 @@ The result has a row a document: class_id (least doc_id of the documents that li
 the same set), n_links (other documents at or above the threshold, copies included).
 
 Words are runs of anything but space and U+0009 to U+000D. A text of fewer words than n is one n-gram of all its words. One without
-words (or null) has no links and is its own class. Rows that share a doc_id are one document. A document whose doc_id is null
+words (or null) has no links and is its own class. Rows that share a doc_id are one document; if their texts differ, each counts. A document whose doc_id is null
 gets a stand-in of 2**62 or more by its text, which names a class only if no member has an id. An empty table gives no rows.
 """
 
@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_symbols, groups, mix, partitions, spans_hash, table, utf8, written
+from lectern.llm.common import byte_symbols, groups, lean, mix, partitions, slices, spans_hash, table, utf8, written
 from lectern.llm.components import components
 from lectern.llm.substring_dedup import split
 
@@ -38,7 +39,7 @@ DEEPEST = 8
 RECALL = 0.9999
 #: A block holds about so many n-grams, and so many classes, at most.
 BLOCK_GRAMS = 1 << 20
-BLOCK_CLASSES = 1500
+BLOCK_CLASSES = 1200
 #: Documents without an id get stand-ins from here on, by a hash of their text, beyond all ids in use.
 STAND_INS = 1 << 62
 
@@ -95,7 +96,7 @@ def _signed(trees: int, d: int, n: int):
         return out.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             sets = gram_sets(batch.column("text"), n)
             there = [i for i, s in enumerate(sets) if len(s)]
             some = [sets[i] for i in there]
@@ -118,12 +119,12 @@ def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.nd
     flat, owner = flat[order], owner[order]
     begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
     count = np.diff(np.append(begin, len(flat)))
-    common = np.zeros((m, m), dtype=np.float64)
+    common = np.zeros((m, m), dtype=np.float32)  # exact up to 2**24
     for c in np.unique(count[(count > 1) & (count <= 8)]).tolist():  # rare n-grams: pair by pair
         some = begin[count == c]
         for i in range(c):
             for j in range(i + 1, c):
-                common += np.bincount(owner[some + i] * m + owner[some + j], minlength=m * m).reshape(m, m)
+                np.add.at(common, (owner[some + i], owner[some + j]), np.float32(1))
     common += common.T
     often = np.flatnonzero(count > 8)  # frequent ones: matrix products
     for at in range(0, len(often), 2048):
@@ -131,7 +132,9 @@ def linked(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.nd
         for column, g in enumerate(often[at : at + 2048].tolist()):
             x[owner[begin[g] : begin[g] + count[g]], column] = 1
         common += x @ x.T
-    alike = common / (sizes[:, None] + sizes[None, :] - common) >= threshold
+    alike = np.empty((m, m), dtype=bool)
+    for i in range(m):
+        alike[i] = common[i] / (sizes[i] + sizes - common[i]) >= threshold
     np.fill_diagonal(alike, False)
     if len(np.unique(block)) > 1:
         alike &= block[:, None] != block[None, :]
@@ -144,15 +147,18 @@ def _verified(threshold: float, n: int):
         held = 0
         for group in groups(batches, "task"):
             group = group.combine_chunks()
+            if group.num_rows > 1:  # a repeated row stands next to the other
+                doc, text = (group.column(c).chunk(0) for c in ("doc", "text"))
+                fresh = pc.or_(pc.not_equal(doc[1:], doc[:-1]), pc.not_equal(text[1:], text[:-1]))
+                group = group.filter(pa.concat_arrays([pa.array([True]), fresh])).combine_chunks()
             node = group.column("doc").to_numpy()
-            text = group.column("text").combine_chunks()
-            if isinstance(text, pa.ChunkedArray):
-                text = text.chunk(0)
-            alike = linked(gram_sets(text, n), group.column("block").to_numpy(), threshold)
+            alike = linked(gram_sets(group.column("text").chunk(0), n), group.column("block").to_numpy(), threshold)
             links = alike @ group.column("copies").to_numpy()
             root = node.copy()
             while True:  # the least node that links lead to
-                least = np.minimum(root, np.where(alike, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+                least = root.copy()
+                for i in np.flatnonzero(links):
+                    least[i] = min(least[i], root[alike[i]].min())
                 if (least == root).all():
                     break
                 root = least
@@ -171,7 +177,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tree
     """doc_id, class_id, copy_id and n_links of each document; docs has doc_id and text."""
     spark = docs.sparkSession
     texts = docs.select(doc_key().alias("doc"), "text")
-    signed = texts.mapInArrow(_signed(trees, depth(threshold, trees, recall=recall), n), "doc long, one long, two long, grams long, labels array<long>")
+    signed = texts.mapInArrow(lean(_signed(trees, depth(threshold, trees, recall=recall), n)), "doc long, one long, two long, grams long, labels array<long>")
     signed = written(signed, "signatures")
     same = ["one", "two", "grams"]
     classes = signed.groupBy(*same).agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.any_value("labels").alias("labels"))
@@ -188,7 +194,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tree
     task = F.xxhash64("root", F.least("block", "mate"), F.greatest("block", "mate"))
     spread = spread.select(task.alias("task"), "doc", "text", "copies", "block", "blocks")
     checked = spread.repartition(partitions(spark), "task").sortWithinPartitions("task", "doc", "text")
-    checked = written(checked.mapInArrow(_verified(threshold, n), "node long, links long, root long, parted boolean"), "links")
+    checked = written(checked.mapInArrow(lean(_verified(threshold, n)), "node long, links long, root long, parted boolean"), "links")
     edges = checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"), "parted")
     parted = edges.where("parted")
     roots = edges.where("not parted").select(F.col("a").alias("node"), F.col("b").alias("root"))

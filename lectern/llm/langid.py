@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix, table, texts_of
+from lectern.llm.common import lean, mix, slices, table
 
 LENGTHS = (1, 2, 3)
 PROFILE = 1000
@@ -101,7 +101,7 @@ def learn(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, profile: int = PR
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(text))
@@ -116,7 +116,7 @@ def learn(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, profile: int = PR
                 part = values[at : at + 50_000].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[at : at + 50_000])], ["lang", "gram", "n"])
 
-    sums = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile).select("lang", "gram", "rank").collect()
     out: dict[str, list[tuple[int, int]]] = {}
@@ -148,19 +148,19 @@ class Profiles:
         return self.langs[k], 1.0 - float(total[k]) / (self.length * len(codes))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """docs with lang_pred and score; docs has a text column."""
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and score of each text, in columns of these names (which are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))  # bounded: PROFILE n-grams a language
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
-        for batch in batches:
+        for batch in slices(batches):
             found = [predict(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, *names])
 
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*kept).mapInArrow(run, schema)
+    schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
+    return docs.select(*kept).mapInArrow(lean(run), schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +172,4 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def in_a_language(docs: DataFrame) -> DataFrame:
     """docs without those that are in no language: null, or without a letter. Languages are learned from docs themselves."""
     profiles = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return identify(docs, profiles).where("lang_pred <> 'und'").select(*docs.columns)
+    return identify(docs, profiles, ("__lang", "__score")).where("__lang <> 'und'").select(*docs.columns)

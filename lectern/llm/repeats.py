@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix, partitions, ranges, slices, spans_hash, written
+from lectern.llm.common import lean, mix, partitions, ranges, slices, spans_hash, written
 
 #: Symbols scanned at once, and held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
 SHARD = 1 << 19
 #: Rows whose texts are unpacked at once.
 ROWS = 1000
+#: Rows whose equal pieces are settled together.
+SETTLED_ROWS = 4000
 FIELDS = (("anchor", "<u4"), ("piece", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("at", "<i4"), ("many", "<u1"))
 #: A text column to (a 64-bit hash of each symbol, bounds of the texts in symbols, the symbols as a solver gets them).
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -127,7 +129,7 @@ def spans_batch(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.nd
 def _scan(search: Search, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
-        for batch in batches:
+        for batch in slices(batches, SETTLED_ROWS):
             parts = []
             for part in slices([batch], ROWS):
                 docs, keys = part.column("doc").to_numpy(), part.column("key").to_numpy()
@@ -318,20 +320,20 @@ def find_repeats(docs: DataFrame, search: Search, kind: str) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     texts = keyed(docs)
-    found = texts.mapInArrow(_scan(search, n), "bucket int, records binary, spans binary").repartitionById(n, F.col("bucket")).mapInArrow(_match(search), SPANS)
+    found = texts.mapInArrow(lean(_scan(search, n)), "bucket int, records binary, spans binary").repartitionById(n, F.col("bucket")).mapInArrow(lean(_match(search)), SPANS)
     found = written(found, "repeats")
     asks = found.where("ask").groupBy("doc", "key").agg(F.collect_list("begin").alias("places"))
-    pieces = texts.join(asks, ["doc", "key"]).select("doc", "key", "text", "places").mapInArrow(_cut(search), "code long, doc long, key int, begin int, piece binary")
-    solved = pieces.repartition(n, "code").sortWithinPartitions("code").mapInArrow(_solve(search, kind), SPANS)
+    pieces = texts.join(asks, ["doc", "key"]).select("doc", "key", "text", "places").mapInArrow(lean(_cut(search)), "code long, doc long, key int, begin int, piece binary")
+    solved = pieces.repartition(n, "code").sortWithinPartitions("code").mapInArrow(lean(_solve(search, kind)), SPANS)
     every = found.where("not ask").unionByName(solved).select("doc", "key", F.struct("begin", "end").alias("span"))
     return every.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
 
 
 def with_spans(docs: DataFrame, search: Search, kind: str) -> DataFrame:
-    """docs with spans (null where there are none), doc and key."""
-    spans = find_repeats(docs.select("doc_id", "text"), search, kind)
-    rows = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "key": text_key()})
-    return rows.join(spans, ["doc", "key"], "left")
+    """docs with __spans (null where there are none)."""
+    spans = find_repeats(docs.select("doc_id", "text"), search, kind).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__key": text_key()})
+    return rows.join(spans, ["__doc", "__key"], "left").drop("__doc", "__key")
 
 
 def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
