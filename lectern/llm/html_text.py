@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import partitions, table
+from lectern.llm.common import partitions, slices, table
 
 #: Elements whose text is not shown or never main text; with a form's controls.
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select textarea option dialog iframe object svg canvas video audio map menu".split())
@@ -220,7 +220,7 @@ def beside_neighbours(pages: DataFrame, n: int) -> DataFrame:
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for batch in batches:
+        for batch in slices(batches):
             for page_id, url, text, where, ghost in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "range", "ghost")], strict=True):
                 yield page_id, url, where, ghost, *split_url(url), lines_of(text or "")
 

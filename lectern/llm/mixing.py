@@ -25,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 STEPS = 4096
+ADDED = ("size", "source_size", "target", "repeats", "part", "taken")
 #: The plan has a row a source; up to so many rows it is broadcast, beyond that it is joined by shuffling.
 MOST_BROADCAST = 100_000
 
@@ -88,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     plan = written(plan.select("key", "source_size", "target", "whole", "cut", "fine_cut", "fraction"), "mix-plan")
     names = {"key": "__key", "coarse": "__coarse", "fine": "__fine", "cut": "__cut", "fine_cut": "__fine_cut", "fraction": "__fraction", "whole": "__whole"}
     plan = few(plan.withColumnsRenamed(names))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "part", "taken")]
+    kept = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(*kept, *[c.alias(names.get(k, k)) for k, c in added.items()]).join(plan, "__key")
     more = (F.col("__coarse") < F.col("__cut")) | ((F.col("__coarse") == F.col("__cut")) & (F.col("__fine") < F.col("__fine_cut")))
     at_cut = (F.col("__coarse") == F.col("__cut")) & (F.col("__fine") == F.col("__fine_cut"))
@@ -99,14 +100,15 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each document as often as it is taken, a part of it as a text of its first words."""
-    rows = mix_sources(docs, **options).select(*docs.columns, "repeats", "part")
+    own = [c for c in docs.columns if c in ADDED]  # columns of docs that have names of ours keep their values
+    rows = mix_sources(docs.withColumnsRenamed({c: f"__{c}__" for c in own}), **options)
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})")), 1, F.col("part").cast("int")), " ")
     copies = F.array_repeat(F.lit(False), F.col("repeats"))
-    every = rows.withColumn("cut", F.explode(F.when(F.col("part") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
-    every = every.withColumn("text", F.when(F.col("cut"), head).otherwise(F.col("text")))
+    every = rows.withColumn("__cut", F.explode(F.when(F.col("part") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
+    every = every.withColumn("text", F.when(F.col("__cut"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        every = every.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return every.select(*docs.columns)
+        every = every.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return every.drop(*ADDED).withColumnsRenamed({f"__{c}__": c for c in own}).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix, partitions, range_bucket, table
+from lectern.llm.common import mix, partitions, range_bucket, slices, table
 
 K = 8
 FUNCTIONS = 32
@@ -118,7 +118,7 @@ def with_next(docs: DataFrame, n: int) -> DataFrame:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Each row with the text that follows it and the fingerprints of both."""
     held = None
-    for batch in batches:
+    for batch in slices(batches):
         for doc_id, text, ghost in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "ghost")], strict=True):
             text = text or ""
             if held is None and ghost:

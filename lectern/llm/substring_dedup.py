@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import common
 from lectern.llm.common import byte_symbols, ranges, slices, spans_hash, table, utf8
@@ -51,7 +52,7 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def split(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; no word crosses the bounds."""
     start, end = common.words(raw)
-    inner = bounds[1:-1]
+    inner = np.unique(bounds[1:-1])
     cross = inner[(np.searchsorted(start, inner, side="left") > np.searchsorted(end, inner, side="right"))]
     return (np.sort(np.concatenate((start, cross))), np.sort(np.concatenate((end, cross)))) if len(cross) else (start, end)
 
@@ -100,7 +101,7 @@ def search(mode: str = "later", window: int = WINDOW, k: int = K) -> Search:
 
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
     """doc_id, text and spans (in words) of each document."""
-    return with_spans(docs.select("doc_id", "text"), search(mode, window), "<u8").select("doc_id", "text", "spans")
+    return with_spans(docs.select("doc_id", "text"), search(mode, window), "<u8").select("doc_id", "text", F.col("__spans").alias("spans"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,13 +88,13 @@ def search(mode: str, window: int = WINDOW, k: int = K) -> Search:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), search("all"), "<u1")
-    return rows.select("doc_id", "text", "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         out = []
-        for doc_id, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")], strict=True):
+        for doc_id, text, spans in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "__spans")], strict=True):
             raw = (text or "").encode()
             gone = covered(spans, len(raw))
             kept = hashlib.sha256()
@@ -111,12 +111,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
     """docs with repeated bytes cut out of text (characters cut in two are dropped)."""
     columns = docs.columns
-    rows = with_spans(docs, search(mode, window), "<u1").select(*columns, "spans")
+    rows = with_spans(docs, search(mode, window), "<u1").select(*columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
                 if text and spans:
                     raw = text.encode()
                     parts, at = [], 0
