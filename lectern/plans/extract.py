@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.config import Config
@@ -25,24 +25,24 @@ CASCADE = ("hierarchical", "universal", "text")
 def by_method(lines: DataFrame, methods: Sequence[str] = CASCADE) -> DataFrame:
     """(source, page, line_no, method, cells) of each source, by its first method that gives a row; sources without any have none.
 
-    Each method runs on the sources that the ones before it left; the sources done are a small table to anti-join.
+    Methods are cheap next to reading, so each runs on all lines, and a window by source, by which the parsers' rows are dealt already, keeps the
+    first one's. Plans stay as long as the list of methods; a chain of anti-joins would repeat each method in all that come after it.
     """
     out = None
-    rest = lines
-    for method in methods:
+    for rank, method in enumerate(methods):
         if method in PRESETS:
-            rows = parse_census(rest, method)
+            rows = parse_census(lines, method)
             cells = F.array(*[F.col(f"`{c}`").cast("string") for c in rows.columns if c not in ("source", "line_no")])
             page = F.col("PAGE") if "PAGE" in rows.columns else F.lit(1)
             rows = rows.select("source", page.alias("page"), "line_no", cells.alias("cells"))
         elif method == "universal":
-            rows = universal_rows(longer_than(rest))
+            rows = universal_rows(longer_than(lines))
         else:
-            rows = rest.where("trim(line) <> ''").select("source", "page", "line_no", F.array("line").alias("cells"))
-        rows = rows.withColumn("method", F.lit(method))
+            rows = lines.where("trim(line) <> ''").select("source", "page", "line_no", F.array("line").alias("cells"))
+        rows = rows.withColumns({"method": F.lit(method), "_rank": F.lit(rank)})
         out = rows if out is None else out.unionByName(rows)
-        rest = rest.join(rows.select("source").distinct(), "source", "left_anti")
-    return out.select("source", "page", "line_no", "method", "cells")
+    first = F.min("_rank").over(Window.partitionBy("source"))
+    return out.withColumn("_first", first).where("_rank = _first").select("source", "page", "line_no", "method", "cells")
 
 
 def method_used(lines: DataFrame, methods: Sequence[str] = CASCADE) -> DataFrame:
