@@ -27,6 +27,11 @@ SEX = {"5-LOW": "ALL SEXES", "1-URGENT": "MALE", "2-HIGH": "FEMALE", "3-MEDIUM":
 MEASURES = ("TOTAL", "MUSLIM", "CHRISTIAN", "HINDU", "QADIANI/AHMADI", "SCHEDULED CASTES", "OTHERS")
 
 
+def _once(text: Column) -> Column:
+    """A text made once, as if it had been read: through a generator, else each predicate on it would make it again."""
+    return F.explode(F.array(text))
+
+
 def census_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of orders by nation, status and priority; the last two are often 0."""
     orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
@@ -58,7 +63,7 @@ def census_lines(spark: SparkSession, sf_dir: str, noise: tuple[str, str] = ("",
     page = (F.col("n_nationkey") + 1).cast("int") if page_by_nation else F.lit(1)
     at = 10 + F.col("n_nationkey") * 100
     numbers = F.translate(F.concat_ws(" ", *[number(F.col(f"m{i}"), style) for i in range(len(MEASURES))]), *noise)
-    data = rows.select("r_name", page.alias("page"), (at + section * 20 + sex + 5).cast("int").alias("line_no"), F.concat_ws(" ", _lookup("o_orderpriority", SEX), numbers).alias("line"))
+    data = rows.select("r_name", page.alias("page"), (at + section * 20 + sex + 5).cast("int").alias("line_no"), _once(F.concat_ws(" ", _lookup("o_orderpriority", SEX), numbers)).alias("line"))
     nations = rows.select("r_name", "n_nationkey", "n_name").distinct().select("r_name", page.alias("page"), at.cast("int").alias("line_no"), F.concat("n_name", F.lit(f" {region_word}")).alias("line"))
     sections = rows.select("r_name", "n_nationkey", "o_orderstatus").distinct().select("r_name", page.alias("page"), (at + section * 20 + 4).cast("int").alias("line_no"), _lookup("o_orderstatus", SECTION).alias("line"))
     head = [(0, "TABLE 9 - POPULATION BY SEX AND RELIGION"), (1, "AREA/ SEX TOTAL MUSLIM CHRISTIAN HINDU AHMADI CASTES OTHERS"), (2, "1 2 3 4 5 6 7 8")]
