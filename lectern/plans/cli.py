@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", help="the file to write")
     p.add_argument("-f", "--format", choices=EXPORT_FORMATS)
     p.add_argument("--data-format", choices=DATA_FORMATS)
+    p.add_argument("--skip-conversion", action="store_true", help="read images as they are listed; without --images, those in the settings' folder")
+    p.add_argument("--clean", action="store_true", help="remove fetched files when done")
     p.add_argument("-v", "--verbose", action="store_true")
     p.add_argument("-q", "--quiet", action="store_true")
     p.add_argument("--version", action="version", version="lectern 0.1")
@@ -68,8 +70,9 @@ def main(argv: Sequence[str] | None = None) -> int:
             urls = url_table(spark, d["base_url"], d["file_pattern"], *d["district_range"], d["data_type"])
             got = fetched(urls, timeout=d["timeout"], delay=d["delay_seconds"]).where("error IS NULL").persist()
             table = extract(lines_of(decoded(got.withColumnRenamed("url", "path"))), config)
-        elif args.images:
-            table = extract(lines_of(decoded(listed(spark, args.images, IMAGES, content=True), ("image",))), config)
+        elif args.images or args.skip_conversion:
+            images = args.images or [config.get("conversion", "output_dir")]
+            table = extract(lines_of(decoded(listed(spark, images, IMAGES, content=True), ("image",))), config)
         elif args.input:
             text = all(x.lower().endswith(".txt") for x in args.input)
             if text:
@@ -92,6 +95,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     except Exception as e:  # noqa: BLE001  the command line's last resort
         log.error("%s", e)
         return 1
+    finally:
+        if args.clean:
+            spark.catalog.clearCache()  # fetched files are only ever held there
 
 
 if __name__ == "__main__":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.config import Config
 from lectern.operators.analytics import statuses
 from lectern.operators.census import PRESETS, parse_census
-from lectern.operators.cleaning import sorted_by
+from lectern.operators.cleaning import cleaned, sorted_by
 from lectern.operators.lines import longer_than
 from lectern.operators.package import parse_lines, record_names
 from lectern.operators.schema import named
@@ -64,6 +64,12 @@ def extract_files(spark: SparkSession, paths: str | Sequence[str], config: Confi
     return extract(lines_of(rows), config), rows.where("error IS NOT NULL").select("source", "error")
 
 
+def extract_census(lines: DataFrame, preset: str = "r_complete", numeric: Sequence[str] | None = None) -> DataFrame:
+    """A census preset's table without repeats, in factor order, without rows that have no number."""
+    rows = parse_census(lines, preset)
+    return cleaned(rows.drop("source", "line_no"), numeric or PRESETS[preset].names)
+
+
 def batch(spark: SparkSession, paths: Sequence[str], output_dir: str, config: Config | None = None, methods: Sequence[str] = ("text", "ocr")) -> DataFrame:
     """A file of its own for each input, and (input, output, status); a failure is that input's status."""
     from lectern.sinks.files import export

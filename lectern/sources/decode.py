@@ -47,17 +47,36 @@ def rasterised(content: bytes, dpi: int = 300) -> list:
     return convert_from_bytes(content, dpi=dpi)
 
 
-def recognised(image, config: str = "--psm 6 --oem 1", factor: float = 1.2, wide: bool = False) -> list[list[str]]:
-    """Rows of an image by OCR, after grey scale and enlargement."""
+def page_images(content: bytes, dpi: int = 300, kind: str = "JPEG") -> list[bytes]:
+    """Each page of a PDF as an encoded image."""
+    out = []
+    for image in rasterised(content, dpi):
+        image.save(buffer := io.BytesIO(), kind)
+        out.append(buffer.getvalue())
+    return out
+
+
+#: Ways to enlarge; another name counts as cubic.
+INTERPOLATIONS = {"nearest": "NEAREST", "linear": "BILINEAR", "cubic": "BICUBIC", "area": "BOX", "lanczos4": "LANCZOS"}
+
+
+def prepared(image, grey: bool = True, factor: float = 1.2, interpolation: str = "cubic"):
+    """An image ready for OCR: in grey, enlarged unless the factor is 1."""
+    image = image.convert("L") if grey else image
+    if factor == 1.0:
+        return image
+    from PIL import Image
+
+    return image.resize((round(image.width * factor), round(image.height * factor)), getattr(Image.Resampling, INTERPOLATIONS.get(interpolation, "BICUBIC")))
+
+
+def recognised(image, config: str = "--psm 6 --oem 1", factor: float = 1.2, wide: bool = False, interpolation: str = "cubic", grey_scale: bool = True) -> list[list[str]]:
+    """Rows of an image by OCR, cells between wide gaps if asked for."""
     import re
 
     import pytesseract
 
-    grey = image.convert("L")
-    if factor != 1.0:
-        from PIL import Image
-
-        grey = grey.resize((round(grey.width * factor), round(grey.height * factor)), Image.Resampling.BICUBIC)
+    grey = prepared(image, grey_scale, factor, interpolation)
     lines = [x.strip() for x in pytesseract.image_to_string(grey, config=config).split("\n") if x.strip()]
     return [re.split(r"\s{2,}", x) if wide else [x] for x in lines]
 
@@ -106,6 +125,45 @@ def decoded(files: DataFrame, methods: Sequence[str] = ("text", "ocr"), decoders
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def confidences(files: DataFrame, scores: Callable[[bytes], list[float]] | None = None) -> DataFrame:
+    """(image_path, conf): the confidence of each word of an image, -1 for what isn't one; none for an image that can't be read."""
+
+    def by_ocr(content: bytes) -> list[float]:
+        import pytesseract
+        from PIL import Image
+
+        return [float(c) for c in pytesseract.image_to_data(Image.open(io.BytesIO(content)), output_type=pytesseract.Output.DICT)["conf"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    found = (scores or by_ocr)(content.as_py())
+                except Exception:  # noqa: BLE001  an image that can't be read has no words
+                    found = []
+                rows += [(path, float(c)) for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], ["image_path", "conf"])
+
+    return files.select("path", "content").mapInArrow(run, "image_path string, conf double")
+
+
+def pages_of(files: DataFrame, render: Callable[[bytes], list[bytes]] = page_images) -> DataFrame:
+    """(path, page, image, error): a row a page, pages from 0; one row with the error for a file that can't be rendered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), ("page", pa.int32()), ("image", pa.binary()), ("error", pa.string())])
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    rows = [{"path": path, "page": i, "image": x, "error": None} for i, x in enumerate(render(content.as_py()))]
+                except Exception as e:  # noqa: BLE001  a broken file is a row
+                    rows = [{"path": path, "page": None, "image": None, "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, "path string, page int, image binary, error string")
+
+
 def lines_of(rows: DataFrame) -> DataFrame:
     """Decoded rows as lines."""
     good = rows.where("error IS NULL")

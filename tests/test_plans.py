@@ -131,6 +131,30 @@ def test_batch_and_command_line(spark, tmp_path):
         cli.main(["--download", "-i", "x"])
 
 
+def test_parts(spark, tmp_path, capsys):
+    from lectern import api
+    from lectern.plans.extract import extract_census
+
+    c = Config(values={"export": {"format": "csv", "output_dir": str(tmp_path)}, "conversion": {"output_dir": str(tmp_path)}, "download": {"district_range": [1, 2]}})
+    assert api.Downloader(spark, c).urls().count() == 2
+    (tmp_path / "a.pdf").write_text(PAGE)
+    (tmp_path / "i.png").write_bytes(b"x")
+    local = api.Downloader(spark, c).local(str(tmp_path))
+    assert api.Converter(spark, c).images().count() == 1 and "Error" in api.Converter(spark, c).convert(local).first()["error"]
+    assert [(r["page"], r["image"]) for r in decode.pages_of(local, lambda x: [b"p", x[:1]]).orderBy("page").collect()] == [(0, b"p"), (1, b"L")]
+    assert api.Recogniser(spark, c).read(api.Converter(spark, c).images()).first()["error"] and api.Recogniser(spark, c).confidence(local).count() == 0
+    assert sorted(r["conf"] for r in decode.confidences(local, lambda x: [90, -1]).collect()) == [-1.0, 90.0]
+    with pytest.raises(ValueError):
+        api.Recogniser(spark, Config(values={"ocr": {"engine": "other"}}))
+    lines = lines_from_text(spark.createDataFrame([("s", PAGE)], "k string, text string"), "k")
+    table = api.Parser(spark, c).parse(lines)
+    assert api.Exporter(spark, c).export(table).endswith("extracted_data.csv") and len(api.Exporter(spark, c).export_all(table)) == 3
+    api.Exporter(spark, c).print_summary(table)
+    assert "rows: 1" in capsys.readouterr().out
+    census = extract_census(lines.unionByName(lines))
+    assert [(r["SEX"], r["TOTAL"], r["OTHERS"]) for r in census.collect()] == [("ALL", 1.0, 7.0)]
+
+
 def test_inbox(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
