@@ -13,19 +13,22 @@ A document is a sequence of symbols, and a window is ``window`` of them in a row
 3. Unequal pieces. The asked pieces are cut out of the texts and dealt by an extended anchor (to the left, or to the right: each
    window goes with one of the two), which separates passages that merely share a short phrase. Extended anchors that only
    one piece has are dropped. The rest come by whole groups into shards, and a solver (a suffix array, an FM-index) tells which of their windows repeat.
+   An anchor with more than ``HOT`` kinds of pieces would make a group without bound. Its windows are dealt out by the hash of each, equal ones of
+   a batch settled first as in step 1, so that no task gets more than its share.
 4. The spans found are gathered by document.
 
-Everything is exact but for 64-bit hashes standing for the pieces in step 2. Rows with equal id and text count as one document in
+Everything is exact but for 64-bit hashes standing for the pieces in step 2 and the windows of hot anchors. Rows with equal id and text count as one document in
 `later`, and as copies of one another in `all`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from lectern.llm.common import lean, mix, partitions, ranges, slices, spans_hash
 #: Symbols scanned at once, and held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
 SHARD = 1 << 19
+#: Pieces of an anchor beyond which it is hot: its windows are counted one by one.
+HOT = 1024
 #: Rows whose texts are unpacked at once.
 ROWS = 1000
 #: Rows whose equal pieces are settled together.
@@ -52,6 +57,7 @@ class Search:
     mode: str  # all | later
     symbols: Symbols
     solver: Solver
+    hot: int = HOT
 
     @property
     def half(self) -> int:
@@ -118,12 +124,60 @@ def merged(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray
     return doc[at], text[at], begin[at], np.maximum.reduceat(end, at)
 
 
-SPANS = "doc long, key int, begin int, `end` int, ask boolean"
+SPAN, ASK, HOT_ASK = range(3)
+SPANS = "doc long, key int, begin int, `end` int, kind int"
+
+
+def spans_batch(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int = SPAN) -> pa.RecordBatch:
+    arrays = [pa.array(doc, pa.int64()), pa.array(text, pa.int32()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(doc), kind, dtype=np.int32))]
+    return pa.RecordBatch.from_arrays(arrays, ["doc", "key", "begin", "end", "kind"])
+
+
+def pack(parts: list[tuple[np.ndarray, ...]], search: Search, buckets: int) -> tuple[list[int], list[bytes], bytes]:
+    """Records (document, text, place, hash, hash of the piece) of a batch: one of equal pieces packed for its bucket, the spans of the others."""
+    doc, text, at, code, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, text, doc, piece, code))
+    doc, text, at, code, piece = doc[order], text[order], at[order], code[order], piece[order]
+    fresh = np.concatenate(([True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])))
+    same = np.concatenate(([False], (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (at[1:] == at[:-1]))) & ~fresh
+    if search.mode == "all":
+        same[:] = False  # in `later` a repeated row is no second place
+    many = np.add.reduceat((~same).astype(np.int64), np.flatnonzero(fresh)) > 1
+    rest = ~fresh & ~same
+    spans = merged(doc[rest], text[rest], np.maximum(at[rest] + search.k - search.window, 0), at[rest] + search.window)
+    # to the buckets, each one's records in order of document
+    firsts = np.flatnonzero(fresh)
+    bucket = (code[firsts] >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((at[firsts], doc[firsts], bucket))
+    firsts, bucket, many = firsts[order], bucket[order], many[order]
+    record = {"anchor": (code[firsts] & np.uint64(0xFFFFFFFF)), "piece": piece[firsts], "doc": doc[firsts], "text": text[firsts], "at": at[firsts], "many": many}
+    record = {n: record[n].astype(t) for n, t in FIELDS}
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    there = np.flatnonzero(np.diff(cuts)).tolist()
+    packed = [b"".join(record[n][cuts[b] : cuts[b + 1]].tobytes() for n, _ in FIELDS) for b in there]
+    settled = b"".join([len(spans[0]).to_bytes(4, "little"), *(x.astype(t).tobytes() for x, t in zip(spans, ("<i8", "<i4", "<i4", "<i4"), strict=True))])
+    return there, packed, settled
+
+
+def unpack(records: list[tuple[int, bytes]]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(bucket, packed records) to each record's bucket and its fields."""
+    size = sum(np.dtype(t).itemsize for _, t in FIELDS)
+    held: dict[str, list[np.ndarray]] = {n: [] for n, _ in FIELDS}
+    for _, raw in records:
+        n, at = len(raw) // size, 0
+        for name, t in FIELDS:
+            held[name].append(np.frombuffer(raw, t, n, at))
+            at += n * np.dtype(t).itemsize
+    bucket = np.repeat([b for b, _ in records], [len(raw) // size for _, raw in records])
+    return bucket, {n: np.concatenate(x) for n, x in held.items()}
 
 
-def spans_batch(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, ask: bool) -> pa.RecordBatch:
-    arrays = [pa.array(doc, pa.int64()), pa.array(text, pa.int32()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(doc), ask))]
-    return pa.RecordBatch.from_arrays(arrays, ["doc", "key", "begin", "end", "ask"])
+def unsettled(raw: bytes) -> pa.RecordBatch | None:
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, []
+    for t in ("<i8", "<i4", "<i4", "<i4"):
+        out.append(np.frombuffer(raw, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return spans_batch(*out) if n else None
 
 
 def _scan(search: Search, buckets: int):
@@ -137,101 +191,71 @@ def _scan(search: Search, buckets: int):
                 for first, some, ends in scans(symbols, bounds):
                     at, doc, _, _, code, piece = anchors(some, ends, search)
                     parts.append((docs[doc + first], keys[doc + first], at - ends[doc], code, piece))
-            if not parts:
-                continue
-            doc, text, at, code, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(doc):
+            if not sum(len(p[0]) for p in parts):
                 continue
-            order = np.lexsort((at, text, doc, piece, code))
-            doc, text, at, code, piece = doc[order], text[order], at[order], code[order], piece[order]
-            fresh = np.concatenate(([True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])))
-            many = np.diff(np.append(np.flatnonzero(fresh), len(fresh))) > 1
-            if search.mode == "later":  # a repeated row is no second place
-                same = np.concatenate(([False], (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (at[1:] == at[:-1]))) & ~fresh
-            else:
-                same = np.zeros(len(fresh), dtype=bool)
-            rest = ~fresh & ~same
-            spans = merged(doc[rest], text[rest], np.maximum(at[rest] + search.k - search.window, 0), at[rest] + search.window)
-            # to the buckets, each one's records in order of document
-            firsts = np.flatnonzero(fresh)
-            bucket = (code[firsts] >> np.uint64(32)) % np.uint64(buckets)
-            order = np.lexsort((at[firsts], doc[firsts], bucket))
-            firsts, bucket, many = firsts[order], bucket[order], many[order]
-            record = {"anchor": (code[firsts] & np.uint64(0xFFFFFFFF)), "piece": piece[firsts], "doc": doc[firsts], "text": text[firsts], "at": at[firsts], "many": many}
-            record = {n: record[n].astype(t) for n, t in FIELDS}
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            there = np.flatnonzero(np.diff(cuts))
-            packed = [b"".join(record[n][cuts[b] : cuts[b + 1]].tobytes() for n, _ in FIELDS) for b in there.tolist()]
+            there, packed, settled = pack(parts, search, buckets)
             turn = (turn + 7) % buckets
-            settled = b"".join([len(spans[0]).to_bytes(4, "little"), *(x.astype(t).tobytes() for x, t in zip(spans, ("<i8", "<i4", "<i4", "<i4"), strict=True))])
-            yield pa.RecordBatch.from_arrays([pa.array([*there.tolist(), turn], pa.int32()), pa.array([*packed, None], pa.binary()), pa.array([None] * len(there) + [settled], pa.binary())], ["bucket", "records", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array([*there, turn], pa.int32()), pa.array([*packed, None], pa.binary()), pa.array([None] * len(there) + [settled], pa.binary())], ["bucket", "records", "spans"])
 
     return run
 
 
-def _match(search: Search):
-    size = sum(np.dtype(t).itemsize for _, t in FIELDS)
+def matched(search: Search, records: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Spans of equal pieces, and what has to be asked, from all records of some buckets."""
+    if not records:
+        return
+    bucket, r = unpack(records)
+    # only anchors that come twice matter
+    code = r["anchor"].astype(np.uint64) | bucket.astype(np.uint64) << np.uint64(32)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    twice = np.zeros(len(code), dtype=bool)
+    twice[1:] = code[1:] == code[:-1]
+    twice[:-1] |= twice[1:]
+    twice |= r["many"][order] > 0
+    order, code = order[twice], code[twice]
+    r = {n: x[order] for n, x in r.items()}
+    order = np.lexsort((r["at"], r["text"], r["doc"], r["piece"], code))
+    code = code[order]
+    r = {n: x[order] for n, x in r.items()}
+    if not len(code):
+        return
+    new_anchor = np.concatenate(([True], code[1:] != code[:-1]))
+    new_piece = new_anchor | np.concatenate(([True], r["piece"][1:] != r["piece"][:-1]))
+    if search.mode == "later":
+        same = ~new_piece & np.concatenate(([False], (r["doc"][1:] == r["doc"][:-1]) & (r["text"][1:] == r["text"][:-1]) & (r["at"][1:] == r["at"][:-1])))
+        full = ~new_piece & ~same
+    else:
+        group = np.cumsum(new_piece) - 1
+        full = (np.add.reduceat(1 + r["many"].astype(np.int64), np.flatnonzero(new_piece)) > 1)[group]
+    pieces = np.add.reduceat(new_piece.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
+    if search.k == search.window:
+        pieces[:] = 1  # a piece is a window: nothing is left to ask
+    for chosen, kind in ((full, SPAN), (new_piece & (pieces > 1) & (pieces <= search.hot), ASK), (new_piece & (pieces > max(1, search.hot)), HOT_ASK)):
+        x = np.flatnonzero(chosen)
+        for at in range(0, len(x), 50_000):
+            y = x[at : at + 50_000]
+            place = r["at"][y].astype(np.int64)
+            yield spans_batch(r["doc"][y], r["text"][y], np.maximum(place + search.k - search.window, 0) if kind == SPAN else place, place + search.window, kind)
 
+
+def _match(search: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {n: [] for n, _ in FIELDS}
-        buckets: list[np.ndarray] = []
+        held: list[tuple[int, bytes]] = []
         for batch in batches:
             for bucket, records, spans in zip(*[batch.column(c).to_pylist() for c in ("bucket", "records", "spans")], strict=True):
-                if spans:
-                    n, at, out = int.from_bytes(spans[:4], "little"), 4, []
-                    for t in ("<i8", "<i4", "<i4", "<i4"):
-                        out.append(np.frombuffer(spans, t, n, at))
-                        at += n * np.dtype(t).itemsize
-                    if n:
-                        yield spans_batch(*out, False)
+                if spans and (out := unsettled(spans)) is not None:
+                    yield out
                 if records:
-                    n, at = len(records) // size, 0
-                    for name, t in FIELDS:
-                        held[name].append(np.frombuffer(records, t, n, at))
-                        at += n * np.dtype(t).itemsize
-                    buckets.append(np.full(n, bucket, dtype=np.int32))
-        if not buckets:
-            return
-        r = {n: np.concatenate(held.pop(n)) for n, _ in FIELDS}
-        bucket = np.concatenate(buckets)
-        # only anchors that come twice matter
-        code = r["anchor"].astype(np.uint64) | bucket.astype(np.uint64) << np.uint64(32)
-        order = np.argsort(code, kind="stable")
-        code = code[order]
-        twice = np.zeros(len(code), dtype=bool)
-        twice[1:] = code[1:] == code[:-1]
-        twice[:-1] |= twice[1:]
-        twice |= r["many"][order] > 0
-        order, code = order[twice], code[twice]
-        r = {n: x[order] for n, x in r.items()}
-        order = np.lexsort((r["at"], r["text"], r["doc"], r["piece"], code))
-        code = code[order]
-        r = {n: x[order] for n, x in r.items()}
-        if not len(code):
-            return
-        new_anchor = np.concatenate(([True], code[1:] != code[:-1]))
-        new_piece = new_anchor | np.concatenate(([True], r["piece"][1:] != r["piece"][:-1]))
-        if search.mode == "later":
-            same = ~new_piece & np.concatenate(([False], (r["doc"][1:] == r["doc"][:-1]) & (r["text"][1:] == r["text"][:-1]) & (r["at"][1:] == r["at"][:-1])))
-            full = ~new_piece & ~same
-        else:
-            begin = np.flatnonzero(new_piece)
-            group = np.cumsum(new_piece) - 1
-            full = (np.add.reduceat(1 + r["many"].astype(np.int64), begin) > 1)[group]
-        pieces = np.add.reduceat(new_piece.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-        ask = new_piece & (pieces > 1)
-        for chosen, asks in ((full, False), (ask, True)):
-            x = np.flatnonzero(chosen)
-            for at in range(0, len(x), 50_000):
-                y = x[at : at + 50_000]
-                place = r["at"][y].astype(np.int64)
-                yield spans_batch(r["doc"][y], r["text"][y], place if asks else np.maximum(place + search.k - search.window, 0), place + search.window, asks)
+                    held.append((bucket, records))
+        yield from matched(search, held)
 
     return run
 
 
-def _cut(search: Search):
-    """Texts with the places of their asked anchors, to pieces with their extended anchors."""
+def _cut(search: Search, buckets: int):
+    """Texts with the places of their asked anchors, to pieces with their extended anchors; pieces of hot anchors window by window, packed."""
+    single = replace(search, k=search.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
@@ -241,15 +265,26 @@ def _cut(search: Search):
             counts = np.diff(lists.offsets.to_numpy())  # of the slice
             places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             upto = np.concatenate(([0], np.cumsum(counts)))
+            hot = []
             for first, some, ends in scans(symbols, bounds):
                 n = len(ends) - 1
                 doc = np.repeat(np.arange(n), counts[first : first + n])
-                at = places[upto[first] : upto[first + n]] + ends[doc]
+                at = places[upto[first] : upto[first + n]]
                 if not len(at):
                     continue
+                is_hot = at < 0  # as ~place
+                at = np.where(is_hot, ~at, at) + ends[doc]
                 of = spans_hash(some)
                 begin = np.maximum(at + search.k - search.window, ends[doc])
                 end = np.minimum(at + search.window, ends[doc + 1])
+                x = np.flatnonzero(is_hot)
+                start = np.unique(ranges(begin[x], end[x] - begin[x] - search.window + 1))
+                owner = np.searchsorted(ends, start, side="right") - 1
+                code = of(start, start + search.window)
+                hot.append((docs[first + owner], keys[first + owner], start - ends[owner], code, code))
+                doc, at = doc[~is_hot], at[~is_hot]
+                begin = np.maximum(at + search.k - search.window, ends[doc])
+                end = np.minimum(at + search.window, ends[doc + 1])
                 left = at - search.half  # windows from here or before hold the anchor extended to the left, others the one to the right
                 sides = ((1, begin, np.minimum(left + search.window, end), left, at + search.k), (2, np.maximum(begin, left + 1), end, at, at + search.k + search.half))
                 for side, start, stop, a, b in sides:
@@ -258,13 +293,26 @@ def _cut(search: Search):
                     raw = [plain[p:q].tobytes() for p, q in zip((start[x] + bounds[first]).tolist(), (stop[x] + bounds[first]).tolist(), strict=True)]
                     for s in range(0, len(x), 20_000):
                         y = x[s : s + 20_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(code[s : s + 20_000]), pa.array(docs[first + doc[y]]), pa.array(keys[first + doc[y]]), pa.array((start[y] - ends[doc[y]]).astype(np.int32)), pa.array(raw[s : s + 20_000], pa.binary())], ["code", "doc", "key", "begin", "piece"])
+                        yield pieces_batch(code[s : s + 20_000], docs[first + doc[y]], keys[first + doc[y]], start[y] - ends[doc[y]], raw[s : s + 20_000])
+            if sum(len(p[0]) for p in hot):
+                there, packed, settled = pack(hot, single, buckets)
+                none = np.zeros(len(there) + 1, dtype=np.int64)
+                yield pieces_batch(np.array([*there, int(docs[0]) % buckets]), none, none, none, [None] * len(none), [*packed, None], [None] * len(there) + [settled])
 
     return run
 
 
+PIECES = "code long, doc long, key int, begin int, piece binary, records binary, spans binary"
+
+
+def pieces_batch(code: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, piece: list, records: list | None = None, spans: list | None = None) -> pa.RecordBatch:
+    columns = [pa.array(code, pa.int64()), pa.array(doc, pa.int64()), pa.array(key.astype(np.int32)), pa.array(begin.astype(np.int32)), *[pa.array(x or [None] * len(code), pa.binary()) for x in (piece, records, spans)]]
+    return pa.RecordBatch.from_arrays(columns, ["code", "doc", "key", "begin", "piece", "records", "spans"])
+
+
 def _solve(search: Search, kind: str):
     item = np.dtype(kind).itemsize
+    single = replace(search, k=search.window)
 
     def solved(parts: list[tuple]) -> pa.RecordBatch | None:
         code, doc, key, begin, raw = (np.concatenate(x) if i < 4 else sum(x, []) for i, x in enumerate(zip(*parts, strict=True)))
@@ -284,13 +332,21 @@ def _solve(search: Search, kind: str):
         if not len(x):
             return None
         piece = np.searchsorted(bounds, x, side="right") - 1
-        return spans_batch(*merged(doc[piece], key[piece], place[x], place[x] + search.window), False)
+        return spans_batch(*merged(doc[piece], key[piece], place[x], place[x] + search.window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []  # whole groups of two pieces or more
         held = 0
         tail: list[tuple] = []  # the last group so far
+        hot: list[tuple[int, bytes]] = []
         for batch in batches:
+            windows = batch.filter(pc.is_null(batch.column("piece")))
+            for bucket, records, spans in zip(*[windows.column(c).to_pylist() for c in ("code", "records", "spans")], strict=True):
+                if spans and (out := unsettled(spans)) is not None:
+                    yield out
+                if records:
+                    hot.append((bucket, records))
+            batch = batch.filter(pc.is_valid(batch.column("piece")))
             if not batch.num_rows:
                 continue
             now = (*[batch.column(c).to_numpy() for c in ("code", "doc", "key", "begin")], batch.column("piece").to_pylist())
@@ -311,6 +367,7 @@ def _solve(search: Search, kind: str):
             parts += tail
         if parts and (out := solved(parts)) is not None:
             yield out
+        yield from matched(single, hot)
 
     return run
 
@@ -322,10 +379,11 @@ def find_repeats(docs: DataFrame, search: Search, kind: str) -> DataFrame:
     texts = keyed(docs)
     found = texts.mapInArrow(lean(_scan(search, n)), "bucket int, records binary, spans binary").repartitionById(n, F.col("bucket")).mapInArrow(lean(_match(search)), SPANS)
     found = written(found, "repeats")
-    asks = found.where("ask").groupBy("doc", "key").agg(F.collect_list("begin").alias("places"))
-    pieces = texts.join(asks, ["doc", "key"]).select("doc", "key", "text", "places").mapInArrow(lean(_cut(search)), "code long, doc long, key int, begin int, piece binary")
+    place = F.when(F.col("kind") == HOT_ASK, F.bitwise_not("begin")).otherwise(F.col("begin"))
+    asks = found.where(F.col("kind") != SPAN).groupBy("doc", "key").agg(F.collect_list(place).alias("places"))
+    pieces = texts.join(asks, ["doc", "key"]).select("doc", "key", "text", "places").mapInArrow(lean(_cut(search, n)), PIECES)
     solved = pieces.repartition(n, "code").sortWithinPartitions("code").mapInArrow(lean(_solve(search, kind)), SPANS)
-    every = found.where("not ask").unionByName(solved).select("doc", "key", F.struct("begin", "end").alias("span"))
+    every = found.where(F.col("kind") == SPAN).unionByName(solved).select("doc", "key", F.struct("begin", "end").alias("span"))
     return every.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
 
 

@@ -545,3 +545,16 @@ def test_mixing(docs, none):
         words_out[r["source"]] += len(WORD.findall(r["text"] or ""))
     assert words_out == taken
     assert mixing.mix_sources(none).collect() == [] and mixing.mixed(none).collect() == []
+
+
+@pytest.mark.parametrize("hot", [1, 3, 1024])
+def test_hot_anchors_give_the_same(docs, hot):
+    from dataclasses import replace
+
+    from lectern.llm import repeats
+
+    rows = plain(docs)
+    for mode in ("all", "later"):
+        got = repeats.with_spans(docs, replace(suffix_dedup.search(mode, 60, k=20), hot=hot), "<u1").mapInArrow(suffix_dedup._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+        want = Counter(zip([r[0] for r in rows], [hashlib.sha256(k).hexdigest() for k in removed_bytes(rows, 60, mode)]))
+        assert Counter((r["doc_id"], r["kept_sha256"]) for r in got) == want
