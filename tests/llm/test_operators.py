@@ -558,3 +558,13 @@ def test_hot_anchors_give_the_same(docs, hot):
         got = repeats.with_spans(docs, replace(suffix_dedup.search(mode, 60, k=20), hot=hot), "<u1").mapInArrow(suffix_dedup._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
         want = Counter(zip([r[0] for r in rows], [hashlib.sha256(k).hexdigest() for k in removed_bytes(rows, 60, mode)]))
         assert Counter((r["doc_id"], r["kept_sha256"]) for r in got) == want
+
+
+def test_token_store_reads_selectively(spark, docs):
+    where = new_path(spark, "store")
+    token_store.write_tokens(docs, where, path("byte_bpe_50k.json"), shards=2)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    metadata = plan(token_store.read_tokens(spark, where, tokens=False))
+    assert "tokens:array" not in metadata.split("ReadSchema")[-1]
+    some = token_store.read_tokens(spark, where).where("doc_id in (3, 4)")
+    assert "In(doc_id, [3,4])" in plan(some) and some.count() == 2
