@@ -16,9 +16,7 @@ def doc_lines(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Lines of all documents, with further columns of theirs."""
     from lectern.sources.lines import lines_from_text
 
-    docs = table(spark, sf_dir, "documents")
-    lines = lines_from_text(docs.select("doc_id", "text"), "doc_id", page_break=None)
-    return lines.join(docs.select(F.col("doc_id").cast("string").alias("source"), *more), "source") if more else lines
+    return lines_from_text(table(spark, sf_dir, "documents"), "doc_id", page_break=None, keep=more)
 
 
 #: Sections and sexes of the rendered census, by order status and priority, and its seven measures.

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import split_wide
 
 
-def lines_from_text(df: DataFrame, key: str | Column, text: str = "text", page_break: str | None = "\f") -> DataFrame:
-    """(source, page, line_no, line): pages from 1, lines of a page from 0. A null text has no lines. Without a page break all is page 1."""
+def lines_from_text(df: DataFrame, key: str | Column, text: str = "text", page_break: str | None = "\f", keep: Sequence[str] = ()) -> DataFrame:
+    """(source, page, line_no, line), and columns to keep: pages from 1, lines of a page from 0. A null text has no lines. Without a page break all is page 1."""
     key = F.col(key) if isinstance(key, str) else key
-    rows = df.select(key.cast("string").alias("source"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+    rows = df.select(key.cast("string").alias("source"), F.col(text).alias("_text"), *keep).where(F.col("_text").isNotNull())
     if page_break is None:
-        pages = rows.select("source", F.lit(1).alias("page"), "_text")
+        pages = rows.select("source", F.lit(1).alias("page"), "_text", *keep)
     else:
-        pages = rows.select("source", F.posexplode(F.split("_text", page_break)).alias("page", "_text")).withColumn("page", F.col("page") + 1)
-    return pages.select("source", "page", F.posexplode(F.split("_text", "\r?\n")).alias("line_no", "line"))
+        pages = rows.select("source", F.posexplode(F.split("_text", page_break)).alias("page", "_text"), *keep).withColumn("page", F.col("page") + 1)
+    return pages.select("source", "page", F.posexplode(F.split("_text", "\r?\n")).alias("line_no", "line"), *keep)
 
 
 def lines_from_path(spark: SparkSession, path: str) -> DataFrame:
