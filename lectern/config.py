@@ -39,7 +39,7 @@ DEFAULTS: dict[str, Any] = {
         "filters": ["OVERALL", "RURAL", "URBAN"],
     },
     "export": {"output_dir": "./output", "format": "excel", "output_filename": "extracted_data"},
-    "logging": {"level": "INFO", "file": "pdf_extractor.log", "console": True},
+    "logging": {"level": "INFO", "file": "lectern.log", "console": True},
 }
 DATA_FORMATS = ("census", "election", "generic")
 EXPORT_FORMATS = ("excel", "csv", "json")
