@@ -42,20 +42,30 @@ CLOSES = {
 }
 #: Words in class, id and role that name what isn't main text.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation topnav sidenav sidebar aside footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations comment comments respond replies disqus pagination pager toolbar widget complementary contentinfo skip".split()
+    "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion menu nav navbar navigation topnav sidenav sidebar aside footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations comment comments discussion respond replies disqus pagination pager toolbar widget complementary contentinfo skip".split()
 )
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+#: Words that make a name say something about another part (has-sidebar, comments-open).
+ABOUT = frozenset("has no not with without is open opened closed on off enabled disabled".split())
+
+#: Words before "header" that make it the site's, not the article's.
+SITE = frozenset("site top global main web".split())
 
 
 def is_named(attributes: str) -> bool:
+    """Whether a name of the element starts or ends with a word for what isn't main text, or it is hidden."""
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and "true" in value.lower():
             return True
-        if value and not NAMES.isdisjoint(WORD.findall(value.lower())):
-            return True
+        for part in value.strip("\"'").split():
+            words = [w.lower() for w in WORD.findall(part)]
+            if words and (words[0] in NAMES or words[-1] in NAMES) and ABOUT.isdisjoint((words[0], words[-1])):
+                return True
+            if words and words[-1] == "header" and (len(words) == 1 or words[0] in SITE):
+                return True
     return False
 
 

@@ -279,6 +279,11 @@ def test_html_by_neighbour(spark):
     assert {r["page_id"]: r["text"] for r in one.collect()} == want
 
 
+@pytest.mark.parametrize("attributes,named", [(" class='cookie-notice x'", True), (" id=siteFooter", True), (' class="post comments-open has-sidebar"', False), (" class=main-nav", True), (" hidden", True), (" data-class='ad'", False), (" class=adventure", False), (" role=navigation", True), (" id=header", True), (" class=site-header", True), (" class=entry-header", False), (" class='market-share-table'", False)])
+def test_names_of_elements(attributes, named):
+    assert html_text.is_named(attributes) is named
+
+
 def test_lcs():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
