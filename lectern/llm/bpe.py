@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from lectern.llm.common import table, texts_of
+from lectern.llm.common import bounded, table, texts_of
 
 #: The most chunks that a worker remembers between batches; beyond it the memory is emptied.
 CACHE_CHUNKS = 400_000
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: tuple[
                 ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.diff(bounds), pa.int64()), ids], [*keep, "n_tokens", "ids"])
 
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    rows = bounded(docs).select(*keep, F.col(text_col).alias("__text"))
     return rows.mapInArrow(run, docs.select(*keep).schema.add("n_tokens", "long").add("ids", ArrayType(IntegerType())))
 
 
@@ -223,7 +223,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) >> 2 for x in coded], pa.int64()), *map(pa.array, digests)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded(docs).select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that go to a worker at once. Documents may be long, and Spark counts only rows.
+BATCH_ROWS = 1000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches at no more than BATCH_ROWS rows from here on (a lower setting stays)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

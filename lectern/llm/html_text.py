@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import partitions, slices, table
+from lectern.llm.common import bounded, partitions, slices, table
 
 #: Elements whose text is not shown or never main text; with a form's controls.
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select textarea option dialog iframe object svg canvas video audio map menu".split())
@@ -266,7 +266,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return beside_neighbours(rows, partitions(pages.sparkSession)).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 

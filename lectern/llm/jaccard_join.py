@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_symbols, groups, lean, mix, partitions, slices, spans_hash, table, utf8, written
+from lectern.llm.common import bounded, byte_symbols, groups, lean, mix, partitions, slices, spans_hash, table, utf8, written
 from lectern.llm.components import components
 from lectern.llm.substring_dedup import split
 
@@ -176,7 +176,7 @@ def _verified(threshold: float, n: int):
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, copy_id and n_links of each document; docs has doc_id and text."""
     spark = docs.sparkSession
-    texts = docs.select(doc_key().alias("doc"), "text")
+    texts = bounded(docs).select(doc_key().alias("doc"), "text")
     signed = texts.mapInArrow(lean(_signed(trees, depth(threshold, trees, recall=recall), n)), "doc long, one long, two long, grams long, labels array<long>")
     signed = written(signed, "signatures")
     same = ["one", "two", "grams"]

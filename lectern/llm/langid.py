@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lean, mix, slices, table
+from lectern.llm.common import bounded, lean, mix, slices, table
 
 LENGTHS = (1, 2, 3)
 PROFILE = 1000
@@ -91,7 +91,7 @@ def held_out(doc_id: Column) -> Column:
 def learn(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, profile: int = PROFILE, seed: int = 7) -> dict[str, np.ndarray]:
     """(doc_id, text, lang) of labelled rows to each language's profile. Counts are summed by task, then by Spark; a profile
     (bounded) for each language comes to the driver."""
-    labelled = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    labelled = bounded(rows).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {lang: n for lang, n in labelled.groupBy("lang").count().collect()}
     if not counts:
         return {}
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], names: tuple[str,
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, *names])
 
     schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
-    return docs.select(*kept).mapInArrow(lean(run), schema)
+    return bounded(docs).select(*kept).mapInArrow(lean(run), schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

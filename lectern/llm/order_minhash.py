@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import mix, partitions, range_bucket, slices, table
+from lectern.llm.common import bounded, mix, partitions, range_bucket, slices, table
 
 K = 8
 FUNCTIONS = 32
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             marks = [fingerprint(x or "").tobytes().hex() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
 def against_next(docs: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def against_next(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    dealt = with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partitions(docs.sparkSession))
+    dealt = with_next(bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), partitions(docs.sparkSession))
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -23,6 +23,7 @@ Everything is exact but for 64-bit hashes standing for the pieces in step 2 and
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lean, mix, partitions, ranges, slices, spans_hash, written
+from lectern.llm.common import bounded, lean, mix, partitions, ranges, slices, spans_hash, written
 
 #: Symbols scanned at once, and held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
@@ -182,19 +183,19 @@ def unsettled(raw: bytes) -> pa.RecordBatch | None:
 
 def _scan(search: Search, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for batch in slices(batches, SETTLED_ROWS):
-            parts = []
-            for part in slices([batch], ROWS):
-                docs, keys = part.column("doc").to_numpy(), part.column("key").to_numpy()
-                symbols, bounds, _ = search.symbols(part.column("text"))
+        turn, rows, parts = 0, 0, []
+        for batch in itertools.chain(slices(batches, ROWS), [None]):
+            if batch is not None:
+                docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
+                symbols, bounds, _ = search.symbols(batch.column("text"))
                 for first, some, ends in scans(symbols, bounds):
                     at, doc, _, _, code, piece = anchors(some, ends, search)
                     parts.append((docs[doc + first], keys[doc + first], at - ends[doc], code, piece))
-            if not sum(len(p[0]) for p in parts):
+                rows += len(docs)
+            if batch is not None and rows < SETTLED_ROWS or not sum(len(p[0]) for p in parts):
                 continue
             there, packed, settled = pack(parts, search, buckets)
-            turn = (turn + 7) % buckets
+            turn, rows, parts = (turn + 7) % buckets, 0, []
             yield pa.RecordBatch.from_arrays([pa.array([*there, turn], pa.int32()), pa.array([*packed, None], pa.binary()), pa.array([None] * len(there) + [settled], pa.binary())], ["bucket", "records", "spans"])
 
     return run
@@ -376,7 +377,7 @@ def find_repeats(docs: DataFrame, search: Search, kind: str) -> DataFrame:
     """(doc, key, spans): of each document that has any, spans [begin, end) in symbols, unordered, perhaps past the end. kind: numpy type of the solver's symbols."""
     spark = docs.sparkSession
     n = partitions(spark)
-    texts = keyed(docs)
+    texts = keyed(bounded(docs))
     found = texts.mapInArrow(lean(_scan(search, n)), "bucket int, records binary, spans binary").repartitionById(n, F.col("bucket")).mapInArrow(lean(_match(search)), SPANS)
     found = written(found, "repeats")
     place = F.when(F.col("kind") == HOT_ASK, F.bitwise_not("begin")).otherwise(F.col("begin"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_symbols, lean, new_path, partitions, range_bucket, ranges, slices, spans_hash, table, utf8
+from lectern.llm.common import bounded, byte_symbols, lean, new_path, partitions, range_bucket, ranges, slices, spans_hash, table, utf8
 
 #: Rows of a file are (shard, doc_id, n_tokens, shard_start, tokens).
 SCHEMA = "shard int, doc_id long, n_tokens long, shard_start long, tokens array<int>"
@@ -238,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """Writes shards under path/tokens and the manifest (shard, docs, tokens, start) under path/manifest."""
     spark = docs.sparkSession
     n = shards or partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("shard", range_bucket(rows.select("doc_id"), "doc_id", n))
     ordered = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
     writer = ordered.mapInArrow(lean(_encode_shards(tokenizer, end_id)), SCHEMA).write
