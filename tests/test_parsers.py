@@ -194,3 +194,13 @@ def test_line_operators(spark):
     assert [r["row_no"] for r in L.numbered(lines).orderBy("line_no").collect()] == [1, 2, 3, 4]
     assert L.longer_than(lines, 3).count() == 2
     assert L.scanned(lines.unionByName(page(spark, "x" * 101, "long"))).orderBy("source").collect()[0]["scanned"] is False
+
+
+@pytest.mark.parametrize("parse", [lambda x: parse_census(x, "smart"), lambda x: parse_census(x, "hierarchical"), universal_rows, parse_lines])
+def test_one_exchange_and_only_needed_columns(spark, tmp_path, parse):
+    """All windows of a parser share one exchange, and the scan reads only the key and the text."""
+    from lectern.sources.lines import lines_from_text
+
+    spark.createDataFrame([(1, CENSUS, "x")], "k int, text string, more string").write.parquet(str(tmp_path / "docs"))
+    plan = parse(lines_from_text(spark.read.parquet(str(tmp_path / "docs")), "k"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ReadSchema: struct<k:int,text:string>" in plan
