@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: a graph by NN-descent, greedy search in it.
 
 Equal vectors are one node with its smallest ids (as many as an answer can need). To make inner products behave like nearness, vectors
-get one more component that lifts all to the same length. Graph and search score with vectors rounded to 8 bits a
-component; what is returned is scored again on the originals in double precision.
+get one more component that lifts all to the same length. Graph and search score the original vectors in double
+precision, so that close but unequal vectors stay apart. What is returned is scored again in one order of summation: all nodes of the beam
+whose score lies within the rounding error of the k-th.
 
 Building. Random projections sort the nodes into blocks, in which exact neighbours start the lists. Then, round by round: each node tells
 those in its list about itself (its code and its worst score); at each of these, all that told it are neighbours of a
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from lectern.llm.common import mix, partitions, range_bucket, table, written
 
@@ -36,11 +38,9 @@ PROJECTIONS = 2
 BEAM = 512
 WIDTH = 64
 SEARCH_ROUNDS = 6
-#: Nodes a query scores again on the original vectors.
-AGAIN = 64
 
-ENTRY = np.dtype([("id", "<i8"), ("score", "<f4")])
-BEST = np.dtype([("id", "<i8"), ("score", "<f4"), ("asked", "u1")])
+ENTRY = np.dtype([("id", "<i8"), ("score", "<f8")])
+BEST = np.dtype([("id", "<i8"), ("score", "<f8"), ("asked", "u1")])
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def _packed(array: np.ndarray) -> list[bytes]:
     return [raw[i * size : (i + 1) * size] for i in range(len(array))]
 
 
-def _coded(dims: int, longest: float):
-    """Vectors to codes: 8-bit components, the lifting one among them, and their unit; with projections to sort by."""
+def _coded(dims: int, longest: float, kind: str):
+    """Vectors to codes: the lifting component in double precision, the others as in the table; with projections to sort by."""
     drawn = np.random.default_rng(5).normal(size=(dims + 1, PROJECTIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,19 +68,16 @@ def _coded(dims: int, longest: float):
             for i, v in enumerate(batch.column("v").to_pylist()):
                 x[i, : len(v)] = v
             x[:, dims] = np.sqrt(np.maximum(0.0, longest * longest - (x * x).sum(axis=1)))
-            unit = np.maximum(np.abs(x).max(axis=1), 1e-30) / 127
-            code = np.rint(x / unit[:, None]).astype(np.int8)
-            raw = [a + b for a, b in zip(_packed(unit.astype("<f4")[:, None]), _packed(code), strict=True)]
+            raw = [a + b for a, b in zip(_packed(x[:, dims:].astype("<f8")), _packed(x[:, :dims].astype(kind)), strict=True)]
             sides = x @ drawn
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(raw, pa.binary()), *[pa.array(sides[:, t]) for t in range(PROJECTIONS)]], ["node", "code", *[f"side{t}" for t in range(PROJECTIONS)]])
 
     return run
 
 
-def decoded(codes: list[bytes]) -> np.ndarray:
-    size = len(codes[0])
-    raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), size)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
+def decoded(codes: list[bytes], kind: str) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1)
+    return np.hstack((np.ascontiguousarray(raw[:, 8:]).view(kind).astype(np.float64), np.ascontiguousarray(raw[:, :8]).view("<f8")))
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -94,30 +91,34 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(kind: str):
     """Exact neighbours inside blocks of the sorted nodes."""
-    nodes: list[int] = []
-    codes: list[bytes] = []
-
-    def solved() -> pa.RecordBatch:
-        x, ids = decoded(codes), np.array(nodes)
-        scores = x @ x.T
-        np.fill_diagonal(scores, -np.inf)
-        some = min(LIST, len(ids) - 1)
-        near = np.argpartition(-scores, some - 1, axis=1)[:, :some] if some else np.zeros((len(ids), 0), np.int64)
-        out = [best(ids[n], s[n], LIST).tobytes() for n, s in zip(near, scores, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None] * len(ids), pa.binary()), pa.array(out, pa.binary())], ["node", "code", "entries"])
 
-    for batch in batches:
-        nodes += batch.column("node").to_pylist()
-        codes += batch.column("code").to_pylist()
-        while len(nodes) >= 2 * BLOCK:  # the last block is not smaller than the others
-            rest = nodes[BLOCK:], codes[BLOCK:]
-            del nodes[BLOCK:], codes[BLOCK:]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes: list[int] = []
+        codes: list[bytes] = []
+
+        def solved() -> pa.RecordBatch:
+            x, ids = decoded(codes, kind), np.array(nodes)
+            scores = x @ x.T
+            np.fill_diagonal(scores, -np.inf)
+            some = min(LIST, len(ids) - 1)
+            near = np.argpartition(-scores, some - 1, axis=1)[:, :some] if some else np.zeros((len(ids), 0), np.int64)
+            out = [best(ids[n], s[n], LIST).tobytes() for n, s in zip(near, scores, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None] * len(ids), pa.binary()), pa.array(out, pa.binary())], ["node", "code", "entries"])
+
+        for batch in batches:
+            nodes += batch.column("node").to_pylist()
+            codes += batch.column("code").to_pylist()
+            while len(nodes) >= 2 * BLOCK:  # the last block is not smaller than the others
+                rest = nodes[BLOCK:], codes[BLOCK:]
+                del nodes[BLOCK:], codes[BLOCK:]
+                yield solved()
+                nodes, codes = rest
+        if nodes:
             yield solved()
-            nodes, codes = rest
-    if nodes:
-        yield solved()
+
+    return run
 
 
 def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,7 @@ def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 to.append(e["id"])
                 of.append(np.full(len(e), node))
                 code += [own] * len(e)
-                worst.append(np.full(len(e), e["score"].min() if len(e) >= LIST else -np.inf, dtype=np.float32))
+                worst.append(np.full(len(e), e["score"].min() if len(e) >= LIST else -np.inf, dtype=np.float64))
             if to:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), pa.array(np.concatenate(of)), pa.array(code, pa.binary()), pa.array(np.concatenate(worst))], ["node", "of", "code", "worst"])
 
@@ -164,7 +165,7 @@ def _fan(node: int, of: list[int], turn: int) -> list[int]:
     return np.argsort(key, kind="stable")[:FAN].tolist()
 
 
-def _introduce(turn: int):
+def _introduce(turn: int, kind: str):
     """At a node, those that told it about themselves are scored with one another; what improves a list goes there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +175,10 @@ def _introduce(turn: int):
             use = _fan(node, of, turn)
             if len(use) > 1:
                 ids = np.array([of[i] for i in use])
-                x = decoded([code[i] for i in use])
+                x = decoded([code[i] for i in use], kind)
                 scores = x @ x.T
                 np.fill_diagonal(scores, -np.inf)
-                good = scores > np.array([worst[i] for i in use], dtype=np.float32)[:, None]
+                good = scores > np.array([worst[i] for i in use], dtype=np.float64)[:, None]
                 for i in np.flatnonzero(good.any(axis=1)).tolist():
                     e = np.empty(int(good[i].sum()), dtype=ENTRY)
                     e["id"], e["score"] = ids[good[i]], scores[i][good[i]]
@@ -215,18 +216,18 @@ def _by_node(df: DataFrame) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), "node").sortWithinPartitions("node")
 
 
-def build(coded: DataFrame, scale: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
+def build(coded: DataFrame, kind: str, scale: float = 1.0, rounds: int = ROUNDS) -> DataFrame:
     """(node, code, side0, ...) to the graph (node, code, entries). scale: the length of the vectors."""
     n = max(1, min(partitions(coded.sparkSession), coded.count() // BLOCK))  # no task with less than a block
     state = coded.select("node", "code", F.lit(None).cast("binary").alias("entries"))
     for t in range(PROJECTIONS):
         sides = coded.select("node", "code", F.col(f"side{t}").alias("side"), (F.col(f"side{t}") * 1e9 / F.lit(scale)).cast("long").alias("place"))
         blocks = sides.repartitionById(n, range_bucket(sides, "place", n)).sortWithinPartitions("side", "node")
-        state = state.unionByName(blocks.select("node", "code").mapInArrow(_blocks, STATE))
+        state = state.unionByName(blocks.select("node", "code").mapInArrow(_blocks(kind), STATE))
     graph = written(_by_node(state).mapInArrow(_merge, STATE), "graph")
     for turn in range(rounds):
-        told = _by_node(graph.mapInArrow(_tell, "node long, of long, code binary, worst float"))
-        better = told.mapInArrow(_introduce(turn), STATE)
+        told = _by_node(graph.mapInArrow(_tell, "node long, of long, code binary, worst double"))
+        better = told.mapInArrow(_introduce(turn, kind), STATE)
         graph = written(_by_node(graph.unionByName(better)).mapInArrow(_merge, STATE), "graph")
     return graph
 
@@ -252,31 +253,32 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(e["asked"] == 0)[:WIDTH]
             if len(at):
                 worst = e["score"].min() if len(e) >= BEAM else -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(e["id"][at]), pa.array(np.full(len(at), query)), pa.array([code] * len(at), pa.binary()), pa.array(np.full(len(at), worst, dtype=np.float32))], ["node", "query", "code", "worst"])
+                yield pa.RecordBatch.from_arrays([pa.array(e["id"][at]), pa.array(np.full(len(at), query)), pa.array([code] * len(at), pa.binary()), pa.array(np.full(len(at), worst, dtype=np.float64))], ["node", "query", "code", "worst"])
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, ids, x = None, None, None
-    for batch in batches:
-        to, out = [], []
-        codes = batch.column("codes")
-        for i, (node, query, code, worst, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("node", "query", "code", "worst", "ids")], strict=True)):
-            if node != last:
-                every = codes[i].as_py()
-                ids = np.frombuffer(raw, dtype="<i8")
-                size = len(every) // len(ids)
-                x = decoded([every[k : k + size] for k in range(0, len(every), size)])
-                last = node
-            q = decoded([code])[0]
-            q[-1] = 0
-            scores = x @ q
-            good = (scores > worst) & (ids != query)
-            if good.any():
-                e = np.zeros(int(good.sum()), dtype=BEST)
-                e["id"], e["score"] = ids[good], scores[good]
-                to.append(query)
-                out.append(e.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([None] * len(to), pa.binary()), pa.array(out, pa.binary())], ["node", "code", "entries"])
+def _answer(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, x = None, None, None
+        for batch in batches:
+            to, out = [], []
+            codes = batch.column("codes")
+            for i, (node, query, code, worst, raw) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("node", "query", "code", "worst", "ids")], strict=True)):
+                if node != last:
+                    every = codes[i].as_py()
+                    ids = np.frombuffer(raw, dtype="<i8")
+                    size = len(every) // len(ids)
+                    x = decoded([every[k : k + size] for k in range(0, len(every), size)], kind)
+                    last = node
+                scores = x[:, :-1] @ decoded([code], kind)[0][:-1]
+                good = (scores > worst) & (ids != query)
+                if good.any():
+                    e = np.zeros(int(good.sum()), dtype=BEST)
+                    e["id"], e["score"] = ids[good], scores[good]
+                    to.append(query)
+                    out.append(e.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([None] * len(to), pa.binary()), pa.array(out, pa.binary())], ["node", "code", "entries"])
+
+    return run
 
 
 def _gather(asked: bool):
@@ -319,28 +321,36 @@ def _seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("code"), pa.array(out, pa.binary())], ["node", "code", "entries"])
 
 
-def search(graph: DataFrame, queries: DataFrame, rounds: int = SEARCH_ROUNDS) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, kind: str, rounds: int = SEARCH_ROUNDS) -> DataFrame:
     """Beams (node, code, entries) of the query nodes."""
-    told = _by_node(graph.mapInArrow(_tell, "node long, of long, code binary, worst float"))
+    told = _by_node(graph.mapInArrow(_tell, "node long, of long, code binary, worst double"))
     index = written(told.mapInArrow(_lists, "node long, ids binary, codes binary"), "index")
     beams = written(graph.join(queries, "node", "left_semi").mapInArrow(_seed, STATE), "beams")
     for _ in range(rounds):
-        asked = beams.mapInArrow(_ask, "node long, query long, code binary, worst float")
+        asked = beams.mapInArrow(_ask, "node long, query long, code binary, worst double")
         met = asked.join(index, "node").sortWithinPartitions("node").select("node", "query", "code", "worst", "ids", "codes")
-        answers = met.mapInArrow(_answer, STATE)
+        answers = met.mapInArrow(_answer(kind), STATE)
         beams = written(_by_node(beams.unionByName(answers)).mapInArrow(_gather(True), STATE), "beams")
     return beams
 
 
-def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query node, node) to score again; the query's own node too, for other rows with its vector."""
-    for batch in batches:
-        to, of = [], []
-        for node, raw in zip(batch.column("node").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            ids = np.frombuffer(raw, dtype=BEST)["id"][:AGAIN]
-            of.append(np.append(ids, node))
-            to.append(np.full(len(ids) + 1, node))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to) if to else [], pa.int64()), pa.array(np.concatenate(of) if of else [], pa.int64())], ["query_node", "node"])
+def _chosen(k: int, longest: float, kind: str):
+    """(query node, node) to score again: those that rounding may place among the k best; the query's own node too, for other rows with its vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to, of = [], []
+            for node, code, raw in zip(*[batch.column(c).to_pylist() for c in ("node", "code", "entries")], strict=True):
+                e = np.frombuffer(raw, dtype=BEST)
+                if len(e) > k:
+                    q = decoded([code], kind)[0][:-1]
+                    error = 4 * (len(q) + 2) * np.finfo(np.float64).eps * longest * np.sqrt(q @ q)  # of two sums of products
+                    e = e[e["score"] >= e["score"][k - 1] - error]
+                of.append(np.append(e["id"], node))
+                to.append(np.full(len(e) + 1, node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to) if to else [], pa.int64()), pa.array(np.concatenate(of) if of else [], pa.int64())], ["query_node", "node"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -350,17 +360,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     some = rows.distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     nodes = written(some.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("node"), "ids", "v"), "nodes")
+    kind = "<f4" if vectors.schema["embedding"].dataType == ArrayType(FloatType(), vectors.schema["embedding"].dataType.containsNull) else "<f8"
     dims, longest = nodes.agg(F.max(F.size("v")), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    coded = written(nodes.select("node", "v").mapInArrow(_coded(dims or 0, longest or 0.0), "node long, code binary, " + ", ".join(f"side{t} double" for t in range(PROJECTIONS))), "codes")
-    graph = build(coded, longest or 1.0)
+    coded = written(nodes.select("node", "v").mapInArrow(_coded(dims or 0, longest or 0.0, kind), "node long, code binary, " + ", ".join(f"side{t} double" for t in range(PROJECTIONS))), "codes")
+    graph = build(coded, kind, longest or 1.0)
     asked = rows.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     asked = asked.join(nodes.select("v", "node"), "v").select(F.col("vec_id").alias("query_id"), F.col("node").alias("query_node"))
-    beams = search(graph, asked.select(F.col("query_node").alias("node")).distinct())
-    pairs = beams.select("node", "entries").mapInArrow(_chosen, "query_node long, node long")
+    beams = search(graph, asked.select(F.col("query_node").alias("node")).distinct(), kind)
+    pairs = beams.mapInArrow(_chosen(k, longest or 0.0, kind), "query_node long, node long")
     pairs = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("query_node"), F.col("v").alias("q")), "query_node")
     score = F.aggregate(F.zip_with("v", "q", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     found = pairs.select("query_node", F.struct((-score).alias("order"), "ids").alias("near"))
-    found = found.groupBy("query_node").agg(F.sort_array(F.collect_list("near")).alias("near"))  # AGAIN + 1 nodes at most
+    found = found.groupBy("query_node").agg(F.sort_array(F.collect_list("near")).alias("near"))  # BEAM + 1 nodes at most
     every = F.flatten(F.transform("near", lambda x: F.transform(x["ids"], lambda i: F.struct(x["order"].alias("order"), i.alias("vec_id")))))
     found = found.select("query_node", every.alias("near"))
     answers = asked.join(found, "query_node").withColumn("near", F.slice(F.sort_array(F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))), 1, k))

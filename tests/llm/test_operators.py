@@ -503,6 +503,32 @@ def test_nearest(spark):
     assert nn_descent.nearest(df.where("false"), df.where("false")).collect() == []
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def recall(spark, x, k=20):
+    """Recall of every 20th row's k nearest among all rows of x."""
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(set)
+    for r in nn_descent.nearest(df, df.where("vec_id % 20 = 0"), k).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-scores)[:k].tolist())) / k)
+    return np.array(hits)
+
+
+def test_nearest_in_a_group_of_near_duplicates(spark):
+    r = np.random.default_rng(3)
+    x = unit(r.normal(size=(2400, 64)))
+    x[:800] = unit(x[0] + 0.001 * unit(r.normal(size=(800, 64))))
+    hits = recall(spark, x)
+    assert hits.mean() >= 0.9 and hits[:40].mean() >= 0.9
+
+
 # -- 10 mixing
 
 
