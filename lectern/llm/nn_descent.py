@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a graph by NN-descent, greedy search in it.
 
 Equal vectors are one node with its smallest ids (as many as an answer can need). To make inner products behave like nearness, vectors
-get one more component that lifts all to the same length. Graph and search score the original vectors in double
+get one more component that lifts all to the same length. A code holds by how much it stays below the greatest length, so that one long vector
+doesn't swallow the others' digits. Graph and search score the original vectors in double
 precision, so that close but unequal vectors stay apart. What is returned is scored again in one order of summation: all nodes of the beam
 whose score lies within the rounding error of the k-th.
 
@@ -59,7 +60,7 @@ def _packed(array: np.ndarray) -> list[bytes]:
 
 
 def _coded(dims: int, longest: float, kind: str):
-    """Vectors to codes: the lifting component in double precision, the others as in the table; with projections to sort by."""
+    """Vectors to codes: what the lifting component lacks to the greatest length, in double precision, and the others as in the table; with projections to sort by."""
     drawn = np.random.default_rng(5).normal(size=(dims + 1, PROJECTIONS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,8 @@ def _coded(dims: int, longest: float, kind: str):
             x = np.zeros((batch.num_rows, dims + 1))
             for i, v in enumerate(batch.column("v").to_pylist()):
                 x[i, : len(v)] = v
-            x[:, dims] = np.sqrt(np.maximum(0.0, longest * longest - (x * x).sum(axis=1)))
+            squares = (x * x).sum(axis=1)
+            x[:, dims] = squares / (longest + np.sqrt(np.maximum(0.0, longest * longest - squares)))
             raw = [a + b for a, b in zip(_packed(x[:, dims:].astype("<f8")), _packed(x[:, :dims].astype(kind)), strict=True)]
             sides = x @ drawn
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(raw, pa.binary()), *[pa.array(sides[:, t]) for t in range(PROJECTIONS)]], ["node", "code", *[f"side{t}" for t in range(PROJECTIONS)]])
@@ -80,6 +82,12 @@ def decoded(codes: list[bytes], kind: str) -> np.ndarray:
     return np.hstack((np.ascontiguousarray(raw[:, 8:]).view(kind).astype(np.float64), np.ascontiguousarray(raw[:, :8]).view("<f8")))
 
 
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Products of all pairs of lifted vectors, less the square of their length."""
+    low = x[:, -1]
+    return x @ x.T - longest * (low[:, None] + low)
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """The k best entries, each id once, equals by id."""
     order = np.lexsort((ids, -scores))
@@ -91,7 +99,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _blocks(kind: str):
+def _blocks(kind: str, longest: float):
     """Exact neighbours inside blocks of the sorted nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +108,7 @@ def _blocks(kind: str):
 
         def solved() -> pa.RecordBatch:
             x, ids = decoded(codes, kind), np.array(nodes)
-            scores = x @ x.T
+            scores = lifted(x, longest)
             np.fill_diagonal(scores, -np.inf)
             some = min(LIST, len(ids) - 1)
             near = np.argpartition(-scores, some - 1, axis=1)[:, :some] if some else np.zeros((len(ids), 0), np.int64)
@@ -165,7 +173,7 @@ def _fan(node: int, of: list[int], turn: int) -> list[int]:
     return np.argsort(key, kind="stable")[:FAN].tolist()
 
 
-def _introduce(turn: int, kind: str):
+def _introduce(turn: int, kind: str, longest: float):
     """At a node, those that told it about themselves are scored with one another; what improves a list goes there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +184,7 @@ def _introduce(turn: int, kind: str):
             if len(use) > 1:
                 ids = np.array([of[i] for i in use])
                 x = decoded([code[i] for i in use], kind)
-                scores = x @ x.T
+                scores = lifted(x, longest)
                 np.fill_diagonal(scores, -np.inf)
                 good = scores > np.array([worst[i] for i in use], dtype=np.float64)[:, None]
                 for i in np.flatnonzero(good.any(axis=1)).tolist():
@@ -223,11 +231,11 @@ def build(coded: DataFrame, kind: str, scale: float = 1.0, rounds: int = ROUNDS)
     for t in range(PROJECTIONS):
         sides = coded.select("node", "code", F.col(f"side{t}").alias("side"), (F.col(f"side{t}") * 1e9 / F.lit(scale)).cast("long").alias("place"))
         blocks = sides.repartitionById(n, range_bucket(sides, "place", n)).sortWithinPartitions("side", "node")
-        state = state.unionByName(blocks.select("node", "code").mapInArrow(_blocks(kind), STATE))
+        state = state.unionByName(blocks.select("node", "code").mapInArrow(_blocks(kind, scale), STATE))
     graph = written(_by_node(state).mapInArrow(_merge, STATE), "graph")
     for turn in range(rounds):
         told = _by_node(graph.mapInArrow(_tell, "node long, of long, code binary, worst double"))
-        better = told.mapInArrow(_introduce(turn, kind), STATE)
+        better = told.mapInArrow(_introduce(turn, kind, scale), STATE)
         graph = written(_by_node(graph.unionByName(better)).mapInArrow(_merge, STATE), "graph")
     return graph
 

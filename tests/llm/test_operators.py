@@ -529,6 +529,17 @@ def test_nearest_in_a_group_of_near_duplicates(spark):
     assert hits.mean() >= 0.9 and hits[:40].mean() >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["outlier", "lognormal"])
+def test_nearest_of_spread_norms(spark, norms):
+    r = np.random.default_rng(3)
+    x = unit(r.normal(size=(2400, 64)))
+    if norms == "outlier":
+        x[1200] *= 100
+    else:
+        x *= r.lognormal(0, 1.5, (2400, 1))
+    assert recall(spark, x).mean() >= 0.9
+
+
 # -- 10 mixing
 
 
