@@ -38,6 +38,8 @@ from lectern.llm.common import bounded, lean, mix, partitions, ranges, slices, s
 #: Symbols scanned at once, and held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
 SHARD = 1 << 19
+#: Bits of a hash that give way to a place while anchors are chosen; longer texts are scanned in stretches.
+PLACE_BITS = 24
 #: Pieces of an anchor beyond which it is hot: its windows are counted one by one.
 HOT = 1024
 #: Rows whose texts are unpacked at once.
@@ -73,6 +75,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text_key().alias("key"), "text")
 
 
+def least_places(code: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` hashes the place of the least (of equals the first), in stretches that overlap by span - 1."""
+    mask = np.uint64((1 << PLACE_BITS) - 1)
+    step = max(1, (1 << PLACE_BITS) - span + 1)
+    out = []
+    for first in range(0, len(code) - span + 1, step):
+        part = code[first : first + step + span - 1]
+        least = part & ~mask | np.arange(len(part), dtype=np.uint64)
+        width = 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if span > width:
+            least = np.minimum(least[: width - span], least[span - width :])
+        out.append((least & mask).astype(np.int64) + first)
+    return np.concatenate(out)
+
+
 def anchors(symbols: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np.ndarray, ...]:
     """Place, document (index), start and end of the piece, hash, and hash of the piece, of each anchor."""
     window, k = search.window, search.k
@@ -82,17 +102,11 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np
     of = spans_hash(symbols)
     starts = np.arange(n - k + 1)
     code = of(starts, starts + k)
-    least = code & ~np.uint64(0xFFFFFF) | starts.astype(np.uint64)
-    width, span = 1, window - k + 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if span > width:
-        least = np.minimum(least[: width - span], least[span - width :])
+    least = least_places(code, window - k + 1)
     whole = np.ones(n + 1, dtype=bool)
     low = np.maximum(bounds[1:] - window + 1, bounds[:-1])
     whole[ranges(low, bounds[1:] - low)] = False
-    at = (least[whole[: len(least)]] & np.uint64(0xFFFFFF)).astype(np.int64)
+    at = least[whole[: len(least)]]
     at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
     doc = np.searchsorted(bounds, at, side="right") - 1
     begin = np.maximum(at + k - window, bounds[doc])

@@ -610,3 +610,31 @@ def test_token_store_reads_selectively(spark, docs):
     assert "tokens:array" not in metadata.split("ReadSchema")[-1]
     some = token_store.read_tokens(spark, where).where("doc_id in (3, 4)")
     assert "In(doc_id, [3,4])" in plan(some) and some.count() == 2
+
+
+def test_anchors_of_texts_beyond_the_place_width(monkeypatch):
+    from lectern.llm import repeats
+
+    search = suffix_dedup.search("all", 40, k=10)
+    tail = np.random.default_rng(4).integers(97, 123, 200).astype("u1")
+    raw = np.concatenate((np.random.default_rng(5).integers(97, 123, 1500).astype("u1"), tail, [32, 33], tail)).astype("u1")
+    symbols, bounds = suffix_dedup.byte_symbols(raw), np.array([0, len(raw)])
+    want = repeats.anchors(symbols, bounds, search)
+    monkeypatch.setattr(repeats, "PLACE_BITS", 8)
+    got = repeats.anchors(symbols, bounds, search)
+    # every window holds an anchor, also those past the width
+    assert got[0].max() > 1800 and np.diff(got[0]).max() <= 31 and (np.diff(got[0]) > 0).all()
+    assert (np.array([raw[a:b].tobytes() for a, b in zip(got[2], got[3])], dtype=object) == np.array([raw[max(0, p - 30) : p + 40].tobytes() for p in got[0]], dtype=object)).all()
+    # a passage's two copies have the same anchors wherever they stand
+    inner = lambda at, begin: {p - begin for p in at.tolist() if begin + 40 <= p < begin + 150}
+    assert inner(got[0], 1500) == inner(got[0], 1702) and inner(got[0], 1500)
+    assert got[0].shape == want[0].shape and (got[0] == want[0]).all()
+
+
+def test_anchors_of_a_text_of_more_than_2_to_the_24():
+    from lectern.llm import repeats
+
+    n = (1 << 24) + 3000
+    symbols = suffix_dedup.byte_symbols(np.random.default_rng(6).integers(97, 123, n).astype("u1"))
+    at = repeats.anchors(symbols, np.array([0, n]), suffix_dedup.search("all"))[0]
+    assert at[-1] > 1 << 24 and (np.diff(at) > 0).all()
