@@ -14,7 +14,7 @@ Both steps are joins by node. A node uses ``FAN`` of those that told it, chosen
 Search. A query starts from its own node's list, keeps its best ``BEAM`` nodes, and in each round asks the best ``WIDTH`` not yet asked for
 those that have them in their lists.
 
-The lists are fitted on all rows; no row is left out of the index. Vectors that are null, zero, or hold null or non-finite components, and
+The lists are fitted on all rows, but a node that more than ``FAN`` list answers a search with so many of them, chosen by hash. Vectors that are null, zero, or hold null or non-finite components, and
 rows without an id, take no part. Shorter vectors count as filled with zeros. Rows that repeat id and vector are one. Fewer candidates than k are
 all returned. Recall at 20, measured against brute force, is in the README and held at 0.9 or more by a test.
 """
