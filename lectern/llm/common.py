@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,25 +62,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bucket(df: DataFrame, key: str, n: int, cells: int = 64) -> Column:
-    """An expression that deals the integer column ``key`` into n ranges of about as many rows, in ascending order.
+def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Callable[[Column, Column], Column], bool]:
+    """A function from (the integer key, a hash of the row) to the range of the row, of n ranges in ascending order (nulls first),
+    and whether it looks at the hash.
 
-    A histogram of n * cells equal steps between the least and largest key, read from that column alone, places the
-    cuts; only these counts come to the driver. Nulls go to range 0. Uneven keys make uneven ranges, never wrong ones.
+    The cuts are quantiles of the key (mergeable sketches, read from that column alone; n values come to the driver), so that
+    outliers and uneven keys don't matter. A key that holds several quantiles is spread over as many ranges by the hash, ascending too.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(0)
-    grid = n * cells
-    step = (int(high) - int(low)) // grid + 1
-    cell = F.expr(f"cast((`{key}` - {low}L) div {step}L as int)")
-    counts = np.zeros(grid + 1, dtype=np.int64)
-    for c, k in df.where(F.col(key).isNotNull()).groupBy(cell.alias("cell")).count().toLocalIterator():
-        counts[c] = k
-    before = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    bucket = np.minimum(before * n // max(1, int(counts.sum())), n - 1)
-    cuts = F.expr("array(" + ",".join(map(str, bucket.tolist())) + ")")
-    return F.coalesce(F.get(cuts, cell), F.lit(0))
+    least = -(1 << 63)
+    k = F.col(key)
+    at, tied = df.agg(F.percentile_approx(F.coalesce(k, F.lit(least)), [i / n for i in range(1, n)] or [0.5], F.lit(max(10_000, 20 * n))), F.max(k == least)).first()
+    cuts = np.array(sorted(at or [])[: n - 1], dtype=np.int64)
+    hot = bool(len(cuts) > len(np.unique(cuts)))
+    both = bool(tied)
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series, null: pd.Series, hashes: pd.Series) -> pd.Series:
+        keys = keys.to_numpy(dtype=np.int64)
+        share = (hashes.to_numpy(dtype=np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+        if both:  # nulls stand before the least key
+            share = np.where(null.to_numpy(dtype=bool), share / 2, np.where(keys == least, 0.5 + share / 2, share))
+        before, upto = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
+        many = upto - before
+        return pd.Series(np.where(many > 1, before + 1 + np.minimum((share * many).astype(np.int64), many - 1), upto).astype(np.int32))
+
+    return (lambda key, hashed: place(F.coalesce(key, F.lit(least)), key.isNull(), hashed if hot else F.lit(0).cast("long"))), hot
 
 
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:

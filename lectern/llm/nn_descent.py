@@ -230,7 +230,7 @@ def build(coded: DataFrame, kind: str, scale: float = 1.0, rounds: int = ROUNDS)
     state = coded.select("node", "code", F.lit(None).cast("binary").alias("entries"))
     for t in range(PROJECTIONS):
         sides = coded.select("node", "code", F.col(f"side{t}").alias("side"), (F.col(f"side{t}") * 1e9 / F.lit(scale)).cast("long").alias("place"))
-        blocks = sides.repartitionById(n, range_bucket(sides, "place", n)).sortWithinPartitions("side", "node")
+        blocks = sides.repartitionById(n, range_bucket(sides, "place", n)[0](F.col("place"), F.xxhash64("node"))).sortWithinPartitions("side", "node")
         state = state.unionByName(blocks.select("node", "code").mapInArrow(_blocks(kind, scale), STATE))
     graph = written(_by_node(state).mapInArrow(_merge, STATE), "graph")
     for turn in range(rounds):

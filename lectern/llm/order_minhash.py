@@ -5,7 +5,9 @@ least numbered k-mers, keeps them in text order, and hashes the tuple of k-mers
 components rises as the edit distance falls, and unlike plain MinHash it falls when passages change places.
 
 A text of fewer than k code points is one k-mer; a null text is empty and has a fingerprint that only empty texts
-have. Equal texts have equal fingerprints.
+have. Equal texts have equal fingerprints. Very long texts are read whole, a slice of the functions at a time. Repeated rows keep a row
+each. In `against_next` ids may be any 64-bit integers, null ids come after all others, equal ids by a hash of their text, and a table of one row is followed by itself; an
+empty table gives no rows, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, mix, partitions, range_bucket, slices, table
@@ -97,22 +99,30 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_next(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, text) dealt into ranges of doc_id, the highest ids in the last one, each sorted by descending id (nulls last)
-    and text. Each range ends with what follows it, marked ghost: the first rows of the next range; after the last, the first."""
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("key"))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(range_bucket(docs.select("doc_id"), "doc_id", n)))
-    heads = {b: k for b, k in rows.groupBy("range").agg(F.max("key")).collect()}  # a row a range
+    """(doc_id, text) dealt into ranges of doc_id, the highest ids in the last one, each sorted by descending id (nulls last),
+    then by a hash of the text. Each range ends with what follows it, marked ghost: the first rows of the next range; after the last, the first."""
+    deal, hot = range_bucket(docs, "doc_id", n)
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", F.col("doc_id").isNotNull().cast("int").alias("there"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), tie.alias("tie"))
+    rows = rows.withColumn("range", deal(F.col("doc_id"), F.col("tie")))
+    order = ("there", "key", *["tie"] * hot)
+    heads = {b: tuple(k) for b, k in rows.groupBy("range").agg(F.max(F.struct(*order))).collect()}  # a row a range
     if not heads:
         return rows.select("doc_id", "text", "range", F.lit(False).alias("ghost"))
-    there = sorted(heads)
-    serves = {b: there[(i + 1) % len(there)] for i, b in enumerate(there)}
-    size = there[-1] + 1
-    head = F.get(F.expr("array(" + ",".join(f"cast('{heads.get(b, 0)}' as bigint)" for b in range(size)) + ")"), F.col("range"))
-    to = F.get(F.expr("array(" + ",".join(str(serves.get(b, -1)) for b in range(size)) + ")"), F.col("range"))
+    ranges = sorted(heads)
+    serves = {b: ranges[(i + 1) % len(ranges)] for i, b in enumerate(ranges)}
+    size = ranges[-1] + 1
+
+    def of_range(values: dict[int, int], kind: str) -> Column:
+        return F.get(F.expr("array(" + ",".join(f"cast('{values.get(b, 0)}' as {kind})" for b in range(size)) + ")"), F.col("range"))
+
+    is_head = F.lit(True)
+    for i, c in enumerate(order):
+        is_head &= F.col(c) == of_range({b: k[i] for b, k in heads.items()}, "bigint")
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))
-    places = F.when(F.col("key") == head, F.array(own, F.struct(to.alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
-    dealt = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "key", "place.*")
-    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "ghost", F.desc("key"), "text").select("doc_id", "text", "range", "ghost")
+    places = F.when(is_head, F.array(own, F.struct(of_range(serves, "int").alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(own))
+    dealt = rows.withColumn("place", F.explode(places)).select("doc_id", "text", "there", "key", "tie", "place.*")
+    return dealt.repartitionById(n, F.col("range")).sortWithinPartitions("range", "ghost", F.desc("there"), F.desc("key"), F.desc("tie"), "text").select("doc_id", "text", "range", "ghost")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -6,8 +6,9 @@ delta-encoded (format version 2), and row groups and pages have set sizes. Colum
 the metadata without the tokens, or a few documents' tokens without the rest. A small manifest holds the number of
 tokens before each shard. ``read_tokens`` reads them back.
 
-Nulls: a null text is empty, so it has the end id alone; null ids come first. Rows with equal ids are ordered by text
-and each keeps its own row. An empty table gives no rows. Other columns are ignored.
+Nulls: a null text is empty, so it has the end id alone; null ids come first. Ids may be any 64-bit integers, however uneven. Rows
+with equal ids are ordered by a hash of their text and then by text, and each keeps its own row; an id (or null) that very many rows share
+is spread over shards in that order. Very long texts are encoded whole. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from lectern.llm.common import bounded, byte_symbols, lean, new_path, partitions
 SCHEMA = "shard int, doc_id long, n_tokens long, shard_start long, tokens array<int>"
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
-#: A worker remembers pieces in so many slots (2 to this power, 13 bytes each) and their ids; when half are taken the memory is emptied.
+#: A worker remembers pieces in so many slots (2 to this power, 13 bytes each) and their ids; when half are taken the memory is emptied before the next batch.
 SLOT_BITS = 22
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -37,58 +38,73 @@ _SIGN = (_BYTE < 128) & ~_LETTER & (_BYTE != 32) & (_BYTE != 10)
 
 
 class Memory:
-    """Pieces by 64-bit hash, checked by a second one, to their token ids: open addressing, all lookups of a batch at once."""
+    """Pieces by 64-bit hash, checked by a second one, to their token ids: open addressing, all lookups of a batch at once.
+
+    At most half of the slots are taken: their number doubles as pieces come in, and falls back when the memory is emptied."""
 
     def __init__(self) -> None:
-        self.slots = np.zeros(1 << SLOT_BITS, np.uint64)  # 0: free
-        self.entry = np.zeros(1 << SLOT_BITS, np.int32)
         self.clear()
 
     def clear(self) -> None:
-        self.slots[:] = 0
+        self.bits = SLOT_BITS
+        self.slots = np.zeros(1 << self.bits, np.uint64)  # 0: free
+        self.entry = np.zeros(1 << self.bits, np.int32)
         self.count, self.used = 0, 0
+        self.keys = np.zeros(1 << 16, np.uint64)
         self.checks = np.zeros(1 << 16, np.uint64)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
 
+    def full(self) -> bool:
+        return self.count > 1 << (SLOT_BITS - 1)
+
     def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
         """Index of each piece, -1 if it isn't here."""
         keys = np.maximum(keys, np.uint64(1))
         out = np.full(len(keys), -1, dtype=np.int64)
-        at = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         live = np.arange(len(keys))
         while len(live):
             there = self.slots[at]
             hit = there == keys[live]
             out[live[hit]] = self.entry[at[hit]]
             go = ~hit & (there != 0)
-            live, at = live[go], at[go] + 1 & (1 << SLOT_BITS) - 1
+            live, at = live[go], at[go] + 1 & (1 << self.bits) - 1
         seen = np.flatnonzero(out >= 0)
         out[seen[self.checks[out[seen]] != checks[seen]]] = -1
         return out
 
     def add(self, keys: np.ndarray, checks: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Distinct pieces that aren't here."""
+        """Pieces of distinct keys that aren't here."""
         n = self.count + len(keys)
         while n > len(self.checks):
-            self.checks, self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.checks, self.starts, self.sizes))
+            self.keys, self.checks, self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.checks, self.starts, self.sizes))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.keys[self.count : n] = np.maximum(keys, np.uint64(1))
         self.checks[self.count : n], self.sizes[self.count : n] = checks, sizes
         self.starts[self.count : n] = np.cumsum(sizes) - sizes + self.used
         self.ids[self.used : self.used + len(ids)] = ids
-        keys = np.maximum(keys, np.uint64(1))
-        at = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        live = np.arange(len(keys))
+        begin = self.count
+        if 2 * n > len(self.slots):
+            while 2 * n > 1 << self.bits:
+                self.bits += 1
+            self.slots, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            begin = 0
+        self.settle(np.arange(begin, n))
+        self.count, self.used = n, self.used + len(ids)
+
+    def settle(self, live: np.ndarray) -> None:
+        """Gives each of these pieces the first free slot from its own on."""
+        at = (self.keys[live] >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(live):
             free = np.flatnonzero(self.slots[at] == 0)
             _, first = np.unique(at[free], return_index=True)
             now = free[first]
-            self.slots[at[now]], self.entry[at[now]] = keys[live[now]], self.count + live[now]
+            self.slots[at[now]], self.entry[at[now]] = self.keys[live[now]], live[now]
             stay = np.ones(len(live), dtype=bool)
             stay[now] = False
-            live, at = live[stay], at[stay] + 1 & (1 << SLOT_BITS) - 1
-        self.count, self.used = n, self.used + len(ids)
+            live, at = live[stay], at[stay] + 1 & (1 << self.bits) - 1
 
 
 class PieceEncoder:
@@ -173,7 +189,7 @@ class PieceEncoder:
         at, doc, ends = at[keep], doc[keep], ends[keep]
         keys = spans_hash(byte_symbols(raw))(at, ends)
         checks = spans_hash(byte_symbols(raw ^ 0x5A) ^ np.uint64(0x123456789ABCDEF))(at, ends)
-        if self.memory.count > 1 << (SLOT_BITS - 1):
+        if self.memory.full():
             self.memory.clear()
         found = self.memory.find(keys, checks)
         unseen = np.flatnonzero(found < 0)
@@ -182,15 +198,18 @@ class PieceEncoder:
             new = unseen[first]
             self.learn(blob, at[new], ends[new], keys[new], checks[new])
             found[unseen] = self.memory.find(keys[unseen], checks[unseen])
-            if (found < 0).any():
-                raise ValueError("two pieces have the same hash")
+            clash = np.unique(doc[found < 0])  # texts with a piece that has the hash of another
+            if len(clash):
+                direct |= dict(zip(clash.tolist(), self.direct([blob[bounds[i] : bounds[i + 1]].decode() for i in clash.tolist()]), strict=True))
+                keep = ~np.isin(doc, clash)
+                doc, found = doc[keep], found[keep]
         sizes = self.memory.sizes[found].astype(np.int64)
         ids = self.memory.ids[ranges(self.memory.starts[found], sizes)]
         counts = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
         if direct:
             cuts = np.concatenate(([0], np.cumsum(counts)))
             ids = np.concatenate([x for i in range(n) for x in ([direct[i]] if i in direct else [ids[cuts[i] : cuts[i + 1]]])])
-            counts[whole] = [len(direct[i]) for i in whole.tolist()]
+            counts[list(direct)] = [len(x) for x in direct.values()]
         return counts, ids
 
     def learn(self, blob: bytes, at: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
@@ -239,8 +258,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     spark = docs.sparkSession
     n = shards or partitions(spark)
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("shard", range_bucket(rows.select("doc_id"), "doc_id", n))
-    ordered = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    deal, _ = range_bucket(rows, "doc_id", n)
+    rows = rows.withColumn("shard", deal(F.col("doc_id"), F.col("tie")))
+    ordered = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "text").drop("tie")
     writer = ordered.mapInArrow(lean(_encode_shards(tokenizer, end_id)), SCHEMA).write
     options = {
         "compression": "zstd",
