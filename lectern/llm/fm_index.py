@@ -1,12 +1,17 @@
-"""A compressed FM-index: the Burrows-Wheeler transform of a sequence of integers in a wavelet matrix of packed bits.
+"""A compressed FM-index: the Burrows-Wheeler transform of a sequence of integers in a wavelet matrix of packed bits, and one
+in ``STEP`` entries of its suffix array. The suffix array itself is gone once the index is built.
 
-Backward search takes many patterns at once, each round one symbol further to the left.
+Backward search takes many patterns at once, each round one symbol further to the left; rows are located by walking to the
+left, all at once, until each meets a kept entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Every place that is a multiple of this keeps its entry of the suffix array.
+STEP = 8
+
 
 class Bits:
     """Packed bits with the number of ones before each word of 64."""
@@ -23,6 +28,9 @@ class Bits:
         mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & mask)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
 class WaveletMatrix:
     def __init__(self, sequence: np.ndarray, largest: int):
@@ -32,6 +40,19 @@ class WaveletMatrix:
             bit = (sequence >> level & 1).astype(bool)
             self.bits.append(Bits(bit))
             sequence = np.concatenate((sequence[~bit], sequence[bit]))
+        order, at = np.unique(sequence, return_index=True)
+        self.begin = np.zeros(int(largest) + 1, dtype=np.int32)
+        self.begin[order] = at  # where each symbol's run starts in the last order
+
+    def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at these places, and how often each stands before its place."""
+        symbol = np.zeros_like(at)
+        for bits in self.bits:
+            one = bits.get(at)
+            ones = bits.ones(at)
+            symbol = symbol << 1 | one
+            at = np.where(one, bits.zeros + ones, at - ones)
+        return symbol, at - self.begin[symbol]
 
     def rank(self, symbol: np.ndarray, at: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands among the first `at`, and the first `upto`, of the sequence."""
@@ -63,16 +84,31 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Of a sequence of symbols from 0 on. ``order`` is the suffix array."""
+    """Of a sequence of symbols from 0 on. Rows are numbered as in the suffix array."""
 
-    def __init__(self, sequence: np.ndarray):
-        self.order = suffix_array(sequence)
+    def __init__(self, sequence: np.ndarray, step: int = STEP):
+        order = suffix_array(sequence)
         largest = int(sequence.max()) + 1
         # 0 is the end mark, before all other symbols; its suffix comes first
         shifted = sequence.astype(np.int64) + 1
-        last = np.concatenate((shifted[-1:], np.where(self.order > 0, shifted[self.order - 1], 0)))
+        last = np.concatenate((shifted[-1:], np.where(order > 0, shifted[order - 1], 0)))
         self.matrix = WaveletMatrix(last, largest)
         self.below = np.concatenate(([0, 1], 1 + np.cumsum(np.bincount(sequence, minlength=largest))))
+        self.size = len(sequence)
+        kept = order % step == 0
+        self.kept, self.places = Bits(kept), order[kept].astype(np.int32)
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """Where the suffixes of these rows start."""
+        out = np.zeros(len(rows), dtype=np.int64)
+        live, at, walked = np.arange(len(rows)), rows.astype(np.int64), 0
+        while len(live):
+            here = self.kept.get(at)
+            out[live[here]] = self.places[self.kept.ones(at[here])] + walked
+            live, at = live[~here], at[~here]
+            symbol, before = self.matrix.access(at + 1)  # the row of the end mark's suffix comes first
+            at, walked = self.below[symbol] + before - 1, walked + 1
+        return out
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [low, high) of suffixes that start with a pattern, to those that start with symbol and the pattern."""
@@ -90,7 +126,7 @@ class FmIndex:
         length = np.zeros(len(ends), dtype=np.int64)
         live = np.arange(len(ends))
         low = np.zeros(len(ends), dtype=np.int64)
-        high = np.full(len(ends), len(self.order) + 1, dtype=np.int64)
+        high = np.full(len(ends), self.size + 1, dtype=np.int64)
         for step in range(window):
             symbol = patterns[ends[live] - 1 - step]
             a, b = self.rows(symbol) if step == 0 else self.extend(symbol, low[live], high[live])

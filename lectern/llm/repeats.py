@@ -5,20 +5,19 @@ A document is a sequence of symbols, and a window is ``window`` of them in a row
 
 1. Anchors. Of the runs of k symbols in a window, the one with the least hash is the window's anchor; equal windows have
    equal anchors at equal places, and neighbouring windows mostly share theirs. An anchor's piece is all the windows that
-   hold it. For each anchor its hash, the hash of its piece and its place are dealt out by the anchor's hash, packed as arrays. Equal
-   pieces of a batch are settled where they are read and one of them goes on, so that what a hot passage adds to one
-   task is a record a batch.
-2. Equal pieces. Where two pieces are equal all their windows repeat. Where an anchor has unequal pieces, the first of each
-   kind is asked for.
-3. Unequal pieces. The asked pieces are cut out of the texts and dealt by an extended anchor (to the left, or to the right: each
+   hold it. For each anchor its hash, the hash of its piece and its place are dealt out by the anchor's hash, packed as arrays. The first
+   two of a batch's equal pieces go on, so that what a hot passage adds to one task is two records a batch.
+2. Kinds. Of an anchor's equal pieces the first two are asked for, of a kind with one piece that one, if the anchor has another. From the third
+   of a kind on, pieces fare as the second one: they are pre-aggregated into it, and all their windows repeat.
+3. Solving. The asked pieces are cut out of the texts and dealt by an extended anchor (to the left, or to the right: each
    window goes with one of the two), which separates passages that merely share a short phrase. Extended anchors that only
    one piece has are dropped. The rest come by whole groups into shards, and a solver (a suffix array, an FM-index) tells which of their windows repeat.
    An anchor with more than ``HOT`` kinds of pieces would make a group without bound. Its windows are dealt out by the hash of each, equal ones of
    a batch settled first as in step 1, so that no task gets more than its share.
 4. The spans found are gathered by document.
 
-Everything is exact but for 64-bit hashes standing for the pieces in step 2 and the windows of hot anchors. Rows with equal id and text count as one document in
-`later`, and as copies of one another in `all`.
+Everything is exact but for 64-bit hashes standing for texts of one id, for the pieces from the third of a kind on and for the windows of hot anchors. Rows with
+equal id and text count as one document in `later`, and as copies of one another in `all`.
 """
 
 from __future__ import annotations
@@ -46,7 +45,7 @@ HOT = 1024
 ROWS = 1000
 #: Rows whose equal pieces are settled together.
 SETTLED_ROWS = 4000
-FIELDS = (("anchor", "<u4"), ("piece", "<u8"), ("doc", "<i8"), ("text", "<i4"), ("at", "<i4"), ("many", "<u1"))
+FIELDS = (("anchor", "<u4"), ("piece", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"))
 #: A text column to (a 64-bit hash of each symbol, bounds of the texts in symbols, the symbols as a solver gets them).
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 #: (symbols of all pieces, bounds, rank of each symbol's place) to a flag for each symbol: a repeated window starts here.
@@ -68,7 +67,7 @@ class Search:
 
 
 def text_key() -> Column:
-    return F.shiftright(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), 32).cast("int")
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -140,37 +139,46 @@ def merged(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray
 
 
 SPAN, ASK, HOT_ASK = range(3)
-SPANS = "doc long, key int, begin int, `end` int, kind int"
+SPANS = "doc long, key long, begin int, `end` int, kind int"
+SETTLED = ("<i8", "<i8", "<i4", "<i4")
 
 
 def spans_batch(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int = SPAN) -> pa.RecordBatch:
-    arrays = [pa.array(doc, pa.int64()), pa.array(text, pa.int32()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(doc), kind, dtype=np.int32))]
+    arrays = [pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(doc), kind, dtype=np.int32))]
     return pa.RecordBatch.from_arrays(arrays, ["doc", "key", "begin", "end", "kind"])
 
 
+def kinds(r: dict[str, np.ndarray], code: np.ndarray, mode: str) -> tuple[np.ndarray, ...]:
+    """Of records in order of (code, piece, doc, text, at): which remain, one of those with the same place; which of these start
+    a kind (equal code and piece), and which are the second of one; and the places that repeated rows make copies (mode `all`)."""
+    new = np.concatenate(([True], (code[1:] != code[:-1]) | (r["piece"][1:] != r["piece"][:-1])))
+    same = ~new & np.concatenate(([False], (r["doc"][1:] == r["doc"][:-1]) & (r["text"][1:] == r["text"][:-1]) & (r["at"][1:] == r["at"][:-1])))
+    left = np.flatnonzero(~same)
+    first = new[left]
+    second = ~first & np.concatenate(([False], first[:-1]))
+    return left, first, second, np.flatnonzero(same) if mode == "all" else np.zeros(0, np.int64)
+
+
 def pack(parts: list[tuple[np.ndarray, ...]], search: Search, buckets: int) -> tuple[list[int], list[bytes], bytes]:
-    """Records (document, text, place, hash, hash of the piece) of a batch: one of equal pieces packed for its bucket, the spans of the others."""
-    doc, text, at, code, piece = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, text, doc, piece, code))
-    doc, text, at, code, piece = doc[order], text[order], at[order], code[order], piece[order]
-    fresh = np.concatenate(([True], (code[1:] != code[:-1]) | (piece[1:] != piece[:-1])))
-    same = np.concatenate(([False], (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (at[1:] == at[:-1]))) & ~fresh
-    if search.mode == "all":
-        same[:] = False  # in `later` a repeated row is no second place
-    many = np.add.reduceat((~same).astype(np.int64), np.flatnonzero(fresh)) > 1
-    rest = ~fresh & ~same
-    spans = merged(doc[rest], text[rest], np.maximum(at[rest] + search.k - search.window, 0), at[rest] + search.window)
+    """Records (document, text, place, hash, hash of the piece) of a batch: the first two of equal pieces packed for their bucket, the spans of the others."""
+    r = dict(zip(("doc", "text", "at", "code", "piece"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+    order = np.lexsort((r["at"], r["text"], r["doc"], r["piece"], r["code"]))
+    r = {n: x[order] for n, x in r.items()}
+    left, first, second, copies = kinds(r, r["code"], search.mode)
+    rest = np.concatenate((left[~first & ~second], copies))
+    at = r["at"][rest]
+    spans = merged(r["doc"][rest], r["text"][rest], np.maximum(at + search.k - search.window, 0), at + search.window)
     # to the buckets, each one's records in order of document
-    firsts = np.flatnonzero(fresh)
-    bucket = (code[firsts] >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((at[firsts], doc[firsts], bucket))
-    firsts, bucket, many = firsts[order], bucket[order], many[order]
-    record = {"anchor": (code[firsts] & np.uint64(0xFFFFFFFF)), "piece": piece[firsts], "doc": doc[firsts], "text": text[firsts], "at": at[firsts], "many": many}
+    kept = left[first | second]
+    bucket = (r["code"][kept] >> np.uint64(32)) % np.uint64(buckets)
+    order = np.lexsort((r["at"][kept], r["doc"][kept], bucket))
+    kept, bucket = kept[order], bucket[order]
+    record = {"anchor": r["code"][kept] & np.uint64(0xFFFFFFFF), **{n: r[n][kept] for n in ("piece", "doc", "text", "at")}}
     record = {n: record[n].astype(t) for n, t in FIELDS}
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     there = np.flatnonzero(np.diff(cuts)).tolist()
     packed = [b"".join(record[n][cuts[b] : cuts[b + 1]].tobytes() for n, _ in FIELDS) for b in there]
-    settled = b"".join([len(spans[0]).to_bytes(4, "little"), *(x.astype(t).tobytes() for x, t in zip(spans, ("<i8", "<i4", "<i4", "<i4"), strict=True))])
+    settled = b"".join([len(spans[0]).to_bytes(4, "little"), *(x.astype(t).tobytes() for x, t in zip(spans, SETTLED, strict=True))])
     return there, packed, settled
 
 
@@ -189,7 +197,7 @@ def unpack(records: list[tuple[int, bytes]]) -> tuple[np.ndarray, dict[str, np.n
 
 def unsettled(raw: bytes) -> pa.RecordBatch | None:
     n, at, out = int.from_bytes(raw[:4], "little"), 4, []
-    for t in ("<i8", "<i4", "<i4", "<i4"):
+    for t in SETTLED:
         out.append(np.frombuffer(raw, t, n, at))
         at += n * np.dtype(t).itemsize
     return spans_batch(*out) if n else None
@@ -227,29 +235,26 @@ def matched(search: Search, records: list[tuple[int, bytes]]) -> Iterator[pa.Rec
     twice = np.zeros(len(code), dtype=bool)
     twice[1:] = code[1:] == code[:-1]
     twice[:-1] |= twice[1:]
-    twice |= r["many"][order] > 0
     order, code = order[twice], code[twice]
+    if not len(code):
+        return
     r = {n: x[order] for n, x in r.items()}
     order = np.lexsort((r["at"], r["text"], r["doc"], r["piece"], code))
     code = code[order]
     r = {n: x[order] for n, x in r.items()}
-    if not len(code):
-        return
+    left, first, second, copies = kinds(r, code, search.mode)
+    code = code[left]
     new_anchor = np.concatenate(([True], code[1:] != code[:-1]))
-    new_piece = new_anchor | np.concatenate(([True], r["piece"][1:] != r["piece"][:-1]))
-    if search.mode == "later":
-        same = ~new_piece & np.concatenate(([False], (r["doc"][1:] == r["doc"][:-1]) & (r["text"][1:] == r["text"][:-1]) & (r["at"][1:] == r["at"][:-1])))
-        full = ~new_piece & ~same
+    pieces = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
+    paired = second | np.concatenate((second[1:], [False]))
+    if search.k == search.window:  # a piece is a window: counting settles it
+        spans, asked = ~first | paired if search.mode == "all" else ~first, np.zeros(len(code), dtype=bool)
     else:
-        group = np.cumsum(new_piece) - 1
-        full = (np.add.reduceat(1 + r["many"].astype(np.int64), np.flatnonzero(new_piece)) > 1)[group]
-    pieces = np.add.reduceat(new_piece.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
-    if search.k == search.window:
-        pieces[:] = 1  # a piece is a window: nothing is left to ask
-    for chosen, kind in ((full, SPAN), (new_piece & (pieces > 1) & (pieces <= search.hot), ASK), (new_piece & (pieces > max(1, search.hot)), HOT_ASK)):
-        x = np.flatnonzero(chosen)
-        for at in range(0, len(x), 50_000):
-            y = x[at : at + 50_000]
+        spans, asked = ~first & ~second, second | first & (paired | (pieces > 1))
+    hot = pieces > search.hot
+    for chosen, kind in ((np.concatenate((left[spans], copies)), SPAN), (left[asked & ~hot], ASK), (left[asked & hot], HOT_ASK)):
+        for at in range(0, len(chosen), 50_000):
+            y = chosen[at : at + 50_000]
             place = r["at"][y].astype(np.int64)
             yield spans_batch(r["doc"][y], r["text"][y], np.maximum(place + search.k - search.window, 0) if kind == SPAN else place, place + search.window, kind)
 
@@ -317,11 +322,11 @@ def _cut(search: Search, buckets: int):
     return run
 
 
-PIECES = "code long, doc long, key int, begin int, piece binary, records binary, spans binary"
+PIECES = "code long, doc long, key long, begin int, piece binary, records binary, spans binary"
 
 
 def pieces_batch(code: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, piece: list, records: list | None = None, spans: list | None = None) -> pa.RecordBatch:
-    columns = [pa.array(code, pa.int64()), pa.array(doc, pa.int64()), pa.array(key.astype(np.int32)), pa.array(begin.astype(np.int32)), *[pa.array(x or [None] * len(code), pa.binary()) for x in (piece, records, spans)]]
+    columns = [pa.array(code, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(begin.astype(np.int32)), *[pa.array(x or [None] * len(code), pa.binary()) for x in (piece, records, spans)]]
     return pa.RecordBatch.from_arrays(columns, ["code", "doc", "key", "begin", "piece", "records", "spans"])
 
 
@@ -402,11 +407,15 @@ def find_repeats(docs: DataFrame, search: Search, kind: str) -> DataFrame:
     return every.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
 
 
+SPANS_COLUMN = "__spans"
+
+
 def with_spans(docs: DataFrame, search: Search, kind: str) -> DataFrame:
-    """docs with __spans (null where there are none)."""
-    spans = find_repeats(docs.select("doc_id", "text"), search, kind).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    rows = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__key": text_key()})
-    return rows.join(spans, ["__doc", "__key"], "left").drop("__doc", "__key")
+    """docs with a further column of the spans (null where there are none)."""
+    spans = find_repeats(docs.select("doc_id", "text"), search, kind)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text_key().alias("key"))
+    rows = rows.join(spans, ["doc", "key"], "left")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != SPANS_COLUMN], F.col("spans").alias(SPANS_COLUMN))
 
 
 def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:

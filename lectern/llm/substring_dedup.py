@@ -2,11 +2,11 @@
 
 ``repeats`` brings runs of words that may be equal into shards of whole groups. Each shard is one compressed FM-index; its
 pieces of documents are streamed against it by backward search over a wavelet matrix, which gives the matching statistics: how many words
-before each place occur elsewhere in the shard. Where they reach ``window`` words, the rows of the index hold
-all occurrences, and the interval is reported if one of them is earlier.
+before each place occur elsewhere in the shard. Where they reach ``window`` words, the rows of the index, located by its kept
+entries of the suffix array, hold all occurrences, and the interval is reported if one of them is earlier.
 
-Words are runs of anything but space and U+0009 to U+000D, unchanged. A null text has none, a text shorter than the window keeps all.
-Rows that repeat id and text are one document; null ids come first. Other columns are ignored; an empty table gives no rows.
+Words are runs of anything but space and U+0009 to U+000D, unchanged. A null text has none, a text shorter than the window keeps all,
+and very long texts are read whole. Rows that repeat id and text are one document; null ids come first, told apart by their text. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -75,7 +75,6 @@ def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: i
     index = FmIndex(sequence)
     place = np.full(len(sequence), np.iinfo(np.int64).max)
     place[at] = places
-    ranked = place[index.order]
     moved = at[starts]
     _, low, high = index.matching(sequence, moved + window, window)
     hit = np.flatnonzero(high > low)
@@ -84,13 +83,14 @@ def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: i
     rows, which = np.unique(low[hit], return_inverse=True)
     stop = np.zeros(len(rows), dtype=np.int64)
     stop[which] = high[hit]
-    cuts = np.column_stack((rows, stop)).ravel()
-    cuts = cuts[:-1] if cuts[-1] == len(ranked) else cuts
-    earliest = np.minimum.reduceat(ranked, cuts)[::2][which]
+    # the places of all occurrences of these windows
+    many = stop - rows
+    found_at = place[index.locate(ranges(rows, many))]
+    cuts = np.cumsum(many) - many
     own = places[starts[hit]]
-    found = own > earliest
+    found = own > np.minimum.reduceat(found_at, cuts)[which]
     if mode == "all":
-        found |= own < np.maximum.reduceat(ranked, cuts)[::2][which]
+        found |= own < np.maximum.reduceat(found_at, cuts)[which]
     flags[starts[hit[found]]] = True
     return flags
 

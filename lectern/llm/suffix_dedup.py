@@ -1,20 +1,20 @@
 """Suffix-array dedup: bytes covered by a long repeated string go.
 
 ``repeats`` brings strings that may be equal into shards of whole groups. In a shard, the suffixes that share their first ``window`` bytes with
-another (rolling hashes tell) are sorted. In suffix order, the previous and next smaller places give each suffix's longest previous
-factor: the longest match with an earlier place, of which only whether it reaches the window matters here. A byte is
-a later copy if it is covered by a place whose longest previous factor reaches the window; the first copy stays (mode
-`later`). Mode `all` also asks for the longest next factor and removes every copy.
+another (rolling hashes tell) make up a suffix array with the common prefixes of neighbours. The nearest smaller places before and after a suffix
+in this order give its longest previous factor: the longest match with an earlier place. A byte is
+a later copy if it is covered by the window of a place whose longest previous factor reaches the window; the first copy stays (mode
+`later`). Mode `all` also asks for longest next factors (of places in reverse) and removes every copy.
 
 Texts are UTF-8 bytes, null is empty, matches never cross documents, and overlaps count. A text shorter than the window keeps
-everything. Rows that repeat id and text are one document in `later` and copies in `all`. Other columns are kept; an empty table
+everything, and very long texts are read whole. Rows that repeat id and text are one document in `later` and copies in `all`; null ids are told apart by their text. Other columns are kept; an empty table
 gives no rows. In the pipeline, bytes of a character that is cut in two are left out of the kept text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,53 +27,78 @@ WINDOW = 200
 K = 64
 
 
-def suffix_order(symbols: np.ndarray, starts: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts that share their first ``window`` symbols with another, in suffix order (equals by place), and where the ones that share them begin.
+def suffix_array(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of the pieces that share their first ``window`` symbols with another, in suffix order (equals by place), and
+    how many symbols each shares with the one before it. Of the suffixes of one place in several pieces the longest stands for all.
 
     A suffix whose window no other has can't reach the threshold; rolling hashes leave these out before anything is sorted."""
-    code = spans_hash(byte_symbols(symbols))(starts, starts + window)
-    order = np.argsort(code)
-    code = code[order]
+    starts = ranges(bounds[:-1], np.maximum(np.diff(bounds) - window + 1, 0))
+    if not len(starts):
+        return starts, starts
+    of = spans_hash(byte_symbols(symbols))
+    code = of(starts, starts + window)
+    by = np.argsort(code)
+    code = code[by]
     fresh = np.concatenate(([True], code[1:] != code[:-1]))
-    lone = fresh & np.concatenate((fresh[1:], [True]))
-    order, fresh = order[~lone], fresh[~lone]
-    if not len(order):
-        return order, order
-    group = np.cumsum(fresh) - 1
-    raw = symbols.tobytes()
-    heads = [raw[i : i + window] for i in starts[order[fresh]].tolist()]
-    rank = np.empty(len(heads), dtype=np.int64)
-    rank[sorted(range(len(heads)), key=heads.__getitem__)] = np.arange(len(heads))
-    order = starts[order]
-    by = np.lexsort((places[order], rank[group]))
-    rank = rank[group][by]
-    return order[by], np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
-
-
-def longest_factors(places: np.ndarray, begin: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor of each suffix, as far as they reach the window (else 0).
-
-    places: in suffix order, begin: where each run of suffixes with equal windows starts. In a run, ordered by place, the previous smaller
-    place of a suffix stands before it; outside of the run all matches are shorter. Equal places are one place and no match."""
-    sizes = np.diff(np.append(begin, len(places)))
-    least = np.repeat(np.minimum.reduceat(places, begin), sizes)
-    greatest = np.repeat(np.maximum.reduceat(places, begin), sizes)
-    return np.where(places > least, window, 0), np.where(places < greatest, window, 0)
+    starts = np.sort(starts[by[~(fresh & np.concatenate((fresh[1:], [True])))]])
+    ends = bounds[np.searchsorted(bounds, starts, side="right")]
+    by = np.lexsort((starts - ends, places[starts]))
+    if not len(by):
+        return by, by
+    by = by[np.concatenate(([True], np.diff(places[starts[by]]) != 0))]
+    starts, ends = starts[by], ends[by]
+    # equal suffixes are one text to sort
+    _, first, which = np.unique(of(starts, ends), return_index=True, return_inverse=True)
+    text = symbols.tobytes().decode("latin-1")
+    texts = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    ordered = np.array(sorted(range(len(texts)), key=texts.__getitem__))
+    rank = np.empty(len(texts), dtype=np.int64)
+    rank[ordered] = np.arange(len(texts))
+    rank = rank[which]
+    by = np.lexsort((places[starts], rank))
+    first = first[ordered]
+    common = np.concatenate(([0], common_prefix(of, starts[first], ends[first])))
+    rank = rank[by]
+    lcp = np.where(np.concatenate(([True], rank[1:] != rank[:-1])), common[rank], (ends - starts)[by])
+    return starts[by], lcp
+
+
+def common_prefix(of: Callable, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many symbols each span shares with the next one, by bisection."""
+    a, b = starts[:-1], starts[1:]
+    low = np.zeros(len(a), dtype=np.int64)
+    high = np.minimum((ends - starts)[:-1], (ends - starts)[1:])
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        equal = of(a, a + middle) == of(b, b + middle)
+        low, high = np.where(equal, middle, low), np.where(equal, high, middle - 1)
+    return low
+
+
+def longest_previous(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, of suffixes in suffix order (distinct places): how much it shares with any suffix of a
+    smaller place. The nearest smaller places before and after it in suffix order share most; one stack finds both."""
+    out = [0] * len(places)
+    held: list[tuple[int, int, int]] = []  # place, index, and what it shares with the one below
+    for i, (place, shared) in enumerate(zip([*places.tolist(), -1], [*lcp.tolist(), 0], strict=True)):
+        while held and held[-1][0] > place:
+            _, j, below = held.pop()
+            out[j] = max(below, shared)
+            shared = min(below, shared)
+        held.append((place, i, shared))
+    return np.array(out, dtype=np.int64)
 
 
 def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int, mode: str) -> np.ndarray:
     """Flags of the symbols at which a repeated window starts."""
     flags = np.zeros(len(symbols), dtype=bool)
-    starts = ranges(bounds[:-1], np.maximum(np.diff(bounds) - window + 1, 0))
-    if len(starts) < 2:
-        return flags
-    order, begin = suffix_order(symbols, starts, places, window)
+    order, lcp = suffix_array(symbols, bounds, places, window)
     if not len(order):
         return flags
-    previous, after = longest_factors(places[order], begin, window)
-    flags[order[previous >= window]] = True
-    if mode == "all":
-        flags[order[after >= window]] = True
+    at = places[order]
+    flags[order[longest_previous(at, lcp) >= window]] = True
+    if mode == "all":  # longest next factors
+        flags[order[longest_previous(at.max() - at, lcp) >= window]] = True
     return flags
 
 
