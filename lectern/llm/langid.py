@@ -5,11 +5,12 @@ frequency. A document's own most frequent n-grams are ranked likewise, and its d
 each is out of place there; an n-gram that a profile lacks counts as the profile's length. The nearest profile wins,
 the smallest name among equals. score is 1 minus the distance over the largest possible.
 
-Profiles come from a sample of labelled rows: of each language, rows chosen by a hash of their id, about ``rows_per_lang``
+Profiles come from a sample of labelled rows: of each language, rows chosen by a hash of id and text, about ``rows_per_lang``
 (a parameter; all rows where there are fewer). The sample bounds what is learned from; predictions read every whole text.
 
-A text that is null or has no letter is `und` with score 0. With nothing learned every text is `und`. Repeated rows fare
-alike, other columns are ignored, and an empty table gives no rows.
+A text that is null or has no letter is `und` with score 0. With nothing learned (no labelled row) every text is `und` in `identify`; the filter
+`in_a_language` then keeps what has a letter. Null ids are drawn by their text. Very long texts are read whole. Repeated rows fare
+alike, other columns are kept by the filter and ignored otherwise, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ LENGTHS = (1, 2, 3)
 PROFILE = 1000
 DOCUMENT = 1000
 ROWS_PER_LANG = 8000
+#: Languages learned: those with the most labelled rows. Bounds what is broadcast: PROFILE n-grams for each.
+MOST_LANGS = 1000
+#: A text whose score is lower is in none of the learned languages.
+LEAST_SCORE = 0.3
 BLANK = 32
 
 _LETTERS: list[np.ndarray] = []
@@ -92,11 +97,11 @@ def learn(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, profile: int = PR
     """(doc_id, text, lang) of labelled rows to each language's profile. Counts are summed by task, then by Spark; a profile
     (bounded) for each language comes to the driver."""
     labelled = bounded(rows).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {lang: n for lang, n in labelled.groupBy("lang").count().collect()}
+    counts = {lang: n for lang, n in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return {}
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_lang / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.get(F.array(share), F.lit(0))[F.col("lang")] * (1 << 30)
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.get(F.array(share), F.lit(0))[F.col("lang")] * (1 << 30)
     sample = labelled.where(drawn).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +174,14 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def in_a_language(docs: DataFrame) -> DataFrame:
-    """docs without those that are in no language: null, or without a letter. Languages are learned from docs themselves."""
+def in_a_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """docs without those that are in no language: null, without a letter, or farther from every profile than the least score
+    allows. Languages are learned from docs themselves; with none to learn from, whatever has a letter stays."""
     profiles = learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return identify(docs, profiles, ("__lang", "__score")).where("__lang <> 'und'").select(*docs.columns)
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    added = ("lang_pred", "score")
+    own = [c for c in docs.columns if c in added]  # columns of docs that have names of ours keep their values
+    marked = docs.withColumns({f"__{c}__": F.col(c) for c in own})
+    found = identify(marked, profiles, added).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return found.drop(*added).withColumnsRenamed({f"__{c}__": c for c in own}).select(*docs.columns)

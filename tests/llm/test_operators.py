@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import bpe, html_text, jaccard_join, langid, mixing, nn_descent, order_minhash, substring_dedup, suffix_dedup, token_store
 from lectern.llm.common import new_path, range_bucket, utf8, words
@@ -87,10 +88,35 @@ def test_words_and_bytes():
     assert utf8(sliced)[0].tobytes() == b"yy"
 
 
-def test_range_bucket_is_ordered(spark):
-    rows = spark.range(1000).selectExpr("case when id % 10 = 0 then null else id * id end as k")
-    got = rows.withColumn("b", range_bucket(rows, "k", 5)).where("k is not null").orderBy("k").collect()
+def least(i):
+    return -(1 << 63) if i is None else i
+
+
+@pytest.mark.parametrize("ids", [[None if i % 10 == 0 else i * i for i in range(1000)], [*range(999), 1 << 61], [None] * 500 + [-(1 << 63)] * 200 + list(range(300)), [-(1 << 63), -5, 7, (1 << 63) - 1] * 250])
+def test_range_bucket_is_ordered_and_even(spark, ids):
+    rows = spark.createDataFrame([(k,) for k in ids], "k long").repartition(3).selectExpr("k", "xxhash64(k, rand(3)) as h")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    deal, _ = range_bucket(rows, "k", 5)
+    got = sorted(rows.withColumn("b", deal(F.col("k"), F.col("h"))).collect(), key=lambda r: (r["k"] is not None, least(r["k"]), r["h"]))
     assert [r["b"] for r in got] == sorted(r["b"] for r in got) and 0 <= got[0]["b"] and got[-1]["b"] <= 4
+    assert max(Counter(r["b"] for r in got).values()) <= 520
+
+
+def test_wide_and_uneven_ids(spark):
+    ids = [-(1 << 63), -(1 << 63) + 1, -3, 0, 1, 2, 3, (1 << 63) - 1, *range(100, 130), None, None]
+    rows = [(i, f"text of {i} number {n}") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    where = new_path(spark, "store")
+    token_store.write_tokens(docs, where, path("byte_bpe_50k.json"))
+    starts = sorted(token_store.read_tokens(spark, where).collect(), key=lambda r: r["start"])
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[0] is not None, least(r[0])))]
+    assert [r["doc_id"] for r in starts] == order
+    by = dict(rows)
+    got = {r["doc_id"]: r["edited_sha256"] for r in order_minhash.against_next(docs).collect()}
+    down = sorted([i for i in ids if i is not None], reverse=True)
+    for i, j in zip(down, down[1:]):
+        third = len(by[i]) // 3
+        assert got[i] == hashlib.sha256((by[i][: len(by[i]) - third] + by[j][:third]).encode()).hexdigest()
 
 
 # -- 1 token store
@@ -133,6 +159,38 @@ def test_token_store_format(spark, docs):
         last = shards[0]
 
 
+@pytest.mark.parametrize("bits", [4, 10])
+def test_a_full_memory_grows(monkeypatch, bits):
+    monkeypatch.setattr(token_store, "SLOT_BITS", bits)
+    memory = token_store.Memory()
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype("u8")
+    for at in range(0, 5000, 17):
+        part = keys[at : at + 17]
+        memory.add(part, part ^ np.uint64(7), np.ones(len(part), dtype=int), np.arange(at, at + len(part)))
+    found = memory.find(keys, keys ^ np.uint64(7))
+    assert (memory.ids[memory.starts[found]] == np.arange(5000)).all() and (memory.find(keys, keys) == -1).all()
+    memory.clear()
+    assert (memory.find(keys, keys ^ np.uint64(7)) == -1).all()
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    """Two pieces with one hash: the texts with the second one are encoded whole."""
+    encoder = token_store.PieceEncoder(path("byte_bpe_50k.json"))
+    texts = ["some words here", "other words there and here", "", "more of them"]
+    want = encoder.direct(texts)
+    whole, calls = token_store.spans_hash, []
+
+    def narrow(symbols):  # keys of two bits, checks as they are
+        calls.append(0)
+        of = whole(symbols)
+        return (lambda a, b: of(a, b) % np.uint64(4)) if len(calls) % 2 else of
+
+    monkeypatch.setattr(token_store, "spans_hash", narrow)
+    raw, bounds = utf8(pa.array(texts))
+    counts, ids = encoder.encode(raw, bounds)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+
+
 def test_pieces_equal_the_library():
     encoder = token_store.PieceEncoder(path("byte_bpe_50k.json"))
     r = random.Random(4)
@@ -208,6 +266,43 @@ def test_suffix_solver_on_tiny_alphabets():
             assert (substring_dedup.solve(symbols.astype("u8"), bounds, np.arange(len(symbols)), window, mode) == want).all()
 
 
+def test_longest_previous_factors():
+    """The array itself: for every place, the longest match with an earlier place, each piece by itself."""
+    r = random.Random(8)
+    for _ in range(200):
+        window = r.choice([1, 2, 5])
+        pieces = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 25))) for _ in range(r.randint(1, 5))]
+        pieces += [pieces[0]] * r.randint(0, 2)
+        symbols, ends = np.frombuffer(b"".join(pieces), dtype="u1"), np.cumsum([len(p) for p in pieces])
+        bounds = np.concatenate(([0], ends))
+        places = np.array(r.sample(range(1000), len(symbols)))
+        end = np.repeat(ends, np.diff(bounds))
+        share = lambda i, j: next((n for n in range(min(end[i] - i, end[j] - j)) if symbols[i + n] != symbols[j + n]), min(end[i] - i, end[j] - j))
+        order, lcp = suffix_dedup.suffix_array(symbols, bounds, places, window)
+        assert [symbols[i : end[i]].tobytes() for i in order] == sorted(symbols[i : end[i]].tobytes() for i in order)
+        assert all(n == share(a, b) for a, b, n in zip(order, order[1:], lcp[1:]))
+        got = dict(zip(order.tolist(), suffix_dedup.longest_previous(places[order], lcp).tolist())) if len(order) else {}
+        for i in range(len(symbols)):
+            want = max([share(i, j) for j in range(len(symbols)) if places[j] < places[i]], default=0)
+            assert got.get(i, 0) == want if want >= window else got.get(i, 0) < window
+
+
+def test_null_ids_are_told_apart_by_whole_hashes():
+    """Texts without an id are one document but for the hash of their text, which has 64 bits."""
+    from lectern.llm import repeats
+
+    assert dict(repeats.FIELDS)["text"] == "<i8" and "key long" in repeats.SPANS and "key long" in repeats.PIECES
+
+
+def test_many_null_ids(spark):
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(260))
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(150, 400))) + (passage if i % 50 == 0 else "") for i in range(600)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(4)
+    got = suffix_dedup.dedup(docs, mode="all").collect()
+    assert sorted(len(r["text"]) for r in got) == sorted(len(x) for x in removed_bytes([(None, t) for t in texts], 200, "all"))
+
+
 # -- 3 order MinHash
 
 
@@ -228,6 +323,39 @@ def test_order_minhash(docs, none):
     assert row["near_next"] == 1.0  # its own next
 
 
+def plain_fingerprint(text, k=order_minhash.K):
+    """Order MinHash in plain Python, k-mer by k-mer."""
+    if not text:
+        return [0] * order_minhash.FUNCTIONS
+    k = min(k, len(text))
+    seen, codes, marks = Counter(), [], []
+    for i in range(len(text) - k + 1):
+        code = 0
+        for c in text[i : i + k]:
+            code = (code * 0x100000001B3 + ord(c)) % 2**64
+        code = plain_mix((code + k) % 2**64)
+        codes.append(code)
+        marks.append(plain_mix((code + seen[text[i : i + k]] * 0x9E3779B97F4A7C15) % 2**64) >> 32)
+        seen[text[i : i + k]] += 1
+    out = []
+    for f, (x, m) in enumerate(zip(order_minhash._XOR[:, 0].tolist(), order_minhash._MULTIPLY[:, 0].tolist())):
+        least = sorted(range(len(marks)), key=lambda i: ((marks[i] ^ x) * m % 2**32, i))[: order_minhash.TUPLE]
+        mark = f + 1
+        for i in sorted(least):
+            mark = plain_mix((mark * 0x100000001B3 + codes[i]) % 2**64)
+        out.append(max(mark >> 32, 1))
+    return out
+
+
+def test_order_minhash_against_a_plain_version(monkeypatch):
+    r = random.Random(4)
+    texts = ["", "a", "abcdefg", "abcdefgh", "ab" * 60, "aaaaaaaaaaaaaaaaaa", "日本語 " * 30, "".join(r.choice("abc d") for _ in range(3000))]
+    for cells in (order_minhash.CELLS, 5000):  # a long text goes through some functions at a time
+        monkeypatch.setattr(order_minhash, "CELLS", cells)
+        for text in texts:
+            assert order_minhash.fingerprint(text).tolist() == plain_fingerprint(text)
+
+
 def test_order_minhash_is_about_order_and_edits():
     v, r = vocabulary(), random.Random(8)
     text = " ".join(r.choice(v) for _ in range(300))
@@ -322,7 +450,7 @@ def test_language(spark):
     assert got[1003]["lang_pred"] in profiles and got[None]["lang_pred"] == "aa"
     assert all(0 <= x["score"] <= 1 for x in got.values())
     kept = langid.in_a_language(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {1000, 1001, 1002}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {1000, 1001, 1002, 1003}  # the last is far from all profiles
     assert all(r["score"] == 0.5 for r in kept.collect())
     empty = spark.createDataFrame([], docs.schema)
     assert langid.learn(empty) == {} and langid.in_a_language(empty).collect() == []
@@ -331,6 +459,92 @@ def test_language(spark):
 # -- 6 BPE
 
 
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def spark_hash(x):
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64(struct.pack("<Q", x), seed=42).intdigest()
+    return h - (h >> 63 << 64)
+
+
+def plain_ranks(texts, most, tie=plain_mix):
+    """n-grams of 1 to 3 letters by falling frequency, in plain Python; equals by a hash."""
+    import unicodedata
+
+    counts = Counter()
+    for text in texts:
+        out = " "
+        for c in text + " ":
+            low = c.lower() if len(c.lower()) == 1 else c
+            c = low if c.isalpha() else c if unicodedata.category(c)[0] == "M" else " "
+            out += "" if c == " " and out[-1] == " " else c
+        for n in (1, 2, 3):
+            for i in range(len(out) - n + 1):
+                gram = out[i : i + n]
+                if gram.strip() and " " not in gram[1:-1]:
+                    counts[gram] += 1
+
+    def code(gram):
+        x = ord(gram[0])
+        for n, c in enumerate(gram[1:], 2):
+            x = (x * 0x100000001B3 + ord(c) + (n << 40)) % 2**64
+        return x
+
+    return sorted(counts, key=lambda g: (-counts[g], tie(code(g))))[:most]
+
+
+def test_language_against_a_plain_version(spark):
+    r = random.Random(15)
+    letters = {"aa": "abcde fgh", "bb": "defgh ijéÀ", "cc": "жзи клмé"}
+    make = lambda lang, n: "".join(r.choice(letters[lang] + "  1!.") for _ in range(n))
+    rows = [(i, make(lang, r.choice([3, 40, 700])), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 25)]
+    rows += [(100, "a" * 60_000 + " cb" * 20_000, None), (101, "é", None), (102, "ab ab", None), (103, "ab ab", None), (104, "İstanbul ǅ", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = langid.learn(docs)
+    plain_profiles = {lang: plain_ranks([t for _, t, of in rows if of == lang], langid.PROFILE, spark_hash) for lang in letters}
+    length = max(map(len, plain_profiles.values()))
+    got = {x["doc_id"]: x for x in langid.identify(docs, profiles).collect()}
+    for i, text, _ in rows:
+        own = plain_ranks([text], langid.DOCUMENT)
+        away = {}
+        for lang, grams in plain_profiles.items():
+            rank = {g: k for k, g in enumerate(grams)}
+            away[lang] = sum(min(abs(rank[g] - k), length) if g in rank else length for k, g in enumerate(own))
+        if own:
+            best = min(away, key=lambda x: (away[x], x))
+            assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 - away[best] / length / len(own))
+        else:
+            assert got[i]["lang_pred"] == "und"
+
+
+def test_language_ties_and_nothing_to_learn(spark):
+    same = [(i, "abc abd", lang) for i, lang in enumerate(["zz", "bb"] * 4)]
+    docs = spark.createDataFrame(same, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.learn(docs)).collect()} == {"bb"}
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t in enumerate(["some words", "a", "", None, "12 ?", "日本"])], "doc_id long, text string, lang string")
+    assert langid.learn(unlabelled) == {}
+    assert {r["lang_pred"] for r in langid.identify(unlabelled, {}).collect()} == {"und"}
+    assert sorted(r["doc_id"] for r in langid.in_a_language(unlabelled).collect()) == [0, 1, 5]
+
+
+def test_language_learns_from_rows_without_ids(spark):
+    r = random.Random(2)
+    rows = [(None, "".join(r.choice("abcdef ") for _ in range(30)), "en") for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few = langid.learn(docs, rows_per_lang=40)["en"]
+    counts = Counter(langid.grams(" ".join(t for _, t, _ in rows)).tolist())
+    assert 0 < len(few) < len(counts)  # a part of the rows: neither none nor all
+
+
 def test_bpe_equals_the_library(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -464,15 +678,19 @@ def test_fm_index():
         symbol = r.integers(0, 5, 50)
         low, high = matrix.rank(symbol, np.zeros(50, np.int64), at)
         assert (high == [np.count_nonzero(x[:i] == s) for s, i in zip(symbol, at)]).all()
-        index = FmIndex(x)
-        assert [tuple(x[i:]) for i in index.order] == sorted(tuple(x[i:]) for i in range(len(x)))
+        symbols, before = matrix.access(np.arange(len(x)))
+        assert (symbols == x).all() and (before == [np.count_nonzero(x[:i] == x[i]) for i in range(len(x))]).all()
+        index = FmIndex(x, step=3)
+        order = index.locate(np.arange(len(x)))
+        assert [tuple(x[i:]) for i in order] == sorted(tuple(x[i:]) for i in range(len(x)))
+        assert len(index.places) == (len(x) + 2) // 3
         ends = np.arange(3, len(x) + 1)
         length, low, high = index.matching(x, ends, 3)
         for e, n, a, b in zip(ends, length, low, high):
             same = [i for i in range(len(x) - 2) if tuple(x[i : i + 3]) == tuple(x[e - 3 : e])]
             assert (n == 3) == (len(same) > 1)
             if n == 3:
-                assert sorted(index.order[a:b]) == same
+                assert sorted(index.locate(np.arange(a, b))) == same
 
 
 # -- 9 nearest neighbours
