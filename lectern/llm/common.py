@@ -138,7 +138,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and where each row starts and the last one ends. Null counts as empty."""
-    column = column.fill_null("")
+    column = column.fill_null(pa.scalar("" if not pa.types.is_binary(column.type) else b"", column.type))
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     wide = pa.types.is_large_string(column.type)

@@ -56,14 +56,14 @@ class WaveletMatrix:
 
     def rank(self, symbol: np.ndarray, at: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol stands among the first `at`, and the first `upto`, of the sequence."""
-        low, a, b = np.zeros_like(at), at, upto
+        both = np.concatenate((at, upto))
+        symbols = np.concatenate((symbol, symbol))
         for k, bits in enumerate(self.bits):
-            one = (symbol >> (self.levels - 1 - k) & 1).astype(bool)
-            ones_low, ones_a, ones_b = bits.ones(low), bits.ones(a), bits.ones(b)
-            low = np.where(one, bits.zeros + ones_low, low - ones_low)
-            a = np.where(one, bits.zeros + ones_a, a - ones_a)
-            b = np.where(one, bits.zeros + ones_b, b - ones_b)
-        return a - low, b - low
+            one = (symbols >> (self.levels - 1 - k) & 1).astype(bool)
+            ones = bits.ones(both)
+            both = np.where(one, bits.zeros + ones, both - ones)
+        both -= self.begin[symbols]
+        return both[: len(at)], both[len(at) :]
 
 
 def suffix_array(sequence: np.ndarray) -> np.ndarray:
@@ -74,7 +74,7 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
     while True:
         code = rank << 32
         code[: n - width] |= rank[width:]
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         code = code[order]
         fresh = np.concatenate(([True], code[1:] != code[:-1]))
         rank[order] = np.cumsum(fresh)
@@ -120,21 +120,22 @@ class FmIndex:
     def rows(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.below[symbol + 1], self.below[symbol + 2]
 
-    def matching(self, patterns: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of streamed patterns, up to ``window``: for each place in ends, how many symbols before it occur in a row
-        at least twice in the index, and the rows of those that reach the window."""
+    def matching(self, patterns: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of streamed patterns, up to given lengths: for each place in ends, how many symbols before it occur in a row
+        at least twice in the index, and the rows of those that reach the length asked for."""
         length = np.zeros(len(ends), dtype=np.int64)
-        live = np.arange(len(ends))
+        live = np.flatnonzero(lengths > 0)
         low = np.zeros(len(ends), dtype=np.int64)
         high = np.full(len(ends), self.size + 1, dtype=np.int64)
-        for step in range(window):
+        step = 0
+        while len(live):
             symbol = patterns[ends[live] - 1 - step]
             a, b = self.rows(symbol) if step == 0 else self.extend(symbol, low[live], high[live])
             more = b - a > 1
             live = live[more]
             low[live], high[live] = a[more], b[more]
-            length[live] = step + 1
-            if not len(live):
-                break
-        reached = length == window
+            step += 1
+            length[live] = step
+            live = live[lengths[live] > step]
+        reached = length == lengths
         return length, np.where(reached, low - 1, 0), np.where(reached, high - 1, 0)

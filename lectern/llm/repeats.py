@@ -5,13 +5,13 @@ A document is a sequence of symbols, and a window is ``window`` of them in a row
 
 1. Anchors. Of the runs of k symbols in a window, the one with the least hash is the window's anchor; equal windows have
    equal anchors at equal places, and neighbouring windows mostly share theirs. An anchor's piece is all the windows that
-   hold it. For each anchor its hash, the hash of its piece and its place are dealt out by the anchor's hash, packed as arrays. The first
+   it is the anchor of. For each anchor its hash, the hash of its piece and its place are dealt out by the anchor's hash, packed as arrays. The first
    two of a batch's equal pieces go on, so that what a hot passage adds to one task is two records a batch.
-2. Kinds. Of an anchor's equal pieces the first two are asked for, of a kind with one piece that one, if the anchor has another. From the third
-   of a kind on, pieces fare as the second one: they are pre-aggregated into it, and all their windows repeat.
-3. Solving. The asked pieces are cut out of the texts and dealt by an extended anchor (to the left, or to the right: each
-   window goes with one of the two), which separates passages that merely share a short phrase. Extended anchors that only
-   one piece has are dropped. The rest come by whole groups into shards, and a solver (a suffix array, an FM-index) tells which of their windows repeat.
+2. Kinds. Of an anchor's equal pieces the first two are asked for as a pair, and if an anchor has unequal pieces, the first of each kind. From the third
+   of a kind on, pieces are pre-aggregated into the second one and fare as it does.
+3. Solving. The asked pieces are cut out of the texts, pairs are dealt by the hash of the piece, others by an extended anchor (to the left, or to the right: each
+   window goes with one of the two), which separates passages that merely share a short phrase. Groups of one piece are dropped. The
+   rest come by whole groups into shards, and a solver (a suffix array, an FM-index) tells which pieces of pairs repeat as a whole, and which windows of the others repeat.
    An anchor with more than ``HOT`` kinds of pieces would make a group without bound. Its windows are dealt out by the hash of each, equal ones of
    a batch settled first as in step 1, so that no task gets more than its share.
 4. The spans found are gathered by document.
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, lean, mix, partitions, ranges, slices, spans_hash, written
 
-#: Symbols scanned at once, and held by a solver at once (more if one group is larger).
+#: Symbols scanned at once, and bytes of pieces held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
-SHARD = 1 << 19
+SHARD = 1 << 20
 #: Bits of a hash that give way to a place while anchors are chosen; longer texts are scanned in stretches.
 PLACE_BITS = 24
 #: Pieces of an anchor beyond which it is hot: its windows are counted one by one.
@@ -45,11 +45,15 @@ HOT = 1024
 ROWS = 1000
 #: Rows whose equal pieces are settled together.
 SETTLED_ROWS = 4000
-FIELDS = (("anchor", "<u4"), ("piece", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"))
-#: A text column to (a 64-bit hash of each symbol, bounds of the texts in symbols, the symbols as a solver gets them).
-Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
-#: (symbols of all pieces, bounds, rank of each symbol's place) to a flag for each symbol: a repeated window starts here.
-Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, int, str], np.ndarray]
+#: A record: a piece begins at a place of a text, has its anchor some symbols further on, and a size.
+FIELDS = (("anchor", "<u4"), ("piece", "<u8"), ("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("off", "<u2"), ("size", "<u2"))
+#: A text column to (a 64-bit hash of each symbol, bounds of the texts in symbols, a function that cuts pieces [start, stop) out as bytes).
+Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray, Callable[[np.ndarray, np.ndarray], list[bytes]]]]
+#: A column of pieces to (their symbols as the solver gets them, bounds).
+Reader = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: (symbols of all pieces, bounds, rank of each symbol's place, window, mode, whole) to a flag for each symbol: a repeated window, or
+#: (whole) a piece that repeats as a whole, starts here.
+Solver = Callable[[np.ndarray, np.ndarray, np.ndarray, int, str, bool], np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -58,6 +62,7 @@ class Search:
     k: int
     mode: str  # all | later
     symbols: Symbols
+    reader: Reader
     solver: Solver
     hot: int = HOT
 
@@ -93,7 +98,7 @@ def least_places(code: np.ndarray, span: int) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np.ndarray, ...]:
-    """Place, document (index), start and end of the piece, hash, and hash of the piece, of each anchor."""
+    """Place, document (index), start and end of the piece, hash, and hash of the piece, of each anchor. A window belongs to one piece."""
     window, k = search.window, search.k
     n = len(symbols)
     if n < window:
@@ -105,11 +110,12 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np
     whole = np.ones(n + 1, dtype=bool)
     low = np.maximum(bounds[1:] - window + 1, bounds[:-1])
     whole[ranges(low, bounds[1:] - low)] = False
-    at = least[whole[: len(least)]]
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    start = np.flatnonzero(whole[: len(least)])
+    at = least[start]
+    new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else start
+    at, begin = at[new], start[new]
+    end = start[np.append(new[1:], len(start)) - 1] + window if len(at) else begin
     doc = np.searchsorted(bounds, at, side="right") - 1
-    begin = np.maximum(at + k - window, bounds[doc])
-    end = np.minimum(at + window, bounds[doc + 1])
     piece = mix(of(begin, end) + (at - begin).astype(np.uint64))
     return at, doc, begin, end, code[at], piece
 
@@ -138,13 +144,14 @@ def merged(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray
     return doc[at], text[at], begin[at], np.maximum.reduceat(end, at)
 
 
-SPAN, ASK, HOT_ASK = range(3)
+#: What is said of a piece: its span repeats, or what is asked for (bits), with the place of the anchor in the bits above.
+SPAN, ASK, HOT_ASK, PAIR, OFF = 0, 1, 2, 4, 3
 SPANS = "doc long, key long, begin int, `end` int, kind int"
 SETTLED = ("<i8", "<i8", "<i4", "<i4")
 
 
-def spans_batch(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: int = SPAN) -> pa.RecordBatch:
-    arrays = [pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.full(len(doc), kind, dtype=np.int32))]
+def spans_batch(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray | int = SPAN) -> pa.RecordBatch:
+    arrays = [pa.array(doc, pa.int64()), pa.array(text, pa.int64()), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.broadcast_to(np.asarray(kind, dtype=np.int32), len(doc)))]
     return pa.RecordBatch.from_arrays(arrays, ["doc", "key", "begin", "end", "kind"])
 
 
@@ -160,20 +167,19 @@ def kinds(r: dict[str, np.ndarray], code: np.ndarray, mode: str) -> tuple[np.nda
 
 
 def pack(parts: list[tuple[np.ndarray, ...]], search: Search, buckets: int) -> tuple[list[int], list[bytes], bytes]:
-    """Records (document, text, place, hash, hash of the piece) of a batch: the first two of equal pieces packed for their bucket, the spans of the others."""
-    r = dict(zip(("doc", "text", "at", "code", "piece"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+    """Records of a batch: the first two of equal pieces packed for their bucket, the spans of the others."""
+    r = dict(zip(("doc", "text", "at", "off", "size", "code", "piece"), (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
     order = np.lexsort((r["at"], r["text"], r["doc"], r["piece"], r["code"]))
     r = {n: x[order] for n, x in r.items()}
     left, first, second, copies = kinds(r, r["code"], search.mode)
     rest = np.concatenate((left[~first & ~second], copies))
-    at = r["at"][rest]
-    spans = merged(r["doc"][rest], r["text"][rest], np.maximum(at + search.k - search.window, 0), at + search.window)
+    spans = merged(r["doc"][rest], r["text"][rest], r["at"][rest], r["at"][rest] + r["size"][rest])
     # to the buckets, each one's records in order of document
     kept = left[first | second]
     bucket = (r["code"][kept] >> np.uint64(32)) % np.uint64(buckets)
     order = np.lexsort((r["at"][kept], r["doc"][kept], bucket))
     kept, bucket = kept[order], bucket[order]
-    record = {"anchor": r["code"][kept] & np.uint64(0xFFFFFFFF), **{n: r[n][kept] for n in ("piece", "doc", "text", "at")}}
+    record = {"anchor": r["code"][kept] & np.uint64(0xFFFFFFFF), **{n: r[n][kept] for n in ("piece", "doc", "text", "at", "off", "size")}}
     record = {n: record[n].astype(t) for n, t in FIELDS}
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     there = np.flatnonzero(np.diff(cuts)).tolist()
@@ -211,8 +217,8 @@ def _scan(search: Search, buckets: int):
                 docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
                 symbols, bounds, _ = search.symbols(batch.column("text"))
                 for first, some, ends in scans(symbols, bounds):
-                    at, doc, _, _, code, piece = anchors(some, ends, search)
-                    parts.append((docs[doc + first], keys[doc + first], at - ends[doc], code, piece))
+                    at, doc, begin, end, code, piece = anchors(some, ends, search)
+                    parts.append((docs[doc + first], keys[doc + first], begin - ends[doc], at - begin, end - begin, code, piece))
                 rows += len(docs)
             if batch is not None and rows < SETTLED_ROWS or not sum(len(p[0]) for p in parts):
                 continue
@@ -248,15 +254,15 @@ def matched(search: Search, records: list[tuple[int, bytes]]) -> Iterator[pa.Rec
     pieces = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_anchor))[np.cumsum(new_anchor) - 1]
     paired = second | np.concatenate((second[1:], [False]))
     if search.k == search.window:  # a piece is a window: counting settles it
-        spans, asked = ~first | paired if search.mode == "all" else ~first, np.zeros(len(code), dtype=bool)
+        spans, bits = ~first | paired if search.mode == "all" else ~first, np.zeros(len(code), dtype=np.int64)
     else:
-        spans, asked = ~first & ~second, second | first & (paired | (pieces > 1))
-    hot = pieces > search.hot
-    for chosen, kind in ((np.concatenate((left[spans], copies)), SPAN), (left[asked & ~hot], ASK), (left[asked & hot], HOT_ASK)):
-        for at in range(0, len(chosen), 50_000):
-            y = chosen[at : at + 50_000]
-            place = r["at"][y].astype(np.int64)
-            yield spans_batch(r["doc"][y], r["text"][y], np.maximum(place + search.k - search.window, 0) if kind == SPAN else place, place + search.window, kind)
+        spans, bits = ~first & ~second, np.where(paired & (first | second), PAIR, 0) | np.where(first & (pieces > 1), np.where(pieces > search.hot, HOT_ASK, ASK), 0)
+    said = np.concatenate((left[spans], copies, left[bits > 0]))
+    bits = np.concatenate((np.full(len(said) - np.count_nonzero(bits), SPAN), bits[bits > 0]))
+    for at in range(0, len(said), 50_000):
+        y, kind = said[at : at + 50_000], bits[at : at + 50_000]
+        begin = r["at"][y].astype(np.int64)
+        yield spans_batch(r["doc"][y], r["text"][y], begin, begin + r["size"][y], np.where(kind == SPAN, SPAN, kind | r["off"][y].astype(np.int64) << OFF))
 
 
 def _match(search: Search):
@@ -274,135 +280,141 @@ def _match(search: Search):
 
 
 def _cut(search: Search, buckets: int):
-    """Texts with the places of their asked anchors, to pieces with their extended anchors; pieces of hot anchors window by window, packed."""
+    """Texts with what is asked of them, to pieces with the code to deal them by; pieces of hot anchors window by window, packed."""
     single = replace(search, k=search.window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
             docs, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
-            symbols, bounds, plain = search.symbols(batch.column("text"))
-            lists = batch.column("places")
-            counts = np.diff(lists.offsets.to_numpy())  # of the slice
-            places = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            upto = np.concatenate(([0], np.cumsum(counts)))
+            symbols, bounds, cut = search.symbols(batch.column("text"))
+            lists = batch.column("asks")
+            upto = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))  # of the slice
+            asks = lists.flatten()
+            fields = [asks.field(i).to_numpy().astype(np.int64) for i in range(3)]
             hot = []
             for first, some, ends in scans(symbols, bounds):
                 n = len(ends) - 1
-                doc = np.repeat(np.arange(n), counts[first : first + n])
-                at = places[upto[first] : upto[first + n]]
-                if not len(at):
+                doc = np.repeat(np.arange(n), np.diff(upto[first : first + n + 1]))
+                begin, end, kind = (x[upto[first] : upto[first + n]] for x in fields)
+                if not len(doc):
                     continue
-                is_hot = at < 0  # as ~place
-                at = np.where(is_hot, ~at, at) + ends[doc]
+                begin, end = begin + ends[doc], end + ends[doc]
+                at = begin + (kind >> OFF)
                 of = spans_hash(some)
-                begin = np.maximum(at + search.k - search.window, ends[doc])
-                end = np.minimum(at + search.window, ends[doc + 1])
-                x = np.flatnonzero(is_hot)
+                x = np.flatnonzero(kind & HOT_ASK)
                 start = np.unique(ranges(begin[x], end[x] - begin[x] - search.window + 1))
                 owner = np.searchsorted(ends, start, side="right") - 1
                 code = of(start, start + search.window)
-                hot.append((docs[first + owner], keys[first + owner], start - ends[owner], code, code))
-                doc, at = doc[~is_hot], at[~is_hot]
-                begin = np.maximum(at + search.k - search.window, ends[doc])
-                end = np.minimum(at + search.window, ends[doc + 1])
+                hot.append((docs[first + owner], keys[first + owner], start - ends[owner], np.zeros(len(start), np.int64), np.full(len(start), search.window), code, code))
                 left = at - search.half  # windows from here or before hold the anchor extended to the left, others the one to the right
-                sides = ((1, begin, np.minimum(left + search.window, end), left, at + search.k), (2, np.maximum(begin, left + 1), end, at, at + search.k + search.half))
-                for side, start, stop, a, b in sides:
-                    x = np.flatnonzero((stop - start >= search.window) & (start <= a) & (b <= stop))
-                    code = mix(of(a[x], b[x]) + np.uint64(side)).view(np.int64)
-                    raw = [plain[p:q].tobytes() for p, q in zip((start[x] + bounds[first]).tolist(), (stop[x] + bounds[first]).tolist(), strict=True)]
+                one, two, three = (np.flatnonzero(c) for c in ((kind & PAIR) > 0, ((kind & ASK) > 0) & (begin <= left), ((kind & ASK) > 0) & (end - search.window > left)))
+                sides = (
+                    (0, one, begin[one], end[one], begin[one], end[one]),
+                    (1, two, begin[two], np.minimum(left[two] + search.window, end[two]), left[two], at[two] + search.k),
+                    (2, three, np.maximum(begin, left + 1)[three], end[three], at[three], at[three] + search.k + search.half),
+                )
+                for side, x, start, stop, a, b in sides:
+                    code = mix(of(a, b) + np.uint64(side)).view(np.int64)
                     for s in range(0, len(x), 20_000):
-                        y = x[s : s + 20_000]
-                        yield pieces_batch(code[s : s + 20_000], docs[first + doc[y]], keys[first + doc[y]], start[y] - ends[doc[y]], raw[s : s + 20_000])
+                        y = slice(s, s + 20_000)
+                        raw = cut(start[y] + bounds[first], stop[y] + bounds[first])
+                        yield pieces_batch(code[y], docs[first + doc[x[y]]], keys[first + doc[x[y]]], start[y] - ends[doc[x[y]]], raw, side == 0)
             if sum(len(p[0]) for p in hot):
                 there, packed, settled = pack(hot, single, buckets)
                 none = np.zeros(len(there) + 1, dtype=np.int64)
-                yield pieces_batch(np.array([*there, int(docs[0]) % buckets]), none, none, none, [None] * len(none), [*packed, None], [None] * len(there) + [settled])
+                yield pieces_batch(np.array([*there, int(docs[0]) % buckets]), none, none, none, [None] * len(none), False, [*packed, None], [None] * len(there) + [settled])
 
     return run
 
 
-PIECES = "code long, doc long, key long, begin int, piece binary, records binary, spans binary"
+PIECES = "code long, doc long, key long, begin int, piece binary, whole boolean, records binary, spans binary"
 
 
-def pieces_batch(code: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, piece: list, records: list | None = None, spans: list | None = None) -> pa.RecordBatch:
-    columns = [pa.array(code, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(begin.astype(np.int32)), *[pa.array(x or [None] * len(code), pa.binary()) for x in (piece, records, spans)]]
-    return pa.RecordBatch.from_arrays(columns, ["code", "doc", "key", "begin", "piece", "records", "spans"])
+def pieces_batch(code: np.ndarray, doc: np.ndarray, key: np.ndarray, begin: np.ndarray, piece: list, whole: bool, records: list | None = None, spans: list | None = None) -> pa.RecordBatch:
+    n = len(code)
+    columns = [pa.array(code, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(begin.astype(np.int32)), pa.array(piece, pa.binary()), pa.array(np.full(n, whole))]
+    columns += [pa.array(x, pa.binary()) if x else pa.nulls(n, pa.binary()) for x in (records, spans)]
+    return pa.RecordBatch.from_arrays(columns, ["code", "doc", "key", "begin", "piece", "whole", "records", "spans"])
 
 
-def _solve(search: Search, kind: str):
-    item = np.dtype(kind).itemsize
+def _solve(search: Search):
     single = replace(search, k=search.window)
 
-    def solved(parts: list[tuple]) -> pa.RecordBatch | None:
-        code, doc, key, begin, raw = (np.concatenate(x) if i < 4 else sum(x, []) for i, x in enumerate(zip(*parts, strict=True)))
+    def solved(parts: list[pa.RecordBatch], whole: bool) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        rows = rows.filter(rows.column("whole") if whole else pc.invert(rows.column("whole"))).combine_chunks()
+        if not rows.num_rows:
+            return None
+        doc, key, begin = (rows.column(c).to_numpy() for c in ("doc", "key", "begin"))
         # a piece that came by both sides counts once in a shard; of pieces with the same start, the longest holds the others
-        order = np.lexsort((-np.array([len(x) for x in raw]), begin, key, doc))
-        keep = order[np.concatenate(([True], (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1]) | (begin[order][1:] != begin[order][:-1])))]
-        doc, key, begin = doc[keep], key[keep], begin[keep].astype(np.int64)
-        lengths = np.array([len(raw[i]) // item for i in keep.tolist()], dtype=np.int64)
-        symbols = np.frombuffer(b"".join([raw[i] for i in keep.tolist()]), dtype=kind)
-        bounds = np.concatenate(([0], np.cumsum(lengths)))
-        # places in order of document and place, equal for the same place in overlapping pieces
+        order = np.lexsort((-pc.binary_length(rows.column("piece")).to_numpy(), begin, key, doc))
+        doc, key, begin = doc[order], key[order], begin[order].astype(np.int64)
         fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
-        place = np.repeat(begin, lengths) + ranges(np.zeros(len(lengths), np.int64), lengths)
-        base = np.cumsum(fresh) * (int(place.max()) + 1)
-        flags = search.solver(symbols, bounds, place + np.repeat(base, lengths), search.window, search.mode)
-        x = np.flatnonzero(flags)
+        keep = fresh | np.concatenate(([True], begin[1:] != begin[:-1]))
+        symbols, bounds = search.reader(rows.column("piece").take(pa.array(order[keep])).combine_chunks())
+        # places in order of document and place, equal for the same place in overlapping pieces
+        base = (np.cumsum(fresh) * (int(begin.max()) + 2 * search.window))[keep]
+        doc, key, begin = doc[keep], key[keep], begin[keep]
+        lengths = np.diff(bounds)
+        place = ranges(begin, lengths)
+        x = np.flatnonzero(search.solver(symbols, bounds, place + np.repeat(base, lengths), search.window, search.mode, whole))
         if not len(x):
             return None
         piece = np.searchsorted(bounds, x, side="right") - 1
-        return spans_batch(*merged(doc[piece], key[piece], place[x], place[x] + search.window))
+        return spans_batch(*merged(doc[piece], key[piece], place[x], place[x] + (lengths[piece] if whole else search.window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []  # whole groups of two pieces or more
+        parts: list[pa.RecordBatch] = []  # whole groups of two pieces or more
         held = 0
-        tail: list[tuple] = []  # the last group so far
+        tail: list[pa.RecordBatch] = []  # the last group so far
         hot: list[tuple[int, bytes]] = []
-        for batch in batches:
-            windows = batch.filter(pc.is_null(batch.column("piece")))
-            for bucket, records, spans in zip(*[windows.column(c).to_pylist() for c in ("code", "records", "spans")], strict=True):
-                if spans and (out := unsettled(spans)) is not None:
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for whole in (True, False):
+                if parts and (out := solved(parts, whole)) is not None:
                     yield out
-                if records:
-                    hot.append((bucket, records))
-            batch = batch.filter(pc.is_valid(batch.column("piece")))
-            if not batch.num_rows:
+
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                windows = batch.filter(pc.is_null(batch.column("piece")))
+                for bucket, records, spans in zip(*[windows.column(c).to_pylist() for c in ("code", "records", "spans")], strict=True):
+                    if spans and (out := unsettled(spans)) is not None:
+                        yield out
+                    if records:
+                        hot.append((bucket, records))
+                tail.append(batch.filter(pc.is_valid(batch.column("piece"))).drop_columns(["records", "spans"]))
+            rows = pa.Table.from_batches(tail).combine_chunks().to_batches() if tail else []
+            if not rows:
                 continue
-            now = (*[batch.column(c).to_numpy() for c in ("code", "doc", "key", "begin")], batch.column("piece").to_pylist())
-            code = now[0]
+            now = rows[0]
+            code = now.column("code").to_numpy()
             cuts = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if tail and tail[0][0][0] != code[a]:
-                    if sum(len(t[0]) for t in tail) > 1:
-                        parts += tail
-                        held += sum(sum(map(len, t[4])) for t in tail) // item
-                    tail = []
-                    if held >= SHARD:
-                        if (out := solved(parts)) is not None:
-                            yield out
-                        parts, held = [], 0
-                tail.append(tuple(x[a:b] for x in now))
-        if tail and sum(len(t[0]) for t in tail) > 1:
-            parts += tail
-        if parts and (out := solved(parts)) is not None:
-            yield out
+            upto = int(cuts[-2]) if batch is not None else len(code)  # the last group may go on
+            sizes = np.repeat(np.diff(cuts), np.diff(cuts))[:upto]
+            done = now.slice(0, upto).filter(pa.array(sizes > 1))
+            tail = [now.slice(upto)]
+            if done.num_rows:
+                parts.append(done)
+                held += done.column("piece").nbytes
+            if held >= SHARD:
+                yield from flushed()
+                parts, held = [], 0
+        yield from flushed()
         yield from matched(single, hot)
 
     return run
 
 
-def find_repeats(docs: DataFrame, search: Search, kind: str) -> DataFrame:
-    """(doc, key, spans): of each document that has any, spans [begin, end) in symbols, unordered, perhaps past the end. kind: numpy type of the solver's symbols."""
+def find_repeats(docs: DataFrame, search: Search) -> DataFrame:
+    """(doc, key, spans): of each document that has any, spans [begin, end) in symbols, unordered."""
     spark = docs.sparkSession
     n = partitions(spark)
     texts = keyed(bounded(docs))
     found = texts.mapInArrow(lean(_scan(search, n)), "bucket int, records binary, spans binary").repartitionById(n, F.col("bucket")).mapInArrow(lean(_match(search)), SPANS)
     found = written(found, "repeats")
-    place = F.when(F.col("kind") == HOT_ASK, F.bitwise_not("begin")).otherwise(F.col("begin"))
-    asks = found.where(F.col("kind") != SPAN).groupBy("doc", "key").agg(F.collect_list(place).alias("places"))
-    pieces = texts.join(asks, ["doc", "key"]).select("doc", "key", "text", "places").mapInArrow(lean(_cut(search, n)), PIECES)
-    solved = pieces.repartition(n, "code").sortWithinPartitions("code").mapInArrow(lean(_solve(search, kind)), SPANS)
+    asks = found.where(F.col("kind") != SPAN).groupBy("doc", "key").agg(F.collect_list(F.struct("begin", "end", "kind")).alias("asks"))
+    pieces = texts.join(asks, ["doc", "key"]).select("doc", "key", "text", "asks").mapInArrow(lean(_cut(search, n)), PIECES)
+    solved = pieces.repartition(n, "code").sortWithinPartitions("code").mapInArrow(lean(_solve(search)), SPANS)
     every = found.where(F.col("kind") == SPAN).unionByName(solved).select("doc", "key", F.struct("begin", "end").alias("span"))
     return every.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
 
@@ -410,9 +422,9 @@ def find_repeats(docs: DataFrame, search: Search, kind: str) -> DataFrame:
 SPANS_COLUMN = "__spans"
 
 
-def with_spans(docs: DataFrame, search: Search, kind: str) -> DataFrame:
+def with_spans(docs: DataFrame, search: Search) -> DataFrame:
     """docs with a further column of the spans (null where there are none)."""
-    spans = find_repeats(docs.select("doc_id", "text"), search, kind)
+    spans = find_repeats(docs.select("doc_id", "text"), search)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text_key().alias("key"))
     rows = rows.join(spans, ["doc", "key"], "left")
     return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != SPANS_COLUMN], F.col("spans").alias(SPANS_COLUMN))

@@ -12,7 +12,7 @@ and very long texts are read whole. Rows that repeat id and text are one documen
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,10 @@ K = 6
 STRETCH = 1 << 20
 
 
-def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and where each text's words start."""
+def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """A 64-bit hash of each word, where each text's words start, and a function that cuts runs of words out of the bytes."""
     raw, bounds = utf8(column)
-    hashes, counts = [], []
+    hashes, counts, begin, stop = [], [], [], []
     first = 0
     while first < len(bounds) - 1:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STRETCH, side="right")) - 1)
@@ -42,11 +42,14 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         start, end = split(some, ends)
         hashes.append(spans_hash(byte_symbols(some))(start, end))
         counts.append(np.diff(np.searchsorted(start, ends)))
+        begin.append(start + bounds[first])
+        stop.append(end + bounds[first])
         first = last
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    every = np.concatenate(hashes)
-    return every, np.concatenate(([0], np.cumsum(np.concatenate(counts)))), every
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64), lambda a, b: []
+    begin, stop, blob = np.concatenate(begin), np.concatenate(stop), raw.tobytes()
+    cut = lambda a, b: [blob[p:q] for p, q in zip(begin[a].tolist(), stop[b - 1].tolist(), strict=True)]
+    return np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(counts)))), cut
 
 
 def split(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +60,16 @@ def split(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.sort(np.concatenate((start, cross))), np.sort(np.concatenate((end, cross)))) if len(cross) else (start, end)
 
 
-def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int, mode: str) -> np.ndarray:
-    """Flags of the symbols at which a repeated window starts."""
+def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int, mode: str, whole: bool = False) -> np.ndarray:
+    """Flags of the symbols at which a repeated window starts, or (whole) a piece that repeats as a whole."""
     flags = np.zeros(len(symbols), dtype=bool)
     lengths = np.diff(bounds)
-    many = np.maximum(lengths - window + 1, 0)
-    starts = ranges(bounds[:-1], many)
+    starts = bounds[:-1] if whole else ranges(bounds[:-1], np.maximum(lengths - window + 1, 0))
     if len(starts) < 2:
         return flags
+    reach = lengths if whole else np.full(len(starts), window)
+    # equal patterns are searched once
+    _, first, same = np.unique(spans_hash(symbols)(starts, starts + reach), return_index=True, return_inverse=True)
     names, coded = np.unique(symbols, return_inverse=True)
     # pieces end to end, an own symbol after each
     n = len(lengths)
@@ -75,14 +80,13 @@ def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: i
     index = FmIndex(sequence)
     place = np.full(len(sequence), np.iinfo(np.int64).max)
     place[at] = places
-    moved = at[starts]
-    _, low, high = index.matching(sequence, moved + window, window)
+    _, low, high = index.matching(sequence, at[starts[first]] + reach[first], reach[first])
+    low, high = low[same], high[same]
     hit = np.flatnonzero(high > low)
     if not len(hit):
         return flags
-    rows, which = np.unique(low[hit], return_inverse=True)
-    stop = np.zeros(len(rows), dtype=np.int64)
-    stop[which] = high[hit]
+    both, which = np.unique(low[hit] << 32 | high[hit], return_inverse=True)
+    rows, stop = both >> 32, both & 0xFFFFFFFF
     # the places of all occurrences of these windows
     many = stop - rows
     found_at = place[index.locate(ranges(rows, many))]
@@ -96,12 +100,12 @@ def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: i
 
 
 def search(mode: str = "later", window: int = WINDOW, k: int = K) -> Search:
-    return Search(window, k, mode, word_symbols, solve)
+    return Search(window, k, mode, word_symbols, lambda column: word_symbols(column)[:2], solve)
 
 
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
     """doc_id, text and spans (in words) of each document."""
-    return with_spans(docs.select("doc_id", "text"), search(mode, window), "<u8").select("doc_id", "text", F.col("__spans").alias("spans"))
+    return with_spans(docs.select("doc_id", "text"), search(mode, window)).select("doc_id", "text", F.col("__spans").alias("spans"))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

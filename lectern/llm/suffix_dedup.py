@@ -27,16 +27,17 @@ WINDOW = 200
 K = 64
 
 
-def suffix_array(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of the pieces that share their first ``window`` symbols with another, in suffix order (equals by place), and
     how many symbols each shares with the one before it. Of the suffixes of one place in several pieces the longest stands for all.
+    Without a window the array is sparse: of the suffixes at which pieces start, those that share the whole piece with another.
 
     A suffix whose window no other has can't reach the threshold; rolling hashes leave these out before anything is sorted."""
-    starts = ranges(bounds[:-1], np.maximum(np.diff(bounds) - window + 1, 0))
+    starts = bounds[:-1] if window is None else ranges(bounds[:-1], np.maximum(np.diff(bounds) - window + 1, 0))
     if not len(starts):
         return starts, starts
     of = spans_hash(byte_symbols(symbols))
-    code = of(starts, starts + window)
+    code = of(starts, bounds[1:] if window is None else starts + window)
     by = np.argsort(code)
     code = code[by]
     fresh = np.concatenate(([True], code[1:] != code[:-1]))
@@ -89,30 +90,33 @@ def longest_previous(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
-def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int, mode: str) -> np.ndarray:
-    """Flags of the symbols at which a repeated window starts."""
+def solve(symbols: np.ndarray, bounds: np.ndarray, places: np.ndarray, window: int, mode: str, whole: bool = False) -> np.ndarray:
+    """Flags of the symbols at which a repeated window starts, or (whole) a piece that repeats as a whole. A longest factor falls by one a
+    place at most, so one at a piece's start that spans the piece spares those inside it."""
     flags = np.zeros(len(symbols), dtype=bool)
-    order, lcp = suffix_array(symbols, bounds, places, window)
+    order, lcp = suffix_array(symbols, bounds, places, None if whole else window)
     if not len(order):
         return flags
     at = places[order]
-    flags[order[longest_previous(at, lcp) >= window]] = True
+    least = bounds[np.searchsorted(bounds, order, side="right")] - order if whole else window
+    flags[order[longest_previous(at, lcp) >= least]] = True
     if mode == "all":  # longest next factors
-        flags[order[longest_previous(at.max() - at, lcp) >= window]] = True
+        flags[order[longest_previous(at.max() - at, lcp) >= least]] = True
     return flags
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable]:
     raw, bounds = utf8(column)
-    return byte_symbols(raw), bounds, raw
+    blob = raw.tobytes()
+    return byte_symbols(raw), bounds, lambda start, stop: [blob[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
 
 
 def search(mode: str, window: int = WINDOW, k: int = K) -> Search:
-    return Search(window, k, mode, _bytes, solve)
+    return Search(window, k, mode, _bytes, utf8, solve)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), search("all"), "<u1")
+    rows = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), search("all"))
     return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -136,7 +140,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
     """docs with repeated bytes cut out of text (characters cut in two are dropped)."""
     columns = docs.columns
-    rows = with_spans(docs, search(mode, window), "<u1").select(*columns, "__spans")
+    rows = with_spans(docs, search(mode, window)).select(*columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
