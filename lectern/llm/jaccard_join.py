@@ -2,30 +2,34 @@
 
 1. A document's n-grams (five words) become a set of 64-bit hashes, its MinHash signature and a digest of the set. Equal sets are
    one class from here on, with a count of copies.
-2. The signature is cut into trees. In a tree's prefix trie, two classes meet at the depth to which their parts agree. The
-   depth asked for starts at the deepest and is shortened level by level until the chance that a pair at the threshold meets
-   in some tree reaches the target recall. Classes that meet hang on the least of their prefix, which
-   makes stars instead of pairs, and the stars' components are the groups to verify.
-3. A group's texts come together once, as one task or, where it is large, as tasks of two blocks of bounded size. A task counts the common
+2. The signature is cut into trees; a tree's sorted prefixes make a trie, in which a class takes a node at some depth, and classes at one node have met.
+   A prefix starts at the deepest level and is shortened as long as the node above is not crowded, at most to the depth
+   at which every pair at the threshold meets often enough whatever the others do. Where so many of a class's nodes are crowded that its own chance
+   to meet a neighbour at the threshold, over all its trees and their depths, stays below the target recall, its
+   prefixes are shortened further, the least crowded first, until it is reached. So depths differ by document and by tree.
+   Classes that meet hang on the least of their node, which makes stars instead of pairs; components of these are dealt out together.
+3. A component's texts come together once, as one task. A large one is cut into blocks of classes that share prefixes, and a task gets of two blocks
+   the classes that have met one of the other. A task counts the common
    n-grams of its pairs exactly, as sums over n-grams and matrix products, and returns for each class its number of links and
    its root; no pair leaves it. Roots from blocks are joined into components again.
 
 The result has a row a document: class_id (least doc_id of the documents that links join), copy_id (least doc_id with
 the same set), n_links (other documents at or above the threshold, copies included).
 
-Words are runs of anything but space and U+0009 to U+000D. A text of fewer words than n is one n-gram of all its words. One without
+Words are runs of anything but space and U+0009 to U+000D. Very long texts are read whole. A text of fewer words than n is one n-gram of all its words. One without
 words (or null) has no links and is its own class. Rows that share a doc_id are one document; if their texts differ, each counts. A document whose doc_id is null
 gets a stand-in of 2**62 or more by its text, which names a class only if no member has an id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, byte_symbols, groups, lean, mix, partitions, slices, spans_hash, table, utf8, written
@@ -37,6 +41,8 @@ THRESHOLD = 0.8
 TREES = 28
 DEEPEST = 8
 RECALL = 0.9999
+#: A trie node with more classes is crowded.
+CROWDED = 256
 #: A block holds about so many n-grams, and so many classes, at most.
 BLOCK_GRAMS = 1 << 20
 BLOCK_CLASSES = 1200
@@ -49,13 +55,43 @@ def doc_key() -> Column:
 
 
 def depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The prefix length, shortened from the deepest until the recall at the threshold reaches the target."""
+    """The least depth that is needed: at which all trees together reach the target recall for a pair at the threshold."""
     d = deepest
     while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
         d -= 1
     return d
 
 
+def lowest(shortest: int) -> int:
+    """The deepest level of the tries: DEEPEST, as far as 64 bits hold what is below the shortest prefix."""
+    return min(max(DEEPEST, shortest), shortest + 4)
+
+
+def prefixes(met: DataFrame, threshold: float, trees: int, shortest: int, recall: float, crowded: int) -> DataFrame:
+    """(node, key, depth): the trie node that each class takes in each tree. met has node, label (of the prefix of the least depth), tail
+    (the values below it, 16 bits a level) and n (classes with this label), for labels that several classes have."""
+    deepest = lowest(shortest)
+    plain = met.where(F.col("n") <= crowded).select("node", F.col("label").alias("key"), F.lit(shortest).alias("depth"))
+    packed = met.where(F.col("n") > crowded)
+    if deepest == shortest or packed.isEmpty():
+        return plain.unionByName(packed.select("node", F.col("label").alias("key"), F.lit(shortest).alias("depth")))
+    below = [F.struct(F.lit(d).alias("depth"), F.xxhash64("label", F.shiftright("tail", 16 * (deepest - d)), F.lit(d)).alias("key")) for d in range(shortest + 1, deepest + 1)]
+    longer = packed.select("node", "label", "n", F.explode(F.array(*below)).alias("at")).select("node", "label", "n", "at.*")
+    counts = longer.groupBy("key").agg(F.count("*").alias("there"))
+    fits = F.min(F.when(F.col("there") <= crowded, F.struct("depth", "key")))
+    chosen = longer.join(counts, "key").groupBy("node", "label", "n").agg(F.coalesce(fits, F.max(F.struct("depth", "key"))).alias("at")).select("node", "label", "n", "at.*")
+    missed = F.log(1 - F.pow(F.lit(threshold), F.col("depth")))  # the chance to miss a neighbour at the threshold in one tree
+    least = math.log(1 - threshold**shortest)
+    own = Window.partitionBy("node")
+    before = F.coalesce(F.sum(least - missed).over(own.orderBy("n", "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    every = F.sum(missed).over(own) + (trees - F.count("*").over(own)) * F.lit(least)
+    chosen = written(chosen.withColumn("short", every + before > math.log(1 - recall)), "prefixes")
+    shortened = chosen.where("short").select("label").distinct().withColumn("shortened", F.lit(True))  # at a node, all or none
+    chosen = chosen.join(shortened, "label", "left")
+    chosen = chosen.select("node", F.when(F.col("shortened"), F.col("label")).otherwise(F.col("key")).alias("key"), F.when(F.col("shortened"), shortest).otherwise(F.col("depth")).alias("depth"))
+    return plain.unionByName(chosen)
+
+
 def gram_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     raw, bounds = utf8(column)
@@ -80,20 +116,26 @@ def gram_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
     return out
 
 
-def _signed(trees: int, d: int, n: int):
+def _signed(trees: int, shortest: int, n: int):
     drawn = np.random.default_rng(77)
-    xor = drawn.integers(0, 1 << 32, trees * d, dtype=np.uint32)[:, None]
-    times = drawn.integers(0, 1 << 32, trees * d, dtype=np.uint32)[:, None] | np.uint32(1)
+    deepest = lowest(shortest)
+    xor = drawn.integers(0, 1 << 32, trees * deepest, dtype=np.uint32)[:, None]
+    times = drawn.integers(0, 1 << 32, trees * deepest, dtype=np.uint32)[:, None] | np.uint32(1)
 
-    def labels(grams: np.ndarray) -> np.ndarray:
+    def signature(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree the label of its shortest prefix, and the values below it."""
         x = (grams >> np.uint64(32)).astype(np.uint32)
-        least = np.full(trees * d, 0xFFFFFFFF, dtype=np.uint32)
+        least = np.full(trees * deepest, 0xFFFFFFFF, dtype=np.uint32)
         for at in range(0, len(x), 4096):
             least = np.minimum(least, ((x[at : at + 4096] ^ xor) * times).min(axis=1))
-        out = np.arange(1, trees + 1, dtype=np.uint64)
-        for level in range(d):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + least[level::d].astype(np.uint64))
-        return out.view(np.int64)
+        label, tail = np.arange(1, trees + 1, dtype=np.uint64), np.zeros(trees, dtype=np.uint64)
+        for level in range(deepest):
+            values = least[level::deepest].astype(np.uint64)
+            if level < shortest:
+                label = mix(label * np.uint64(0x9E3779B97F4A7C15) + values)
+            else:
+                tail = tail << np.uint64(16) | mix(values) & np.uint64(0xFFFF)
+        return label.view(np.int64), tail.view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
@@ -102,9 +144,10 @@ def _signed(trees: int, d: int, n: int):
             some = [sets[i] for i in there]
             one = np.array([int(mix(s).sum(dtype=np.uint64)) for s in some], dtype=np.uint64).view(np.int64)
             two = np.array([int(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)).sum(dtype=np.uint64)) for s in some], dtype=np.uint64).view(np.int64)
-            keys = np.concatenate([labels(s) for s in some]) if some else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * trees, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(there, pa.int64())), pa.array(one), pa.array(two), pa.array([len(s) for s in some], pa.int64()), lists], ["doc", "one", "two", "grams", "labels"])
+            signed = [signature(s) for s in some]
+            ends = pa.array(np.arange(len(some) + 1) * trees, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([s[i] for s in signed]) if some else np.zeros(0, np.int64))) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(there, pa.int64())), pa.array(one), pa.array(two), pa.array([len(s) for s in some], pa.int64()), *lists], ["doc", "one", "two", "grams", "labels", "tails"])
 
     return run
 
@@ -177,20 +220,34 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tree
     """doc_id, class_id, copy_id and n_links of each document; docs has doc_id and text."""
     spark = docs.sparkSession
     texts = bounded(docs).select(doc_key().alias("doc"), "text")
-    signed = texts.mapInArrow(lean(_signed(trees, depth(threshold, trees, recall=recall), n)), "doc long, one long, two long, grams long, labels array<long>")
+    shortest = depth(threshold, trees, recall=recall)
+    signed = texts.mapInArrow(lean(_signed(trees, shortest, n)), "doc long, one long, two long, grams long, labels array<long>, tails array<long>")
     signed = written(signed, "signatures")
     same = ["one", "two", "grams"]
-    classes = signed.groupBy(*same).agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.any_value("labels").alias("labels"))
-    classes = written(classes, "classes")
-    places = classes.select("node", F.explode("labels").alias("label"))
-    heads = places.groupBy("label").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = components(places.join(heads, "label").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    classes = signed.groupBy(*same).agg(F.min("doc").alias("node"), F.count("*").alias("copies"), F.any_value(F.struct("labels", "tails")).alias("signature"))
+    classes = written(classes.select(*same, "node", "copies", "signature.*"), "classes")
+    places = classes.select("node", F.explode(F.arrays_zip("labels", "tails")).alias("at")).select("node", F.col("at.labels").alias("label"), F.col("at.tails").alias("tail"))
+    shared = places.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+    at = written(prefixes(written(places.join(shared, "label"), "met"), threshold, trees, shortest, recall, CROWDED).select("node", "key"), "trie")
+    heads = at.groupBy("key").agg(F.min("node").alias("head"))
+    met = components(at.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
     members = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).join(classes.groupBy("node").agg(F.max("grams").alias("grams"), F.sum("copies").alias("copies")), "node")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.sum("grams") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = written(members, "members").withColumnRenamed("node", "doc")
-    mates = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = texts.join(members, "doc").withColumn("mate", F.explode(mates))
+    full = F.ceil(F.greatest(F.sum("grams") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int")
+    members = written(members.join(members.groupBy("root").agg(full.alias("blocks")), "root"), "members")
+    one = members.where("blocks = 1").select("root", F.col("node").alias("doc"), "copies", F.lit(0).alias("block"), "blocks", F.lit(0).alias("mate"))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        # classes that share their least prefix are in a block, or in several if they are many
+        at = at.join(large.select("node"), "node", "left_semi")
+        large = large.join(at.groupBy("node").agg(F.min("key").alias("home")), "node")
+        parts = large.groupBy("root", "home").agg(full.alias("parts"))
+        block = F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))), F.col("blocks")).cast("int")
+        large = written(large.join(parts, ["root", "home"]).withColumn("block", block).drop("home", "parts"), "blocks")
+        placed = at.join(large.select("node", "block"), "node")
+        mates = placed.join(placed.select("key", F.col("block").alias("mate")).distinct(), "key").select("node", "mate").distinct()
+        mates = mates.unionByName(large.select("node", F.col("block").alias("mate"))).distinct()
+        one = one.unionByName(large.join(mates, "node").select("root", F.col("node").alias("doc"), "copies", "block", "blocks", "mate"))
+    spread = texts.join(one, "doc")
     task = F.xxhash64("root", F.least("block", "mate"), F.greatest("block", "mate"))
     spread = spread.select(task.alias("task"), "doc", "text", "copies", "block", "blocks")
     checked = spread.repartition(partitions(spark), "task").sortWithinPartitions("task", "doc", "text")
@@ -213,6 +270,6 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_of_each(docs: DataFrame, **options: float) -> DataFrame:
     """docs without near copies: of each class the document that names it stays, once."""
-    keep = jaccard_join(docs.select("doc_id", "text"), **options).select(F.col("class_id").alias("__doc")).distinct()
-    rows = docs.withColumns({"__doc": doc_key(), "__text": F.xxhash64("text")})
-    return rows.join(keep, "__doc", "left_semi").dropDuplicates(["__doc", "__text"]).select(*docs.columns)
+    keep = jaccard_join(docs.select("doc_id", "text"), **options).select(F.col("class_id").alias("doc")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc_key().alias("doc"), F.xxhash64("text").alias("text"))
+    return rows.join(keep, "doc", "left_semi").dropDuplicates(["doc", "text"]).select("row.*")

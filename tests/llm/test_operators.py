@@ -649,6 +649,55 @@ def test_jaccard_join_of_large_groups(spark, monkeypatch):
     assert {r["doc_id"]: r["n_links"] for r in got} == dict(enumerate(want))
 
 
+def test_forest_depths_differ_by_document(spark):
+    """Crowded trie nodes are left for deeper ones, but not where a class would miss the target recall by that."""
+    trees, recall, short = 28, 0.9999, 5
+    r = random.Random(3)
+    rows = []
+    for node in range(100):
+        for tree in range(trees):
+            # 0 to 39: crowded in every tree, told apart by one more value; 40 to 69: crowded in four trees; others in none
+            crowded = node < 40 or node < 70 and tree < 4
+            label = tree if crowded else 1000 + tree * 1000 + node // 2
+            rows.append((node, label, (node // 5 << 32) + r.randrange(3) if crowded else 7, (70 if tree < 4 else 40) if crowded else 2))
+    met = spark.createDataFrame(rows, "node long, label long, tail long, n long").repartition(3)
+    got = jaccard_join.prefixes(met, 0.8, trees, short, recall, crowded=8).collect()
+    assert len(got) == len(rows)
+    depths = defaultdict(list)
+    for x in got:
+        depths[x["node"]].append(x["depth"])
+    assert all(1 - np.prod([1 - 0.8**d for d in depths[i]]) >= recall for i in range(100))
+    assert all(set(depths[i]) == {5} for i in range(70, 100)) and all(len(set(depths[i])) > 1 for i in range(70))
+    assert sorted(depths[10]) != sorted(depths[60]) and max(depths[60]) > 5
+    # at a node of the trie all depths are one: classes that share a key share the prefix
+    assert len({(x["key"], x["depth"]) for x in got}) == len({x["key"] for x in got})
+
+
+@pytest.mark.parametrize("crowded", [2, 10])
+def test_jaccard_join_with_crowded_prefixes(spark, monkeypatch, crowded):
+    monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 9)
+    r, v = random.Random(14), vocabulary()
+    boiler = [r.choice(v) for _ in range(60)]  # a third of most texts, which makes none of them alike
+    texts = [" ".join(boiler + [r.choice(v) for _ in range(120)]) for _ in range(40)]
+    base = [r.choice(v) for _ in range(150)]
+    for _ in range(40):
+        x = list(base)
+        for _ in range(r.randint(0, 3)):
+            x[r.randrange(len(x))] = r.choice(v)
+        texts.append(" ".join(x))
+    sets = [gram_set(t) for t in texts]
+    want = {i: sum(len(a & b) / len(a | b) >= 0.8 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    got = jaccard_join.jaccard_join(frame(spark, texts, repeat=False)).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got if x["doc_id"] is not None} == want and sum(want.values()) > 300
+
+
+def test_jaccard_join_of_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", "y", 5), (2, "a b c d e f", "z", "y", 6), (3, None, "x", "y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __doc string, __text string, node long")
+    assert sorted(tuple(x) for x in jaccard_join.first_of_each(docs).collect()) == [rows[0], rows[2]]
+
+
 def test_forest_depth():
     assert jaccard_join.depth(0.8, 28, 8, 0.9999) == 5
     assert jaccard_join.depth(0.5, 4, 8, 0.999) == 1
