@@ -1,16 +1,18 @@
 """HTML extraction by differencing pages of near URLs.
 
 Pages are dealt out and sorted by host and URL path, so that the pages nearest by path stand next to one another. Each page
-is paired with the neighbour of its host whose path has the longer common start. Both pages become lists of text
-lines, one a block; a longest common subsequence aligns the lists, and the lines that they share are template text and
-go. What a page says by its markup comes first: elements that never hold main text (script, style, nav, aside, form and
-so on) and those named as menus, notices, adverts or comments go whole, and where there is an article or main element, main text
-is in it. Lines inside such an element are kept even if the neighbour has them: pages of a host repeat passages, and
-copies of an article would delete each other. A page without one loses the shared lines, unless that would be all of them.
+is compared with its neighbours of the same host, the one whose path has the longer common start first. Pages become lists of text
+lines, one a block, of all that is shown, menus and footers too; a longest common subsequence aligns two lists, and the lines that they share are template text and
+go. The nearest neighbour is asked that is no copy of the page (a copy shares half of the article, or four fifths of all lines where there is none), and a copy only if there is no other.
+Lines inside an article or main element are exempt: pages of a host repeat passages there, headings and closing lines among them, and copies of an article would delete each other.
+
+Markup is the second witness: of what is left, elements that never hold main text (nav, aside, form and so on) and those named as menus, notices,
+adverts or comments go whole, and where there is an article or main element, what is outside of it. A page without one keeps all of its lines if
+differencing would delete every one.
 
 White space inside a block (br included) becomes one space. Null html gives no text; a page alone in its host is judged by its
-markup. Pages with equal URLs are neighbours. Repeated rows keep a row each; other columns are ignored; broken markup is read as
-far as it goes.
+markup. Pages with equal URLs are neighbours. Repeated rows keep a row each; other columns are ignored; an empty table gives no rows; broken markup is read as
+far as it goes (a quote opens a value only after an equals sign). Very long pages are read whole; two pages with very many equal lines are aligned in halves, in memory that grows with their lengths.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +30,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, partitions, slices, table
 
-#: Elements whose text is not shown or never main text; with a form's controls.
-DROPPED = frozenset("script style noscript template head title nav aside footer form button select textarea option dialog iframe object svg canvas video audio map menu".split())
+#: Elements whose text is not shown as text of the page.
+UNSEEN = frozenset("script style noscript template head title select textarea option iframe object svg canvas video audio map".split())
+#: Elements whose text is never main text.
+DROPPED = frozenset("nav aside footer form button dialog menu".split())
 #: Elements whose content is not markup.
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,8 +49,8 @@ CLOSES = {
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion menu nav navbar navigation topnav sidenav sidebar aside footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations comment comments discussion respond replies disqus pagination pager toolbar widget complementary contentinfo skip".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 #: Words that make a name say something about another part (has-sidebar, comments-open).
 ABOUT = frozenset("has no not with without is open opened closed on off enabled disabled".split())
@@ -58,6 +63,8 @@ def is_named(attributes: str) -> bool:
     """Whether a name of the element starts or ends with a word for what isn't main text, or it is hidden."""
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
         if name == "hidden" or name == "aria-hidden" and "true" in value.lower():
             return True
         for part in value.strip("\"'").split():
@@ -69,32 +76,36 @@ def is_named(attributes: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """Blocks of a page that its markup doesn't rule out, in order, and whether each is inside an article or main element."""
-    out: list[tuple[str, bool]] = []
-    held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped, in main
-    dropped = main = False
+SHOWN, RULED_OUT, HIDDEN = range(3)
+
+
+def lines_of(page: str) -> list[tuple[str, bool, bool]]:
+    """Blocks of a page that are shown, in order, whether each is inside an article or main element, and whether markup rules it out."""
+    out: list[tuple[str, bool, bool]] = []
+    held: tuple[list[str], list[str]] = ([], [])  # of the block so far, what is shown and what is ruled out
+    stack: list[tuple[str, int, bool]] = []  # element, how much it is shown, in main
+    shown, main = SHOWN, False
     at = 0
 
     def end_block() -> None:
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
-            if text:
-                out.append((text, main))
-            held.clear()
+        for ruled_out, parts in enumerate(held):
+            if parts:
+                text = " ".join(entities.unescape("".join(parts)).split())
+                if text:
+                    out.append((text, main, bool(ruled_out)))
+                parts.clear()
 
     def pop_to(k: int) -> None:
-        nonlocal dropped, main
+        nonlocal shown, main
         while len(stack) > k:
             name, _, _ = stack.pop()
             if name in BLOCKS:
                 end_block()
-            dropped, main = stack[-1][1:] if stack else (False, False)
+            shown, main = stack[-1][1:] if stack else (SHOWN, False)
 
     while m := TAG.search(page, at):
-        if not dropped and m.start() > at:
-            held.append(page[at : m.start()])
+        if shown != HIDDEN and m.start() > at:
+            held[shown].append(page[at : m.start()])
         at = m.end()
         closing, name, attributes = m.group(1), m.group(2), m.group(3)
         if name is None:
@@ -112,7 +123,8 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                     end_block()
             continue
         if name == "br":
-            held.append(" ")
+            for parts in held:
+                parts.append(" ")
             continue
         for kind in CLOSES.get(name, ()):
             for k in range(len(stack) - 1, -1, -1):
@@ -125,19 +137,20 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             end_block()
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
-        gone = dropped or name in DROPPED or name == "header" and not main or name not in ("html", "body", "main") and is_named(attributes)
+        now = HIDDEN if shown == HIDDEN or name in UNSEEN else shown
+        if now == SHOWN and (name in DROPPED or name == "header" and not main or name not in ("html", "body", "main") and is_named(attributes)):
+            now = RULED_OUT
         inside = main or name in ("article", "main")
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            if not gone:
-                held.append(page[at : end.start() if end else len(page)])
+            if now != HIDDEN:
+                held[now].append(page[at : end.start() if end else len(page)])
             at = end.end() if end else len(page)
             continue
-        stack.append((name, gone, inside))
-        dropped, main = gone, inside
-    if not dropped:
-        held.append(page[at:])
-    main = bool(stack) and stack[-1][2]
+        stack.append((name, now, inside))
+        shown, main = now, inside
+    if shown != HIDDEN:
+        held[shown].append(page[at:])
     end_block()
     return out
 
@@ -154,6 +167,9 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     where: dict[str, list[int]] = {}
     for j in range(begin, len(b) - stop):
         where.setdefault(b[j], []).append(j)
+    if sum(len(where.get(line, ())) for line in a[begin : len(a) - stop]) > MOST_PAIRS:
+        by_halves(a[begin : len(a) - stop], b[begin : len(b) - stop], begin, found)
+        return found
     ends: list[int] = []
     links: list[tuple | None] = []
     for i in range(begin, len(a) - stop):
@@ -172,15 +188,58 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> str:
-    if any(inside for _, inside in lines):
-        return "\n".join(text for text, inside in lines if inside)
-    texts = [text for text, _ in lines]
-    if other:
-        gone = shared(texts, [text for text, _ in other])
-        if len(gone) < len(texts):
-            texts = [text for i, text in enumerate(texts) if i not in gone]
-    return "\n".join(texts)
+#: Pairs of equal lines beyond which two pages are aligned in halves.
+MOST_PAIRS = 1_000_000
+
+
+def common_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of longest common subsequences of a and the first 0, 1, 2, ... of b, by bit-parallel rows."""
+    where: dict[str, int] = {}
+    for j, line in enumerate(b):
+        where[line] = where.get(line, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for line in a:
+        same = row & where.get(line, 0)
+        row = (row + same | row - same) & every
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def by_halves(a: list[str], b: list[str], begin: int, found: set[int]) -> None:
+    """Adds begin and the indexes in a of a longest common subsequence with b, in memory that grows with the lengths alone."""
+    if not a or not b:
+        return
+    if len(a) == 1:
+        if a[0] in b:
+            found.add(begin)
+        return
+    half = len(a) // 2
+    k = int((common_lengths(a[:half], b) + common_lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+    by_halves(a[:half], b[:k], begin, found)
+    by_halves(a[half:], b[k:], begin + half, found)
+
+
+def template(lines: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> set[int]:
+    """Indexes of the lines that differencing deletes. near: the neighbours' lines, the nearest page first."""
+    texts = [line[0] for line in lines]
+    inside = [i for i, line in enumerate(lines) if line[1]]
+    aligned = [shared(texts, [line[0] for line in other]) for other in near]
+    own = inside or range(len(lines))
+    copies = [sum(i in same for i in own) >= (0.5 if inside else 0.8) * len(own) for same in aligned]
+    gone: set[int] = set()
+    if aligned:
+        witness = copies.index(False) if False in copies else 0
+        gone = {i for i in aligned[witness] if not lines[i][1]}
+    return gone
+
+
+def main_text(lines: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> str:
+    gone = template(lines, near)
+    there = any(inside and not ruled_out for _, inside, ruled_out in lines)
+    kept = [i for i, (_, inside, ruled_out) in enumerate(lines) if not ruled_out and (inside or not there)]
+    left = [i for i in kept if i not in gone]
+    return "\n".join(lines[i][0] for i in left or kept)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -245,8 +304,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def result(before: tuple | None, now: tuple, after: tuple | None) -> tuple:
         near = [x for x in (before, after) if x and x[2] == now[2] and x[4] == now[4]]
-        other = max(near, key=lambda x: common_start(x[5], now[5]), default=None)
-        text = main_text(now[6], other[6] if other else None)
+        near.sort(key=lambda x: -common_start(x[5], now[5]))
+        text = main_text(now[6], [x[6] for x in near])
         return now[0], now[1], text, len(text)
 
     held: list[tuple] = []

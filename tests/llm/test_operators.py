@@ -423,6 +423,70 @@ def test_names_of_elements(attributes, named):
     assert html_text.is_named(attributes) is named
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    of = lambda page: [text for text, _, ruled_out in html_text.lines_of(page) if not ruled_out]
+    assert of("<p title=don't>Hello</p><p>it's fine</p><p>end</p>") == ["Hello", "it's fine", "end"]
+    assert of("""<p title="a > b" data-x='<p>'>x</p><p "odd>y</p><p class = "ad">z</p>""") == ["x", "y"]
+    assert of("<p title='class=ad'>kept</p>a < b <p>c</p>" + "<p a='b' " * 40) == ["kept", "a < b", "c", " ".join(["<p a='b'"] * 40)]
+    assert of("<p>one <span class=share>Share!</span>two <b>th</b>ree</p>") == ["one two three"]
+
+
+def plain_template(page, near):
+    """Differencing in plain Python: LCS by the whole table, with the nearest page that is no copy; articles are exempt."""
+
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+        out, i, j = set(), 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out, i, j = out | {i}, i + 1, j + 1
+            elif t[i + 1][j] >= t[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    same = [lcs([x[0] for x in page], [x[0] for x in other]) for other in near]
+    inside = {i for i, x in enumerate(page) if x[1]}
+    copy = [len(s & inside) * 2 >= len(inside) if inside else len(s) >= 0.8 * len(page) for s in same]
+    gone = set()
+    if same:
+        gone = ([s for s, c in zip(same, copy) if not c] or same)[0] - inside
+    return gone
+
+
+def test_differencing_against_a_plain_version(spark):
+    """Pairing by path, alignment and deletion of all pages of some hosts, with and without articles, against plain Python."""
+    r = random.Random(9)
+    rows = []
+    for i in range(80):
+        host = f"h{i % 3}.example"
+        story = [f"story {i} line {k}" for k in range(r.randint(1, 6))]
+        if i % 9 == 8:
+            story = [f"story {i - 3} line {k}" for k in range(6)]
+        story = [f"Head of {host}"] * (i % 2) + story + [f"Rights of {host}"]
+        body = "".join(f"<p>{x}</p>" for x in story)
+        body = f"<article>{body}</article>" if host != "h2.example" else body
+        rows.append((i, f"https://{host}/{r.choice('ab')}/{r.choice('xyz')}/{i}", f"<body><p>Menu of {host}</p><p class=ad>ad {i}</p>{body}<div>Imprint {host}</div></body>"))
+    pages = sorted((html_text.split_url(u), i, html_text.lines_of(h)) for i, u, h in rows)
+    want, by_differencing = {}, 0
+    for k, ((host, where), i, lines) in enumerate(pages):
+        near = [pages[j] for j in (k - 1, k + 1) if 0 <= j < len(pages) and pages[j][0][0] == host]
+        near = [x[2] for x in sorted(near, key=lambda x: -html_text.common_start(x[0][1], where))]
+        gone = plain_template(lines, near)
+        assert gone == html_text.template(lines, near)
+        article = any(x[1] and not x[2] for x in lines)
+        kept = [j for j, x in enumerate(lines) if not x[2] and (x[1] or not article)]
+        left = [j for j in kept if j not in gone] or kept
+        by_differencing += left != kept
+        want[i] = "\n".join(lines[j][0] for j in left)
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {x["page_id"]: x["text"] for x in got} == want and by_differencing > 15
+
+
 def test_lcs():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -438,6 +502,12 @@ def test_lcs():
         assert len(got) == brute(a, b)
         it = iter(b)
         assert all(a[i] in it for i in got)
+        found = set()
+        html_text.by_halves(a, b, 0, found)
+        it = iter(b)
+        assert len(found) == len(got) and all(a[i] in it for i in sorted(found))
+    many = ["x", "y"] * 20_000  # 10**9 pairs of equal lines
+    assert len(html_text.shared(["a", *many, "b"], ["c", *many[1:], "d"])) == 39_999
 
 
 # -- 5 language ID
