@@ -878,6 +878,30 @@ def test_nearest_in_a_group_of_near_duplicates(spark):
     assert hits.mean() >= 0.9 and hits[:40].mean() >= 0.9
 
 
+def test_nearest_around_hubs(spark, monkeypatch):
+    """Clusters of mixed spread, whose centres are in very many lists: no list entry is left out of the index, nodes that many ask answer in copies."""
+    monkeypatch.setattr(nn_descent, "POPULAR", 20)
+    r = np.random.default_rng(7)
+    centres = unit(r.normal(size=(12, 32)))
+    x = np.concatenate([c + s * r.normal(size=(200, 32)) for c, s in zip(centres, r.uniform(0.02, 0.5, 12))])
+    hits = recall(spark, x)
+    assert hits.mean() >= 0.95 and hits.min() >= 0.5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("index_")]
+
+
+def test_all_list_entries_are_in_the_index(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "FAN", 4)
+    r = np.random.default_rng(2)
+    entries = {i: np.array([(j, 0.5) for j in {0, *r.integers(0, 50, 6).tolist()} - {i}], dtype=nn_descent.ENTRY) for i in range(50)}
+    graph = spark.createDataFrame([(i, b"code%02d" % i, e.tobytes()) for i, e in entries.items()], nn_descent.STATE).repartition(3)
+    rows = nn_descent._told(graph, -1, True).mapInArrow(nn_descent._lists, "node long, ids binary, codes binary").collect()
+    assert max(len(x["ids"]) for x in rows) <= 32 and sum(x["node"] == 0 for x in rows) > 10  # node 0, which all list, in parts
+    assert sorted((x["node"], i) for x in rows for i in np.frombuffer(x["ids"], "<i8").tolist()) == sorted((j, i) for i, e in entries.items() for j in e["id"].tolist())
+    assert all(x["codes"] == b"".join(b"code%02d" % i for i in np.frombuffer(x["ids"], "<i8").tolist()) for x in rows)
+    heard = Counter(x["node"] for x in nn_descent._told(graph, 1, False).collect())
+    assert max(heard.values()) == 4
+
+
 @pytest.mark.parametrize("norms", ["outlier", "lognormal"])
 def test_nearest_of_spread_norms(spark, norms):
     r = np.random.default_rng(3)
