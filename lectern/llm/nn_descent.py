@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from lectern.llm.common import new_path, partitions, range_bucket, table, written
+from lectern.llm.common import bounded, new_path, partitions, range_bucket, table, written
 
 LIST = 32
 FAN = 48
@@ -353,11 +353,11 @@ def _met(asked: DataFrame, index: DataFrame) -> DataFrame:
     columns = ["node", "query", "code", "worst", "ids", "codes"]
     popular = written(asked.groupBy("node").agg(F.ceil(F.count("*") / POPULAR).cast("int").alias("copies")).where("copies > 1"), "popular")
     if popular.isEmpty():
-        return asked.join(index, "node").sortWithinPartitions("node").select(columns)
-    few = asked.join(popular, "node", "left_anti").join(index, "node").sortWithinPartitions("node").select(columns)
+        return asked.hint("merge").join(index, "node").sortWithinPartitions("node").select(columns)
+    few = asked.join(popular, "node", "left_anti").hint("merge").join(index, "node").sortWithinPartitions("node").select(columns)
     copies = index.join(popular, "node").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     many = asked.join(popular, "node").withColumn("copy", F.pmod(F.xxhash64("query"), F.col("copies")).cast("int"))
-    return few.unionByName(many.join(copies, ["node", "copy"]).sortWithinPartitions("node").select(columns))
+    return few.unionByName(many.hint("merge").join(copies, ["node", "copy"]).sortWithinPartitions("node").select(columns))
 
 
 def search(graph: DataFrame, queries: DataFrame, kind: str, rounds: int) -> DataFrame:
@@ -402,7 +402,7 @@ def _chosen(k: int, longest: float, kind: str):
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found of each query; vectors: vec_id and embedding; queries: vec_id, a part of them."""
-    rows = valid(vectors)
+    rows = valid(bounded(vectors))
     # a node: equal vectors, with the k + 1 smallest ids; the limit is applied before rows are exchanged
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     some = rows.distinct().withColumn("place", place).where(F.col("place") <= k + 1)
