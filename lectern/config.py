@@ -73,15 +73,27 @@ class Config:
 
         Path(path).write_text(yaml.dump(self.values, sort_keys=False, allow_unicode=True), encoding="utf-8")
 
-    def get(self, section: str, key: str | None = None, default: Any = None) -> Any:
-        part = self.values.get(section, {} if key is not None else default)
-        return part if key is None else part.get(key, default)
-
-    def set(self, section: str, key: str, value: Any) -> None:
-        self.values.setdefault(section, {})[key] = value
+    def get(self, *keys: str, default: Any = None) -> Any:
+        """What stands under these keys, at any depth; the default if any of them is missing."""
+        part: Any = self.values
+        for key in keys:
+            if not isinstance(part, dict) or key not in part:
+                return default
+            part = part[key]
+        return part
+
+    def set(self, *keys_and_value: Any) -> None:
+        """The value (last) under the keys before it; missing sections are made."""
+        *sections, key, value = keys_and_value
+        part = self.values
+        for section in sections:
+            if not isinstance(part.get(section), dict):
+                part[section] = {}
+            part = part[section]
+        part[key] = value
 
     def keywords(self) -> list[str]:
-        return list(self.get("parsing", "keywords", {}).get(self.get("parsing", "data_format"), []))
+        return list(self.get("parsing", "keywords", self.get("parsing", "data_format"), default=[]))
 
     def problems(self) -> list[str]:
         """What makes the settings unusable; empty if nothing does."""

@@ -37,6 +37,16 @@ def bottom(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
 
 
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in this order (that of the input, if its order columns are given)."""
+    return df.orderBy(*order).limit(n)
+
+
+def tail(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The last n rows, in this order."""
+    return df.orderBy(*[F.col(c).desc_nulls_last() for c in order]).limit(n).orderBy(*order)
+
+
 def statuses(results: DataFrame) -> DataFrame:
     """(input, output, error) to (input, output, status)."""
     return results.select("input", "output", F.when(F.col("error").isNull(), "SUCCESS").otherwise(F.concat(F.lit("FAILED: "), F.col("error"))).alias("status"))

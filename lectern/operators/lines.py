@@ -80,7 +80,11 @@ def line_counts(lines: DataFrame, *by: str) -> DataFrame:
     return lines.groupBy(*by).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-def scanned(lines: DataFrame, most: int = 100) -> DataFrame:
-    """Each source and whether its first page has too little text for a text layer."""
+def scanned(lines: DataFrame, most: int = 100, sources: DataFrame | None = None) -> DataFrame:
+    """Each source and whether its first page has too little text for a text layer. sources: all of them (source), so that those without
+    any line, as a file without a text layer has none, are there too, and true."""
     length = F.sum(F.when(F.col("page") == 1, F.length(strip(F.col("line"))) + 1).otherwise(0))
-    return lines.groupBy("source").agg((length - 1 <= most).alias("scanned"))
+    found = lines.groupBy("source").agg((length - 1 <= most).alias("scanned"))
+    if sources is None:
+        return found
+    return sources.select("source").distinct().join(found, "source", "left").select("source", F.coalesce("scanned", F.lit(True)).alias("scanned"))

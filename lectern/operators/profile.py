@@ -44,10 +44,11 @@ def column_info(df: DataFrame, approximate: bool = False) -> DataFrame:
     return rows.withColumn("Type", types[F.col("Column")]).select("Column", "Type", "Non-Null", "Null", "Unique")
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std (of a sample), min, quartiles (exact, interpolated) and max of numeric columns, a row a column."""
+def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
+    """count, mean, std (of a sample), min, quartiles (exact and interpolated, which holds every distinct value; approximate: by mergeable sketches) and max
+    of numeric columns, a row a column."""
     columns = list(columns or numeric_columns(df))
-    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q": lambda c: F.percentile(c, [0.25, 0.5, 0.75]), "max": F.max}
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q": (lambda c: F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75])) if approximate else (lambda c: F.percentile(c, [0.25, 0.5, 0.75])), "max": F.max}
     one = df.agg(*[f(_col(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in parts.items()])
     flat = one.select(*[(F.col(f"{k}_{i}").cast("double") if k in ("min", "max") else F.col(f"{k}_{i}")).alias(f"{k}_{i}") for i in range(len(columns)) for k in parts])
     rows = _unpivoted(flat, columns, list(parts), list(parts))

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Columns that a table made from ragged rows has at most.
-WIDEST = 500
-
 
 def names_for(mappings: dict[str, list[str]], n: int, prefix: str = "census") -> list[str] | None:
     """The names of a row of n columns: {prefix}_religion_{n}, else {prefix}_standard whatever n, else the first mapping of n names."""
@@ -19,13 +16,20 @@ def names_for(mappings: dict[str, list[str]], n: int, prefix: str = "census") ->
     return next((list(names) for names in mappings.values() if len(names) == n), None)
 
 
-def names_column(mappings: dict[str, list[str]], n: Column, prefix: str = "census", widest: int = 64) -> Column:
-    """names_for as an expression: one literal branch for each width that has names."""
-    out = F.lit(None).cast("array<string>")
-    for k in range(widest, 0, -1):
-        if (names := names_for(mappings, k, prefix)) is not None:
-            out = F.when(n == k, F.array(*map(F.lit, names))).otherwise(out)
-    return out
+def names_column(mappings: dict[str, list[str]], n: Column, prefix: str = "census") -> Column:
+    """names_for as an expression, for rows of any width: one literal branch for each mapping that can apply."""
+    literal = lambda names: F.array(*map(F.lit, names))
+    if f"{prefix}_standard" in mappings:
+        out = literal(mappings[f"{prefix}_standard"])
+    else:
+        out = F.lit(None).cast("array<string>")
+        for names in reversed(list(mappings.values())):  # the first of a length comes last and wins
+            out = F.when(n == len(names), literal(names)).otherwise(out)
+    for key, names in mappings.items():
+        width = key.removeprefix(f"{prefix}_religion_")
+        if width != key and width.isdecimal() and key == f"{prefix}_religion_{int(width)}":
+            out = F.when(n == int(width), literal(names)).otherwise(out)
+    return F.when(n > 0, out)
 
 
 def mapping_table(spark: SparkSession, mappings: dict[str, list[str]]) -> DataFrame:
@@ -61,7 +65,7 @@ def unique_names(names: Sequence[str]) -> list[str]:
 
 def widest(rows: DataFrame, cells: str = "cells") -> int:
     """The longest row: one aggregate, one number to the driver."""
-    return min(rows.agg(F.coalesce(F.max(F.size(cells)), F.lit(0))).first()[0], WIDEST)
+    return rows.agg(F.coalesce(F.max(F.size(cells)), F.lit(0))).first()[0]
 
 
 def evened(rows: DataFrame, names: Sequence[str], width: int, cells: str = "cells", prefix: str = "Column_", first: int = 1, keep: Sequence[str] = ()) -> DataFrame:

@@ -50,33 +50,50 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     config = settings(args)
     handlers: list[logging.Handler] = [logging.StreamHandler()] if config.get("logging", "console") else []
-    logging.basicConfig(level=getattr(logging, str(config.get("logging", "level")).upper(), logging.INFO), handlers=handlers or None)
+    if config.get("logging", "file"):
+        handlers.append(logging.FileHandler(config.get("logging", "file"), encoding="utf-8", delay=True))
+    for handler in log.handlers:
+        handler.close()
+    log.handlers[:] = handlers or [logging.NullHandler()]
+    for handler in handlers:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.setLevel(getattr(logging, str(config.get("logging", "level")).upper(), logging.INFO))
     if problems := config.problems():
         log.error("; ".join(problems))
         return 1
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from lectern.operators.profile import summary
     from lectern.plans.extract import extract, extract_files
+    from lectern.plans.storage import removed, stored
     from lectern.sinks.files import export
     from lectern.sources.decode import decoded, lines_of
     from lectern.sources.fetch import fetched
     from lectern.sources.files import IMAGES, listed, url_table
 
     spark = SparkSession.builder.getOrCreate()
+    kept = []  # stored tables, each file read or fetched once
+
+    def held(df, name):
+        kept.append(stored(df, name))
+        return kept[-1]
+
     try:
         if args.download:
             d = config.get("download")
             urls = url_table(spark, d["base_url"], d["file_pattern"], *d["district_range"], d["data_type"])
-            got = fetched(urls, timeout=d["timeout"], delay=d["delay_seconds"]).where("error IS NULL").persist()
-            table = extract(lines_of(decoded(got.withColumnRenamed("url", "path"))), config)
+            got = held(fetched(urls, timeout=d["timeout"], delay=d["delay_seconds"]), "fetched")
+            for row in got.where("error IS NOT NULL").select("url", "error").toLocalIterator():
+                log.warning("%s: %s", row["url"], row["error"])
+            table = extract(lines_of(held(decoded(got.where("error IS NULL").withColumnRenamed("url", "path")), "decoded")), config)
         elif args.images or args.skip_conversion:
             images = args.images or [config.get("conversion", "output_dir")]
-            table = extract(lines_of(decoded(listed(spark, images, IMAGES, content=True), ("image",))), config)
+            table = extract(lines_of(held(decoded(listed(spark, images, IMAGES, content=True), ("image",)), "decoded")), config)
         elif args.input:
             text = all(x.lower().endswith(".txt") for x in args.input)
             if text:
-                table = extract(lines_of(decoded(listed(spark, args.input, ("txt",), content=True), ("plain",))), config)
+                table = extract(lines_of(held(decoded(listed(spark, args.input, ("txt",), content=True), ("plain",)), "decoded")), config)
             else:
                 table, failed = extract_files(spark, args.input, config)
                 for row in failed.toLocalIterator():
@@ -84,6 +101,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         else:
             log.error("nothing to read: give --download, --input or --images")
             return 1
+        table = held(table.withColumn("_order", F.monotonically_increasing_id()), "table").orderBy("_order").drop("_order")
         out = export(table, config, args.output)
         if not out:
             log.error("no rows found")
@@ -97,7 +115,8 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 1
     finally:
         if args.clean:
-            spark.catalog.clearCache()  # fetched files are only ever held there
+            for df in kept:  # fetched files and what was read from them
+                removed(spark, df)
 
 
 if __name__ == "__main__":

@@ -10,9 +10,10 @@ from lectern.functions.text import contains_any
 from lectern.operators import lines as L
 from lectern.operators.census import parse_census
 from lectern.operators.package import FILTERS, KEYWORDS, MAPPINGS, parse_census_pairs, parse_election, parse_generic, parse_next_lines
-from lectern.operators.schema import looked_up, mapping_table, union_ragged
+from lectern.operators.schema import looked_up, mapping_table, names_column, union_ragged
 from lectern.operators.universal import chosen_headers, classified, counted, generic_rows, structured, universal_rows, universal_table, with_style
-from lectern.plans.extract import method_used
+from lectern.config import Config
+from lectern.plans.extract import extract, method_used
 from lectern.queries.render import MEASURES_SQL, SEX, census_lines, doc_lines, table
 
 Spark = SparkSession
@@ -61,10 +62,29 @@ def legacy_pairing(spark: Spark, sf: str) -> DataFrame:
     return rows.select("source", "error", F.col("line_no").cast("bigint").alias("line_no"), *[F.try_element_at("record", F.lit(c)).alias(c.lower()) for c in ("REGION", "SEX", "TOTAL", "OTHERS")])
 
 
+def _dispatch(kind: str, columns: tuple[str, ...]):
+    """The whole of the package's parser: noise, first keyword, the parser that the settings name, and a column for each key of a record."""
+
+    def query(spark: Spark, sf: str) -> DataFrame:
+        o = table(spark, sf, "orders")
+        words = {"census": ("ALL ", "DISTRICT "), "election": ("STATION   PS-", "POLLING   PS-"), "generic": ("line ", "row ")}[kind]
+        wide = "   " if kind == "election" else " "
+        is_head = F.col("o_orderkey") % 4 == 0
+        cells = F.concat_ws(wide, *[F.replace(F.col(c).cast("string"), F.lit(" "), F.lit("_")) for c in ("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")], *[F.lit(str(i)) for i in range(2 if kind == "census" else 0)])
+        text = F.when(F.col("o_orderkey") % 16 == 15, "x").when(is_head, F.concat(F.lit(words[1]), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit(words[0]), cells))
+        lines = o.select(F.concat(F.lit("s"), (F.col("o_custkey") % 7).cast("string")).alias("source"), F.lit(1).alias("page"), F.col("o_orderkey").alias("line_no"), text.alias("line"))
+        table_ = extract(lines, Config(values={"parsing": {"data_format": kind}}))
+        return table_.select(*[F.col(f"`{c}`").alias(c.lower()) if c in table_.columns else F.lit(None).cast("string").alias(c.lower()) for c in columns])
+
+    return query
+
+
 def column_name_lookup(spark: Spark, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").select("p_partkey", F.pmod("p_size", F.lit(12)).alias("n"))
+    """By a join and as an expression, for widths up to 500; election names apply whatever the width."""
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.pmod("p_size", F.lit(12))).otherwise(F.col("p_size") * 10).alias("n"))
     found = looked_up(rows, mapping_table(spark, MAPPINGS), "n")
-    return found.select("p_partkey", F.col("n").cast("bigint").alias("n"), F.array_join("names", ",").alias("names"))
+    either = F.array_join(names_column(MAPPINGS, F.col("n")), ",")
+    return found.select("p_partkey", F.col("n").cast("bigint").alias("n"), F.array_join("names", ",").alias("names"), either.alias("by_expression"), F.size(names_column(MAPPINGS, F.col("n"), "election")).cast("bigint").alias("election_names"))
 
 
 def election_split(spark: Spark, sf: str) -> DataFrame:
@@ -134,13 +154,13 @@ def token_typing(spark: Spark, sf: str) -> DataFrame:
 
 
 def french_regroup(spark: Spark, sf: str) -> DataFrame:
-    """Numbers of at most two groups, apart from each other by words, so that the grouping can be told."""
+    """Numbers of at most two groups, apart from each other by words, so that the grouping can be told. A second group that begins with a zero is a number of its own."""
     s = table(spark, sf, "supplier")
     a = F.abs(F.floor("s_acctbal"))
-    ok = s.where((a >= 1000) & (a % 1000 >= 100))
     text = F.concat_ws(" ", F.lit("BAL"), F.replace(F.format_number(a, 0), F.lit(","), F.lit(" ")), F.lit("KEY"), F.col("s_suppkey").cast("string"))
-    cells = N.regrouped(F.transform(F.split(text, " "), lambda x: N.cell(x)), F.lit(True))
-    return ok.select("s_suppkey", F.get(cells, F.lit(1))["i"].alias("balance"), F.get(cells, F.lit(3))["i"].alias("suppkey"), F.size(cells).cast("bigint").alias("n"))
+    rows = s.withColumn("cells", N.regrouped(F.transform(F.split(text, " "), lambda x: N.cell(x)), F.lit(True)))
+    n = F.size("cells")
+    return rows.select("s_suppkey", F.get("cells", F.lit(1))["i"].alias("balance"), F.when(n == 5, F.get("cells", F.lit(2))["i"]).alias("rest"), F.element_at("cells", -1)["i"].alias("suppkey"), n.cast("bigint").alias("n"))
 
 
 def universal_data(spark: Spark, sf: str) -> DataFrame:
@@ -169,7 +189,10 @@ def generic_kinds(spark: Spark, sf: str) -> DataFrame:
 
 
 def scanned_detector(spark: Spark, sf: str) -> DataFrame:
-    return L.scanned(doc_lines(spark, sf), 300)
+    """Documents, and files of which no line is known."""
+    documents, region = table(spark, sf, "documents"), table(spark, sf, "region")
+    files = documents.select(F.col("doc_id").cast("string").alias("source")).unionByName(region.select(F.concat(F.lit("no text "), "r_name").alias("source")))
+    return L.scanned(doc_lines(spark, sf), 300, files)
 
 
 def method_cascade(spark: Spark, sf: str) -> DataFrame:
@@ -179,7 +202,9 @@ def method_cascade(spark: Spark, sf: str) -> DataFrame:
     numbers = o.select(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("source"), F.lit(1).alias("page"), F.col("c_custkey").cast("int").alias("line_no"), F.concat_ws(" ", "c_mktsegment", F.lit("balance"), (F.col("c_custkey") + 100).cast("string")).alias("line"))
     words = table(spark, sf, "region").select(F.concat(F.lit("words "), "r_name").alias("source"), F.lit(1).alias("page"), F.col("r_regionkey").alias("line_no"), F.lit("no numbers here").alias("line"))
     blank = table(spark, sf, "region").select(F.concat(F.lit("blank "), "r_name").alias("source"), F.lit(1).alias("page"), F.col("r_regionkey").alias("line_no"), F.lit(" ").alias("line"))
-    return method_used(union_ragged(census, numbers, words, blank))
+    # files without a text layer: OCR reads some, some have nothing
+    seen = table(spark, sf, "nation").select(F.concat(F.lit("image "), "n_name").alias("source"), F.lit(1).alias("page"), F.col("n_nationkey").cast("int").alias("line_no"), F.when(F.col("n_regionkey") > 0, F.col("n_name")).otherwise(F.lit(" ")).alias("line"))
+    return method_used(union_ragged(census, numbers, words, blank), ocr=seen)
 
 
 QUERIES = {
@@ -190,6 +215,9 @@ QUERIES = {
     "keyword_predicate_counts": keyword_predicate_counts,
     "census_pairing": census_pairing,
     "legacy_pairing": legacy_pairing,
+    "package_census": _dispatch("census", ("REGION", "SEX", "TOTAL", "MUSLIM", "OTHERS", "SOURCE_IMAGE")),
+    "package_election": _dispatch("election", ("POLLING_STATION", "REGISTERED_VOTERS", "COL_0", "COL_1", "COL_5", "SOURCE_IMAGE")),
+    "package_generic": _dispatch("generic", ("COL_0", "COL_1", "COL_4", "SOURCE_IMAGE")),
     "column_name_lookup": column_name_lookup,
     "election_split": election_split,
     "generic_columns": generic_columns,
@@ -222,6 +250,8 @@ _GENERIC_WORDS = ("TOTAL", "SEX", "GENDER", "AGE", "POPULATION", "MALE", "FEMALE
 _TEXT = {i: f"CASE m{i} WHEN 0 THEN '-' ELSE format('{{:,}}', m{i}) END" for i in range(7)}
 _TEXTS = " || ' ' || ".join(_TEXT.values())
 
+_DISPATCHED = "rows AS (SELECT *, 's' || (o_custkey % 7) AS source, o_orderkey % 4 = 0 AS head FROM orders WHERE o_orderkey % 16 <> 15)"
+
 ORACLE_SQL = {
     "lines_scan": f"WITH {LINES_SQL} SELECT lang, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM lines GROUP BY lang",
     "noise_filter": f"WITH {LINES_SQL}, {_FILTERED} SELECT lang, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM filtered GROUP BY lang",
@@ -244,10 +274,17 @@ ORACLE_SQL = {
         firsts AS (SELECT r_name, n_nationkey, min({{'o': CASE section WHEN 'OVERALL' THEN 0 WHEN 'RURAL' THEN 1 ELSE 2 END, 'l': 'ALL ' || {_TEXTS}}}) FILTER (WHERE sex = 'ALL SEXES') AS f FROM measures GROUP BY 1, 2),
         rows AS (SELECT r_name AS source, n_nationkey, region, f.l AS line FROM regions JOIN firsts USING (r_name, n_nationkey))
         SELECT source, NULL::VARCHAR AS error, 10 + n_nationkey * 100 AS line_no, region, split_part(line, ' ', 1) AS sex, split_part(line, ' ', 2) AS total, split_part(line, ' ', 8) AS others FROM rows""",
-    "column_name_lookup": """WITH n AS (SELECT p_partkey, (p_size % 12)::BIGINT AS n FROM part)
-        SELECT p_partkey, n, CASE n WHEN 5 THEN 'POLLING_STATION,REGISTERED_VOTERS,VOTES_CAST,VALID_VOTES,REJECTED_VOTES'
+    "package_census": f"""WITH {_DISPATCHED},
+        nexts AS (SELECT *, lead(head) OVER w AS next_head, lead(o_custkey) OVER w AS c, lead(o_orderkey) OVER w AS k FROM rows WINDOW w AS (PARTITION BY source ORDER BY o_orderkey))
+        SELECT 'DISTRICT ' || o_orderkey AS region, 'ALL' AS sex, c::VARCHAR AS total, k::VARCHAR AS muslim, NULL::VARCHAR AS others, source AS source_image FROM nexts WHERE head AND NOT next_head""",
+    "package_election": f"""WITH {_DISPATCHED} SELECT CASE WHEN head THEN 'POLLING' ELSE 'STATION' END AS polling_station, 'PS-' || CASE WHEN head THEN o_orderkey ELSE o_custkey END AS registered_voters,
+        NULL::VARCHAR AS col_0, NULL::VARCHAR AS col_1, NULL::VARCHAR AS col_5, source AS source_image FROM rows""",
+    "package_generic": f"""WITH {_DISPATCHED} SELECT CASE WHEN head THEN 'row' ELSE 'line' END AS col_0, (CASE WHEN head THEN o_orderkey ELSE o_custkey END)::VARCHAR AS col_1,
+        CASE WHEN NOT head THEN o_orderstatus END AS col_4, source AS source_image FROM rows""",
+    "column_name_lookup": """WITH n AS (SELECT p_partkey, (CASE WHEN p_partkey % 3 > 0 THEN p_size % 12 ELSE p_size * 10 END)::BIGINT AS n FROM part)
+        SELECT *, names AS by_expression, CASE WHEN n > 0 THEN 5 END::BIGINT AS election_names FROM (SELECT p_partkey, n, CASE n WHEN 5 THEN 'POLLING_STATION,REGISTERED_VOTERS,VOTES_CAST,VALID_VOTES,REJECTED_VOTES'
           WHEN 7 THEN 'SEX,TOTAL,MUSLIM,CHRISTIAN,HINDU,QADIANI/AHMADI,CASTE/SCHEDULED' WHEN 8 THEN 'SEX,TOTAL,MUSLIM,CHRISTIAN,HINDU,QADIANI/AHMADI,CASTE/SCHEDULED,OTHERS'
-          WHEN 9 THEN 'SEX,TOTAL,MUSLIM,CHRISTIAN,HINDU,QADIANI/AHMADI,CASTE/SCHEDULED,OTHERS,EXTRACOL' END AS names FROM n""",
+          WHEN 9 THEN 'SEX,TOTAL,MUSLIM,CHRISTIAN,HINDU,QADIANI/AHMADI,CASTE/SCHEDULED,OTHERS,EXTRACOL' END AS names FROM n)""",
     "election_split": "SELECT 'STATION PS-' || o_orderkey AS polling_station, o_custkey::VARCHAR AS registered_voters, floor(o_totalprice)::BIGINT::VARCHAR AS votes_cast, o_orderstatus AS valid_votes, NULL::VARCHAR AS rejected_votes FROM orders",
     "generic_columns": f"""WITH {LINES_SQL}, cells AS (SELECT source, line_no, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS c FROM lines)
         SELECT source, line_no, len(c) AS n_cols, c[1] AS col_0, c[2] AS col_1, c[3] AS col_2, c[4] AS col_3 FROM cells WHERE len(c) > 0""",
@@ -281,7 +318,8 @@ ORACLE_SQL = {
         SELECT 'en ' || r_name AS source, false AS french, n_lines FROM n UNION ALL SELECT 'fr ' || r_name, true, n_lines FROM n""",
     "token_typing": """SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 1) THEN round_even(p_retailprice, 0)::BIGINT END AS i,
         CASE WHEN p_partkey % 5 = 2 THEN p_size + 0.5::DOUBLE END AS d, CASE WHEN p_partkey % 5 = 4 THEN p_size || '%' END AS s FROM part""",
-    "french_regroup": "WITH a AS (SELECT s_suppkey, abs(floor(s_acctbal))::BIGINT AS a FROM supplier) SELECT s_suppkey, a AS balance, s_suppkey AS suppkey, 4::BIGINT AS n FROM a WHERE a >= 1000 AND a % 1000 >= 100",
+    "french_regroup": """WITH a AS (SELECT s_suppkey, abs(floor(s_acctbal))::BIGINT AS a FROM supplier), p AS (SELECT *, a >= 1000 AND a % 1000 < 100 AS parted FROM a)
+        SELECT s_suppkey, CASE WHEN parted THEN a // 1000 ELSE a END AS balance, CASE WHEN parted THEN a % 1000 END AS rest, s_suppkey AS suppkey, CASE WHEN parted THEN 5 ELSE 4 END::BIGINT AS n FROM p""",
     "universal_data": f"""WITH {MEASURES_SQL} SELECT r_name AS source, n_name || ' DIVISION' AS region, section, sex, {", ".join(f"nullif(m{i}, 0)::VARCHAR AS {n}" for i, n in enumerate(_VALUES))} FROM measures""",
     "universal_columns": f"""WITH {MEASURES_SQL} SELECT DISTINCT n_name || ' DIVISION' AS region, section, sex AS area_sex, {", ".join(f"nullif(m{i}, 0)::VARCHAR AS {n}" for i, n in enumerate(("total", "muslim", "christian", "hindu", "ahmadi", "castes", "others")))} FROM measures""",
     "generic_structure": """SELECT s_suppkey + 1 AS row_no, abs(floor(s_acctbal))::BIGINT::VARCHAR AS c0, NULL::VARCHAR AS c1, (s_suppkey + 10)::VARCHAR AS c2, (s_nationkey + 10)::VARCHAR AS c3
@@ -289,8 +327,11 @@ ORACLE_SQL = {
     "generic_kinds": f"""WITH {LINES_SQL}, counts AS (SELECT line, len(regexp_extract_all(line, '\\d{{2,}}')) AS nums, len(regexp_extract_all(line, '[A-Za-z]{{3,}}')) AS words FROM lines)
         SELECT CASE WHEN (words > nums AND words > 0) OR {" OR ".join(f"contains(upper(line), '{w}')" for w in _GENERIC_WORDS)} THEN 'header' WHEN nums >= 2 THEN 'data' ELSE 'none' END AS kind,
                count(*) AS n, sum(nums)::BIGINT AS n_numbers, sum(words)::BIGINT AS n_words FROM counts GROUP BY 1""",
-    "scanned_detector": f"WITH {LINES_SQL} SELECT source, sum(length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) + 1) - 1 <= 300 AS scanned FROM lines GROUP BY source",
+    "scanned_detector": f"""WITH {LINES_SQL}, found AS (SELECT source, sum(length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) + 1) - 1 <= 300 AS scanned FROM lines GROUP BY source)
+        SELECT d.doc_id::VARCHAR AS source, coalesce(f.scanned, true) AS scanned FROM documents d LEFT JOIN found f ON d.doc_id::VARCHAR = f.source
+        UNION ALL SELECT 'no text ' || r_name, true FROM region""",
     "method_cascade": f"""WITH {MEASURES_SQL} SELECT r_name AS source, 'hierarchical' AS method, count(*) AS n_rows FROM measures GROUP BY 1
         UNION ALL SELECT 'nation ' || c_nationkey, 'universal', count(*) FROM customer GROUP BY 1
-        UNION ALL SELECT 'words ' || r_name, 'text', 1 FROM region UNION ALL SELECT 'blank ' || r_name, NULL, 0 FROM region""",
+        UNION ALL SELECT 'words ' || r_name, 'text', 1 FROM region UNION ALL SELECT 'blank ' || r_name, NULL, 0 FROM region
+        UNION ALL SELECT 'image ' || n_name, CASE WHEN n_regionkey > 0 THEN 'ocr' END, (n_regionkey > 0)::INT FROM nation""",
 }

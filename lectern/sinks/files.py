@@ -6,9 +6,11 @@ For large results write directories with Spark (``write_parts``): one file has o
 from __future__ import annotations
 
 import csv
+import io
 import json
 from collections.abc import Callable
 from pathlib import Path
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 
@@ -22,23 +24,31 @@ def _rows(df: DataFrame):
     return (tuple(r) for r in df.toLocalIterator(prefetchPartitions=True))  # a partition at a time
 
 
+def _csv(df: DataFrame, out: TextIO) -> None:
+    writer = csv.writer(out)
+    writer.writerow(df.columns)
+    writer.writerows(_rows(df))
+
+
+def _json(df: DataFrame, out: TextIO, indent: int = 2) -> None:
+    out.write("[")
+    for k, row in enumerate(_rows(df)):
+        text = json.dumps(dict(zip(df.columns, row, strict=True)), ensure_ascii=False, indent=indent, default=str)
+        out.write(("," if k else "") + "\n" + "\n".join(" " * indent + x for x in text.split("\n")))
+    out.write("\n]\n")
+
+
 def to_csv(df: DataFrame, path: str | Path) -> str:
     path = Path(path).with_suffix(".csv")
     with path.open("w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f)
-        out.writerow(df.columns)
-        out.writerows(_rows(df))
+        _csv(df, f)
     return str(path)
 
 
 def to_json(df: DataFrame, path: str | Path, indent: int = 2) -> str:
     path = Path(path).with_suffix(".json")
     with path.open("w", encoding="utf-8") as f:
-        f.write("[")
-        for k, row in enumerate(_rows(df)):
-            text = json.dumps(dict(zip(df.columns, row, strict=True)), ensure_ascii=False, indent=indent, default=str)
-            f.write(("," if k else "") + "\n" + "\n".join(" " * indent + x for x in text.split("\n")))
-        f.write("\n]\n")
+        _json(df, f, indent)
     return str(path)
 
 
@@ -48,6 +58,17 @@ def to_excel(df: DataFrame, path: str | Path) -> str:
     return str(path)
 
 
+def to_bytes(df: DataFrame, kind: str = "excel") -> bytes:
+    """The file that the sink of this kind writes, as bytes to hand out; for results that fit in the driver's memory."""
+    if kind not in WRITERS:
+        raise ValueError(f"format must be one of {', '.join(WRITERS)}")
+    if kind == "excel":
+        write_workbook(buffer := io.BytesIO(), df.columns, _rows(df))
+        return buffer.getvalue()
+    (_csv if kind == "csv" else _json)(df, text := io.StringIO(newline=""))
+    return text.getvalue().encode()
+
+
 WRITERS: dict[str, Callable[[DataFrame, str | Path], str]] = {"excel": to_excel, "csv": to_csv, "json": to_json}
 
 

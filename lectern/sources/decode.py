@@ -37,14 +37,30 @@ def text_layer(content: bytes, tables: str = "fallback", settings: dict | None =
     return pages
 
 
+def tables_first(content: bytes) -> list[list[list[str]]]:
+    """Tables of a page that has any, else its text lines."""
+    return text_layer(content, "first")
+
+
+def is_scanned(content: bytes, most: int = 100) -> bool:
+    """Whether a PDF's first page has too little text for a text layer; true for one that can't be read."""
+    import pdfplumber
+
+    try:
+        with pdfplumber.open(io.BytesIO(content)) as pdf:
+            return not pdf.pages or len((pdf.pages[0].extract_text() or "").strip()) <= most
+    except Exception:  # noqa: BLE001  whatever a library makes of a broken file
+        return True
+
+
 def ruled_tables(content: bytes) -> list[list[list[str]]]:
     return text_layer(content, "first", STRICT)
 
 
-def rasterised(content: bytes, dpi: int = 300) -> list:
+def rasterised(content: bytes, dpi: int = 300, last: int | None = None) -> list:
     from pdf2image import convert_from_bytes
 
-    return convert_from_bytes(content, dpi=dpi)
+    return convert_from_bytes(content, dpi=dpi, last_page=last)
 
 
 def page_images(content: bytes, dpi: int = 300, kind: str = "JPEG") -> list[bytes]:
@@ -85,6 +101,49 @@ def ocr_pdf(content: bytes) -> list[list[list[str]]]:
     return [recognised(image, wide=True) for image in rasterised(content)]
 
 
+def ocr_lines(content: bytes) -> list[list[list[str]]]:
+    """OCR of a PDF with one cell a line."""
+    return [recognised(image) for image in rasterised(content)]
+
+
+def ocr_first_page(content: bytes) -> list[list[list[str]]]:
+    return [recognised(image, wide=True) for image in rasterised(content, last=1)]
+
+
+#: A layout model: a file's bytes to items of each page (text, bbox as corners [x, y], confidence).
+Layout = Callable[[bytes], list[list[dict]]]
+
+
+def by_layout(model: Layout, least: float = 0.0) -> Decoder:
+    """A decoder of a layout model's items: a row an item, by the height of its first corner; items of less confidence go."""
+
+    def decode(content: bytes) -> list[list[list[str]]]:
+        pages = []
+        for items in model(content):
+            good = [x for x in items if x.get("text") and (x.get("confidence") or 0.0) >= least]
+            pages.append([[x["text"].strip()] for x in sorted(good, key=lambda x: (x["bbox"][0][1] if x.get("bbox") else float("inf"), x["text"]))])
+        return pages
+
+    return decode
+
+
+def layout_items(files: DataFrame, model: Layout) -> DataFrame:
+    """files (path, content) to (source, page, text, bbox, confidence), pages from 1; none for a file that the model can't read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("source", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("bbox", pa.list_(pa.list_(pa.float64()))), ("confidence", pa.float64())])
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    pages = model(content.as_py())
+                except Exception:  # noqa: BLE001  a file that can't be read has no items
+                    pages = []
+                rows = [{"source": path, "page": p, "text": x.get("text"), "bbox": x.get("bbox"), "confidence": x.get("confidence")} for p, items in enumerate(pages, 1) for x in items]
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, "source string, page int, text string, bbox array<array<double>>, confidence double")
+
+
 def ocr_image(content: bytes) -> list[list[list[str]]]:
     from PIL import Image
 
@@ -96,7 +155,9 @@ def plain_text(content: bytes) -> list[list[list[str]]]:
     return [[[x.strip()] for x in page.split("\n") if x.strip()] for page in content.decode().split("\f")]
 
 
-DECODERS: dict[str, Decoder] = {"text": text_layer, "tables": ruled_tables, "ocr": ocr_pdf, "image": ocr_image, "plain": plain_text}
+DECODERS: dict[str, Decoder] = {
+    "text": text_layer, "tables": ruled_tables, "tables_first": tables_first, "ocr": ocr_pdf, "ocr_lines": ocr_lines, "ocr_first_page": ocr_first_page, "image": ocr_image, "plain": plain_text,
+}
 
 
 def decoded(files: DataFrame, methods: Sequence[str] = ("text", "ocr"), decoders: dict[str, Decoder] | None = None) -> DataFrame:

@@ -18,13 +18,37 @@ def _any_case(suffix: str) -> str:
     return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
+def _statuses(spark: SparkSession, path: str) -> list:
+    """The files that a path, folder or pattern names, as the file system lists them: no content is read."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    where = jvm.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in fs.globStatus(where) or []:
+        found += [x for x in fs.listStatus(status.getPath()) if x.isFile()] if status.isDirectory() else [status]
+    return found
+
+
+def named_files(spark: SparkSession, path: str) -> list[str]:
+    """The qualified paths of the files that a path, folder or pattern names, as they stand in listings."""
+    return sorted(x.getPath().toString() for x in _statuses(spark, path))
+
+
 def listed(spark: SparkSession, path: str | Sequence[str], suffixes: Sequence[str] = PDF, content: bool = False) -> DataFrame:
-    """path, modificationTime and length (and content) of files with these suffixes in any case, sorted by path. Content isn't read unless asked for."""
+    """path, modificationTime and length (and content) of files with these suffixes in any case, sorted by path. Content isn't read unless asked for.
+    Files of no bytes are there too, which readers of content leave out."""
     glob = "*.{" + ",".join(_any_case(s) for s in suffixes) + "}"
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", False)
-    rows = reader.load(list(path) if not isinstance(path, str) else path)
+    paths = [path] if isinstance(path, str) else list(path)
+    rows = reader.load(paths)
     kind = "(?i)\\.(" + "|".join(map(re.escape, suffixes)) + ")$"
-    return rows.where(F.col("path").rlike(kind)).select("path", "modificationTime", "length", *["content"] * content).orderBy("path")
+    rows = rows.where(F.col("path").rlike(kind) & (F.col("length") > 0)).select("path", "modificationTime", "length", *["content"] * content)
+    empty = {x.getPath().toString(): x.getModificationTime() for p in paths for x in _statuses(spark, p) if x.getLen() == 0}
+    if empty:
+        none = spark.createDataFrame(list(empty.items()), "path string, ms long").where(F.col("path").rlike(kind))
+        none = none.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), *[F.lit(b"").alias("content")] * content)
+        rows = rows.unionByName(none)
+    return rows.orderBy("path")
 
 
 def url_table(spark: SparkSession, base_url: str, file_pattern: str, first: int, last: int, data_type: str = "") -> DataFrame:

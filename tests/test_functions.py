@@ -139,3 +139,12 @@ def test_analytics(spark):
     assert [r["t"] for r in A.top(df, 2, "t").collect()] == [10, 0] and [r["t"] for r in A.bottom(df, 1, "t").collect()] == [0]
     batch = A.statuses(spark.createDataFrame([("i", "o", None), ("j", None, "broken")], "input string, output string, error string"))
     assert tuple(A.status_counts(batch).first()) == (1, 1, 2) and {r["status"] for r in batch.collect()} == {"SUCCESS", "FAILED: broken"}
+
+
+def test_settings_at_any_depth():
+    c = Config()
+    assert c.get("ocr", "preprocessing", "resize_factor") == 1.2 and c.get("ocr", "x", "y", default=3) == 3 and c.get("ocr", "engine", "x") is None
+    c.set("ocr", "preprocessing", "resize_factor", 2.0)
+    c.set("a", "b", "c", 1)
+    assert c.get("ocr", "preprocessing", "resize_factor") == 2.0 and c.get("a", "b", "c") == 1
+    assert Config().get("ocr", "preprocessing", "resize_factor") == 1.2

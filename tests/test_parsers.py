@@ -1,6 +1,7 @@
 """Parsers on literal pages."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.config import Config
 from lectern.operators import lines as L
@@ -204,3 +205,29 @@ def test_one_exchange_and_only_needed_columns(spark, tmp_path, parse):
     spark.createDataFrame([(1, CENSUS, "x")], "k int, text string, more string").write.parquet(str(tmp_path / "docs"))
     plan = parse(lines_from_text(spark.read.parquet(str(tmp_path / "docs")), "k"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "ReadSchema: struct<k:int,text:string>" in plan
+
+
+def test_widths_beyond_any_list(spark):
+    from lectern.operators.package import MAPPINGS
+    from lectern.operators.schema import names_column
+
+    rows = spark.createDataFrame([(n, ["x"] * n) for n in (0, 1, 5, 8, 70, 600)], "n int, cells array<string>")
+    own = {**MAPPINGS, "census_religion_70": [f"N{i}" for i in range(70)], "odd": ["a", "b"], "odd_too": ["c", "d"]}
+    for mappings in (MAPPINGS, own):
+        for prefix in ("census", "election"):
+            got = {r["n"]: r["names"] for r in rows.select("n", names_column(mappings, F.col("n"), prefix).alias("names")).collect()}
+            assert got == {n: names_for(mappings, n, prefix) if n else None for n in (0, 1, 5, 8, 70, 600)}
+    assert widest(rows) == 600 and len(evened(rows, ["A"], widest(rows)).columns) == 600
+
+
+def test_scanned_files_without_lines(spark):
+    files = spark.createDataFrame([("a",), ("b",)], "source string")
+    got = L.scanned(page(spark, "x" * 200, "a"), 100, files).collect()
+    assert {r["source"]: r["scanned"] for r in got} == {"a": False, "b": True}
+
+
+def test_head_and_tail(spark):
+    from lectern.operators.analytics import head, tail
+
+    rows = spark.range(10).repartition(3)
+    assert [r["id"] for r in head(rows, 3, "id").collect()] == [0, 1, 2] and [r["id"] for r in tail(rows, 3, "id").collect()] == [7, 8, 9]

@@ -3,6 +3,8 @@
 import io
 import json
 import os
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +157,98 @@ def test_parts(spark, tmp_path, capsys):
     assert [(r["SEX"], r["TOTAL"], r["OTHERS"]) for r in census.collect()] == [("ALL", 1.0, 7.0)]
 
 
+def counting(tmp_path):
+    """A decoder that leaves a mark for each call, and how many there are for each content."""
+    marks = tmp_path / "marks"
+    marks.mkdir()
+
+    def decode_(content, where=str(marks)):
+        import uuid
+
+        with open(f"{where}/{uuid.uuid4().hex}", "wb") as f:
+            f.write(content)
+        if content.startswith(b"bad"):
+            raise ValueError("unreadable")
+        return decode.plain_text(content)
+
+    return decode_, lambda: Counter(p.read_bytes() for p in marks.iterdir())
+
+
+def test_each_file_is_decoded_once(spark, tmp_path):
+    from lectern.plans.extract import extract_files
+
+    decode_, calls = counting(tmp_path)
+    for name, text in (("a", PAGE), ("b", PAGE + "x"), ("c", "bad"), ("e", "")):
+        (tmp_path / f"{name}.pdf").write_text(text)
+    c = Config(values={"export": {"format": "csv", "output_dir": str(tmp_path)}})
+    table, failed = extract_files(spark, str(tmp_path), c, ("t",), {"t": decode_})
+    assert table.count() == 2 and len(table.collect()) == 2 and len(failed.collect()) == 2
+    assert set(calls().values()) == {1} and len(calls()) == 4
+    paths = [str(tmp_path / f"{x}.pdf") for x in "abce"] + [str(tmp_path / "none.pdf")]
+    out = {Path(r["input"]).stem: r["status"] for r in batch(spark, paths, str(tmp_path / "out"), c, ("t",), {"t": decode_}).collect()}
+    assert out["a"] == out["b"] == "SUCCESS" and "unreadable" in out["c"] and out["e"] == "FAILED: no text" and out["none"] == "FAILED: no such file"
+    assert set(calls().values()) == {2} and (tmp_path / "out" / "a.csv").exists()
+
+
+def test_empty_files_are_listed(spark, tmp_path):
+    from lectern.sources.files import listed, named_files
+
+    (tmp_path / "a.pdf").write_text("x")
+    (tmp_path / "b.PDF").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"")
+    rows = listed(spark, str(tmp_path), content=True).collect()
+    assert [(r["path"][-5:], r["length"], bytes(r["content"])) for r in rows] == [("a.pdf", 1, b"x"), ("b.PDF", 0, b"")]
+    assert [r["path"] for r in rows] == named_files(spark, str(tmp_path / "*.[pP]*"))
+    assert listed(spark, str(tmp_path)).count() == 2
+
+
+def test_cascade_with_ocr(spark, tmp_path):
+    from lectern.plans.extract import cascade
+
+    files = spark.createDataFrame([("report", b"r"), ("scan", b"s"), ("blank", b"b"), ("broken", b"x")], "path string, content binary")
+
+    def text(content):
+        if content == b"x":
+            raise ValueError("broken")
+        return decode.plain_text(PAGE.encode()) if content == b"r" else [[]]
+
+    def ocr(content):
+        if content == b"x":
+            raise ValueError("broken too")
+        return [[["read by eye"]]] if content == b"s" else [[]]
+
+    rows = cascade(files, decoders={"text": text, "ocr": ocr}).collect()
+    by = {r["source"]: (r["method"], r["error"]) for r in rows}
+    assert by["scan"] == ("ocr", None) and by["blank"] == (None, "no text") and "broken too" in by["broken"][1] and by["report"][0] in ("hierarchical", "universal", "text")
+    assert [r["cells"] for r in rows if r["source"] == "scan"] == [["read by eye"]]
+
+
+def test_layout_items(spark):
+    def model(content):
+        return [[{"text": "low", "bbox": [[0, 90], [9, 90]], "confidence": 0.9}, {"text": "top", "bbox": [[5, 10], [9, 10]], "confidence": 0.8}, {"text": "dust", "bbox": [[5, 20]], "confidence": 0.1}]]
+
+    assert decode.by_layout(model, 0.5)(b"") == [[["top"], ["low"]]]
+    files = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, content binary")
+    items = decode.layout_items(files, model).where("confidence > 0.5")
+    assert [(r["source"], r["line_no"], r["line"]) for r in reading_order(items).orderBy("source", "line_no").collect()] == [("a", 0, "top"), ("a", 1, "low"), ("b", 0, "top"), ("b", 1, "low")]
+    rows = decode.decoded(files, ("layout",), {"layout": decode.by_layout(model, 0.5)}).orderBy("source", "row_no").collect()
+    assert [r["cells"] for r in rows] == [["top"], ["low"]] * 2
+    assert {"tables_first", "ocr_first_page", "ocr_lines"} <= set(decode.DECODERS) and decode.is_scanned.__doc__
+
+
+def test_buffers_and_log_file(spark, tmp_path, monkeypatch):
+    from lectern.sinks.files import to_bytes, to_csv, to_excel
+
+    df = spark.createDataFrame([(1, "é"), (2, None)], "a int, b string").coalesce(1)
+    assert to_bytes(df, "csv") == Path(to_csv(df, tmp_path / "x")).read_bytes()
+    assert json.loads(to_bytes(df, "json")) == [{"a": 1, "b": "é"}, {"a": 2, "b": None}]
+    assert list(workbook.read_workbook(io.BytesIO(to_bytes(df)))) == list(workbook.read_workbook(to_excel(df, tmp_path / "y")))
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "p.txt").write_text(PAGE)
+    assert cli.main(["-i", str(tmp_path / "p.txt"), "-o", str(tmp_path / "out.csv"), "-f", "csv", "--clean"]) == 0
+    assert "out.csv" in (tmp_path / "lectern.log").read_text() and (tmp_path / "out.csv").exists()
+
+
 def test_inbox(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
