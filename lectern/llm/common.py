@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one made for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. With a local master (tests) and none set, one made for this session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
     return context.getCheckpointDir()
 
@@ -62,6 +64,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input files for each partition whose rows a worker gathers.
+PARTITION_BYTES = 128 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """The session's number of partitions, or as many as the files that df reads need if that is more: what a worker gathers stays bounded as the input grows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(partitions(df.sparkSession), -(-sum(x for x in sizes if x < 1 << 60) // PARTITION_BYTES))  # beyond: not known
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of these names starts with (whatever its case)."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Callable[[Column, Column], Column], bool]:
     """A function from (the integer key, a hash of the row) to the range of the row, of n ranges in ascending order (nulls first),
     and whether it looks at the hash.

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, byte_symbols, groups, lean, mix, partitions, slices, spans_hash, table, utf8, written
+from lectern.llm.common import bounded, byte_symbols, groups, lean, mix, partitions_for, slices, spans_hash, table, utf8, written
 from lectern.llm.components import components
 from lectern.llm.substring_dedup import split
 
@@ -218,7 +218,6 @@ def _verified(threshold: float, n: int):
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id, copy_id and n_links of each document; docs has doc_id and text."""
-    spark = docs.sparkSession
     texts = bounded(docs).select(doc_key().alias("doc"), "text")
     shortest = depth(threshold, trees, recall=recall)
     signed = texts.mapInArrow(lean(_signed(trees, shortest, n)), "doc long, one long, two long, grams long, labels array<long>, tails array<long>")
@@ -250,7 +249,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tree
     spread = texts.join(one, "doc")
     task = F.xxhash64("root", F.least("block", "mate"), F.greatest("block", "mate"))
     spread = spread.select(task.alias("task"), "doc", "text", "copies", "block", "blocks")
-    checked = spread.repartition(partitions(spark), "task").sortWithinPartitions("task", "doc", "text")
+    checked = spread.repartition(partitions_for(docs), "task").sortWithinPartitions("task", "doc", "text")
     checked = written(checked.mapInArrow(lean(_verified(threshold, n)), "node long, links long, root long, parted boolean"), "links")
     edges = checked.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"), "parted")
     parted = edges.where("parted")

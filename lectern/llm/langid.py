@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, lean, mix, slices, table
+from lectern.llm.common import bounded, free_prefix, lean, mix, slices, table
 
 LENGTHS = (1, 2, 3)
 PROFILE = 1000
@@ -182,6 +182,7 @@ def in_a_language(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFram
         return docs.where(F.col("text").rlike(r"\p{L}"))
     added = ("lang_pred", "score")
     own = [c for c in docs.columns if c in added]  # columns of docs that have names of ours keep their values
-    marked = docs.withColumns({f"__{c}__": F.col(c) for c in own})
+    prefix = free_prefix(docs.columns)
+    marked = docs.withColumns({prefix + c: F.col(c) for c in own})
     found = identify(marked, profiles, added).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return found.drop(*added).withColumnsRenamed({f"__{c}__": c for c in own}).select(*docs.columns)
+    return found.drop(*added).withColumnsRenamed({prefix + c: c for c in own}).select(*docs.columns)

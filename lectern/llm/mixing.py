@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_PATTERN, table, written
+from lectern.llm.common import WORD_PATTERN, free_prefix, table, written
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -87,28 +87,31 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epoch
     fraction = (F.col("extra") - F.col("before")) / F.col("words")
     plan = goal.join(cut.drop("extra"), "key", "left").join(fine.select("key", F.col("fine").alias("fine_cut"), fraction.alias("fraction")), "key", "left")
     plan = written(plan.select("key", "source_size", "target", "whole", "cut", "fine_cut", "fraction"), "mix-plan")
-    names = {"key": "__key", "coarse": "__coarse", "fine": "__fine", "cut": "__cut", "fine_cut": "__fine_cut", "fraction": "__fraction", "whole": "__whole"}
+    own = free_prefix(docs.columns)
+    names = {c: own + c for c in ("key", "coarse", "fine", "cut", "fine_cut", "fraction", "whole")}
     plan = few(plan.withColumnsRenamed(names))
     kept = [c for c in docs.columns if c not in ADDED]
-    rows = docs.select(*kept, *[c.alias(names.get(k, k)) for k, c in added.items()]).join(plan, "__key")
-    more = (F.col("__coarse") < F.col("__cut")) | ((F.col("__coarse") == F.col("__cut")) & (F.col("__fine") < F.col("__fine_cut")))
-    at_cut = (F.col("__coarse") == F.col("__cut")) & (F.col("__fine") == F.col("__fine_cut"))
-    rows = rows.withColumn("repeats", F.col("__whole") + F.coalesce(more, F.lit(False)).cast("int"))
-    rows = rows.withColumn("part", F.when(at_cut, F.floor(F.col("size") * F.col("__fraction"))).otherwise(F.lit(0)).cast("long"))
+    rows = docs.select(*kept, *[c.alias(names.get(k, k)) for k, c in added.items()]).join(plan, names["key"])
+    more = (F.col(names["coarse"]) < F.col(names["cut"])) | ((F.col(names["coarse"]) == F.col(names["cut"])) & (F.col(names["fine"]) < F.col(names["fine_cut"])))
+    at_cut = (F.col(names["coarse"]) == F.col(names["cut"])) & (F.col(names["fine"]) == F.col(names["fine_cut"]))
+    rows = rows.withColumn("repeats", F.col(names["whole"]) + F.coalesce(more, F.lit(False)).cast("int"))
+    rows = rows.withColumn("part", F.when(at_cut, F.floor(F.col("size") * F.col(names["fraction"]))).otherwise(F.lit(0)).cast("long"))
     return rows.select(*kept, "size", "source_size", "target", "repeats", "part", (F.col("repeats") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: each document as often as it is taken, a part of it as a text of its first words."""
     own = [c for c in docs.columns if c in ADDED]  # columns of docs that have names of ours keep their values
-    rows = mix_sources(docs.withColumnsRenamed({c: f"__{c}__" for c in own}), **options)
+    prefix = free_prefix(docs.columns)
+    rows = mix_sources(docs.withColumnsRenamed({c: prefix + c for c in own}), **options)
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})")), 1, F.col("part").cast("int")), " ")
     copies = F.array_repeat(F.lit(False), F.col("repeats"))
-    every = rows.withColumn("__cut", F.explode(F.when(F.col("part") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
-    every = every.withColumn("text", F.when(F.col("__cut"), head).otherwise(F.col("text")))
+    cut = free_prefix(rows.columns) + "cut"
+    every = rows.withColumn(cut, F.explode(F.when(F.col("part") > 0, F.concat(copies, F.array(F.lit(True)))).otherwise(copies)))
+    every = every.withColumn("text", F.when(F.col(cut), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        every = every.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return every.drop(*ADDED).withColumnsRenamed({f"__{c}__": c for c in own}).select(*docs.columns)
+        every = every.withColumn("n_chars", F.when(F.col(cut), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return every.drop(*ADDED).withColumnsRenamed({prefix + c: c for c in own}).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

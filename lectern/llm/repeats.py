@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, lean, mix, partitions, ranges, slices, spans_hash, written
+from lectern.llm.common import bounded, lean, mix, partitions_for, ranges, slices, spans_hash, written
 
 #: Symbols scanned at once, and bytes of pieces held by a solver at once (more if one group is larger).
 SCAN = 1 << 20
@@ -407,8 +407,7 @@ def _solve(search: Search):
 
 def find_repeats(docs: DataFrame, search: Search) -> DataFrame:
     """(doc, key, spans): of each document that has any, spans [begin, end) in symbols, unordered."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions_for(docs)
     texts = keyed(bounded(docs))
     found = texts.mapInArrow(lean(_scan(search, n)), "bucket int, records binary, spans binary").repartitionById(n, F.col("bucket")).mapInArrow(lean(_match(search)), SPANS)
     found = written(found, "repeats")
@@ -419,15 +418,12 @@ def find_repeats(docs: DataFrame, search: Search) -> DataFrame:
     return every.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))
 
 
-SPANS_COLUMN = "__spans"
-
-
-def with_spans(docs: DataFrame, search: Search) -> DataFrame:
+def with_spans(docs: DataFrame, search: Search, name: str = "__spans") -> DataFrame:
     """docs with a further column of the spans (null where there are none)."""
     spans = find_repeats(docs.select("doc_id", "text"), search)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), text_key().alias("key"))
     rows = rows.join(spans, ["doc", "key"], "left")
-    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != SPANS_COLUMN], F.col("spans").alias(SPANS_COLUMN))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("spans").alias(name))
 
 
 def covered(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import byte_symbols, ranges, slices, spans_hash, table, utf8
+from lectern.llm.common import byte_symbols, free_prefix, ranges, slices, spans_hash, table, utf8
 from lectern.llm.repeats import Search, covered, with_spans
 
 WINDOW = 200
@@ -140,12 +140,13 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, mode: str = "later", window: int = WINDOW) -> DataFrame:
     """docs with repeated bytes cut out of text (characters cut in two are dropped)."""
     columns = docs.columns
-    rows = with_spans(docs, search(mode, window)).select(*columns, "__spans")
+    name = free_prefix(columns) + "spans"
+    rows = with_spans(docs, search(mode, window), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
                 if text and spans:
                     raw = text.encode()
                     parts, at = [], 0

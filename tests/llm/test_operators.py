@@ -916,6 +916,28 @@ def test_nearest_of_spread_norms(spark, norms):
 # -- 10 mixing
 
 
+def test_names_of_ours_in_the_input(spark):
+    """Columns named as the operators' own keep their values."""
+    names = ["doc_id", "text", "source", "__key", "__cut", "__spans", "___cut", "size", "lang", "lang_pred", "score", "__score"]
+    rows = [(i, f"word{i} some more words {i % 3} and a tail", f"s{i % 2}", *[f"{c}{i}" for c in names[3:8]], "en", *[f"{c}{i}" for c in names[9:]]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{c}` string" for c in names[1:]))
+    for out in (mixing.mixed(docs), langid.in_a_language(docs), suffix_dedup.dedup(docs), jaccard_join.first_of_each(docs)):
+        assert out.columns == names
+        got = out.collect()
+        assert got and all([r[c] for c in names[3:8]] == [f"{c}{r['doc_id']}" for c in names[3:8]] for r in got)
+
+
+def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
+    from lectern.llm import common
+
+    where = str(tmp_path / "t")
+    spark.range(50_000).selectExpr("id", "uuid() as text").write.parquet(where)
+    docs = spark.read.parquet(where)
+    assert common.partitions_for(docs) == common.partitions(spark) == common.partitions_for(spark.createDataFrame([(1,)], "a int"))
+    monkeypatch.setattr(common, "PARTITION_BYTES", 100_000)
+    assert 10 < common.partitions_for(docs) < 100
+
+
 def test_water_filling(spark):
     def filled(sizes, weights, cap):
         targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
