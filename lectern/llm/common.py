@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,15 +96,15 @@ def range_bucket(df: DataFrame, key: str, n: int) -> tuple[Callable[[Column, Col
     hot = bool(len(cuts) > len(np.unique(cuts)))
     both = bool(tied)
 
-    @F.pandas_udf("int")
-    def place(keys: pd.Series, null: pd.Series, hashes: pd.Series) -> pd.Series:
-        keys = keys.to_numpy(dtype=np.int64)
-        share = (hashes.to_numpy(dtype=np.int64).astype(np.float64) + 2.0**63) / 2.0**64
+    @F.arrow_udf("int")
+    def place(keys: pa.Array, null: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys = keys.to_numpy()
+        share = (hashes.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
         if both:  # nulls stand before the least key
-            share = np.where(null.to_numpy(dtype=bool), share / 2, np.where(keys == least, 0.5 + share / 2, share))
+            share = np.where(null.to_numpy(zero_copy_only=False), share / 2, np.where(keys == least, 0.5 + share / 2, share))
         before, upto = np.searchsorted(cuts, keys, side="left"), np.searchsorted(cuts, keys, side="right")
         many = upto - before
-        return pd.Series(np.where(many > 1, before + 1 + np.minimum((share * many).astype(np.int64), many - 1), upto).astype(np.int32))
+        return pa.array(np.where(many > 1, before + 1 + np.minimum((share * many).astype(np.int64), many - 1), upto).astype(np.int32))
 
     return (lambda key, hashed: place(F.coalesce(key, F.lit(least)), key.isNull(), hashed if hot else F.lit(0).cast("long"))), hot
 

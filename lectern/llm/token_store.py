@@ -50,7 +50,6 @@ class Memory:
         self.slots = np.zeros(1 << self.bits, np.uint64)  # 0: free
         self.entry = np.zeros(1 << self.bits, np.int32)
         self.count, self.used = 0, 0
-        self.keys = np.zeros(1 << 16, np.uint64)
         self.checks = np.zeros(1 << 16, np.uint64)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.int32)
@@ -78,30 +77,31 @@ class Memory:
         """Pieces of distinct keys that aren't here."""
         n = self.count + len(keys)
         while n > len(self.checks):
-            self.keys, self.checks, self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.keys, self.checks, self.starts, self.sizes))
+            self.checks, self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.checks, self.starts, self.sizes))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        self.keys[self.count : n] = np.maximum(keys, np.uint64(1))
         self.checks[self.count : n], self.sizes[self.count : n] = checks, sizes
         self.starts[self.count : n] = np.cumsum(sizes) - sizes + self.used
         self.ids[self.used : self.used + len(ids)] = ids
-        begin = self.count
         if 2 * n > len(self.slots):
+            taken = np.flatnonzero(self.slots)
+            before, entries = self.slots[taken], self.entry[taken]
             while 2 * n > 1 << self.bits:
                 self.bits += 1
             self.slots, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            begin = 0
-        self.settle(np.arange(begin, n))
+            self.settle(before, entries)
+        self.settle(np.maximum(keys, np.uint64(1)), np.arange(self.count, n, dtype=np.int32))
         self.count, self.used = n, self.used + len(ids)
 
-    def settle(self, live: np.ndarray) -> None:
-        """Gives each of these pieces the first free slot from its own on."""
-        at = (self.keys[live] >> np.uint64(64 - self.bits)).astype(np.int64)
+    def settle(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """Gives each of these keys the first free slot from its own on."""
+        live = np.arange(len(keys))
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(live):
             free = np.flatnonzero(self.slots[at] == 0)
             _, first = np.unique(at[free], return_index=True)
             now = free[first]
-            self.slots[at[now]], self.entry[at[now]] = self.keys[live[now]], live[now]
+            self.slots[at[now]], self.entry[at[now]] = keys[live[now]], entries[live[now]]
             stay = np.ones(len(live), dtype=bool)
             stay[now] = False
             live, at = live[stay], at[stay] + 1 & (1 << self.bits) - 1
