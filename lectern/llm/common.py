@@ -131,15 +131,22 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def give_back() -> None:
+    """Frees the memory that this process no longer uses."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, after which a worker, which goes on to other tasks, gives back the memory that it no longer uses."""
+    """run, after which a worker, which goes on to other tasks, gives back the memory that it no longer uses.
+
+    What it calls is a function of the module: globals that the inner function named itself would be sent to the workers with it."""
 
     def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        _POWERS.clear()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where there is no such C library
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return lean_run
 

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, html_text, jaccard_join, langid, mixing, nn_descent, order_minhash, substring_dedup, suffix_dedup, token_store
+from lectern.llm import bpe, common, html_text, jaccard_join, langid, mixing, nn_descent, order_minhash, repeats, substring_dedup, suffix_dedup, token_store
 from lectern.llm.common import new_path, range_bucket, utf8, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -289,8 +289,6 @@ def test_longest_previous_factors():
 
 def test_null_ids_are_told_apart_by_whole_hashes():
     """Texts without an id are one document but for the hash of their text, which has 64 bits."""
-    from lectern.llm import repeats
-
     assert dict(repeats.FIELDS)["text"] == "<i8" and "key long" in repeats.SPANS and "key long" in repeats.PIECES
 
 
@@ -928,7 +926,6 @@ def test_names_of_ours_in_the_input(spark):
 
 
 def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
-    from lectern.llm import common
 
     where = str(tmp_path / "t")
     spark.range(50_000).selectExpr("id", "uuid() as text").write.parquet(where)
@@ -988,8 +985,6 @@ def test_mixing(docs, none):
 def test_hot_anchors_give_the_same(docs, hot):
     from dataclasses import replace
 
-    from lectern.llm import repeats
-
     rows = plain(docs)
     for mode in ("all", "later"):
         got = repeats.with_spans(docs, replace(suffix_dedup.search(mode, 60, k=20), hot=hot)).mapInArrow(suffix_dedup._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
@@ -1008,8 +1003,6 @@ def test_token_store_reads_selectively(spark, docs):
 
 
 def test_anchors_of_texts_beyond_the_place_width(monkeypatch):
-    from lectern.llm import repeats
-
     search = suffix_dedup.search("all", 40, k=10)
     tail = np.random.default_rng(4).integers(97, 123, 200).astype("u1")
     raw = np.concatenate((np.random.default_rng(5).integers(97, 123, 1500).astype("u1"), tail, [32, 33], tail)).astype("u1")
@@ -1028,9 +1021,15 @@ def test_anchors_of_texts_beyond_the_place_width(monkeypatch):
 
 
 def test_anchors_of_a_text_of_more_than_2_to_the_24():
-    from lectern.llm import repeats
-
     n = (1 << 24) + 3000
     symbols = suffix_dedup.byte_symbols(np.random.default_rng(6).integers(97, 123, n).astype("u1"))
     at = repeats.anchors(symbols, np.array([0, n]), suffix_dedup.search("all"))[0]
     assert at[-1] > 1 << 24 and (np.diff(at) > 0).all()
+
+
+def test_functions_for_workers_take_no_tables_along():
+    from pyspark import cloudpickle
+
+    common.powers(1 << 20)
+    sent = [repeats._cut(suffix_dedup.search("later", 200), 4), jaccard_join._signed(28, 5, 5), jaccard_join._verified(0.8, 5), token_store._encode_shards("x", 0), nn_descent._answer("<f4")]
+    assert all(len(cloudpickle.dumps(common.lean(f))) < 100_000 for f in sent)
