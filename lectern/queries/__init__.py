@@ -1,9 +1,11 @@
 """Queries over the driver's tables, and the DuckDB SQL that gives the same rows without the operators."""
 
+from lectern.queries.files import ORACLE_SQL as _FILES_SQL
+from lectern.queries.files import QUERIES as _FILES
 from lectern.queries.parsing import ORACLE_SQL as _PARSING_SQL
 from lectern.queries.parsing import QUERIES as _PARSING
 from lectern.queries.tables import ORACLE_SQL as _TABLES_SQL
 from lectern.queries.tables import QUERIES as _TABLES
 
-QUERIES = {**_PARSING, **_TABLES}
-ORACLE_SQL = {**_PARSING_SQL, **_TABLES_SQL}
+QUERIES = {**_PARSING, **_TABLES, **_FILES}
+ORACLE_SQL = {**_PARSING_SQL, **_TABLES_SQL, **_FILES_SQL}
