@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, byte_symbols, groups, lean, mix, partitions_for, slices, spans_hash, table, utf8, written
-from lectern.llm.components import components
+from lectern.llm.components import components, with_least
 from lectern.llm.substring_dedup import split
 
 N = 5
@@ -228,8 +228,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, tree
     places = classes.select("node", F.explode(F.arrays_zip("labels", "tails")).alias("at")).select("node", F.col("at.labels").alias("label"), F.col("at.tails").alias("tail"))
     shared = places.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
     at = written(prefixes(written(places.join(shared, "label"), "met"), threshold, trees, shortest, recall, CROWDED).select("node", "key"), "trie")
-    heads = at.groupBy("key").agg(F.min("node").alias("head"))
-    met = components(at.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    stars = with_least(at.select(F.col("key").alias("u"), F.col("node").alias("v")), at.count())
+    met = components(stars.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")))
     members = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).join(classes.groupBy("node").agg(F.max("grams").alias("grams"), F.sum("copies").alias("copies")), "node")
     full = F.ceil(F.greatest(F.sum("grams") / BLOCK_GRAMS, F.count("*") / BLOCK_CLASSES)).cast("int")
     members = written(members.join(members.groupBy("root").agg(full.alias("blocks")), "root"), "members")

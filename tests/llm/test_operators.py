@@ -1033,3 +1033,18 @@ def test_functions_for_workers_take_no_tables_along():
     common.powers(1 << 20)
     sent = [repeats._cut(suffix_dedup.search("later", 200), 4), jaccard_join._signed(28, 5, 5), jaccard_join._verified(0.8, 5), token_store._encode_shards("x", 0), nn_descent._answer("<f4")]
     assert all(len(cloudpickle.dumps(common.lean(f))) < 100_000 for f in sent)
+
+
+@pytest.mark.parametrize("hub", [1, 3, 1000])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from lectern.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    rng = random.Random(hub)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(500, i) for i in range(501, 560)] + [(i, i + 1) for i in range(600, 640)] + [(559, 700), (7, 7)]
+    least = {i: i for e in edges for i in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in found} == {i: r for i, r in least.items() if i != r} and len(found) == len({r["node"] for r in found})
