@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -203,6 +204,45 @@ def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+#: Low 0 to 8 bytes of a 64-bit number.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+#: Runs of more bytes are hashed one by one.
+LONG_RUN = 2048
+
+
+def runs_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the runs raw[start:end] of bytes, eight bytes a round for all runs at once: each block is mixed into what is
+    mixed so far, so that no sum over places makes different runs alike whatever the seed. Long runs go through BLAKE2b."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    if not len(start):
+        return out
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(8, np.uint8))), 8)
+    long = np.flatnonzero(size > LONG_RUN)
+    for i in long.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+    live = np.flatnonzero((size > 0) & (size <= LONG_RUN))
+    at, left = start[live], size[live]
+    state = out[live]
+    while len(live):
+        block = np.ascontiguousarray(eight[at]).view("<u8")[:, 0] & _LOW[np.minimum(left, 8)]
+        state = mix((state ^ block) * np.uint64(0xD1342543DE82EF95))
+        done = left <= 8
+        out[live[done]] = state[done]
+        go = ~done
+        live, at, left, state = live[go], at[go] + 8, left[go] - 8, state[go]
+    return out
+
+
+def chained(symbols: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of all runs of n symbols, each symbol mixed into what is mixed so far."""
+    many = max(0, len(symbols) - n + 1)
+    state = np.full(many, 0xA0761D6478BD642F + n, dtype=np.uint64)
+    for i in range(n):
+        state = mix((state ^ symbols[i : i + many]) * np.uint64(0xD1342543DE82EF95))
+    return state
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, html_text, jaccard_join, langid, mixing, nn_descent, order_minhash, substring_dedup, suffix_dedup, token_store
+from lectern.llm import bpe, chosen_path, filter_audit, html_text, importance, jaccard_join, langid, mixing, nn_descent, order_minhash, substring_dedup, suffix_dedup, token_store
 
 QUERIES = {
     "op1_token_store": token_store.op1_token_store,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_nearest": nn_descent.op9_nearest,
     "op10_mixing": mixing.op10_mixing,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_importance": importance.op12_importance,
+    "op13_near_dedup": chosen_path.op13_near_dedup,
 }
 
 ORACLE_SQL = {
     "op10_mixing": mixing.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
 }
