@@ -6,13 +6,12 @@
    for as many nodes as make 1 / threshold children on average, of a second coordinate too. So a pair at the threshold keeps about one common
    node on its way down, while others part. A node of few classes is a leaf; a larger one branches on, down to a last level. Independent
    trees are repeated until a pair at the threshold meets in a leaf or on the last level with the target recall, whatever its company (``survival``).
-3. Small nodes are compared exhaustively by their classes' sketches (a byte of each minwise token), which rule out only what is
-   far below the threshold. Node and members decide: nodes of the same members are compared once, in whatever tree.
-   First each class names the least class of its node that it may be like; these stars are checked on the full sets and give components. Then pairs
-   that may be alike and are in different components yet are checked too. So a group of copies costs stars, not all its pairs.
-   Nodes that are large on the last level are cut into small ones for the stars; after these, members outside of a
-   node's most frequent component meet all of the node, in blocks.
-4. A check on full sets reads texts: a star's center comes once to each part of its members, which pass by one after the other.
+3. Small nodes are compared exhaustively by their classes' sketches (a byte of some minwise tokens), which rule out only what is
+   far below the threshold; nodes of the same members are compared once, in whatever tree. What may be alike makes clusters, and so does what shares
+   a node that is still large on the last level. A task tells only edges that span its clusters.
+4. A cluster's texts come together once, and full sets decide on all its pairs. In a cluster of too many classes or shingles for a task, first each class is
+   checked with the least one of a node that it may be like: these stars give components, as a center's text comes once to each part of its members,
+   which pass by one after the other. Only classes outside of the most frequent component then meet all of the cluster, in blocks. No pair leaves a task.
 
 Result: a row for each row of docs: n_shingles, component_id (the least doc_id that links lead to) and kept (doc_id names its component).
 
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import bounded, chained, groups, lean, mix, partitions_for, runs_hash, slices, table, utf8, written
 from lectern.llm.components import HUB, MOST_HUBS, components
-from lectern.llm.jaccard_join import STAND_INS, doc_key
+from lectern.llm.jaccard_join import BLOCK_CLASSES, BLOCK_GRAMS, STAND_INS, doc_key, linked
 from lectern.llm.substring_dedup import split
 
 N = 3
@@ -45,7 +44,7 @@ LEVELS = 6
 FIRST_LEVEL = 2
 #: A node of more classes branches on.
 LEAF = 64
-#: How many of a star's members a task compares with their center, about.
+#: About so many of a star's members are a task.
 STAR = 256
 #: Sketches rule out a pair that agrees in fewer places than one at the threshold would, by so many standard deviations.
 DEVIATIONS = 6
@@ -161,71 +160,81 @@ def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, le
     return leaves, dense
 
 
-def _compared(agree: int, percent: int, star: bool):
+def _compared(agree: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        more: list[int] = []
+        found: list[tuple[np.ndarray, ...]] = []
 
         def batch() -> pa.RecordBatch:
-            a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(2))
-            none = pa.nulls(len(more), pa.int64())
-            a, b, task = (pa.concat_arrays(x) for x in ((pa.array(a), none), (pa.array(b), none), (pa.nulls(len(a), pa.int64()), pa.array(more, pa.int64()))))
+            a, b, star = (np.concatenate(x) for x in zip(*found, strict=True))
             found.clear()
-            more.clear()
-            return pa.RecordBatch.from_arrays([a, b, task], ["a", "b", "task"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(star)], ["a", "b", "star"])
 
         for group in groups(batches, "task"):
-            c, grams, label, outer = (group.column(x).to_numpy() for x in ("c", "grams", "label", "outer"))
-            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(c), -1)
-            # rows are in order of c; where some are outer, these are compared with the others
-            left = np.flatnonzero(outer) if outer.any() else np.arange(len(c))
-            alike = np.zeros((len(left), len(c)), dtype=bool)
-            for i, x in enumerate(left.tolist()):
-                near = (100 * np.minimum(grams, grams[x]) >= percent * np.maximum(grams, grams[x])) & (label != label[x])
-                near = np.flatnonzero(near & (~outer if outer.any() else c < c[x]))
-                alike[i, near[np.count_nonzero(sketch[near] == sketch[x], axis=1) >= agree]] = True
-            if star:
-                some = np.flatnonzero(alike.any(axis=1))
-                if len(some):
-                    found.append((c[alike[some].argmax(axis=1)], c[left[some]]))
-                    if alike.sum() > len(some):
-                        more.append(group.column("task")[0].as_py())
-            else:
-                i, j = np.nonzero(alike)
-                if len(i):
-                    found.append((np.minimum(c[left[i]], c[j]), np.maximum(c[left[i]], c[j])))
+            c, grams = group.column("c").to_numpy(), group.column("grams").to_numpy()
+            m = len(c)
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(m, -1)
+            least = np.arange(m)  # the least class that each may be like
+            top = np.arange(m)  # the first of those that this leads to
+            for i in range(m):
+                near = np.flatnonzero(100 * np.minimum(grams[:i], grams[i]) >= percent * np.maximum(grams[:i], grams[i]))
+                near = near[np.count_nonzero(sketch[near] == sketch[i], axis=1) >= agree]
+                if len(near):
+                    least[i] = near[0]
+                    tops = np.unique(top[near])
+                    top[i] = tops[0]
+                    if len(tops) > 1:
+                        top[np.isin(top, tops)] = tops[0]
+            stars = np.flatnonzero(least < np.arange(m))
+            ties = np.flatnonzero((least == np.arange(m)) & (top < np.arange(m)))
+            if len(stars):
+                found.append((c[least[stars]], c[stars], np.ones(len(stars), dtype=bool)))
+                found.append((c[top[ties]], c[ties], np.zeros(len(ties), dtype=bool)))
             if sum(len(x[0]) for x in found) > 20_000:
                 yield batch()
-        yield batch()
+        if found:
+            yield batch()
 
     return run
 
 
-def compared(rows: DataFrame, classes: DataFrame, agree: int, percent: int, star: bool, parts: int) -> DataFrame:
-    """Pairs (a < b) that the sketches of a task's classes leave, and (star) tasks with more of them. rows: task, c, label, outer."""
+def compared(rows: DataFrame, classes: DataFrame, agree: int, percent: int, parts: int) -> DataFrame:
+    """(a, b, star), a < b, that span what the sketches of each task's classes leave: stars are pairs that may be alike, and others tie stars together. rows: task, c."""
     rows = rows.join(classes.select("c", "grams", "sketch"), "c").repartition(parts, "task").sortWithinPartitions("task", "c")
-    return written(rows.mapInArrow(lean(_compared(agree, percent, star)), "a long, b long, task long"), "candidates")
-
-
-def open_tasks(leaves: DataFrame, dense: DataFrame, more: DataFrame, roots: DataFrame, leaf: int) -> DataFrame:
-    """(task, c, label, outer): what is compared once more, as its classes are in several components. more: tasks of leaves whose stars left something out."""
-    label = F.coalesce("root", "c").alias("label")
-    rows = leaves.join(more, "task", "left_semi").join(roots, "c", "left").select("task", "c", label)
-    several = rows.groupBy("task").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("task")
-    rows = rows.join(several, "task").withColumn("outer", F.lit(False))
-    if dense.isEmpty():
-        return rows
-    dense = written(dense.join(roots, "c", "left").select("node", "c", label), "dense-labels")
-    counts = dense.groupBy("node", "label").agg(F.count("*").alias("n"))
-    nodes = counts.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
-    nodes = nodes.select("node", "n", F.col("most.label").alias("major"), F.ceil((F.col("n") - F.col("most.n")) / leaf).cast("int").alias("blocks")).where("blocks > 0")
-    dense = with_total(dense, written(nodes, "open-nodes"), ["node"], dense.count())
-    every = F.ceil(F.col("n") / (4 * leaf)).cast("int")
-    inner, outer = F.pmod(F.xxhash64("c"), every).cast("int"), F.pmod(F.xxhash64("c", F.lit(5)), F.col("blocks")).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    both = dense.select("node", "c", "label", upto(F.col("blocks")).alias("i"), inner.alias("j"), F.lit(False).alias("outer"))
-    both = both.unionByName(dense.where("label <> major").select("node", "c", "label", outer.alias("i"), upto(every).alias("j"), F.lit(True).alias("outer")))
-    return rows.unionByName(both.select(F.xxhash64("node", "i", "j").alias("task"), "c", "label", "outer"))
+    return rows.mapInArrow(lean(_compared(agree, percent)), "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+
+
+def _linked(percent: int, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, "task"):
+            group = group.combine_chunks()
+            c = group.column("c").to_numpy()
+            alike = linked(shingle_sets(group.column("text").chunk(0), n), group.column("outer").to_numpy(zero_copy_only=False), percent / 100)
+            root = c.copy()
+            some = np.flatnonzero(alike.any(axis=1))
+            while True:  # the least class that links lead to
+                least = root.copy()
+                for i in some:
+                    least[i] = min(least[i], root[alike[i]].min())
+                if (least == root).all():
+                    break
+                root = least
+            at = np.flatnonzero(root != c)
+            yield pa.RecordBatch.from_arrays([pa.array(root[at]), pa.array(c[at])], ["a", "b"])
+
+    return run
+
+
+def exhaustive(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, n: int, parts: int) -> DataFrame:
+    """(a, b) that span the links within each task, or (if some of its rows are outer) between these and the others. rows: task, c, outer."""
+    rows = with_texts(rows, classes, texts).select("task", "c", "outer", "text").repartition(parts, "task").sortWithinPartitions("task")
+    return written(rows.mapInArrow(lean(_linked(percent, n)), "a long, b long"), "links")
+
+
+def with_texts(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with a text of their class c; each text once, however often its row is repeated."""
+    rows = written(rows.join(classes.select("c", "doc", "h"), "c"), "asked")
+    own = texts.join(rows.select("doc", "h").distinct(), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.any_value("text").alias("text"))
+    return rows.join(own, ["doc", "h"])
 
 
 def _checked(percent: int, n: int):
@@ -260,14 +269,27 @@ def checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
     stars = with_total(pairs, written(pairs.groupBy("a").agg(F.count("*").alias("n")), "stars"), ["a"], pairs.count())
     stars = stars.select(F.col("a").alias("center"), F.col("b").alias("c"), F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR))).alias("task"))
     asked = stars.unionByName(stars.select("center", F.col("center").alias("c"), "task").distinct())
-    asked = written(asked.join(classes.select("c", "doc", "h"), "c"), "asked")
-    # each text once, however often its row is repeated
-    own = texts.join(asked.select("doc", "h").distinct(), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.any_value("text").alias("text"))
-    rows = asked.join(own, ["doc", "h"]).withColumn("member", F.col("c") != F.col("center"))
+    rows = with_texts(asked, classes, texts).withColumn("member", F.col("c") != F.col("center"))
     rows = rows.repartition(parts, "task").sortWithinPartitions("task", "center", "member").select("task", "center", "c", "text")
     return written(rows.mapInArrow(lean(_checked(percent, n)), "a long, b long"), "links")
 
 
+def blocks(members: DataFrame) -> DataFrame:
+    """(task, c, outer) for clusters that are compared in blocks. members: cluster, c, grams, label (what c is known to be linked with).
+
+    Only classes outside of a cluster's most frequent component are outer, and meet all of the cluster."""
+    kinds = members.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"))
+    size = lambda n, grams: F.ceil(F.greatest(n / BLOCK_CLASSES, grams / BLOCK_GRAMS)).cast("int")
+    clusters = kinds.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("grams").alias("grams"), F.max(F.struct("n", "label", "grams")).alias("most"))
+    clusters = clusters.select("cluster", "n", F.col("most.label").alias("major"), size(F.col("n"), F.col("grams")).alias("every"), size(F.col("n") - F.col("most.n"), F.col("grams") - F.col("most.grams")).alias("few"))
+    rows = with_total(members, written(clusters.where("few > 0"), "clusters"), ["cluster"], members.count())
+    inner, outer = F.pmod(F.xxhash64("c"), F.col("every")), F.pmod(F.xxhash64("c", F.lit(5)), F.col("few"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = rows.select("cluster", "c", upto("few").alias("i"), inner.cast("int").alias("j"), F.lit(False).alias("outer"))
+    both = both.unionByName(rows.where("label <> major").select("cluster", "c", outer.cast("int").alias("i"), upto("every").alias("j"), F.lit(True).alias("outer")))
+    return both.select(F.xxhash64("cluster", "i", "j").alias("task"), "c", "outer")
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N, trees: int = TREES, levels: int = LEVELS, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row; docs has doc_id and text. Links have 100 * intersection >= percent * union."""
     threshold, parts, places = percent / 100, partitions_for(docs), trees * levels
@@ -284,17 +306,24 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N, trees: int =
     texts = texts.select("doc", "h", "text")
     leaves, dense = tree_nodes(classes.select("c", "tokens"), trees, levels, threshold, leaf)
     chunk = F.xxhash64("node", F.pmod(F.xxhash64("c", "node"), F.ceil(F.col("n") / leaf)))
-    alone = [F.col("c").alias("label"), F.lit(False).alias("outer")]
-    first = compared(leaves.select("task", "c", *alone).unionByName(dense.select(chunk.alias("task"), "c", *alone)), classes, agree, percent, True, parts)
-    pairs = written(first.where("a is not null").select("a", "b").distinct(), "pairs")
-    links = checked(pairs, classes, texts, percent, n, parts)
+    edges = compared(leaves.unionByName(dense.select(chunk.alias("task"), "c")), classes, agree, percent, parts)
+    heads = dense.groupBy("node").agg(F.min("c").alias("head"), F.count("*").alias("n"))  # what shares a node of the last level may be alike
+    heads = with_total(dense.select("node", "c"), heads, ["node"], dense.count()).where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"), F.lit(False).alias("star"))
+    edges = written(edges.unionByName(heads.distinct()), "edges")
+    clusters = components(edges.select("a", "b")).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("c"), "cluster").distinct()).join(classes.select("c", "grams"), "c"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("grams").alias("all_grams"))
+    large = written(sizes.where((F.col("n") > BLOCK_CLASSES) | (F.col("all_grams") > BLOCK_GRAMS)).select("cluster", "n"), "large")
+    small = clusters.join(large, "cluster", "left_anti").select(F.col("cluster").alias("task"), "c", F.lit(False).alias("outer"))
+    links = exhaustive(small, classes, texts, percent, n, parts)
+    if not large.isEmpty():
+        members = written(with_total(clusters, large, ["cluster"], clusters.count()).drop("n"), "members")
+        pairs = written(edges.where("star").join(members.select(F.col("c").alias("a")), "a", "left_semi").select("a", "b"), "pairs")
+        stars = checked(pairs, classes, texts, percent, n, parts)
+        known = components(stars).select(F.col("node").alias("c"), F.col("root").alias("label"))
+        members = written(members.join(known, "c", "left").withColumn("label", F.coalesce("label", "c")), "members")
+        links = links.unionByName(stars).unionByName(exhaustive(blocks(members), classes, texts, percent, n, parts))
     roots = components(links).select(F.col("node").alias("c"), "root")
-    again = open_tasks(leaves, dense, first.where("task is not null").select("task"), roots, leaf)
-    second = compared(again, classes, agree, percent, False, parts).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = written(second, "pairs")
-    if not second.isEmpty():
-        more = checked(second, classes, texts, percent, n, parts)
-        roots = components(links.unionByName(more)).select(F.col("node").alias("c"), "root")
     found = written(classes.drop("tokens", "sketch").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")
     least = written(found.groupBy("root").agg(F.min(F.struct("none", "doc")).alias("least"), F.count("*").alias("members")).select("root", "least", F.col("members").alias("n")), "least")
     found = with_total(found.withColumnRenamed("n", "copies"), least, ["root"], found.count()).drop("n").select(*SAME, "least", F.col("copies").alias("n"))
