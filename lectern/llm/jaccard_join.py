@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, byte_symbols, groups, lean, mix, partitions_for, slices, spans_hash, table, utf8, written
+from lectern.llm.common import bounded, chained, groups, lean, mix, partitions_for, runs_hash, slices, table, utf8, written
 from lectern.llm.components import components, with_least
 from lectern.llm.substring_dedup import split
 
@@ -102,16 +102,14 @@ def gram_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
         some = raw[bounds[first] : bounds[last]]
         ends = bounds[first : last + 1] - bounds[first]
         start, end = split(some, ends)
-        words = spans_hash(byte_symbols(some))(start, end)
-        of = spans_hash(words)
+        words = runs_hash(some, start, end)
         cut = np.searchsorted(start, ends)
-        at = np.arange(max(0, len(words) - n + 1))
-        code = of(at, at + n)
+        code = chained(words, n)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if b - a >= n:
                 out.append(np.unique(code[a : b - n + 1]))
             else:
-                out.append(of(np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64))
+                out.append(chained(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
         first = last
     return out
 

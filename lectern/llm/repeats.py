@@ -97,6 +97,21 @@ def least_places(code: np.ndarray, span: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def piece_hash(of: Callable, begin: np.ndarray, end: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of whole pieces. A sum over places can't tell some runs of 1024 symbols and more apart; where windows are long, parts of 32 symbols are mixed one into the next."""
+    if window <= LONG_WINDOW:
+        return of(begin, end)
+    out = mix((end - begin).astype(np.uint64))
+    live = np.arange(len(begin))
+    at = begin
+    while len(live):
+        stop = np.minimum(at + 32, end[live])
+        out[live] = mix((out[live] ^ of(at, stop)) * np.uint64(0xD1342543DE82EF95))
+        go = stop < end[live]
+        live, at = live[go], stop[go]
+    return out
+
+
 def anchors(symbols: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np.ndarray, ...]:
     """Place, document (index), start and end of the piece, hash, and hash of the piece, of each anchor. A window belongs to one piece."""
     window, k = search.window, search.k
@@ -116,7 +131,7 @@ def anchors(symbols: np.ndarray, bounds: np.ndarray, search: Search) -> tuple[np
     at, begin = at[new], start[new]
     end = start[np.append(new[1:], len(start)) - 1] + window if len(at) else begin
     doc = np.searchsorted(bounds, at, side="right") - 1
-    piece = mix(of(begin, end) + (at - begin).astype(np.uint64))
+    piece = mix(piece_hash(of, begin, end, window) + (at - begin).astype(np.uint64))
     return at, doc, begin, end, code[at], piece
 
 
@@ -144,6 +159,8 @@ def merged(doc: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray
     return doc[at], text[at], begin[at], np.maximum.reduceat(end, at)
 
 
+#: Windows of more symbols than this are long.
+LONG_WINDOW = 256
 #: What is said of a piece: its span repeats, or what is asked for (bits), with the place of the anchor in the bits above.
 SPAN, ASK, HOT_ASK, PAIR, OFF = 0, 1, 2, 4, 3
 SPANS = "doc long, key long, begin int, `end` int, kind int"
@@ -304,7 +321,7 @@ def _cut(search: Search, buckets: int):
                 x = np.flatnonzero(kind & HOT_ASK)
                 start = np.unique(ranges(begin[x], end[x] - begin[x] - search.window + 1))
                 owner = np.searchsorted(ends, start, side="right") - 1
-                code = of(start, start + search.window)
+                code = piece_hash(of, start, start + search.window, search.window)
                 hot.append((docs[first + owner], keys[first + owner], start - ends[owner], np.zeros(len(start), np.int64), np.full(len(start), search.window), code, code))
                 left = at - search.half  # windows from here or before hold the anchor extended to the left, others the one to the right
                 one, two, three = (np.flatnonzero(c) for c in ((kind & PAIR) > 0, ((kind & ASK) > 0) & (begin <= left), ((kind & ASK) > 0) & (end - search.window > left)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import common
-from lectern.llm.common import byte_symbols, ranges, slices, spans_hash, table, utf8
+from lectern.llm.common import ranges, runs_hash, slices, spans_hash, table, utf8
 from lectern.llm.fm_index import FmIndex
 from lectern.llm.repeats import Search, covered, with_spans
 
@@ -40,7 +40,7 @@ def word_symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable]:
         some = raw[bounds[first] : bounds[last]]
         ends = bounds[first : last + 1] - bounds[first]
         start, end = split(some, ends)
-        hashes.append(spans_hash(byte_symbols(some))(start, end))
+        hashes.append(runs_hash(some, start, end))
         counts.append(np.diff(np.searchsorted(start, ends)))
         begin.append(start + bounds[first])
         stop.append(end + bounds[first])

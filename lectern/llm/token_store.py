@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, byte_symbols, lean, new_path, partitions, range_bucket, ranges, slices, spans_hash, table, utf8
+from lectern.llm.common import bounded, lean, new_path, partitions, range_bucket, ranges, runs_hash, slices, table, utf8
 
 #: Rows of a file are (shard, doc_id, n_tokens, shard_start, tokens).
 SCHEMA = "shard int, doc_id long, n_tokens long, shard_start long, tokens array<int>"
@@ -187,8 +187,7 @@ class PieceEncoder:
         ends = np.append(at[1:], len(raw))
         keep = ~odd[doc]
         at, doc, ends = at[keep], doc[keep], ends[keep]
-        keys = spans_hash(byte_symbols(raw))(at, ends)
-        checks = spans_hash(byte_symbols(raw ^ 0x5A) ^ np.uint64(0x123456789ABCDEF))(at, ends)
+        keys, checks = runs_hash(raw, at, ends), runs_hash(raw, at, ends, seed=1)
         if self.memory.full():
             self.memory.clear()
         found = self.memory.find(keys, checks)

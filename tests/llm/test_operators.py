@@ -178,14 +178,9 @@ def test_pieces_of_one_hash(monkeypatch):
     encoder = token_store.PieceEncoder(path("byte_bpe_50k.json"))
     texts = ["some words here", "other words there and here", "", "more of them"]
     want = encoder.direct(texts)
-    whole, calls = token_store.spans_hash, []
-
-    def narrow(symbols):  # keys of two bits, checks as they are
-        calls.append(0)
-        of = whole(symbols)
-        return (lambda a, b: of(a, b) % np.uint64(4)) if len(calls) % 2 else of
-
-    monkeypatch.setattr(token_store, "spans_hash", narrow)
+    whole = token_store.runs_hash
+    # keys of two bits, checks as they are
+    monkeypatch.setattr(token_store, "runs_hash", lambda raw, a, b, seed=0: whole(raw, a, b, seed) if seed else whole(raw, a, b) % np.uint64(4))
     raw, bounds = utf8(pa.array(texts))
     counts, ids = encoder.encode(raw, bounds)
     assert counts.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
@@ -1048,3 +1043,35 @@ def test_components_with_hubs(spark, monkeypatch, hub):
             least[a] = least[b] = min(least[a], least[b])
     found = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in found} == {i: r for i, r in least.items() if i != r} and len(found) == len({r["node"] for r in found})
+
+
+@pytest.fixture(scope="module")
+def unlike():
+    """A Thue-Morse string of letters and its complement, which sums over places modulo 2**64 don't tell apart."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_unlike_words_are_told_apart(spark, unlike):
+    """Token ids, removed words and links of texts that differ in one such word."""
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(2 * i + j, text.format(x)) for i, text in enumerate(("see {} end", "{} " + tail)) for j, x in enumerate(unlike)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    encoder = token_store.PieceEncoder(path("byte_bpe_50k.json"))
+    counts, ids = encoder.encode(*utf8(pa.array([t for _, t in rows])))
+    want = encoder.direct([t for _, t in rows])
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == np.concatenate(want).tolist()
+    assert not any(r["spans"] for r in substring_dedup.dedup(df).collect())
+    assert {r["n_links"] for r in jaccard_join.jaccard_join(df).where("doc_id < 2").collect()} == {0}
+
+
+def test_unlike_windows_of_many_bytes(spark, unlike):
+    from lectern.llm.repeats import with_spans
+
+    a, b = unlike
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["x" + a + "y", "z" + b + "q", "copy " + a[:1500], "none"])], "doc_id long, text string")
+    got = with_spans(df, suffix_dedup.search("all", 1024, k=64)).mapInArrow(suffix_dedup._digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").collect()
+    rows = plain(df)
+    assert {r["doc_id"]: r["kept_sha256"] for r in got} == {i: hashlib.sha256(k).hexdigest() for (i, _), k in zip(rows, removed_bytes(rows, 1024, "all"))}
