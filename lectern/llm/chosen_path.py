@@ -233,7 +233,8 @@ def exhaustive(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 def with_texts(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """rows with a text of their class c; each text once, however often its row is repeated."""
     rows = written(rows.join(classes.select("c", "doc", "h"), "c"), "asked")
-    own = texts.join(rows.select("doc", "h").distinct(), ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.any_value("text").alias("text"))
+    asked = rows.select("doc", "h").distinct().hint("merge")  # it grows with the input, so it isn't broadcast at any size
+    own = texts.join(asked, ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.any_value("text").alias("text"))
     return rows.join(own, ["doc", "h"])
 
 
@@ -264,6 +265,13 @@ def _checked(percent: int, n: int):
     return run
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) that connect the same: each b with the least a, and that with the others, which many b share."""
+    rows = edges.join(edges.groupBy("b").agg(F.min("a").alias("m")), "b")
+    rows = rows.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").distinct()
+    return rows.select(F.col("m").alias("a"), "b")
+
+
 def checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, n: int, parts: int) -> DataFrame:
     """Those of the pairs (a, b; distinct) that are alike by their full sets. Members of a are dealt to tasks, each of which gets a's text once."""
     stars = with_total(pairs, written(pairs.groupBy("a").agg(F.count("*").alias("n")), "stars"), ["a"], pairs.count())
@@ -310,7 +318,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N, trees: int =
     heads = dense.groupBy("node").agg(F.min("c").alias("head"), F.count("*").alias("n"))  # what shares a node of the last level may be alike
     heads = with_total(dense.select("node", "c"), heads, ["node"], dense.count()).where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"), F.lit(False).alias("star"))
     edges = written(edges.unionByName(heads.distinct()), "edges")
-    clusters = components(edges.select("a", "b")).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
+    clusters = components(thinned(edges.select("a", "b"))).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
     clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("c"), "cluster").distinct()).join(classes.select("c", "grams"), "c"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("grams").alias("all_grams"))
     large = written(sizes.where((F.col("n") > BLOCK_CLASSES) | (F.col("all_grams") > BLOCK_GRAMS)).select("cluster", "n"), "large")
