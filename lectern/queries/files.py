@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import csv
-import json
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,13 @@ from lectern.config import Config
 from lectern.operators import cleaning as C
 from lectern.operators import profile as P
 from lectern.operators.census import parse_census
+from lectern.plans.storage import shared_dir
 from lectern.queries.render import MEASURES_SQL, SECTION, SEX, census_lines, table
 from lectern.sinks.files import export, export_all
 from lectern.sources.fetch import fetched
 from lectern.sources.files import listed, url_table
 from lectern.sources.lines import lines_from_results, reading_order
-from lectern.sources.workbook import read_workbook
+from lectern.sources.workbook import WorkbookSource
 
 Spark = SparkSession
 
@@ -87,29 +87,34 @@ def region_sort(spark: Spark, sf: str) -> DataFrame:
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     region = F.when(F.col("n_regionkey") > 1, F.col("n_name"))
     rows = rows.groupBy(region.alias("REGION"), F.col("c_mktsegment").alias("SECTION"), F.when(F.col("c_custkey") % 2 == 0, "MALE").otherwise("FEMALE").alias("SEX")).agg(F.count("*").alias("n"))
-    with tempfile.TemporaryDirectory() as d:  # the driver's own file, read by the driver
-        path = export(C.sorted_by(rows, "REGION", "SECTION", "SEX"), Config(values={"export": {"format": "json"}}), Path(d) / "sorted.csv")
-        found = json.loads(Path(path).read_text(encoding="utf-8"))
-    return spark.createDataFrame([(i, r["REGION"], r["SECTION"], r["SEX"], r["n"]) for i, r in enumerate(found)], "place long, region string, section string, sex string, n long")
+    path = export(C.sorted_by(rows, "REGION", "SECTION", "SEX"), Config(values={"export": {"format": "json"}}), f"{_new_dir(spark)}/sorted.csv")
+    found = spark.read.schema("REGION string, SECTION string, SEX string, n long").json(path, multiLine=True)
+    return found.select(F.monotonically_increasing_id().alias("place"), F.col("REGION").alias("region"), F.col("SECTION").alias("section"), F.col("SEX").alias("sex"), "n")
 
 
-def _read(kind: str, path: str) -> list[list]:
-    """Rows of a written file under their header, in file order."""
+def _new_dir(spark: Spark) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}.out"
+
+
+def _read(spark: Spark, kind: str, path: str, schema: str) -> DataFrame:
+    """Rows of a written file, read by one task, in file order."""
+    spark.dataSource.register(WorkbookSource)
+    reader = spark.read.schema(schema)
     if kind == "csv":
-        with open(path, newline="", encoding="utf-8") as f:
-            return list(csv.reader(f))[1:]
-    if kind == "json":
-        return [list(r.values()) for r in json.loads(Path(path).read_text(encoding="utf-8"))]
-    return list(read_workbook(path))[1:]
+        return reader.csv(path, header=True, escape='"', multiLine=True)
+    return reader.json(path, multiLine=True) if kind == "json" else reader.format("workbook").load(path)
 
 
 def export_formats(spark: Spark, sf: str) -> DataFrame:
     """A census by page, region, section and sex, in a file of each format under the path that the settings name."""
     rows = parse_census(census_lines(spark, sf, page_by_nation=True), "multipage").select("PAGE", "REGION", "SECTION", "SEX", "TOTAL", "MUSLIM")
-    with tempfile.TemporaryDirectory() as d:  # the driver's own files, read by the driver
-        paths = export_all(C.sorted_by(rows, "PAGE", "REGION", "SECTION", "SEX"), Config(values={"export": {"output_dir": d, "output_filename": "census"}}))
-        found = [(kind, Path(path).name, i, int(r[0]), *r[1:4], int(r[4]), int(r[5])) for kind, path in paths.items() for i, r in enumerate(_read(kind, path))]
-    return spark.createDataFrame(found, "format string, file string, place long, page long, region string, section string, sex string, total long, muslim long")
+    paths = export_all(C.sorted_by(rows, "PAGE", "REGION", "SECTION", "SEX"), Config(values={"export": {"output_dir": _new_dir(spark), "output_filename": "census"}}))
+    found = None
+    for kind, path in paths.items():
+        own = _read(spark, kind, path, "PAGE long, REGION string, SECTION string, SEX string, TOTAL long, MUSLIM long")
+        own = own.select(F.lit(kind).alias("format"), F.lit(Path(path).name).alias("file"), F.monotonically_increasing_id().alias("place"), *[F.col(c).alias(c.lower()) for c in own.columns])
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def settings_round_trip(spark: Spark, sf: str) -> DataFrame:

@@ -1,20 +1,20 @@
-"""Tables to files: csv, JSON (an array of records) and workbooks, as one file each, by streaming rows in order.
-
-For large results write directories with Spark (``write_parts``): one file has one writer.
+"""Tables to files: csv, JSON (an array of records) and workbooks, as one file each, of pieces that tasks write (``single``), or a
+directory of part files (``write_parts``). Only downloads (``to_bytes``) are made in the driver.
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import json
 from collections.abc import Callable
 from pathlib import Path
 from typing import TextIO
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from lectern.config import Config
+from lectern.sinks.single import INDENT, json_record, to_file
 from lectern.sources.workbook import write_workbook
 
 SUFFIXES = {"excel": ".xlsx", "csv": ".csv", "json": ".json"}
@@ -30,32 +30,32 @@ def _csv(df: DataFrame, out: TextIO) -> None:
     writer.writerows(_rows(df))
 
 
-def _json(df: DataFrame, out: TextIO, indent: int = 2) -> None:
+def _json(df: DataFrame, out: TextIO, indent: int = INDENT) -> None:
     out.write("[")
     for k, row in enumerate(_rows(df)):
-        text = json.dumps(dict(zip(df.columns, row, strict=True)), ensure_ascii=False, indent=indent, default=str)
-        out.write(("," if k else "") + "\n" + "\n".join(" " * indent + x for x in text.split("\n")))
+        out.write(("," if k else "") + json_record(df.columns, row, indent))
     out.write("\n]\n")
 
 
+def _path(path: str | Path, kind: str) -> str:
+    """The path, or URI, with the format's suffix; tasks have other working folders, so that it is absolute."""
+    if ":/" not in str(path):
+        return str(Path(path).absolute().with_suffix(SUFFIXES[kind]))
+    head, _, name = str(path).rpartition("/")
+    return f"{head}/{Path(name).with_suffix(SUFFIXES[kind])}"
+
+
 def to_csv(df: DataFrame, path: str | Path) -> str:
-    path = Path(path).with_suffix(".csv")
-    with path.open("w", newline="", encoding="utf-8") as f:
-        _csv(df, f)
-    return str(path)
+    """'' and no file if df has no rows; so in the other formats."""
+    return out if to_file(df, out := _path(path, "csv"), "csv") else ""
 
 
-def to_json(df: DataFrame, path: str | Path, indent: int = 2) -> str:
-    path = Path(path).with_suffix(".json")
-    with path.open("w", encoding="utf-8") as f:
-        _json(df, f, indent)
-    return str(path)
+def to_json(df: DataFrame, path: str | Path, indent: int = INDENT) -> str:
+    return out if to_file(df, out := _path(path, "json"), "json", indent=indent) else ""
 
 
 def to_excel(df: DataFrame, path: str | Path) -> str:
-    path = Path(path).with_suffix(".xlsx")
-    write_workbook(str(path), df.columns, _rows(df))
-    return str(path)
+    return out if to_file(df, out := _path(path, "excel"), "excel") else ""
 
 
 def to_bytes(df: DataFrame, kind: str = "excel") -> bytes:
@@ -72,9 +72,9 @@ def to_bytes(df: DataFrame, kind: str = "excel") -> bytes:
 WRITERS: dict[str, Callable[[DataFrame, str | Path], str]] = {"excel": to_excel, "csv": to_csv, "json": to_json}
 
 
-def output_path(config: Config, kind: str | None = None) -> Path:
+def output_path(config: Config, kind: str | None = None) -> str:
     kind = kind or config.get("export", "format")
-    return Path(config.get("export", "output_dir")) / (config.get("export", "output_filename") + SUFFIXES.get(kind, ".txt"))
+    return f"{config.get('export', 'output_dir').rstrip('/')}/{config.get('export', 'output_filename')}{SUFFIXES.get(kind, '.txt')}"
 
 
 def export(df: DataFrame, config: Config | None = None, path: str | Path | None = None, kind: str | None = None) -> str:
@@ -83,11 +83,7 @@ def export(df: DataFrame, config: Config | None = None, path: str | Path | None
     kind = kind or config.get("export", "format")
     if kind not in WRITERS:
         raise ValueError(f"format must be one of {', '.join(WRITERS)}")
-    if df.isEmpty():
-        return ""
-    path = Path(path) if path else output_path(config, kind)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    return WRITERS[kind](df, path)
+    return WRITERS[kind](df, path or output_path(config, kind))
 
 
 def export_all(df: DataFrame, config: Config | None = None) -> dict[str, str | None]:
@@ -98,7 +94,7 @@ def export_all(df: DataFrame, config: Config | None = None) -> dict[str, str | N
         for kind in WRITERS:
             try:
                 out[kind] = export(df, config, kind=kind) or None
-            except (OSError, ValueError):
+            except (OSError, ValueError, PySparkException):
                 out[kind] = None
     finally:
         df.unpersist()

@@ -58,3 +58,11 @@ def url_table(spark: SparkSession, base_url: str, file_pattern: str, first: int,
     name = F.replace(F.replace(name, F.lit("{district_code}"), F.col("code")), F.lit("{data_type}"), F.lit(data_type))
     rows = spark.range(first, last + 1).withColumn("code", code).withColumn("name", name)
     return rows.select("id", "code", "name", F.concat(F.lit(base_url), F.col("name")).alias("url"))
+
+
+def filesystem(path: str):
+    """The file system of a path or URI, for Python in tasks and commits, and the path in it."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:/+", "/", path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)

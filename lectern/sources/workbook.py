@@ -21,6 +21,10 @@ _CONTENT_TYPES = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types
 _RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>'
 _WORKBOOK = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><workbook xmlns="{MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>'
 _WORKBOOK_RELATIONS = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>'
+PARTS = (("[Content_Types].xml", _CONTENT_TYPES), ("_rels/.rels", _RELATIONS), ("xl/workbook.xml", _WORKBOOK), ("xl/_rels/workbook.xml.rels", _WORKBOOK_RELATIONS))
+SHEET = "xl/worksheets/sheet1.xml"
+SHEET_START = f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="{MAIN}"><sheetData>'
+SHEET_END = "</sheetData></worksheet>"
 _FORBIDDEN = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
@@ -32,36 +36,35 @@ def letters(column: int) -> str:
     return out
 
 
-def _cell(ref: str, value: Any) -> str:
+def _cell(value: Any) -> str:
     if value is None or isinstance(value, float) and value != value:
-        return ""
+        return "<c/>"
     if isinstance(value, bool):
-        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+        return f'<c t="b"><v>{int(value)}</v></c>'
     if isinstance(value, (int, float)) and abs(value) < 1e15:
-        return f'<c r="{ref}"><v>{value!r}</v></c>'
-    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(_FORBIDDEN.sub("", str(value)))}</t></is></c>'
+        return f'<c><v>{value!r}</v></c>'
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_FORBIDDEN.sub("", str(value)))}</t></is></c>'
 
 
 def write_workbook(file: IO[bytes] | str, names: Sequence[str], rows: Iterable[Sequence[Any]]) -> int:
     """Writes rows as they come, so that only one is held; returns how many."""
     count = 0
     with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in (("[Content_Types].xml", _CONTENT_TYPES), ("_rels/.rels", _RELATIONS), ("xl/workbook.xml", _WORKBOOK), ("xl/_rels/workbook.xml.rels", _WORKBOOK_RELATIONS)):
+        for name, part in PARTS:
             z.writestr(name, part)
-        with z.open("xl/worksheets/sheet1.xml", "w") as sheet:
-            sheet.write(f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="{MAIN}"><sheetData>'.encode())
-            for number, row in enumerate([list(names)], 1):
-                sheet.write(_row(number, row))
+        with z.open(SHEET, "w") as sheet:
+            sheet.write((SHEET_START + sheet_row(names)).encode())
             for count, row in enumerate(rows, 1):
                 if count >= MOST_ROWS:
                     raise ValueError(f"a sheet holds {MOST_ROWS} rows at most, its header among them")
-                sheet.write(_row(count + 1, row))
-            sheet.write(b"</sheetData></worksheet>")
+                sheet.write(sheet_row(row).encode())
+            sheet.write(SHEET_END.encode())
     return count
 
 
-def _row(number: int, row: Sequence[Any]) -> bytes:
-    return f'<row r="{number}">{"".join(_cell(f"{letters(i)}{number}", v) for i, v in enumerate(row))}</row>'.encode()
+def sheet_row(row: Sequence[Any]) -> str:
+    """A row of a sheet; it and its cells, gaps among them, go without references, so that it may stand anywhere."""
+    return f"<row>{''.join(map(_cell, row))}</row>"
 
 
 def read_workbook(file: IO[bytes] | str) -> Iterator[list[Any]]:
@@ -100,8 +103,16 @@ def read_workbook(file: IO[bytes] | str) -> Iterator[list[Any]]:
                 element.clear()
 
 
+def _rows_of(path: str) -> Iterator[list[Any]]:
+    from lectern.sources.files import filesystem
+
+    fs, path = filesystem(path)
+    with fs.open_input_file(path) as file:
+        yield from read_workbook(file)
+
+
 class WorkbookSource(DataSource):
-    """spark.read.format("workbook").load(path): a file's first sheet; columns are doubles if all their values are numbers, else strings. A custom schema is kept."""
+    """spark.read.format("workbook").load(path): a file's first sheet; columns are doubles if all their values are numbers, else strings. With a schema given, the file is parsed once."""
 
     @classmethod
     def name(cls) -> str:
@@ -112,7 +123,7 @@ class WorkbookSource(DataSource):
 
         from lectern.operators.schema import unique_names
 
-        rows = read_workbook(self.options["path"])
+        rows = _rows_of(self.options["path"])
         names = unique_names([str(x) if x is not None else f"Column_{i + 1}" for i, x in enumerate(next(rows, []))])
         kinds: list[set[type]] = [set() for _ in names]
         for row in rows:
@@ -133,7 +144,7 @@ class _Reader(DataSourceReader):
         self.path, self.types = path, [f.dataType.typeName() for f in schema.fields]
 
     def read(self, partition) -> Iterator[tuple]:
-        rows = read_workbook(self.path)
+        rows = _rows_of(self.path)
         next(rows, None)
         for row in rows:
             row = [*row, *[None] * (len(self.types) - len(row))][: len(self.types)]
