@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import numbers as N
 from lectern.functions.text import contains_any, one_of, split_words
-from lectern.operators.lines import after_marker, carried, stripped
+from lectern.operators.lines import after_marker, carried_all, stripped
 
 #: Words of census pages and names of their columns.
 SECTIONS = ("OVERALL", "RURAL", "URBAN")
@@ -88,7 +88,7 @@ def _values(tokens: Column, p: Preset) -> Column:
 def parse_census(lines: DataFrame, preset: str | Preset = "smart") -> DataFrame:
     """lines to one row a sex line: region, section, label and seven values, with source (and page), in any order; sort by line_no.
 
-    One exchange by source serves all windows. Context is carried before lines are filtered.
+    Lines are exchanged once, by blocks of a page's lines. Context is carried before lines are filtered.
     """
     p = PRESETS[preset] if isinstance(preset, str) else preset
     rows = stripped(lines)
@@ -101,8 +101,8 @@ def parse_census(lines: DataFrame, preset: str | Preset = "smart") -> DataFrame:
     is_section = ~is_region & one_of(line, SECTIONS, upper=p.fold_section)
     kind = F.when(is_region, "region").when(is_section, "section")
     rows = rows.withColumn("_kind", kind)
-    rows = carried(rows, "REGION", F.when(F.col("_kind") == "region", line), p.scope)
-    rows = carried(rows, "SECTION", F.when(F.col("_kind") == "section", F.upper(line) if p.fold_section else line), p.scope)
+    section = F.when(F.col("_kind") == "section", F.upper(line) if p.fold_section else line)
+    rows = carried_all(rows, {"REGION": F.when(F.col("_kind") == "region", line), "SECTION": section}, p.scope)
     sex = ("(?i)" if p.fold_sex else "") + "^(" + "|".join(SEXES) + ")"
     rows = rows.where(F.col("_kind").isNull()).withColumn("_label", F.upper(F.regexp_extract("line", sex, 1))).where(F.col("_label") != "")
     tokens = split_words(line)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import cell, cell_text, regrouped
 from lectern.functions.text import contains_any, count_any, count_char, count_matches, split_words
-from lectern.operators.lines import carried_within, in_order
+from lectern.operators.lines import carried_all, first_rows, since_reset
 from lectern.operators.schema import evened, widest
 
 #: Words that tell kinds of lines apart.
@@ -49,16 +49,16 @@ def classified(lines: DataFrame) -> DataFrame:
     )
     rows = counted(lines).withColumn("kind", kind)
     is_region = F.col("kind") == "region"
-    order = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("region", F.last(F.when(is_region, line), ignorenulls=True).over(order))
-    return carried_within(rows, "section", F.when(F.col("kind") == "section", line), is_region)
+    section = since_reset(F.when(F.col("kind") == "section", line), is_region)
+    rows = carried_all(rows, {"region": F.when(is_region, line), "section": section})
+    return rows.withColumn("section", F.col("section")["value"])
 
 
 def with_style(lines: DataFrame) -> DataFrame:
     """french: whether a source's first 20 lines hold fewer than three numbers with comma groups."""
-    numbered = lines.withColumn("_row", F.row_number().over(in_order()))
-    commas = F.sum(F.when(F.col("_row") <= SAMPLE_ROWS, count_matches(F.col("line"), r"\d{1,3},\d{3}"))).over(Window.partitionBy("source"))
-    return numbered.withColumn("french", F.coalesce(commas, F.lit(0)) < 3).drop("_row")
+    commas = F.sum(count_matches(F.col("line"), r"\d{1,3},\d{3}"))
+    own = first_rows(lines, SAMPLE_ROWS).groupBy(F.struct("source").alias("_source")).agg((F.coalesce(commas, F.lit(0)) < 3).alias("french"))
+    return lines.withColumn("_source", F.struct("source")).join(own, "_source").drop("_source")  # a row a source
 
 
 def typed(line: Column, french: Column) -> Column:
