@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from lectern.plans.storage import stored
+
 #: Factor levels in their order.
 LEVELS = {"SECTION": ("OVERALL", "RURAL", "URBAN"), "SEX": ("ALL", "MALE", "FEMALE", "TRANSGENDER")}
 
@@ -39,6 +41,21 @@ def sorted_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns])
 
 
+def placed(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in this order (rows that tie in all of it in any order): ranges of the order are sorted each, and rows are numbered
+    within theirs and by the sizes of the ranges before, a number a range, so that no task holds more than a range."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    dealt = stored(dealt.withColumn(name, F.monotonically_increasing_id()), "placed")  # the range above 33 bits, the row in it below
+    sizes = dealt.groupBy(F.shiftright(name, 33).alias("_range")).agg(F.count("*").alias("_n")).orderBy("_range").collect()
+    before, at = {}, 0
+    for part, n in sizes:
+        before[part] = at
+        at += n
+    starts = F.array(*[F.lit(before.get(i, 0)).cast("long") for i in range(max(before, default=0) + 1)])
+    return dealt.withColumn(name, F.get(starts, F.shiftright(name, 33).cast("int")) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+
+
 def without_empty(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with a value in one of the columns."""
     return df.na.drop(how="all", subset=[c for c in columns if c in df.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from lectern.operators.cleaning import numeric_columns
 
 
+#: Ranges that a pass towards an exact quantile counts.
+RANGES = 1024
+
+
 def _col(name: str) -> Column:
     return F.col(f"`{name}`")
 
@@ -44,12 +49,53 @@ def column_info(df: DataFrame, approximate: bool = False) -> DataFrame:
     return rows.withColumn("Type", types[F.col("Column")]).select("Column", "Type", "Non-Null", "Null", "Unique")
 
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], parts: Sequence[float] = (0.25, 0.5, 0.75)) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of each column, exact (None without values; NaN counts as none): the values around each rank are found by refinement. A pass counts the values
+    in each of RANGES ranges of the interval in which a rank's value lies, with their least and greatest; the range that holds the rank is the next
+    interval, until it is one value. A task keeps and the driver gets RANGES rows a rank at most, whatever the number of values."""
+    value = {c: F.when(~F.isnan(_col(c).cast("double")), _col(c).cast("double")) for c in columns}
+    one = df.agg(*[f(value[c]).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+    ranks = {(c, r) for i, c in enumerate(columns) if one[f"n{i}"] for p in parts for r in (math.floor(p * (one[f"n{i}"] - 1)), math.ceil(p * (one[f"n{i}"] - 1)))}
+    # rank: least and greatest value that it may have, and how many are less than these
+    state = {(c, r): (one[f"low{i}"], one[f"high{i}"], 0) for i, c in enumerate(columns) for (d, r) in ranks if d == c}
+    while left := sorted({(c, *state[c, r]) for c, r in ranks if state[c, r][0] < state[c, r][1]}):
+        asked = []
+        for k, (c, low, high, _) in enumerate(left):
+            v, inside = value[c], value[c].between(low, high)
+            scale = 1 if math.isfinite(high - low) else 2
+            share = (v / scale - low / scale) / (high / scale - low / scale)
+            asked.append(F.when(inside, F.struct(F.lit(k).alias("k"), F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("int").alias("range"), v.alias("v"))))
+        rows = df.select(F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        found: dict[int, list] = {}
+        for k, at, n, low, high in rows.groupBy("k", "range").agg(F.count("*"), F.min("v"), F.max("v")).collect():
+            found.setdefault(k, []).append((at, n, low, high))
+        places = {x: k for k, x in enumerate(left)}
+        for c, r in ranks:
+            if (c, *state[c, r]) not in places:
+                continue
+            below = state[c, r][2]
+            for _, n, low, high in sorted(found[places[(c, *state[c, r])]]):
+                if r < below + n:
+                    state[c, r] = (low, high, below)
+                    break
+                below += n
+    out: dict[str, list[float | None]] = {}
+    for i, c in enumerate(columns):
+        at = [p * (one[f"n{i}"] - 1) for p in parts]
+        ends = [(state[c, math.floor(x)][0], state[c, math.ceil(x)][0]) if one[f"n{i}"] else (None, None) for x in at]
+        out[c] = [None if a is None else a + (x - math.floor(x)) * (b - a) for x, (a, b) in zip(at, ends, strict=True)]
+    return out
+
+
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """count, mean, std (of a sample), min, quartiles (exact and interpolated, which holds every distinct value; approximate: by mergeable sketches) and max
+    """count, mean, std (of a sample), min, quartiles (exact and interpolated, by a few passes over the column; approximate: by mergeable sketches) and max
     of numeric columns, a row a column."""
     columns = list(columns or numeric_columns(df))
-    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q": (lambda c: F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75])) if approximate else (lambda c: F.percentile(c, [0.25, 0.5, 0.75])), "max": F.max}
-    one = df.agg(*[f(_col(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in parts.items()])
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "q": lambda c: F.percentile_approx(c.cast("double"), [0.25, 0.5, 0.75]), "max": F.max}
+    one = df.agg(*[f(_col(c)).alias(f"{k}_{i}") for i, c in enumerate(columns) for k, f in parts.items() if approximate or k != "q"])
+    if not approximate:
+        exact = exact_quantiles(df, columns)
+        one = one.withColumns({f"q_{i}": F.array(*[F.lit(x).cast("double") for x in exact[c]]) for i, c in enumerate(columns)})
     flat = one.select(*[(F.col(f"{k}_{i}").cast("double") if k in ("min", "max") else F.col(f"{k}_{i}")).alias(f"{k}_{i}") for i in range(len(columns)) for k in parts])
     rows = _unpivoted(flat, columns, list(parts), list(parts))
     return rows.select("Column", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("25%", "50%", "75%"))], "max")

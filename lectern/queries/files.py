@@ -17,7 +17,7 @@ from lectern.plans.storage import shared_dir
 from lectern.queries.render import MEASURES_SQL, SECTION, SEX, census_lines, table
 from lectern.sinks.files import export, export_all
 from lectern.sources.fetch import fetched
-from lectern.sources.files import listed, url_table
+from lectern.sources.files import listed
 from lectern.sources.lines import lines_from_results, reading_order
 from lectern.sources.workbook import WorkbookSource
 
@@ -31,15 +31,14 @@ def file_listing(spark: Spark, sf: str) -> DataFrame:
 
 
 def fetch_statuses(spark: Spark, sf: str) -> DataFrame:
-    """A server of our own: found, missing and failing by number."""
+    """All pages' urls, host by host, from a server of our own: found, missing and failing by the url's length."""
 
     def served(url: str, timeout: float) -> tuple[int, bytes]:
-        n = int(url[-9:-6])
+        n = len(url)
         return (200, url.encode()) if n % 3 == 0 else (404, b"") if n % 3 == 1 else (500, b"")
 
-    urls = url_table(spark, "https://example.org/", "{district_code}{data_type}.pdf", 1, 135, "09")
-    rows = fetched(urls, retries=3, delay=0, fetch=served)
-    return rows.select("url", F.col("status").cast("bigint").alias("status"), F.col("attempts").cast("bigint").alias("attempts"), F.decode("content", "UTF-8").alias("content"), "error")
+    rows = fetched(table(spark, sf, "pages").select("url"), retries=3, delay=0, fetch=served)
+    return rows.select("url", "host", *[F.col(c).cast("bigint").alias(c) for c in ("turn", "status", "attempts")], F.decode("content", "UTF-8").alias("content"), "error")
 
 
 def layout_order(spark: Spark, sf: str) -> DataFrame:
@@ -148,8 +147,8 @@ _SHIFTED = ("total", "muslim", "christian", "hindu", "qadiani_ahmadi", "schedule
 
 ORACLE_SQL = {
     "file_listing": f"SELECT unnest({list(_TABLES)!r}) AS name, true AS has_bytes",
-    "fetch_statuses": """WITH u AS (SELECT i, 'https://example.org/' || format('{:03d}', i) || '09.pdf' AS url FROM generate_series(1, 135) AS t(i))
-        SELECT url, CASE i % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 500 END::BIGINT AS status, CASE i % 3 WHEN 2 THEN 3 ELSE 1 END::BIGINT AS attempts, CASE i % 3 WHEN 0 THEN url END AS content, CASE i % 3 WHEN 1 THEN 'status 404' WHEN 2 THEN 'status 500' END AS error FROM u""",
+    "fetch_statuses": r"""WITH u AS (SELECT url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host, length(url) % 3 AS k FROM pages WHERE url IS NOT NULL)
+        SELECT url, host, row_number() OVER (PARTITION BY host ORDER BY url) AS turn, CASE k WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 500 END::BIGINT AS status, CASE k WHEN 2 THEN 3 ELSE 1 END::BIGINT AS attempts, CASE k WHEN 0 THEN url END AS content, CASE k WHEN 1 THEN 'status 404' WHEN 2 THEN 'status 500' END AS error FROM u""",
     "layout_order": """WITH i AS (SELECT l_orderkey::VARCHAR AS source, l_shipdate || ' ' || l_linenumber AS line, CASE WHEN l_linenumber % 4 <> 3 THEN floor(l_quantity / 10) END AS top FROM lineitem WHERE l_returnflag <> 'A')
         SELECT source, row_number() OVER (PARTITION BY source ORDER BY top NULLS LAST, line) - 1 AS line_no, line FROM i""",
     "result_lines": """WITH r AS (SELECT o_orderkey::VARCHAR AS source, [o_orderpriority, '  ', o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE 'odd' END] AS l FROM orders WHERE o_orderstatus <> 'P'),

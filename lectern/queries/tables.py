@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import stem, zero_padded
@@ -39,10 +39,15 @@ FACTORS = {"SECTION": ("OVERALL", "RURAL", "URBAN"), "SEX": ("LOW", "URGENT", "H
 
 
 def factor_sort(spark: Spark, sf: str) -> DataFrame:
-    """The order as row numbers; over a few grouped rows."""
-    rows = _sections(spark, sf)
-    order = Window.partitionBy(F.lit(0)).orderBy(C.level("SECTION", FACTORS["SECTION"]), C.level("SEX", FACTORS["SEX"]), "SEX")
-    return rows.select(F.coalesce("SECTION", F.lit("?")).alias("section"), F.col("SEX").alias("sex"), "n", F.row_number().over(order).alias("place"))
+    """The order as places."""
+    rows = C.placed(_sections(spark, sf), C.level("SECTION", FACTORS["SECTION"]), C.level("SEX", FACTORS["SEX"]), F.col("SEX"))
+    return rows.select(F.coalesce("SECTION", F.lit("?")).alias("section"), F.col("SEX").alias("sex"), "n", F.col("place").cast("int").alias("place"))
+
+
+def order_places(spark: Spark, sf: str) -> DataFrame:
+    """Each line of an order and its place among all, by price downwards, quantity and key; prices repeat."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.floor(F.col("l_extendedprice") / 100).cast("long").alias("price"))
+    return C.placed(rows, F.col("price").desc(), F.col("key"), F.col("line"))
 
 
 def drop_all_null(spark: Spark, sf: str) -> DataFrame:
@@ -188,7 +193,7 @@ def excel_round_trip(spark: Spark, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__.removesuffix("_tables"): f
     for f in (
-        distinct_rows, distinct_first_seen, factor_sort, drop_all_null, numeric_cast, null_counts, completeness, column_profile, describe_numeric, confidence_stats, summary_stats,
+        distinct_rows, distinct_first_seen, factor_sort, order_places, drop_all_null, numeric_cast, null_counts, completeness, column_profile, describe_numeric, confidence_stats, summary_stats,
         group_sum_pct, pct_round, filter_select_sort, unpivot_positive, top_n_preview, subtotal_levels, union_ragged_tables, ragged_rows, batch_status, path_parts, url_pattern, relational_join,
         csv_round_trip, json_round_trip, excel_round_trip,
     )
@@ -216,6 +221,7 @@ ORACLE_SQL = {
     "null_counts": f"WITH {_LABELLED}, n AS (SELECT 'quality' AS name, count(*) - count(quality) AS n FROM labelled UNION ALL SELECT 'toxic', count(*) - count(toxic) FROM labelled UNION ALL SELECT 'lang', count(*) - count(lang) FROM labelled UNION ALL SELECT 'source', count(*) - count(source) FROM labelled) SELECT * FROM n WHERE n > 0",
     "completeness": f"WITH {_LABELLED}, n AS (SELECT count(*) AS n_rows, 5::BIGINT AS n_columns, count(doc_id) + count(lang) + count(source) + count(quality) + count(toxic) AS n_full FROM labelled) SELECT n_rows, n_columns, n_full, round(n_full * 100.0 / (n_rows * 5), 4)::DOUBLE AS percent FROM n",
     "column_profile": f"WITH {_LABELLED} " + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS non_null, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS uniques FROM labelled" for c in ("doc_id", "lang", "source", "quality", "toxic")),
+    "order_places": "WITH r AS (SELECT l_orderkey AS key, l_linenumber AS line, floor(l_extendedprice / 100)::BIGINT AS price FROM lineitem) SELECT *, row_number() OVER (ORDER BY price DESC, key, line) AS place FROM r",
     "describe_numeric": " UNION ALL ".join(map(_described, ("l_quantity", "l_extendedprice", "l_linenumber"))),
     "confidence_stats": """WITH c AS (SELECT user_id::VARCHAR AS image_path, CASE WHEN event_type = 'error' THEN NULL ELSE floor(value) END AS conf FROM events)
         SELECT image_path, coalesce(round(avg(conf), 4), 0)::DOUBLE AS mean, coalesce(min(conf), 0)::DOUBLE AS min, coalesce(max(conf), 0)::DOUBLE AS max, coalesce(round(stddev_pop(conf), 4), 0)::DOUBLE AS std FROM (SELECT image_path, nullif(conf, -1) AS conf FROM c) GROUP BY 1""",

@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-SCHEMA = "url string, status int, attempts int, content binary, error string"
+SCHEMA = "url string, status int, attempts int, content binary, error string, host string, turn int"
 Get = Callable[[str, float], tuple[int, bytes]]
 
 
@@ -42,16 +43,31 @@ def fetch_one(url: str, retries: int = 3, timeout: float = 30, fetch: Get = get,
     return {"url": url, "status": status, "attempts": attempt, "content": None, "error": error or f"status {status}"}
 
 
-def fetched(urls: DataFrame, retries: int = 3, timeout: float = 30, delay: float = 3, tasks: int = 1, fetch: Get = get) -> DataFrame:
-    """A row a url. One task by default, so that the delay between requests bounds the load on a server."""
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
+
+def _by_host(retries: int, timeout: float, delay: float, fetch: Get, sleep: Callable[[float], None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("url", pa.string()), ("status", pa.int32()), ("attempts", pa.int32()), ("content", pa.binary()), ("error", pa.string())])
+        kinds = pa.schema([("url", pa.string()), ("status", pa.int32()), ("attempts", pa.int32()), ("content", pa.binary()), ("error", pa.string()), ("host", pa.string()), ("turn", pa.int32())])
+        host, turn, last = None, 0, 0.0
         for batch in batches:
-            for url in batch.column("url").to_pylist():
-                row = fetch_one(url, retries, timeout, fetch)
-                yield pa.RecordBatch.from_pylist([row], schema=kinds)
-                if delay and not (row["error"] or "").count(":"):
-                    time.sleep(delay)
+            for url, own in zip(batch.column("url").to_pylist(), batch.column("host").to_pylist(), strict=True):
+                turn = turn + 1 if own == host else 1
+                wait = last + delay - time.monotonic()
+                if own == host and wait > 0:  # other hosts' requests don't count
+                    sleep(wait)
+                row = fetch_one(url, retries, timeout, fetch, sleep)
+                host, last = own, time.monotonic()
+                yield pa.RecordBatch.from_pylist([{**row, "host": own, "turn": turn}], schema=kinds)
+
+    return run
+
 
-    return urls.select("url").coalesce(tasks).mapInArrow(run, SCHEMA)
+def fetched(urls: DataFrame, retries: int = 3, timeout: float = 30, delay: float = 3, tasks: int | None = None, fetch: Get = get, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """A row a url. Urls are dealt to tasks by host, so that a host is asked by one task, url after url in order, with the delay between two requests,
+    however many tasks there are. Failures are rows. A null url has no row; ``turn`` numbers a host's requests."""
+    rows = urls.where(F.col("url").isNotNull()).select("url", host_of(F.col("url")).alias("host"))
+    # a set number: few bytes of urls would be put together in one task
+    dealt = rows.repartition(tasks or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "host")
+    return dealt.sortWithinPartitions("host", "url").mapInArrow(_by_host(retries, timeout, delay, fetch, sleep), SCHEMA)
