@@ -39,9 +39,11 @@ from lectern.llm.substring_dedup import split
 N = 3
 PERCENT = 85
 TREES = 16
-#: Levels at which a tree branches; nodes are looked at from the second on.
+#: Levels at which a tree branches; nodes are looked at on the second, and then on each STEP-th and the last.
 LEVELS = 6
 FIRST_LEVEL = 2
+#: So many levels are branched at once from there on.
+STEP = 2
 #: A node of more classes branches on.
 LEAF = 64
 #: About so many of a star's members are a task.
@@ -146,8 +148,9 @@ def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, le
         if level == levels or large.isEmpty():
             break
         at = with_total(at, large, ["node"], at.count()).join(classes, "c").select("c", "tree", own(F.col("tree")).alias("own"), "node")
-        at = at.select("c", "tree", _children(level, levels, threshold).alias("node"))
-        level += 1
+        for below in range(level, min(level + STEP, levels)):
+            at = at.select("c", "tree", "own", _children(below, levels, threshold).alias("node"))
+        level = min(level + STEP, levels)
     once = small[0]
     for more in small[1:]:
         once = once.unionByName(more)
