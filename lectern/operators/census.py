@@ -85,24 +85,24 @@ def _values(tokens: Column, p: Preset) -> Column:
     return F.transform(F.filter(F.transform(clean, value), lambda v: v["kept"]), lambda v: v["value"])
 
 
-def parse_census(lines: DataFrame, preset: str | Preset = "smart") -> DataFrame:
+def parse_census(lines: DataFrame, preset: str | Preset = "smart", long: bool = False) -> DataFrame:
     """lines to one row a sex line: region, section, label and seven values, with source (and page), in any order; sort by line_no.
 
-    Lines are exchanged once, by blocks of a page's lines. Context is carried before lines are filtered.
+    One exchange by source serves all windows; long sources go by blocks. Context is carried before lines are filtered.
     """
     p = PRESETS[preset] if isinstance(preset, str) else preset
     rows = stripped(lines)
     if p.first_page:
         rows = rows.where(F.col("page") == 1)
     if p.skip_to_marker:
-        rows = after_marker(rows, MARKER)
+        rows = after_marker(rows, MARKER, long=long)
     line = F.col("line")
     is_region = contains_any(line, p.regions, upper=p.fold_region)
     is_section = ~is_region & one_of(line, SECTIONS, upper=p.fold_section)
     kind = F.when(is_region, "region").when(is_section, "section")
     rows = rows.withColumn("_kind", kind)
     section = F.when(F.col("_kind") == "section", F.upper(line) if p.fold_section else line)
-    rows = carried_all(rows, {"REGION": F.when(F.col("_kind") == "region", line), "SECTION": section}, p.scope)
+    rows = carried_all(rows, {"REGION": F.when(F.col("_kind") == "region", line), "SECTION": section}, p.scope, long)
     sex = ("(?i)" if p.fold_sex else "") + "^(" + "|".join(SEXES) + ")"
     rows = rows.where(F.col("_kind").isNull()).withColumn("_label", F.upper(F.regexp_extract("line", sex, 1))).where(F.col("_label") != "")
     tokens = split_words(line)

@@ -1,4 +1,7 @@
-"""Operators on lines (source, page, line_no, line). Order is only ever that of page and line_no within a source."""
+"""Operators on lines (source, page, line_no, line). Order is only ever that of page and line_no within a source.
+
+By default windows over a source do it, as one exchange of the lines then serves a whole parser. With ``long`` a source may be of any length: scans
+go by blocks of its lines, so that it is many tasks, for an exchange or two of a row a block more."""
 
 from __future__ import annotations
 
@@ -50,17 +53,26 @@ def _with_first(lines: DataFrame, hit: Column, scope: str) -> DataFrame:
     return marked.join(_first_hits(lines, hit, scope), "_scope", "left")
 
 
-def from_first(lines: DataFrame, hit: Column, scope: str = "source") -> DataFrame:
-    """Each scope's lines from its first hit on; all of them if there is none. First hits are an aggregate, a row a scope, joined back: no window."""
+def from_first(lines: DataFrame, hit: Column, scope: str = "source", long: bool = False) -> DataFrame:
+    """Each scope's lines from its first hit on; all of them if there is none. long: first hits are an aggregate, a row a scope, joined back, without a window."""
+    if not long:
+        every = Window.partitionBy(*SCOPES[scope])
+        marked = lines.withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("int"))
+        marked = marked.withColumns({"_from": F.max("_hit").over(so_far(scope)), "_any": F.max("_hit").over(every)})
+        return marked.where((F.col("_from") == 1) | (F.col("_any") == 0)).drop("_hit", "_from", "_any")
     return _with_first(lines, hit, scope).where(F.col("_first").isNull() | (F.col("_here") >= F.col("_first"))).select(*lines.columns)
 
 
-def trimmed_to_keyword(lines: DataFrame, keywords: Sequence[str], fold: bool = True) -> DataFrame:
-    return from_first(lines, contains_any(F.col("line"), keywords, upper=fold))
+def trimmed_to_keyword(lines: DataFrame, keywords: Sequence[str], fold: bool = True, long: bool = False) -> DataFrame:
+    return from_first(lines, contains_any(F.col("line"), keywords, upper=fold), long=long)
 
 
-def after_marker(lines: DataFrame, pattern: str, scope: str = "source") -> DataFrame:
-    """Lines after the first that matches; all of them if none does."""
+def after_marker(lines: DataFrame, pattern: str, scope: str = "source", long: bool = False) -> DataFrame:
+    """Lines after the first that matches; all of them if none does. long: as in from_first."""
+    if not long:
+        marked = lines.withColumn("_n", F.row_number().over(in_order(scope)))
+        first = F.min(F.when(F.col("line").rlike(pattern), F.col("_n"))).over(Window.partitionBy(*SCOPES[scope]))
+        return marked.withColumn("_first", F.coalesce(first, F.lit(0))).where(F.col("_n") > F.col("_first")).drop("_n", "_first")
     return _with_first(lines, F.col("line").rlike(pattern), scope).where(F.col("_first").isNull() | (F.col("_here") > F.col("_first"))).select(*lines.columns)
 
 
@@ -94,9 +106,11 @@ def _before(blocks: DataFrame, names: Sequence[str]) -> DataFrame:
     return near.join(spans, "_span").select("_block", *[F.coalesce(n, f"_far_{n}").alias(n) for n in names])
 
 
-def carried_all(lines: DataFrame, values: dict[str, Column], scope: str = "source") -> DataFrame:
-    """For each name a column with its latest non-null value up to the row: a segmented scan. Lines are exchanged once, by block; a block's last values (a row
+def carried_all(lines: DataFrame, values: dict[str, Column], scope: str = "source", long: bool = False) -> DataFrame:
+    """For each name a column with its latest non-null value up to the row, by a window over each scope; long: by a segmented scan. Lines are exchanged once, by block; a block's last values (a row
     a block) are carried over the blocks of a scope and added back, so that a scope of any length is many tasks."""
+    if not long:
+        return lines.withColumns({n: F.last(v, ignorenulls=True).over(so_far(scope)) for n, v in values.items()})
     marked = lines.withColumns({**_blocks(scope), **{f"_own_{n}": v for n, v in values.items()}})
     last = {n: F.max_by(f"_own_{n}", F.when(F.col(f"_own_{n}").isNotNull(), F.col("line_no"))).alias(n) for n in values}
     blocks = marked.groupBy("_block", "_span", "_scope").agg(*last.values())
@@ -107,9 +121,9 @@ def carried_all(lines: DataFrame, values: dict[str, Column], scope: str = "sourc
     return rows.select(*kept, *[F.coalesce(f"_own_{n}", f"_before_{n}").alias(n) for n in values])
 
 
-def carried(lines: DataFrame, name: str, value: Column, scope: str = "source") -> DataFrame:
+def carried(lines: DataFrame, name: str, value: Column, scope: str = "source", long: bool = False) -> DataFrame:
     """A column with the latest non-null value up to the row."""
-    return carried_all(lines, {name: value}, scope)
+    return carried_all(lines, {name: value}, scope, long)
 
 
 def since_reset(value: Column, reset: Column) -> Column:
@@ -117,14 +131,16 @@ def since_reset(value: Column, reset: Column) -> Column:
     return F.when(value.isNotNull(), F.struct(value.alias("value"))).when(reset, F.struct(F.lit(None).cast("string").alias("value")))
 
 
-def carried_within(lines: DataFrame, name: str, value: Column, reset: Column, scope: str = "source") -> DataFrame:
+def carried_within(lines: DataFrame, name: str, value: Column, reset: Column, scope: str = "source", long: bool = False) -> DataFrame:
     """As carried, forgetting what came before the latest row where reset holds. Values are texts."""
-    return carried_all(lines, {name: since_reset(value, reset)}, scope).withColumn(name, F.col(name)["value"])
+    return carried_all(lines, {name: since_reset(value, reset)}, scope, long).withColumn(name, F.col(name)["value"])
 
 
-def with_next(lines: DataFrame, name: str = "next_line", default: str | None = "", scope: str = "source") -> DataFrame:
-    """The next row's line (default after the last one): within blocks, and for a block's last row the head of the block after it, which
+def with_next(lines: DataFrame, name: str = "next_line", default: str | None = "", scope: str = "source", long: bool = False) -> DataFrame:
+    """The next row's line (default after the last one), by a window over each scope; long: within blocks, and for a block's last row the head of the block after it, which
     is found among the heads of its span and, at a span's end, of the next one."""
+    if not long:
+        return lines.withColumn(name, F.lead("line", 1, default).over(in_order(scope)))
     marked = lines.withColumns(_blocks(scope))
     heads = marked.groupBy("_block", "_span", "_scope").agg(F.min_by(F.struct("line"), "line_no").alias("_head"))
     spans = heads.groupBy("_scope", "_span").agg(F.min_by("_head", "_block").alias("_head"))

@@ -24,11 +24,11 @@ def _record(names: Column, cells: Column, pad: str | None) -> Column:
     return F.map_from_arrays(F.slice(names, 1, n), values)
 
 
-def paired(lines: DataFrame, keywords: Sequence[str]) -> DataFrame:
+def paired(lines: DataFrame, keywords: Sequence[str], long: bool = False) -> DataFrame:
     """Region lines (those with a keyword), each with the next line that has ALL or a keyword, even if that is a region line too."""
     line = F.col("line")
     matching = lines.where(line.contains("ALL") | F.upper(line).contains("ALL") | contains_any(line, keywords))
-    return with_next(matching, "data_line").where(contains_any(line, keywords))
+    return with_next(matching, "data_line", long=long).where(contains_any(line, keywords))
 
 
 def parse_census_pairs(lines: DataFrame, keywords: Sequence[str] = KEYWORDS["census"], mappings: dict[str, list[str]] | None = None) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import cell, cell_text, regrouped
 from lectern.functions.text import contains_any, count_any, count_char, count_matches, split_words
-from lectern.operators.lines import carried_all, first_rows, since_reset
+from lectern.operators.lines import carried_all, first_rows, in_order, since_reset
 from lectern.operators.schema import evened, widest
 
 #: Words that tell kinds of lines apart.
@@ -35,7 +35,7 @@ def counted(lines: DataFrame) -> DataFrame:
     )
 
 
-def classified(lines: DataFrame) -> DataFrame:
+def classified(lines: DataFrame, long: bool = False) -> DataFrame:
     """kind (header, region, section, data or null), and region and section as they stand at the line.
 
     Headers come first, so that a district line is a header, not a region.
@@ -50,12 +50,16 @@ def classified(lines: DataFrame) -> DataFrame:
     rows = counted(lines).withColumn("kind", kind)
     is_region = F.col("kind") == "region"
     section = since_reset(F.when(F.col("kind") == "section", line), is_region)
-    rows = carried_all(rows, {"region": F.when(is_region, line), "section": section})
+    rows = carried_all(rows, {"region": F.when(is_region, line), "section": section}, long=long)
     return rows.withColumn("section", F.col("section")["value"])
 
 
-def with_style(lines: DataFrame) -> DataFrame:
+def with_style(lines: DataFrame, long: bool = False) -> DataFrame:
     """french: whether a source's first 20 lines hold fewer than three numbers with comma groups."""
+    if not long:
+        numbered = lines.withColumn("_row", F.row_number().over(in_order()))
+        commas = F.sum(F.when(F.col("_row") <= SAMPLE_ROWS, count_matches(F.col("line"), r"\d{1,3},\d{3}"))).over(Window.partitionBy("source"))
+        return numbered.withColumn("french", F.coalesce(commas, F.lit(0)) < 3).drop("_row")
     commas = F.sum(count_matches(F.col("line"), r"\d{1,3},\d{3}"))
     own = first_rows(lines, SAMPLE_ROWS).groupBy(F.struct("source").alias("_source")).agg((F.coalesce(commas, F.lit(0)) < 3).alias("french"))
     return lines.withColumn("_source", F.struct("source")).join(own, "_source").drop("_source")  # a row a source
@@ -89,9 +93,9 @@ def header_names(header: str) -> list[str]:
     return [n.strip() for n in names if n.strip()]
 
 
-def universal_rows(lines: DataFrame) -> DataFrame:
+def universal_rows(lines: DataFrame, long: bool = False) -> DataFrame:
     """(source, page, line_no, cells): region, section and typed cells of each data line, as text."""
-    rows = with_style(classified(lines)).where(F.col("kind") == "data")
+    rows = with_style(classified(lines, long), long).where(F.col("kind") == "data")
     cells = F.transform(typed(F.col("line"), F.col("french")), lambda c: cell_text(c))
     context = F.array(F.coalesce("region", F.lit("")), F.coalesce("section", F.lit("")))
     return rows.select("source", "page", "line_no", F.concat(context, cells).alias("cells"))

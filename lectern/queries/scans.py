@@ -27,19 +27,19 @@ def one_source_context(spark: Spark, sf: str) -> DataFrame:
     rows = order_lines(spark, sf)
     line = F.col("line")
     region = F.when(line.startswith("DISTRICT"), line)
-    rows = L.carried_all(rows, {"region": region, "section": L.since_reset(F.when(line.startswith("ALL"), line), region.isNotNull())})
-    return L.with_next(rows.withColumn("section", F.col("section")["value"]), "following").select("key", "region", "section", "following")
+    rows = L.carried_all(rows, {"region": region, "section": L.since_reset(F.when(line.startswith("ALL"), line), region.isNotNull())}, long=True)
+    return L.with_next(rows.withColumn("section", F.col("section")["value"]), "following", long=True).select("key", "region", "section", "following")
 
 
 def one_source_pairs(spark: Spark, sf: str) -> DataFrame:
     """Lines with a census keyword, each with the next one that counts."""
-    return paired(order_lines(spark, sf), KEYWORDS["census"]).select("key", "line", "data_line")
+    return paired(order_lines(spark, sf), KEYWORDS["census"], long=True).select("key", "line", "data_line")
 
 
 def one_source_firsts(spark: Spark, sf: str) -> DataFrame:
     """What comes after the first line of a district, of lines from the first that is no order of low priority; and whether numbers are French by the first twenty."""
-    rows = L.from_first(order_lines(spark, sf), ~F.col("line").startswith("5-LOW"))
-    return with_style(L.after_marker(rows, "^DISTRICT")).select("key", "french")
+    rows = L.from_first(order_lines(spark, sf), ~F.col("line").startswith("5-LOW"), long=True)
+    return with_style(L.after_marker(rows, "^DISTRICT", long=True), long=True).select("key", "french")
 
 
 QUERIES = {f.__name__: f for f in (one_source_context, one_source_pairs, one_source_firsts)}
