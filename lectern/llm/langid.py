@@ -7,6 +7,8 @@ the smallest name among equals. score is 1 minus the distance over the largest p
 
 Profiles come from a sample of labelled rows: of each language, rows chosen by a hash of id and text, about ``rows_per_lang``
 (a parameter; all rows where there are fewer). The sample bounds what is learned from; predictions read every whole text.
+Every labelled language is learned. A profile of each (8 kB) comes to the driver; tasks hold those of ``BLOCK_LANGS`` languages at a time, and
+where there are more, one pass over the texts a block keeps the best so far.
 
 A text that is null or has no letter is `und` with score 0. With nothing learned (no labelled row) every text is `und` in `identify`; the filter
 `in_a_language` then keeps what has a letter. Null ids are drawn by their text. Very long texts are read whole. Repeated rows fare
@@ -22,14 +24,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded, free_prefix, lean, mix, slices, table
+from lectern.llm.common import bounded, free_prefix, lean, mix, ranges, slices, table, written
 
 LENGTHS = (1, 2, 3)
 PROFILE = 1000
 DOCUMENT = 1000
 ROWS_PER_LANG = 8000
-#: Languages learned: those with the most labelled rows. Bounds what is broadcast: PROFILE n-grams for each.
-MOST_LANGS = 1000
+#: Languages whose profiles are broadcast at once: PROFILE n-grams of at most 24 bytes for each.
+BLOCK_LANGS = 2000
+#: The drawing of rows has a row a language; up to so many rows it is broadcast, beyond that it is joined by shuffling.
+MOST_BROADCAST = 100_000
+#: N-grams of all languages whose counts a task holds before it passes them on.
+HELD_GRAMS = 1 << 21
 #: A text whose score is lower is in none of the learned languages.
 LEAST_SCORE = 0.3
 BLANK = 32
@@ -96,13 +102,19 @@ def held_out(doc_id: Column) -> Column:
 def learn(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, profile: int = PROFILE, seed: int = 7) -> dict[str, np.ndarray]:
     """(doc_id, text, lang) of labelled rows to each language's profile. Counts are summed by task, then by Spark; a profile
     (bounded) for each language comes to the driver."""
-    labelled = bounded(rows).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {lang: n for lang, n in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
-    if not counts:
+    labelled = bounded(rows).select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    shares = written(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(rows_per_lang)) / F.count("*")).alias("share")), "lang-shares")
+    langs = shares.count()
+    if not langs:
         return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, rows_per_lang / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.get(F.array(share), F.lit(0))[F.col("lang")] * (1 << 30)
-    sample = labelled.where(drawn).select("lang", "text")
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = labelled.join(F.broadcast(shares) if langs <= MOST_BROADCAST else shares, "lang").where(drawn).select("lang", "text")
+
+    def parts(sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (values, n) in sums.items():
+            for at in range(0, len(values), 50_000):
+                part = values[at : at + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[at : at + 50_000])], ["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -116,56 +128,75 @@ def learn(rows: DataFrame, rows_per_lang: int = ROWS_PER_LANG, profile: int = PR
                     values, at = np.unique(np.concatenate((sums[lang][0], values)), return_inverse=True)
                     n = np.bincount(at, weights=np.concatenate((sums[lang][1], n))).astype(np.int64)
                 sums[lang] = (values, n)
-        for lang, (values, n) in sums.items():
-            for at in range(0, len(values), 50_000):
-                part = values[at : at + 50_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(n[at : at + 50_000])], ["lang", "gram", "n"])
+            if sum(len(values) for values, _ in sums.values()) > HELD_GRAMS:
+                yield from parts(sums)
+                sums.clear()
+        yield from parts(sums)
 
     sums = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram")
-    best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile).select("lang", "gram", "rank").collect()
-    out: dict[str, list[tuple[int, int]]] = {}
-    for lang, gram, rank in best:
-        out.setdefault(lang, []).append((rank, gram))
-    return {lang: np.array([g for _, g in sorted(x)], dtype=np.int64).view(np.uint64) for lang, x in sorted(out.items())}
+    best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile).select("lang", "gram", "rank").toArrow().sort_by([("lang", "ascending"), ("rank", "ascending")])
+    named = best.column("lang").combine_chunks().dictionary_encode()
+    codes = best.column("gram").to_numpy().view(np.uint64)
+    ends = np.cumsum(np.bincount(named.indices.to_numpy(), minlength=len(named.dictionary)))
+    return {lang: codes[end - n : end] for lang, end, n in zip(named.dictionary.to_pylist(), ends, np.diff(ends, prepend=0), strict=True)}
 
 
 class Profiles:
-    def __init__(self, profiles: dict[str, np.ndarray], document: int = DOCUMENT):
+    """Ranks of n-grams by language: for each n-gram a run of (language, rank). Profiles count as of the same length, the longest one's unless given."""
+
+    def __init__(self, profiles: dict[str, np.ndarray], document: int = DOCUMENT, length: int | None = None):
         self.langs, self.document = list(profiles), document
-        self.length = max(map(len, profiles.values()), default=1)
-        self.grams = np.unique(np.concatenate(list(profiles.values()))) if profiles else np.zeros(0, np.uint64)
-        self.ranks = np.full((len(self.grams) + 1, len(profiles)), -1, dtype=np.int32)
-        for k, codes in enumerate(profiles.values()):
-            self.ranks[np.searchsorted(self.grams, codes), k] = np.arange(len(codes))
+        self.length = length or max(map(len, profiles.values()), default=1)
+        sizes = [len(codes) for codes in profiles.values()]
+        codes = np.concatenate([*profiles.values(), np.zeros(0, np.uint64)])
+        order = np.argsort(codes, kind="stable")
+        self.grams, self.starts = np.unique(codes[order], return_index=True)
+        self.starts = np.append(self.starts, len(codes))
+        self.lang = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.rank = np.concatenate([*[np.arange(n, dtype=np.int32) for n in sizes], np.zeros(0, np.int32)])[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not has_letter(text):
             return "und", 0.0
         codes = ranked(grams(text), self.document)
         at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
-        ranks = self.ranks[at]
-        ranks[self.grams[at] != codes] = -1
-        away = np.abs(ranks - np.arange(len(codes), dtype=np.int32)[:, None])
-        away[ranks < 0] = self.length
-        total = np.minimum(away, self.length).sum(axis=0, dtype=np.int64)
+        own = np.flatnonzero(self.grams[at] == codes)
+        first, many = self.starts[at[own]], self.starts[at[own] + 1] - self.starts[at[own]]
+        entry = ranges(first, many)
+        nearer = np.maximum(self.length - np.abs(self.rank[entry] - np.repeat(own, many)), 0)  # than an n-gram that is absent
+        total = self.length * len(codes) - np.bincount(self.lang[entry], weights=nearer, minlength=len(self.langs))
         k = int(total.argmin())
         return self.langs[k], 1.0 - float(total[k]) / (self.length * len(codes))
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the language and score of each text, in columns of these names (which are replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Profiles(profiles))  # bounded: PROFILE n-grams a language
+    langs = sorted(profiles)
+    length = max(map(len, profiles.values()), default=1)
+    found = docs
+    for at in range(0, len(langs) or 1, BLOCK_LANGS):
+        block = Profiles({lang: profiles[lang] for lang in langs[at : at + BLOCK_LANGS]}, length=length)
+        found = _nearest(written(found, "langs") if at else found, block, names, at > 0)
+    return found
+
+
+def _nearest(docs: DataFrame, profiles: Profiles, names: tuple[str, str], more: bool) -> DataFrame:
+    """docs with the nearest of these languages; where there are more blocks, the one that docs have already stays unless this is nearer."""
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded: PROFILE n-grams for each of BLOCK_LANGS languages
     kept = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
         for batch in slices(batches):
             found = [predict(x) for x in batch.column("text").to_pylist()]
+            if more:
+                held = zip(*[batch.column(c).to_pylist() for c in names], strict=True)
+                found = [new if new[1] > old[1] else old for new, old in zip(found, held, strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*kept, *names])
 
     schema = docs.select(*kept).schema.add(names[0], "string").add(names[1], "double")
-    return bounded(docs).select(*kept).mapInArrow(lean(run), schema)
+    return bounded(docs).select(*kept, *(names if more else ())).mapInArrow(lean(run), schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -610,6 +610,23 @@ def test_language_ties_and_nothing_to_learn(spark):
     assert sorted(r["doc_id"] for r in langid.in_a_language(unlabelled).collect()) == [0, 1, 5]
 
 
+def test_language_by_blocks_of_any_number_of_languages(spark, monkeypatch):
+    names = [f"l{i:04d}" for i in range(1200)]  # one row each: none is left out
+    word = lambda i: "".join(chr(0x4E00 + 7 * i + k) for k in range(5))
+    rows = [(i, word(i), lang, i) for i, lang in enumerate(names)] + [(2000, word(3) + " " + word(1100), None, 0), (2001, "abc", None, 0), (2002, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, share long")
+    monkeypatch.setattr(langid, "HELD_GRAMS", 100)
+    profiles = langid.learn(docs)
+    assert list(profiles) == names
+    whole = {x["doc_id"]: x for x in langid.identify(docs, profiles).collect()}
+    assert all(whole[i]["lang_pred"] == lang for i, lang in enumerate(names)) and whole[2001]["lang_pred"] == "l0000" and whole[2002]["lang_pred"] == "und"
+    monkeypatch.setattr(langid, "BLOCK_LANGS", 500)
+    parts = langid.identify(docs, profiles)
+    assert parts.columns == [*docs.columns, "lang_pred", "score"] and {x["doc_id"]: x for x in parts.collect()} == whole
+    letterless = spark.createDataFrame([(1, "12 !", "aa")], "doc_id long, text string, lang string")
+    assert langid.learn(letterless) == {}
+
+
 def test_language_learns_from_rows_without_ids(spark):
     r = random.Random(2)
     rows = [(None, "".join(r.choice("abcdef ") for _ in range(30)), "en") for _ in range(400)]
