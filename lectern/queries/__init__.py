@@ -2,6 +2,8 @@
 
 from lectern.queries.files import ORACLE_SQL as _FILES_SQL
 from lectern.queries.files import QUERIES as _FILES
+from lectern.queries.keywords import ORACLE_SQL as _KEYWORDS_SQL
+from lectern.queries.keywords import QUERIES as _KEYWORDS
 from lectern.queries.parsing import ORACLE_SQL as _PARSING_SQL
 from lectern.queries.parsing import QUERIES as _PARSING
 from lectern.queries.scans import ORACLE_SQL as _SCANS_SQL
@@ -9,5 +11,5 @@ from lectern.queries.scans import QUERIES as _SCANS
 from lectern.queries.tables import ORACLE_SQL as _TABLES_SQL
 from lectern.queries.tables import QUERIES as _TABLES
 
-QUERIES = {**_PARSING, **_SCANS, **_TABLES, **_FILES}
-ORACLE_SQL = {**_PARSING_SQL, **_SCANS_SQL, **_TABLES_SQL, **_FILES_SQL}
+QUERIES = {**_PARSING, **_SCANS, **_KEYWORDS, **_TABLES, **_FILES}
+ORACLE_SQL = {**_PARSING_SQL, **_SCANS_SQL, **_KEYWORDS_SQL, **_TABLES_SQL, **_FILES_SQL}
