@@ -4,10 +4,12 @@ The symbols of many words lie in one flat array. A round packs each adjacent pai
 its rank by binary search over the sorted pair keys, takes each word's lowest rank, and joins all its occurrences from left
 to right. Words with no pair left leave the array. Where a merge's product takes part in a rule of lower rank, joining all
 occurrences at once could differ from one at a time, so such a merge joins its leftmost occurrence only.
+Words of thousands of symbols take rounds of their own, which touch only the places of the lowest rank and the pairs beside them, so that the time goes
+with the length.
 
 It serves tokenizer files of the kind: NFC, white space, lower case; a splitting pattern without white space; byte
 level; an end-of-word suffix. Tokens never hold a space, so that each chunk between spaces is encoded apart and distinct chunks
-once.
+once; what a worker remembers of them is bounded in bytes, and long chunks are not remembered.
 
 A null text is empty and has no ids; its decoded text is empty. Long texts are encoded whole, long words in as many rounds as
 they need. Special tokens written in a text become their ids, as in the tokenizers library. Repeated rows keep a row each,
@@ -17,6 +19,7 @@ other columns are ignored, and an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -29,8 +32,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from lectern.llm.common import bounded, table, texts_of
 
-#: The most chunks that a worker remembers between batches; beyond it the memory is emptied.
-CACHE_CHUNKS = 400_000
+#: Bytes of chunks that a worker remembers between batches, about; beyond it the memory is emptied. Longer chunks than so many code points are not remembered.
+CACHE_BYTES = 128 << 20
+CACHED_CHUNK = 256
+#: Bytes that an entry takes beside its letters and ids.
+ENTRY_BYTES = 200
+#: Symbols from which on a word has rounds of its own.
+LONG_WORD = 2048
 #: Symbols merged together.
 BATCH_SYMBOLS = 1_000_000
 NONE = np.int64(1 << 40)
@@ -78,7 +86,7 @@ class WordBpe:
         np.minimum.at(lowest, left, ranks)
         np.minimum.at(lowest, right, ranks)
         self.single = lowest[made] < ranks  # see the module's text
-        self.made = made
+        self.left, self.right, self.made = left, right, made
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
         keys, ranks = keys[order], ranks[order]
@@ -88,6 +96,7 @@ class WordBpe:
         for k, v in (*vocab.items(), *added.items()):
             self.names[v] = k.encode()
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         """Ids of each word; symbols: of all words, end to end; starts: of each word. No word is empty."""
@@ -133,6 +142,58 @@ class WordBpe:
             symbols = symbols[keep]
         return done
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of one word. Symbols are linked to those before and after them, and places of pairs wait by rank."""
+        n = len(symbols)
+        symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, dtype=bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(rank: int, places: np.ndarray) -> None:
+            if rank not in waiting:
+                waiting[rank] = []
+                heapq.heappush(ranks, rank)
+            waiting[rank].append(places)
+
+        def find(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            key = symbols[places] * self.size + symbols[after[places]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            places, found = places[hit], self.ranks[at[hit]]
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            cuts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else found
+            for rank, begin, end in zip(found[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(found)], strict=bool(len(found))):
+                wait(rank, places[begin:end])
+
+        find(np.arange(n))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            where = np.unique(np.concatenate(waiting.pop(rank)))
+            where = where[alive[where] & (after[where] < n)]
+            where = where[(symbols[where] == self.left[rank]) & (symbols[after[where]] == self.right[rank])]
+            if not len(where):
+                continue
+            if self.single[rank]:
+                if len(where) > 1:
+                    wait(rank, where[1:])
+                where = where[:1]
+            else:  # in a run such as a a a, every other pair
+                at = np.arange(len(where))
+                run = np.maximum.accumulate(np.where(np.concatenate(([True], after[where[:-1]] != where[1:])), at, 0))
+                where = where[(at - run) % 2 == 0]
+            gone = after[where]
+            symbols[where] = self.made[rank]
+            alive[gone] = False
+            after[where] = after[gone]
+            inner = after[where] < n
+            before[after[where[inner]]] = where[inner]
+            left = before[where]
+            find(np.unique(np.concatenate((where, left[left >= 0]))))
+        return symbols[alive]
+
     def words(self, chunk: str) -> list[str | bytes]:
         """Words of a chunk as text; ids of special tokens as bytes."""
         if self.split_added and "<" in chunk and len(parts := self.split_added(chunk)) > 1:
@@ -143,7 +204,8 @@ class WordBpe:
         pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(chunk))
         return [bytes(self.bytes_of[x] for x in piece).decode() for piece, _ in pieces]
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of each chunk; short ones are remembered."""
         split = [self.words(c) for c in chunks]
         distinct = list(dict.fromkeys(w for s in split for w in s if isinstance(w, str)))
         coded: dict[str, bytes] = {}
@@ -157,11 +219,22 @@ class WordBpe:
                 part, room = [], BATCH_SYMBOLS
         if part:
             coded.update(self.code(part))
-        for chunk, s in zip(chunks, split, strict=True):
-            self.known[chunk] = b"".join([w if isinstance(w, bytes) else coded[w] for w in s])
+        out = {c: b"".join([w if isinstance(w, bytes) else coded[w] for w in s]) for c, s in zip(chunks, split, strict=True)}
+        for chunk, ids in out.items():
+            if len(chunk) <= CACHED_CHUNK:
+                self.known[chunk] = ids
+                self.held += 4 * len(chunk) + len(ids) + ENTRY_BYTES
+        return out
 
     def code(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         raw = [w.encode() for w in words]
+        for word, x in zip(words, raw, strict=True):
+            if len(x) >= LONG_WORD:
+                flat = np.frombuffer(x, dtype=np.uint8)
+                yield word, self.merge_long(np.append(self.inner[flat[:-1]], self.last[flat[-1]])).astype("<u4").tobytes()
+        words, raw = [w for w, x in zip(words, raw, strict=True) if len(x) < LONG_WORD], [x for x in raw if len(x) < LONG_WORD]
+        if not words:
+            return
         lengths = np.array([len(x) for x in raw], dtype=np.int64)
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         symbols, ends = self.inner[flat], np.cumsum(lengths)
@@ -171,16 +244,17 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_CHUNKS:
+        if self.held > CACHE_BYTES:
             self.known.clear()
+            self.held = 0
         split = [t.split(" ") for t in texts]
         new: set[str] = set()
         for s in split:
             new.update(s)
-        known = self.known
-        if need := [c for c in new if c not in known]:
-            self.learn(need)
-        return [b"".join([known[c] for c in s]) for s in split]
+        coded = {c: known for c in new if (known := self.known.get(c)) is not None}
+        if need := [c for c in new if c not in coded]:
+            coded.update(self.learn(need))
+        return [b"".join([coded[c] for c in s]) for s in split]
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The tokens of each text with one space between, special ones too, in UTF-8: such files have no decoder of their own."""
