@@ -7,7 +7,8 @@ go. The nearest neighbour is asked that is no copy of the page (a copy shares ha
 Lines inside an article or main element are exempt: pages of a host repeat passages there, headings and closing lines among them, and copies of an article would delete each other.
 
 Markup is the second witness: of what is left, elements that never hold main text (nav, aside, form and so on) and those named as menus, notices,
-adverts or comments go whole, and where there is an article or main element, what is outside of it. A page without one keeps all of its lines if
+adverts or comments go whole, and where there is an article or main element, what is outside of it. Inside such an element a name that parts of articles have too (related,
+discussion, share, alert: PROSE) is not enough for a block: it goes if half of its text or more are links, and else its lines go that the neighbour (no copy) shares; ids of headings say nothing there. A page without one keeps all of its lines if
 differencing would delete every one.
 
 White space inside a block (br included) becomes one space. Null html gives no text; a page alone in its host is judged by its
@@ -59,31 +60,45 @@ ABOUT = frozenset("has no not with without is open opened closed on off enabled
 SITE = frozenset("site top global main web".split())
 
 
-def is_named(attributes: str) -> bool:
-    """Whether a name of the element starts or ends with a word for what isn't main text, or it is hidden."""
+SHOWN, RULED_OUT, SUSPECT, HIDDEN = range(4)
+#: Those of NAMES by which parts of articles are named too.
+PROSE = frozenset("alert notice menu promotion share sharing social related recommended recommendations discussion consent".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def named_as(attributes: str, ids: bool = True) -> int:
+    """RULED_OUT if a name of the element starts or ends with a word for what isn't main text, or it is hidden; SUSPECT if only such words do that prose has too. ids: whether the id counts."""
+    out = SHOWN
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
-        if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+        if name not in ("class", "id", "role", "hidden", "aria-hidden") or name == "id" and not ids:
             continue
         if name == "hidden" or name == "aria-hidden" and "true" in value.lower():
-            return True
+            return RULED_OUT
         for part in value.strip("\"'").split():
             words = [w.lower() for w in WORD.findall(part)]
-            if words and (words[0] in NAMES or words[-1] in NAMES) and ABOUT.isdisjoint((words[0], words[-1])):
-                return True
+            said = {words[0], words[-1]} & NAMES if words else set()
+            if said and ABOUT.isdisjoint((words[0], words[-1])):
+                if said - PROSE:
+                    return RULED_OUT
+                out = SUSPECT
             if words and words[-1] == "header" and (len(words) == 1 or words[0] in SITE):
-                return True
-    return False
+                return RULED_OUT
+    return out
 
 
-SHOWN, RULED_OUT, HIDDEN = range(3)
+def is_named(attributes: str) -> bool:
+    return named_as(attributes) != SHOWN
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """Blocks of a page that are shown, in order, whether each is inside an article or main element, and whether markup rules it out."""
-    out: list[tuple[str, bool, bool]] = []
-    held: tuple[list[str], list[str]] = ([], [])  # of the block so far, what is shown and what is ruled out
+def lines_of(page: str) -> list[tuple[str, bool, int]]:
+    """Blocks of a page that are shown, in order, whether each is inside an article or main element, and whether markup rules it out (SHOWN, RULED_OUT or SUSPECT)."""
+    out: list[tuple[str, bool, int]] = []
+    held: tuple[list[str], ...] = ([], [], [])  # of the block so far, what is shown, ruled out and suspect
     stack: list[tuple[str, int, bool]] = []  # element, how much it is shown, in main
+    suspect: tuple[int, int] | None = None  # the outermost suspect element: its depth, and lines before it
+    letters = [0, 0]  # of it, in all and in links
+    links = 0  # open ones
     shown, main = SHOWN, False
     at = 0
 
@@ -92,20 +107,32 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             if parts:
                 text = " ".join(entities.unescape("".join(parts)).split())
                 if text:
-                    out.append((text, main, bool(ruled_out)))
+                    out.append((text, main, ruled_out))
                 parts.clear()
 
+    def hold(text: str, how: int) -> None:
+        held[how].append(text)
+        if how == SUSPECT:
+            n = len("".join(text.split()))
+            letters[0] += n
+            letters[1] += n if links else 0
+
     def pop_to(k: int) -> None:
-        nonlocal shown, main
+        nonlocal shown, main, suspect, links
         while len(stack) > k:
             name, _, _ = stack.pop()
             if name in BLOCKS:
                 end_block()
+            links -= name == "a"
+            if suspect and suspect[0] == len(stack):
+                if 2 * letters[1] >= letters[0]:
+                    out[suspect[1] :] = [(text, inside, RULED_OUT if how == SUSPECT else how) for text, inside, how in out[suspect[1] :]]
+                suspect, letters[:] = None, (0, 0)
             shown, main = stack[-1][1:] if stack else (SHOWN, False)
 
     while m := TAG.search(page, at):
         if shown != HIDDEN and m.start() > at:
-            held[shown].append(page[at : m.start()])
+            hold(page[at : m.start()], shown)
         at = m.end()
         closing, name, attributes = m.group(1), m.group(2), m.group(3)
         if name is None:
@@ -138,20 +165,28 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
         now = HIDDEN if shown == HIDDEN or name in UNSEEN else shown
-        if now == SHOWN and (name in DROPPED or name == "header" and not main or name not in ("html", "body", "main") and is_named(attributes)):
-            now = RULED_OUT
+        if now in (SHOWN, SUSPECT):
+            named = named_as(attributes, not (main and name in HEADINGS)) if name not in ("html", "body", "main") else SHOWN
+            if name in DROPPED or name == "header" and not main or named == RULED_OUT or named == SUSPECT and not (main and name in BLOCKS):
+                now = RULED_OUT
+            elif named == SUSPECT:
+                now = SUSPECT
         inside = main or name in ("article", "main")
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             if now != HIDDEN:
-                held[now].append(page[at : end.start() if end else len(page)])
+                hold(page[at : end.start() if end else len(page)], now)
             at = end.end() if end else len(page)
             continue
+        if now == SUSPECT and suspect is None:
+            suspect = (len(stack), len(out))
+        links += name == "a"
         stack.append((name, now, inside))
         shown, main = now, inside
     if shown != HIDDEN:
-        held[shown].append(page[at:])
+        hold(page[at:], shown)
     end_block()
+    pop_to(0)
     return out
 
 
@@ -220,7 +255,7 @@ def by_halves(a: list[str], b: list[str], begin: int, found: set[int]) -> None:
     by_halves(a[half:], b[k:], begin + half, found)
 
 
-def template(lines: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> set[int]:
+def template(lines: list[tuple[str, bool, int]], near: list[list[tuple[str, bool, int]]]) -> set[int]:
     """Indexes of the lines that differencing deletes. near: the neighbours' lines, the nearest page first."""
     texts = [line[0] for line in lines]
     inside = [i for i, line in enumerate(lines) if line[1]]
@@ -230,14 +265,14 @@ def template(lines: list[tuple[str, bool, bool]], near: list[list[tuple[str, boo
     gone: set[int] = set()
     if aligned:
         witness = copies.index(False) if False in copies else 0
-        gone = {i for i in aligned[witness] if not lines[i][1]}
+        gone = {i for i in aligned[witness] if not lines[i][1] or lines[i][2] == SUSPECT and not copies[witness]}
     return gone
 
 
-def main_text(lines: list[tuple[str, bool, bool]], near: list[list[tuple[str, bool, bool]]]) -> str:
+def main_text(lines: list[tuple[str, bool, int]], near: list[list[tuple[str, bool, int]]]) -> str:
     gone = template(lines, near)
-    there = any(inside and not ruled_out for _, inside, ruled_out in lines)
-    kept = [i for i, (_, inside, ruled_out) in enumerate(lines) if not ruled_out and (inside or not there)]
+    there = any(inside and how != RULED_OUT for _, inside, how in lines)
+    kept = [i for i, (_, inside, how) in enumerate(lines) if how != RULED_OUT and (inside or not there)]
     left = [i for i in kept if i not in gone]
     return "\n".join(lines[i][0] for i in left or kept)
 
