@@ -46,6 +46,28 @@ def test_keywords_plans(spark):
     assert not any("NestedLoop" in p or "Cartesian" in p for p in plans) and "Exchange" not in plans[0]
 
 
+@pytest.mark.parametrize("small,grams", [(0, 1 << 20), (0, 40), (100_000, 40)])
+def test_keyword_index_in_parts_equals_brute_force(spark, monkeypatch, small, grams):
+    monkeypatch.setattr(K, "SMALL_INDEX", small)
+    monkeypatch.setattr(K, "MOST_GRAMS", grams)
+    monkeypatch.setattr(K, "CHUNK", 64)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abé😀 ") for _ in range(n))
+    texts = [(i, make(rng.randrange(50)) if i % 7 else None) for i in range(90)]
+    words = [make(rng.randrange(1, 8)) for _ in range(90)]
+    rows = K.by_index(spark.createDataFrame(texts, "id int, line string"), spark.createDataFrame([(w,) for w in words], "keyword string"), ["id"])
+    assert sorted(map(tuple, rows.collect())) == brute(texts, words)
+
+
+def test_texts_of_a_small_index_stay_where_they_are(spark):
+    texts = spark.range(1000).select("id", F.concat(F.lit("text number "), "id").alias("line"))
+    words = spark.createDataFrame([("number 77",), ("absent",)], "keyword string")
+    rows = K.by_index(texts, words, ["id"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+    assert sorted(r["id"] for r in rows.collect()) == [77, *range(770, 780)]
+
+
 def test_distinct_counts_of_every_type(spark):
     zero = datetime.datetime(2024, 10, 27, 1, 30, tzinfo=datetime.timezone.utc)
     rows = [(i % 7, -2**63 if i % 2 else 2**63 - 1, -(i % 5), None, "x" * (i % 4), [0.0, -0.0, float("nan"), 1.5][i % 4], i % 2 == 0, bytes([i % 3]), zero + datetime.timedelta(hours=i % 2), [i % 6], 5) for i in range(60)]
