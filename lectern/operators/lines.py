@@ -42,19 +42,17 @@ def longer_than(lines: DataFrame, n: int = 2) -> DataFrame:
     return stripped(lines).where(F.length("line") > n)
 
 
-def _first_hits(lines: DataFrame, hit: Column, scope: str) -> DataFrame:
-    """A row a scope that has a hit, with the place of its first one; keys are structs, so that null is a key too."""
-    own = lines.where(hit).select(_key(*SCOPES[scope]).alias("_scope"), F.struct("page", "line_no").alias("_at"))
-    return own.groupBy("_scope").agg(F.min("_at").alias("_first"))
-
-
 def _with_first(lines: DataFrame, hit: Column, scope: str) -> DataFrame:
-    marked = lines.withColumns({"_scope": _key(*SCOPES[scope]), "_here": F.struct("page", "line_no")})
-    return marked.join(_first_hits(lines, hit, scope), "_scope", "left")
+    """lines with the place of their scope's first hit, null if there is none. First hits of blocks give those of scopes, which come back to the lines
+    by block, so that a scope of any length is many tasks. Keys are structs, so that null is a key too."""
+    marked = lines.withColumns({**_blocks(scope), "_here": F.struct("page", "line_no")})
+    blocks = marked.groupBy("_block", "_scope").agg(F.min(F.when(hit, F.col("_here"))).alias("_own"))
+    first = blocks.groupBy("_scope").agg(F.min("_own").alias("_first"))
+    return marked.join(blocks.join(first, "_scope").select("_block", "_first"), "_block")
 
 
 def from_first(lines: DataFrame, hit: Column, scope: str = "source", long: bool = False) -> DataFrame:
-    """Each scope's lines from its first hit on; all of them if there is none. long: first hits are an aggregate, a row a scope, joined back, without a window."""
+    """Each scope's lines from its first hit on; all of them if there is none. long: first hits are an aggregate, joined back by block, without a window."""
     if not long:
         every = Window.partitionBy(*SCOPES[scope])
         marked = lines.withColumn("_hit", F.coalesce(hit, F.lit(False)).cast("int"))

@@ -31,10 +31,10 @@ def paired(lines: DataFrame, keywords: Sequence[str], long: bool = False) -> Dat
     return with_next(matching, "data_line", long=long).where(contains_any(line, keywords))
 
 
-def parse_census_pairs(lines: DataFrame, keywords: Sequence[str] = KEYWORDS["census"], mappings: dict[str, list[str]] | None = None) -> DataFrame:
+def parse_census_pairs(lines: DataFrame, keywords: Sequence[str] = KEYWORDS["census"], mappings: dict[str, list[str]] | None = None, long: bool = False) -> DataFrame:
     """(source, page, line_no, record): a map of names to texts with REGION and SOURCE_IMAGE."""
     data = squeeze(F.regexp_replace("data_line", "( SEXE.|SEXE.)", ""))
-    rows = paired(lines, keywords).withColumn("cells", split_words(data)).where(F.size("cells") > 0)
+    rows = paired(lines, keywords, long).withColumn("cells", split_words(data)).where(F.size("cells") > 0)
     rows = rows.withColumn("names", names_column(mappings or MAPPINGS, F.size("cells"))).where(F.col("names").isNotNull())
     own = F.create_map(F.lit("REGION"), F.col("line"), F.lit("SOURCE_IMAGE"), F.col("source"))
     record = F.map_filter(_record(F.col("names"), F.col("cells"), ""), lambda k, v: ~k.isin("REGION", "SOURCE_IMAGE"))
@@ -55,14 +55,14 @@ def parse_generic(lines: DataFrame) -> DataFrame:
     return lines.withColumn("cells", split_words(F.col("line"))).where(F.size("cells") > 0).select("source", "page", "line_no", "cells")
 
 
-def parse_lines(lines: DataFrame, config: Config | None = None) -> DataFrame:
-    """Noise away, trimmed to the first keyword, then parsed as the settings say; records as maps."""
+def parse_lines(lines: DataFrame, config: Config | None = None, long: bool = False) -> DataFrame:
+    """Noise away, trimmed to the first keyword, then parsed as the settings say; records as maps. long: sources of any length, by blocks."""
     config = config or Config()
     keywords, mappings = config.keywords(), config.get("parsing", "column_mappings")
-    rows = trimmed_to_keyword(without_noise(lines, config.get("parsing", "filters")), keywords)
+    rows = trimmed_to_keyword(without_noise(lines, config.get("parsing", "filters")), keywords, long=long)
     kind = config.get("parsing", "data_format")
     if kind == "census":
-        return parse_census_pairs(rows, keywords, mappings).select("source", "page", "line_no", "record")
+        return parse_census_pairs(rows, keywords, mappings, long).select("source", "page", "line_no", "record")
     if kind == "election":
         return parse_election(rows, keywords, mappings).select("source", "page", "line_no", "record")
     cells = parse_generic(rows)

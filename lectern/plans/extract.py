@@ -54,8 +54,8 @@ def method_used(lines: DataFrame, methods: Sequence[str] = CASCADE, ocr: DataFra
 
 
 def extract(lines: DataFrame, config: Config | None = None) -> DataFrame:
-    """The package's parser as a table: a column for each name that a record has."""
-    return tabled(parse_lines(lines, config))
+    """The package's parser as a table: a column for each name that a record has. Sources may be of any length."""
+    return tabled(parse_lines(lines, config, long=True))
 
 
 def tabled(records: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def extract_files(
 ) -> tuple[DataFrame, DataFrame]:
     """The table of all files, and the files that couldn't be read (source, error). Each file is decoded once; what it held is stored."""
     rows = stored(decoded(listed(spark, paths, content=True), methods, decoders), "decoded")
-    records = stored(parse_lines(lines_of(rows), config), "records")
+    records = stored(parse_lines(lines_of(rows), config, long=True), "records")
     return tabled(records), rows.where("error IS NOT NULL").select("source", "error")
 
 
@@ -112,7 +112,7 @@ def batch(
     there = sorted({f for found in files.values() for f in found})
     if there:
         rows = stored(decoded(listed(spark, there, content=True), methods, decoders), "decoded")
-        records = stored(parse_lines(lines_of(rows), config), "records")
+        records = stored(parse_lines(lines_of(rows), config, long=True), "records")
         errors = dict(rows.where("error IS NOT NULL").groupBy("source").agg(F.min("error")).collect())  # a row a failed input
     results = []
     for path, found in files.items():

@@ -113,3 +113,25 @@ def test_parsers_of_long_sources(spark, monkeypatch):
         a, b = (sorted(map(str, parse_census(df, preset, long=x).collect())) for x in (False, True))
         assert a == b
     assert sorted(map(str, universal_rows(df).collect())) == sorted(map(str, universal_rows(df, long=True).collect()))
+
+
+def test_first_hits_of_one_source_are_many_tasks(spark, monkeypatch):
+    """What is cut at a first hit, and the package's parsers, hold no source in one task."""
+    from lectern.config import Config
+    from lectern.operators.package import parse_lines
+
+    monkeypatch.setattr(L, "BLOCK_LINES", 64)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(40_000).select(F.lit("one").alias("source"), F.floor(F.col("id") / 200).cast("int").alias("page"), (F.col("id") % 200).cast("int").alias("line_no"), F.concat(F.lit("DISTRICT ALL a b c "), "id").alias("line"))
+        kinds = [parse_lines(df, Config(values={"parsing": {"data_format": k, "keywords": {k: ["DISTRICT"]}}}), long=True) for k in ("census", "election", "generic")]
+        for rows in (L.from_first(df, F.col("line").endswith(" 17"), long=True), L.after_marker(df, " 17$", long=True), *kinds):
+            assert rows.count() > 39_900 or rows is kinds[0]
+            most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert most < 40_000 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
