@@ -27,8 +27,8 @@ def so_far(scope: str = "source") -> Window:
 
 
 def stripped(lines: DataFrame) -> DataFrame:
-    """Lines without white space at their ends; empty ones go."""
-    return lines.withColumn("line", strip(F.col("line"))).where(F.col("line") != "")
+    """Lines without white space at their ends; empty ones go. A line is stripped once, through a generator: else each predicate on it would do so again."""
+    return lines.withColumn("line", F.explode(F.array(strip(F.col("line"))))).where(F.col("line") != "").select(*lines.columns)
 
 
 def without_noise(lines: DataFrame, filters: Sequence[str]) -> DataFrame:

@@ -148,3 +148,15 @@ def test_settings_at_any_depth():
     c.set("a", "b", "c", 1)
     assert c.get("ocr", "preprocessing", "resize_factor") == 2.0 and c.get("a", "b", "c") == 1
     assert Config().get("ocr", "preprocessing", "resize_factor") == 1.2
+
+
+def test_strip_is_unicode_white_space_and_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators.lines import without_noise
+
+    points = spark.range(1, 0x110000).where("id < 55296 OR id > 57343").select(F.decode(F.encode(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')"), "UTF-8"), "UTF-8").alias("c"))
+    text = F.concat("c", F.lit("a b"), "c", F.lit("\r\n"))
+    assert points.where(~T.strip(text).eqNullSafe(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))).count() == 0
+    lines = spark.range(3).select(F.lit("s").alias("source"), F.lit(1).alias("page"), F.col("id").alias("line_no"), F.concat(F.lit(" "), "id").alias("line"))
+    assert without_noise(lines, ["x"])._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
