@@ -15,7 +15,7 @@ from lectern.operators.schema import evened, union_ragged
 from lectern.plans.storage import shared_dir
 from lectern.queries.render import table
 from lectern.sinks.files import to_csv, to_excel, to_json
-from lectern.sources.files import url_table
+from lectern.sources.files import csv_records, in_file_order, json_records, url_table
 from lectern.sources.workbook import WorkbookSource
 
 Spark = SparkSession
@@ -172,22 +172,18 @@ def _written(spark: Spark, sf: str, sink) -> str:
 _FILE = "key long, name string, customer long"
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Rows of one file that one task reads, with their places in it."""
-    return rows.select(F.monotonically_increasing_id().alias("place"), "key", "name", "customer")
-
-
 def csv_round_trip(spark: Spark, sf: str) -> DataFrame:
-    return _placed(spark.read.schema(_FILE).csv(_written(spark, sf, to_csv), header=True, escape='"', multiLine=True))
+    return csv_records(spark, _written(spark, sf, to_csv), _FILE)
 
 
 def json_round_trip(spark: Spark, sf: str) -> DataFrame:
-    return _placed(spark.read.schema(_FILE).json(_written(spark, sf, to_json), multiLine=True))
+    return json_records(spark, _written(spark, sf, to_json), _FILE)
 
 
 def excel_round_trip(spark: Spark, sf: str) -> DataFrame:
+    """A sheet is a task; places go on from one to the next."""
     spark.dataSource.register(WorkbookSource)
-    return _placed(spark.read.format("workbook").schema(_FILE).load(_written(spark, sf, to_excel)))
+    return in_file_order(spark.read.format("workbook").schema(_FILE).load(_written(spark, sf, to_excel))).select("place", "key", "name", "customer")
 
 
 QUERIES = {

@@ -16,6 +16,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, islice
 from typing import Any
 
 from pyarrow.fs import FileType
@@ -24,12 +25,14 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from pyspark.sql.types import StructType
 
 from lectern.sources.files import filesystem
-from lectern.sources.workbook import MOST_ROWS, PARTS, SHEET, SHEET_END, SHEET_START, sheet_row
+from lectern.sources.workbook import MOST_ROWS, SHEET_END, SHEET_START, parts, sheet_name, sheet_row
 
 KINDS = ("csv", "json", "excel")
 #: About so many characters are rendered before they are written.
 CHUNK = 1 << 20
 INDENT = 2
+#: A task's piece of a sheet holds so many rows at most; what is more is its next piece.
+SHEET_PIECE = 1 << 16
 #: The last block of a deflate stream, empty.
 LAST_BLOCK = b"\x03\x00"
 
@@ -76,10 +79,16 @@ class Piece(WriterCommitMessage):
     crc: int
 
 
+@dataclass
+class Pieces(WriterCommitMessage):
+    pieces: list[Piece]
+
+
 class PiecesWriter(DataSourceWriter):
     def __init__(self, schema: StructType, options: dict[str, str]):
         self.names, self.path, self.kind, self.job = list(schema.names), options["path"], options["kind"], options["job"]
         self.indent = int(options.get("indent", INDENT))
+        self.most = int(options.get("sheet_rows", MOST_ROWS))
 
     def _rendered(self, rows: Iterator) -> Iterator[tuple[int, bytes]]:
         """Rows as bytes, many at a time, with their number."""
@@ -97,17 +106,26 @@ class PiecesWriter(DataSourceWriter):
         if held:
             yield len(held), "".join(held).encode()
 
-    def write(self, iterator: Iterator) -> Piece:
+    def write(self, iterator: Iterator) -> Pieces:
         from pyspark import TaskContext
 
         context = TaskContext.get()
         fs, base = filesystem(self.path)
-        folder = f"{base}.{self.job}"
-        piece = Piece(context.partitionId() if context else 0, f"{folder}/{uuid.uuid4().hex}", 0, 0, 0, 0)
+        partition = context.partitionId() if context else 0
+        pieces: list[Piece] = []
+        if self.kind == "excel":
+            for row in iterator:  # each piece takes the rows up to its bound
+                pieces.append(self._piece(fs, f"{base}.{self.job}", partition, chain([row], islice(iterator, min(SHEET_PIECE, self.most - 1) - 1))))
+        else:
+            pieces.append(self._piece(fs, f"{base}.{self.job}", partition, iterator))
+        return Pieces(pieces)
+
+    def _piece(self, fs, folder: str, partition: int, rows: Iterator) -> Piece:
+        piece = Piece(partition, f"{folder}/{uuid.uuid4().hex}", 0, 0, 0, 0)
         deflate = zlib.compressobj(6, zlib.DEFLATED, -15) if self.kind == "excel" else None
         try:
             with fs.open_output_stream(piece.path) as out:
-                for n, data in self._rendered(iterator):
+                for n, data in self._rendered(rows):
                     piece.rows += n
                     piece.raw += len(data)
                     piece.crc = zlib.crc32(data, piece.crc)
@@ -121,14 +139,14 @@ class PiecesWriter(DataSourceWriter):
             raise
         return piece
 
-    def commit(self, messages: list[Piece | None]) -> None:
-        pieces = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.partition)
+    def commit(self, messages: list[Pieces | Piece | None]) -> None:
+        pieces = [p for m in messages if m is not None for p in (m.pieces if isinstance(m, Pieces) else [m]) if p.rows]
+        pieces.sort(key=lambda p: p.partition)  # those of a task keep their order
         fs, base = filesystem(self.path)
         try:
-            rows = sum(p.rows for p in pieces)
-            if self.kind == "excel" and rows >= MOST_ROWS:
+            if self.kind == "excel" and any(p.rows >= self.most for p in pieces):
                 raise ValueError(f"a sheet holds {MOST_ROWS} rows at most, its header among them")
-            if rows:
+            if pieces:
                 with fs.open_output_stream(f"{base}.{self.job}.whole") as out:
                     (self._workbook if self.kind == "excel" else self._text)(fs, out, pieces)
         finally:
@@ -167,26 +185,32 @@ class PiecesWriter(DataSourceWriter):
             packer = zlib.compressobj(6, zlib.DEFLATED, -15)
             return packer.compress(data) + packer.flush(zlib.Z_FULL_FLUSH)
 
+        sheets: list[list[Piece]] = [[]]
+        for piece in pieces:  # a sheet takes pieces while they fit, and each has the header
+            if sum(p.rows for p in sheets[-1]) + piece.rows >= self.most:
+                sheets.append([])
+            sheets[-1].append(piece)
         head, tail = (SHEET_START + sheet_row(self.names)).encode(), SHEET_END.encode()
         first, last = deflated(head), deflated(tail) + LAST_BLOCK
-        crc, raw = zlib.crc32(head), len(head)
-        for crc_of, size in (*((p.crc, p.raw) for p in pieces), (zlib.crc32(tail), len(tail))):
-            crc, raw = joined_crc(crc, crc_of, size), raw + size
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, part in PARTS:
+            for name, part in parts(len(sheets)):
                 z.writestr(name, part)
-            entry = zipfile.ZipInfo(SHEET, (1980, 1, 1, 0, 0, 0))
-            entry.compress_type = zipfile.ZIP_DEFLATED
-            entry.CRC, entry.file_size, entry.compress_size = crc, raw, len(first) + sum(p.size for p in pieces) + len(last)
-            entry.header_offset = z.fp.tell()
-            z.fp.write(entry.FileHeader())
-            z.fp.write(first)
-            for piece in pieces:
-                self._copied(fs, piece, z.fp)
-            z.fp.write(last)
-            z.filelist.append(entry)
-            z.NameToInfo[SHEET] = entry
-            z.start_dir, z._didModify = z.fp.tell(), True
+            for number, own in enumerate(sheets, 1):
+                crc, raw = zlib.crc32(head), len(head)
+                for crc_of, size in (*((p.crc, p.raw) for p in own), (zlib.crc32(tail), len(tail))):
+                    crc, raw = joined_crc(crc, crc_of, size), raw + size
+                entry = zipfile.ZipInfo(sheet_name(number), (1980, 1, 1, 0, 0, 0))
+                entry.compress_type = zipfile.ZIP_DEFLATED
+                entry.CRC, entry.file_size, entry.compress_size = crc, raw, len(first) + sum(p.size for p in own) + len(last)
+                entry.header_offset = z.fp.tell()
+                z.fp.write(entry.FileHeader())
+                z.fp.write(first)
+                for piece in own:
+                    self._copied(fs, piece, z.fp)
+                z.fp.write(last)
+                z.filelist.append(entry)
+                z.NameToInfo[entry.filename] = entry
+                z.start_dir, z._didModify = z.fp.tell(), True
 
 
 class SingleFile(DataSource):

@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.sinks import files as sinks
-from lectern.sinks.single import Piece, PiecesWriter, joined_crc
+from lectern.sinks.single import Piece, PiecesWriter, joined_crc, to_file
 from lectern.sources import workbook
+from lectern.sources.files import in_file_order
 
 ODD = ['a "quoted", text', "two\nlines", "<tag> & é 日本", "", None, " space ", "x" * 5000]
 
@@ -86,3 +87,14 @@ def test_buffers_hold_the_same(rows, tmp_path):
     some = rows.limit(50).coalesce(1)
     assert sinks.to_bytes(some, "json") == Path(sinks.to_json(some, tmp_path / "x")).read_bytes()
     assert list(workbook.read_workbook(io.BytesIO(sinks.to_bytes(some)))) == list(workbook.read_workbook(sinks.to_excel(some, tmp_path / "x")))
+
+
+def test_full_sheets_go_on_in_the_next(spark, rows, tmp_path):
+    path = str(tmp_path / "x.xlsx")
+    assert to_file(rows, path, "excel", sheet_rows=3000)
+    with zipfile.ZipFile(path) as z:
+        names = [n for n in z.namelist() if "worksheets/" in n]
+        assert z.testzip() is None and len(names) > 6 and z.read("xl/workbook.xml").count(b"<sheet ") == len(names)
+    spark.dataSource.register(workbook.WorkbookSource)
+    got = in_file_order(spark.read.format("workbook").schema("key long, text string, part double").load(path))
+    assert [tuple(r)[:3] for r in got.orderBy("place").collect()] == expected()
