@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.sinks import files as sinks
 from lectern.sinks.single import Piece, PiecesWriter, joined_crc, to_file
 from lectern.sources import workbook
-from lectern.sources.files import in_file_order
+from lectern.sources.files import csv_records, in_file_order, json_records
 
 ODD = ['a "quoted", text', "two\nlines", "<tag> & é 日本", "", None, " space ", "x" * 5000]
 
@@ -98,3 +98,22 @@ def test_full_sheets_go_on_in_the_next(spark, rows, tmp_path):
     spark.dataSource.register(workbook.WorkbookSource)
     got = in_file_order(spark.read.format("workbook").schema("key long, text string, part double").load(path))
     assert [tuple(r)[:3] for r in got.orderBy("place").collect()] == expected()
+
+
+@pytest.mark.parametrize("stretch", [7, 1 << 14])
+def test_one_text_file_is_read_by_many_tasks(spark, rows, tmp_path, monkeypatch, stretch):
+    from lectern.sources import files
+
+    monkeypatch.setattr(files, "STRETCH", stretch)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        for more in (F.lit(""), F.lit(' "\r\n,\r"')):
+            own = rows.withColumn("text", F.concat("text", more))
+            want = [(i, *r) for i, r in enumerate(map(tuple, own.collect()))]
+            schema = "key long, text string, part double"
+            got = json_records(spark, sinks.to_json(own, tmp_path / "x"), schema)
+            assert got.rdd.getNumPartitions() > 4 and list(map(tuple, got.orderBy("place").collect())) == want
+            got = csv_records(spark, sinks.to_csv(own, tmp_path / "x"), schema)
+            assert list(map(tuple, got.orderBy("place").collect())) == [(*r[:2], r[2] or None, r[3]) for r in want]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
