@@ -130,7 +130,7 @@ def _children(level: int, levels: int, threshold: float) -> Column:
 
 
 def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(task, c) of the leaves, and (node, c, n) of what is larger on the last level."""
+    """(task, c) of the leaves, and (node, c, n, head) of what is larger on the last level; head is the node's least class."""
     own = lambda tree: F.substring("tokens", tree * 4 * levels + 1, F.lit(4 * levels))
     at = classes.select("c", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     at = at.select("c", "tree", own(F.col("tree")).alias("own"), F.xxhash64("tree", F.lit(0)).alias("node"))
@@ -140,14 +140,14 @@ def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, le
     level = FIRST_LEVEL
     while True:
         at = written(at.select("c", "tree", "node"), "nodes")
-        total = at.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(2))).alias("y"))
+        total = at.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(2))).alias("y"), F.min("c").alias("head"))
         total = written(total.where("n > 1"), "node-sizes")
         every.append(at)
         small.append(total.where(F.col("n") <= leaf))
-        large = total.where(F.col("n") > leaf).select("node", "n")
+        large = total.where(F.col("n") > leaf).select("node", "n", "head")
         if level == levels or large.isEmpty():
             break
-        at = with_total(at, large, ["node"], at.count()).join(classes, "c").select("c", "tree", own(F.col("tree")).alias("own"), "node")
+        at = with_total(at, large.select("node", "n"), ["node"], at.count()).join(classes, "c").select("c", "tree", own(F.col("tree")).alias("own"), "node")
         for below in range(level, min(level + STEP, levels)):
             at = at.select("c", "tree", "own", _children(below, levels, threshold).alias("node"))
         level = min(level + STEP, levels)
@@ -159,7 +159,7 @@ def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, le
     for more in every[1:]:
         rows = rows.unionByName(more)
     leaves = written(rows.join(once, "node").select(F.col("node").alias("task"), "c"), "leaves")
-    dense = written(with_total(every[-1], large, ["node"], every[-1].count()).select("node", "c", "n"), "dense")
+    dense = written(with_total(every[-1], large, ["node"], every[-1].count()).select("node", "c", "n", "head"), "dense")
     return leaves, dense
 
 
@@ -318,8 +318,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N, trees: int =
     leaves, dense = tree_nodes(classes.select("c", "tokens"), trees, levels, threshold, leaf)
     chunk = F.xxhash64("node", F.pmod(F.xxhash64("c", "node"), F.ceil(F.col("n") / leaf)))
     edges = compared(leaves.unionByName(dense.select(chunk.alias("task"), "c")), classes, agree, percent, parts)
-    heads = dense.groupBy("node").agg(F.min("c").alias("head"), F.count("*").alias("n"))  # what shares a node of the last level may be alike
-    heads = with_total(dense.select("node", "c"), heads, ["node"], dense.count()).where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"), F.lit(False).alias("star"))
+    heads = dense.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"), F.lit(False).alias("star"))  # what shares a node of the last level may be alike
     edges = written(edges.unionByName(heads.distinct()), "edges")
     clusters = components(thinned(edges.select("a", "b"))).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
     clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("c"), "cluster").distinct()).join(classes.select("c", "grams"), "c"), "clusters")

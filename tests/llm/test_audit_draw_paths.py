@@ -289,3 +289,11 @@ def test_hashes_of_runs():
         both = np.concatenate((a, 195 - a))
         one, two = common.runs_hash(both, np.array([0, n]), np.array([n, 2 * n])).tolist()
         assert one != two
+
+
+def test_large_nodes_name_their_least_class(spark):
+    """What shares a node of the last level meets its sizes, and by them its least class, in one join."""
+    tokens = bytes(4 * 2 * 3)
+    classes = spark.createDataFrame([(i, bytearray(tokens)) for i in range(5, 25)], "c long, tokens binary")
+    _, dense = chosen_path.tree_nodes(classes, 2, 3, 0.85, 4)
+    assert {(r["head"], r["n"]) for r in dense.select("head", "n").collect()} == {(5, 20)}
