@@ -46,6 +46,8 @@ FIRST_LEVEL = 2
 STEP = 2
 #: A node of more classes branches on.
 LEAF = 64
+#: A node's classes are held in arrays of about so many at most.
+PACK = 1 << 15
 #: About so many of a star's members are a task.
 STAR = 256
 #: Sketches rule out a pair that agrees in fewer places than one at the threshold would, by so many standard deviations.
@@ -130,36 +132,38 @@ def _children(level: int, levels: int, threshold: float) -> Column:
 
 
 def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(task, c) of the leaves, and (node, c, n, head) of what is larger on the last level; head is the node's least class."""
+    """(task, c) of the leaves, and (node, c, n, head) of what is larger on the last level; head is the node's least class.
+
+    A node's classes meet its size as arrays of PACK at most, not as a row each. Leaves of the same members are one."""
     own = lambda tree: F.substring("tokens", tree * 4 * levels + 1, F.lit(4 * levels))
+    pack = F.pmod(F.xxhash64("c"), F.lit(math.ceil(max(1, classes.count()) / PACK))).alias("pack")
     at = classes.select("c", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     at = at.select("c", "tree", own(F.col("tree")).alias("own"), F.xxhash64("tree", F.lit(0)).alias("node"))
     for level in range(FIRST_LEVEL):
         at = at.select("c", "tree", "own", _children(level, levels, threshold).alias("node"))
-    every, small = [], []
+    small = []
     level = FIRST_LEVEL
     while True:
-        at = written(at.select("c", "tree", "node"), "nodes")
-        total = at.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(2))).alias("y"), F.min("c").alias("head"))
+        packs = written(at.groupBy("node", "tree", pack).agg(F.collect_list("c").alias("members")).select("node", "tree", "members"), "nodes")
+        total = packs.groupBy("node").agg(F.sum(F.size("members")).alias("n"), F.min(F.array_min("members")).alias("head"))
         total = written(total.where("n > 1"), "node-sizes")
-        every.append(at)
-        small.append(total.where(F.col("n") <= leaf))
-        large = total.where(F.col("n") > leaf).select("node", "n", "head")
+        many = packs.agg(F.sum(F.size("members"))).first()[0] or 0
+        nodes = written(with_total(packs, total, ["node"], many), "node-members")
+        members = F.array_sort(F.flatten(F.collect_list("members"))).alias("members")
+        small.append(nodes.where(F.col("n") <= leaf).groupBy("node").agg(members))
+        large = nodes.where(F.col("n") > leaf)
         if level == levels or large.isEmpty():
             break
-        at = with_total(at, large.select("node", "n"), ["node"], at.count()).join(classes, "c").select("c", "tree", own(F.col("tree")).alias("own"), "node")
+        at = large.select("tree", "node", F.explode("members").alias("c")).join(classes, "c").select("c", "tree", own(F.col("tree")).alias("own"), "node")
         for below in range(level, min(level + STEP, levels)):
             at = at.select("c", "tree", "own", _children(below, levels, threshold).alias("node"))
         level = min(level + STEP, levels)
     once = small[0]
     for more in small[1:]:
         once = once.unionByName(more)
-    once = once.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
-    rows = every[0]
-    for more in every[1:]:
-        rows = rows.unionByName(more)
-    leaves = written(rows.join(once, "node").select(F.col("node").alias("task"), "c"), "leaves")
-    dense = written(with_total(every[-1], large, ["node"], every[-1].count()).select("node", "c", "n", "head"), "dense")
+    once = once.groupBy("members").agg(F.min("node").alias("task"))
+    leaves = written(once.select("task", F.explode("members").alias("c")), "leaves")
+    dense = written(large.select("node", F.explode("members").alias("c"), "n", "head"), "dense")
     return leaves, dense
 
 

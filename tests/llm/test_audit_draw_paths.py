@@ -297,3 +297,19 @@ def test_large_nodes_name_their_least_class(spark):
     classes = spark.createDataFrame([(i, bytearray(tokens)) for i in range(5, 25)], "c long, tokens binary")
     _, dense = chosen_path.tree_nodes(classes, 2, 3, 0.85, 4)
     assert {(r["head"], r["n"]) for r in dense.select("head", "n").collect()} == {(5, 20)}
+
+
+@pytest.mark.parametrize("pack", [7, 1 << 15])
+def test_a_large_node_meets_its_size_in_few_rows(spark, monkeypatch, pack):
+    """A node's classes come to the join with its size as arrays, so that a large group makes no row a class there; leaves and last nodes stay whole."""
+    monkeypatch.setattr(chosen_path, "PACK", pack)
+    classes, met = 300, []
+    join = chosen_path.with_total
+    monkeypatch.setattr(chosen_path, "with_total", lambda rows, *more: (met.append(rows.count()), join(rows, *more))[1])
+    tokens = spark.createDataFrame([(i, bytearray(4 * 2 * 3)) for i in range(classes)], "c long, tokens binary")
+    leaves, dense = chosen_path.tree_nodes(tokens, 2, 3, 0.85, 4)
+    nodes = dense.groupBy("node").agg(F.count_distinct("c").alias("classes"), F.count("*").alias("rows")).collect()
+    assert leaves.count() == 0 and {(r["classes"], r["rows"]) for r in nodes} == {(classes, classes)}
+    assert max(met) <= 16 * -(-classes // pack) < 16 * classes / 5
+    leaves, dense = chosen_path.tree_nodes(tokens, 2, 3, 0.85, classes)  # all nodes have the same members: one leaf
+    assert dense.count() == 0 and sorted(r["c"] for r in leaves.collect()) == list(range(classes))
