@@ -166,7 +166,7 @@ def _written(spark: Spark, sf: str, sink) -> str:
     """Orders as one file, in descending order of their key, with what formats must quote and gaps."""
     name = F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('" <&> é'))
     rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), name.alias("name"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("customer"))
-    return sink(rows.repartition(8, "key").orderBy(F.desc("key")), f"{shared_dir(spark)}/{uuid.uuid4().hex}.out/orders")
+    return sink(rows.repartition("key").orderBy(F.desc("key")), f"{shared_dir(spark)}/{uuid.uuid4().hex}.out/orders")
 
 
 _FILE = "key long, name string, customer long"
