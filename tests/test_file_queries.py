@@ -16,7 +16,7 @@ def test_tables_that_are_folders_are_listed_once(spark, tmp_path):
     assert got == [("empty", False), ("nation", True), ("orders", True), ("region", True)]
 
 
-@pytest.mark.parametrize("query,sink", [("json_round_trip", "to_json")])
+@pytest.mark.parametrize("query,sink", [("json_round_trip", "to_json"), ("csv_round_trip", "to_csv")])
 def test_round_trips_take_as_many_tasks_as_the_session_has_partitions(spark, tmp_path, monkeypatch, query, sink):
     orders = spark.range(2000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit("1-URGENT").alias("o_orderpriority"))
     orders.write.parquet(str(tmp_path / "orders.parquet"))
