@@ -123,6 +123,17 @@ def with_total(rows: DataFrame, total: DataFrame, keys: list[str], many: int) ->
     return few.unionByName(rows.join(F.broadcast(hubs), keys))
 
 
+def by_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The columns of classes (c among them), and ``at``: an array of the rows of each class c. A class is joined as one row, however many trees, nodes or
+    tasks name it; ``each`` lists them again."""
+    return rows.groupBy("c").agg(F.collect_list(F.struct(*(x for x in rows.columns if x != "c"))).alias("at")).join(classes, "c")
+
+
+def each(rows: DataFrame) -> DataFrame:
+    """A row for each of the rows in ``at``, with the other columns."""
+    return rows.withColumn("at", F.explode("at")).select(*(x for x in rows.columns if x != "at"), "at.*")
+
+
 def _children(level: int, levels: int, threshold: float) -> Column:
     """The nodes below ``node`` that a class with these tokens (of its tree) goes to."""
     token = lambda i: F.substring("own", 2 * i + 1, 2)
@@ -134,7 +145,7 @@ def _children(level: int, levels: int, threshold: float) -> Column:
 def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, leaf: int) -> tuple[DataFrame, DataFrame]:
     """(task, c) of the leaves, and (node, c, n, head) of what is larger on the last level; head is the node's least class.
 
-    A node's classes meet its size as arrays of PACK at most, not as a row each. Leaves of the same members are one."""
+    A node's classes meet its size as arrays of PACK at most, not as a row each, and their tokens as a row a class. Leaves of the same members are one."""
     own = lambda tree: F.substring("tokens", tree * 4 * levels + 1, F.lit(4 * levels))
     pack = F.pmod(F.xxhash64("c"), F.lit(math.ceil(max(1, classes.count()) / PACK))).alias("pack")
     at = classes.select("c", "tokens", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
@@ -154,7 +165,7 @@ def tree_nodes(classes: DataFrame, trees: int, levels: int, threshold: float, le
         large = nodes.where(F.col("n") > leaf)
         if level == levels or large.isEmpty():
             break
-        at = large.select("tree", "node", F.explode("members").alias("c")).join(classes, "c").select("c", "tree", own(F.col("tree")).alias("own"), "node")
+        at = each(by_class(large.select("tree", "node", F.explode("members").alias("c")), classes)).select("c", "tree", own(F.col("tree")).alias("own"), "node")
         for below in range(level, min(level + STEP, levels)):
             at = at.select("c", "tree", "own", _children(below, levels, threshold).alias("node"))
         level = min(level + STEP, levels)
@@ -205,9 +216,9 @@ def _compared(agree: int, percent: int):
 
 
 def compared(rows: DataFrame, classes: DataFrame, agree: int, percent: int, parts: int) -> DataFrame:
-    """(a, b, star), a < b, that span what the sketches of each task's classes leave: stars are pairs that may be alike, and others tie stars together. rows: task, c."""
-    rows = rows.join(classes.select("c", "grams", "sketch"), "c").repartition(parts, "task").sortWithinPartitions("task", "c")
-    return rows.mapInArrow(lean(_compared(agree, percent)), "a long, b long, star boolean").groupBy("a", "b").agg(F.max("star").alias("star"))
+    """(a, b, star), a < b, that span what the sketches of each task's classes leave: stars are pairs that may be alike, and others tie stars together. Tasks may find the same ones. rows: task, c."""
+    rows = each(by_class(rows, classes.select("c", "grams", "sketch"))).repartition(parts, "task").sortWithinPartitions("task", "c")
+    return rows.mapInArrow(lean(_compared(agree, percent)), "a long, b long, star boolean")
 
 
 def _linked(percent: int, n: int):
@@ -239,10 +250,10 @@ def exhaustive(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 
 def with_texts(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """rows with a text of their class c; each text once, however often its row is repeated."""
-    rows = written(rows.join(classes.select("c", "doc", "h"), "c"), "asked")
+    rows = written(by_class(rows, classes.select("c", "doc", "h")), "asked")
     asked = rows.select("doc", "h").distinct().hint("merge")  # it grows with the input, so it isn't broadcast at any size
     own = texts.join(asked, ["doc", "h"], "left_semi").groupBy("doc", "h").agg(F.any_value("text").alias("text"))
-    return rows.join(own, ["doc", "h"])
+    return each(rows.join(own, ["doc", "h"]))
 
 
 def _checked(percent: int, n: int):
@@ -273,10 +284,9 @@ def _checked(percent: int, n: int):
 
 
 def thinned(edges: DataFrame) -> DataFrame:
-    """Fewer edges (a, b) that connect the same: each b with the least a, and that with the others, which many b share."""
+    """Fewer edges (a, b) that connect the same: each b with the least a, and that with the others, which many b share. Some are there more than once."""
     rows = edges.join(edges.groupBy("b").agg(F.min("a").alias("m")), "b")
-    rows = rows.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").distinct()
-    return rows.select(F.col("m").alias("a"), "b")
+    return rows.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b")
 
 
 def checked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, n: int, parts: int) -> DataFrame:
@@ -323,7 +333,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N, trees: int =
     chunk = F.xxhash64("node", F.pmod(F.xxhash64("c", "node"), F.ceil(F.col("n") / leaf)))
     edges = compared(leaves.unionByName(dense.select(chunk.alias("task"), "c")), classes, agree, percent, parts)
     heads = dense.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"), F.lit(False).alias("star"))  # what shares a node of the last level may be alike
-    edges = written(edges.unionByName(heads.distinct()), "edges")
+    edges = written(edges.unionByName(heads).groupBy("a", "b").agg(F.max("star").alias("star")), "edges")
     clusters = components(thinned(edges.select("a", "b"))).select(F.col("node").alias("c"), F.col("root").alias("cluster"))
     clusters = written(clusters.unionByName(clusters.select(F.col("cluster").alias("c"), "cluster").distinct()).join(classes.select("c", "grams"), "c"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("grams").alias("all_grams"))
@@ -336,6 +346,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, n: int = N, trees: int =
         stars = checked(pairs, classes, texts, percent, n, parts)
         known = components(stars).select(F.col("node").alias("c"), F.col("root").alias("label"))
         members = written(members.join(known, "c", "left").withColumn("label", F.coalesce("label", "c")), "members")
+        stars = known.select(F.col("label").alias("a"), F.col("c").alias("b"))  # they connect the same
         links = links.unionByName(stars).unionByName(exhaustive(blocks(members), classes, texts, percent, n, parts))
     roots = components(links).select(F.col("node").alias("c"), "root")
     found = written(classes.drop("tokens", "sketch").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c")), "rooted")

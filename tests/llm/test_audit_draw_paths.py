@@ -313,3 +313,22 @@ def test_a_large_node_meets_its_size_in_few_rows(spark, monkeypatch, pack):
     assert max(met) <= 16 * -(-classes // pack) < 16 * classes / 5
     leaves, dense = chosen_path.tree_nodes(tokens, 2, 3, 0.85, classes)  # all nodes have the same members: one leaf
     assert dense.count() == 0 and sorted(r["c"] for r in leaves.collect()) == list(range(classes))
+
+
+def test_a_class_in_many_nodes_is_joined_once(spark, monkeypatch):
+    """What a large group sends to joins by class is a row a class, not one for each tree, node or task that names it, and no row is lost."""
+    met, frames = [], type(spark.range(1))
+    join = frames.join
+    monkeypatch.setattr(frames, "join", lambda self, other, on=None, how=None: (on == "c" and met.append(self.count()), join(self, other, on, how))[1])
+    many, trees = 300, 8
+    every = [(i, bytearray(4 * 6 * trees), 10, bytearray(6 * trees), i, i) for i in range(many)]
+    classes = spark.createDataFrame(every, "c long, tokens binary, grams long, sketch binary, doc long, h long")
+    _, dense = chosen_path.tree_nodes(classes.select("c", "tokens"), trees, 6, 0.85, 4)
+    rows = dense.select(F.col("node").alias("task"), "c")
+    assert rows.count() >= trees * many and rows.select("c").distinct().count() == many
+    stars = chosen_path.compared(rows, classes, 10, 85, 4).collect()
+    assert {(x["a"], x["b"]) for x in stars} == {(0, i) for i in range(1, many)}
+    texts = classes.select("doc", "h", F.concat(F.lit("text "), "c").alias("text"))
+    got = chosen_path.with_texts(rows.withColumn("outer", F.lit(False)), classes, texts).select("task", "c", "outer", "text").collect()
+    assert Counter((x["task"], x["c"]) for x in got) == Counter(map(tuple, rows.collect())) and all(x["text"] == f"text {x['c']}" for x in got)
+    assert len(met) >= 4 and max(met) <= many
